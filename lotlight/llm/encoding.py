@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Entries of each cache before it is cleared.
-CACHE = 400_000
+CACHE = 800_000
 
 #: Fixed value: the pre-tokenizer's pattern for which encoding by chunk holds.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -59,37 +59,49 @@ class Encoder:
         self.used = 0
         self.offset = np.empty(1 << 18, dtype=np.int64)
         self.length = np.empty(1 << 18, dtype=np.int64)
-        self._add(_END, [] if self.end_id is None else [self.end_id])
+        end = [] if self.end_id is None else [self.end_id]
+        self._add([_END], end, [len(end)])
 
-    def _add(self, chunk: str, ids: list[int]) -> None:
+    def _add(self, chunks: list[str], ids: list[int], lengths: list[int]) -> None:
+        """Keep the ids of new chunks; ``ids`` has them one after another."""
         k, n = len(self.chunks), len(ids)
-        if k >= len(self.offset):
+        while k + len(chunks) > len(self.offset):
             self.offset = np.concatenate([self.offset, np.empty_like(self.offset)])
             self.length = np.concatenate([self.length, np.empty_like(self.length)])
         while self.used + n > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         self.pool[self.used : self.used + n] = ids
-        self.offset[k], self.length[k] = self.used, n
+        size = np.array(lengths, dtype=np.int64)
+        self.length[k : k + len(chunks)] = size
+        self.offset[k : k + len(chunks)] = self.used + np.cumsum(size) - size
         self.used += n
-        self.chunks[chunk] = k
+        self.chunks.update(zip(chunks, range(k, k + len(chunks))))
 
     def _learn(self, missing: set[str]) -> None:
-        whole, tokenize, parts = [], self.tok.model.tokenize, self.parts
+        tokenize, parts, plain, find, table = self.tok.model.tokenize, self.parts, _plain.fullmatch, _part.findall, self.table
         if len(parts) > CACHE:
             parts.clear()
+        known: list[str] = []
+        whole: list[str] = []
+        ids: list[int] = []
+        lengths: list[int] = []
         for chunk in missing:
-            if _plain.fullmatch(chunk) is None or "<|" in chunk:
+            if plain(chunk) is None or "<|" in chunk:
                 whole.append(chunk)
                 continue
-            ids: list[int] = []
-            for part in _part.findall(chunk.lower()):
+            before = len(ids)
+            for part in find(chunk.lower()):
                 got = parts.get(part)
                 if got is None:
-                    got = parts[part] = [t.id for t in tokenize(part if part.isascii() else part.translate(self.table))]
+                    got = parts[part] = tuple([t.id for t in tokenize(part if part.isascii() else part.translate(table))])
                 ids += got
-            self._add(chunk, ids)
+            known.append(chunk)
+            lengths.append(len(ids) - before)
         for chunk, e in zip(whole, self.tok.encode_batch_fast(whole, add_special_tokens=False)):
-            self._add(chunk, e.ids)
+            known.append(chunk)
+            ids += e.ids
+            lengths.append(len(e.ids))
+        self._add(known, ids, lengths)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         end = [] if self.end_id is None else [self.end_id]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import decontam, lm, near_dup, packing, quality, token_files
 from .shared import read, tune
 
 
@@ -21,8 +21,30 @@ def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), k=4, threshold=80)
+
+
+def op9_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
+def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    out = quality.judge(read(spark, sf_dir, "documents"))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select(*names, "n_lines", "distance")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_token_id_files)}
+    return {f.__name__: f for f in (op5_best_fit_packing, op6_token_id_files, op7_benchmark_decontamination, op8_minhash_near_dup, op9_pitman_yor_lm, op10_quality_outliers)}
 
 
 def oracle_sql() -> dict[str, str]:

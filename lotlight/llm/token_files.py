@@ -183,17 +183,21 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
 
 
 def read(manifest: DataFrame, folder: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """doc_id, path, file_start (ids before it in its file), n_tokens, ids."""
+    """doc_id, start, n_tokens, ids of the manifest's files.
+
+    ``start`` counts the ids of all earlier files (column ``base`` of
+    ``with_starts``; without it 0) and those before it in its own.
+    """
     wanted = None if doc_ids is None else set(doc_ids)
 
     def run(batches):
         files, _ = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with files.open_input_file(name) as file:
                     held, size = [], 0
                     for doc, start, ids in FileReader(file).read(wanted):
-                        held.append((doc, name, start, len(ids) // 4, ids))
+                        held.append((doc, base + start, len(ids) // 4, ids))
                         size += len(ids)
                         if size > 1 << 21:
                             yield _rows(held)
@@ -201,25 +205,24 @@ def read(manifest: DataFrame, folder: str, doc_ids: list[int] | None = None) ->
                     if held:
                         yield _rows(held)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, "doc_id long, path string, file_start long, n_tokens long, ids binary")
+    base = F.col("base") if "base" in manifest.columns else F.lit(0).cast("long").alias("base")
+    return manifest.select("path", base).repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=["doc_id", "path", "file_start", "n_tokens", "ids"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=["doc_id", "start", "n_tokens", "ids"])
 
 
-def starts(manifest: DataFrame) -> DataFrame:
-    """path and the number of ids in all earlier files.  One row per file of
-    some 128 MB; the running sum is over those few rows."""
+def with_starts(manifest: DataFrame) -> DataFrame:
+    """Add ``base``, the number of ids in all earlier files.  One row per file
+    of some 128 MB; the running sum is over those few rows."""
     before = Window.orderBy("first_doc", "path").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
 def write_and_read(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
     """Round trip: doc_id, start (ids of all documents before it), n_tokens, ids."""
     folder = folder or shared_dir(docs.sparkSession)
     manifest = write(docs, folder, vocabulary, end_id)
-    return read(manifest, folder).join(starts(manifest), "path").select(
-        "doc_id", (F.col("base") + F.col("file_start")).alias("start"), "n_tokens", "ids"
-    )
+    return read(with_starts(manifest), folder)

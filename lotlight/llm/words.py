@@ -60,8 +60,8 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
+    column = column.cast(pa.large_binary())
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
@@ -100,9 +100,17 @@ class Words:
         return mix(out)
 
 
-def split(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """Words of every row; ``lower`` maps A-Z to a-z first."""
-    if lower:
+#: A-Z become a-z, and ASCII other than letters and digits becomes space.
+_bare = _lower.copy()
+_bare[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
+
+
+def split(data: np.ndarray, offsets: np.ndarray, lower: bool = True, bare: bool = False) -> Words:
+    """Words of every row; ``lower`` maps A-Z to a-z first.  With ``bare``,
+    punctuation of ASCII separates words as well and is no part of them."""
+    if bare:
+        data = _bare[data]
+    elif lower:
         data = _lower[data]
     n = len(data)
     inside = np.zeros(n + 2, dtype=bool)
