@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, near_dup, packing, quality, token_files
+from . import decontam, html_text, langid, lm, near_dup, packing, quality, token_files, url_filter
 from .shared import read, tune
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.train(url_filter.labelled(spark))
+    return url_filter.judge(read(spark, sf_dir, "pages"), model)
+
+
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = read(spark, sf_dir, "documents")
+    return langid.label(docs, langid.train(docs))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     packed = packing.pack(read(spark, sf_dir, "documents"), keep_ids=False)
@@ -44,7 +60,7 @@ def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_token_id_files, op7_benchmark_decontamination, op8_minhash_near_dup, op9_pitman_yor_lm, op10_quality_outliers)}
+    return {f.__name__: f for f in (op1_html_main_text, op2_url_filter, op4_language_crf, op5_best_fit_packing, op6_token_id_files, op7_benchmark_decontamination, op8_minhash_near_dup, op9_pitman_yor_lm, op10_quality_outliers)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import default_vocabulary, encoder
-from .shared import cut, shared_dir
+from .shared import cut, partitions, shared_dir
 from .words import row_slices
 
 #: Fixed values of the seekable zstandard format.
@@ -206,7 +206,7 @@ def read(manifest: DataFrame, folder: str, doc_ids: list[int] | None = None) ->
                         yield _rows(held)
 
     base = F.col("base") if "base" in manifest.columns else F.lit(0).cast("long").alias("base")
-    return manifest.select("path", base).repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return manifest.select("path", base).repartition(partitions(manifest.sparkSession), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:

@@ -85,6 +85,11 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
+        if len(self.starts) > 1 and (self.starts[1:] < self.starts[:-1]).any():
+            order = np.argsort(self.starts, kind="stable")
+            ordered = np.empty(len(order), dtype=np.uint64)
+            ordered[order] = Words(self.data, self.starts[order], self.ends[order], self.row, self.first).hashes()
+            return ordered
         out = np.empty(len(self.starts), dtype=np.uint64)
         i = 0
         while i < len(out):
