@@ -1,11 +1,47 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline, each a function of (spark, docs, sf_dir).
+
+``docs`` is read more than once by some stages and must be stable; the runner
+writes every stage's result.  All stages but the last return the columns they
+were given.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import decontam, langid, near_dup, packing, pii
+from .queries import PII_KEY
+from .shared import cut, read, tune
 
-from . import packing
-from .shared import tune
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of no language, or of none for most of their words."""
+    tune(spark)
+    return langid.keep(docs, langid.train(docs))
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the smallest id, of each group."""
+    tune(spark)
+    gone = cut(near_dup.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id"))
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage of the benchmark."""
+    tune(spark)
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data; n_chars follows the text."""
+    tune(spark)
+    out = pii.replace(docs, PII_KEY)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(kind)))
+    return out.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,4 +50,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, keep_ids=False)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("language id", language),
+    ("near-duplicates", near_duplicate),
+    ("decontamination", decontaminate),
+    ("pii", surrogates),
+    ("best-fit packing", pack),
+]
