@@ -1 +1,6 @@
+"""Registered queries; importing the modules fills the registry."""
 
+from . import analytics
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "analytics"]
