@@ -14,8 +14,9 @@ connected components are found.  Within a component further links change
 nothing, so only keys with members of different components go on.  For their
 members a prefix filter finds every pair across components that can still
 reach the threshold: with all shingles in one order, rare ones first, two sets
-of that similarity must share one among the first fifth of each.  What
-it finds is estimated and confirmed as before, so components are exact.
+of that similarity have their first common one so early in each that as many
+as they need to share can follow.  What it finds is estimated and confirmed
+as before, so components are exact.
 
 Missed links: two documents at the threshold of 0.8 share no band with
 probability (1 - 0.8 ** 6) ** 32, some 6e-5, and less above it.
@@ -188,7 +189,8 @@ def _slots(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """id and each shingle of its set's prefix, in the order of (slot count, hash)."""
+    """id, each shingle of its set's prefix in the order of (slot count, hash),
+    its place there and the size of the set."""
     counts = texts.sparkSession.sparkContext.broadcast(_slots(texts, k))
 
     def run(batches):
@@ -202,13 +204,15 @@ def prefixes(texts: DataFrame, k: int, threshold: int) -> DataFrame:
                 n = np.bincount(row, minlength=m)
                 place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 keep = place <= (n - -(-threshold * n // 100))[row]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[keep])), pa.array(sh[keep].view(np.int64))], names=["id", "shingle"])
+                columns = [part.column(0).take(pa.array(row[keep])), pa.array(sh[keep].view(np.int64)), pa.array(place[keep]), pa.array(n[row[keep]])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "shingle", "place", "size"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, shingle long")
+    return texts.select("id", "text").mapInArrow(run, "id long, shingle long, place long, size long")
 
 
 def across(texts: DataFrame, named: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a prefix shingle.
+    """Pairs (a, b) of different components that share a prefix shingle after
+    which as many can follow in both as the threshold asks for.
 
     ``named`` is (id, component).  Per shingle, rows outside its largest
     component meet all rows; rows within it never meet each other.
@@ -217,10 +221,13 @@ def across(texts: DataFrame, named: DataFrame, k: int, threshold: int) -> DataFr
     held = rows.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     mixed = held.groupBy("shingle").agg(F.max_by("component", "n").alias("major"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     rows = cut(rows.join(cut(mixed).hint("merge"), "shingle"))
-    minor = rows.filter("component != major").select("shingle", F.col("id").alias("a"), F.col("component").alias("ca"))
-    other = rows.select("shingle", F.col("id").alias("b"), F.col("component").alias("cb"), "major")
+    own = lambda c, x: F.col(c).alias(f"{c}_{x}")
+    minor = rows.filter("component != major").select("shingle", F.col("id").alias("a"), F.col("component").alias("ca"), own("place", "a"), own("size", "a"))
+    other = rows.select("shingle", F.col("id").alias("b"), F.col("component").alias("cb"), "major", own("place", "b"), own("size", "b"))
     apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
-    met = minor.join(other, "shingle").filter(apart)
+    need = F.ceil(threshold * (F.col("size_a") + F.col("size_b")) / (100 + threshold) - 1e-9)
+    follow = (F.col("place_a") + need <= F.col("size_a")) & (F.col("place_b") + need <= F.col("size_b"))
+    met = minor.join(other, "shingle").filter(apart & follow)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
