@@ -264,16 +264,15 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
         raise ValueError("surrogates need a key")
     again = cut(draws(docs, key))
     names = docs.columns
-    held = None
-    marked = docs.select("*", found().alias("_m"))
+    rows = docs.select(F.struct(*names).alias("_row"), F.col("text").alias("_text"), F.col("doc_id").alias("_id"))
+    marked, draw = rows.withColumn("_m", found("_text")), lambda f: F.lit(0)
     if again.take(1):
         # documents that hold an entity with a later draw carry these draws along
         holders = docs.select(F.col("doc_id").alias("_doc"), F.explode(found()).alias("match")).select("_doc", _form(F.col("match")).alias("form")).distinct()
         held = holders.join(again, "form").groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("form", "draw"))).alias("_draws"))
-        marked = docs.join(held, F.col("doc_id") == F.col("_doc"), "left").select(*[F.col(c) for c in names], found().alias("_m"), "_draws")
-    draw = (lambda f: F.lit(0)) if held is None else (lambda f: F.coalesce(F.element_at("_draws", f), F.lit(0)))
+        marked = marked.join(held, F.col("_id") == F.col("_doc"), "left")
+        draw = lambda f: F.coalesce(F.element_at("_draws", f), F.lit(0))
     done = with_surrogates(marked, key, draw)
-    pieces = F.split(F.col("text"), PATTERN, -1)
-    # a text that begins with a match has an empty first piece, which split drops only for empty matches
-    text = F.when(F.size("_new") > 0, F.array_join(F.zip_with(pieces, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col("text"))
-    return done.select(*[text.alias("text") if c == "text" else F.col(c) for c in names])
+    pieces = F.split(F.col("_text"), PATTERN, -1)
+    text = F.when(F.size("_new") > 0, F.array_join(F.zip_with(pieces, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col("_text"))
+    return done.select(*[text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in names])
