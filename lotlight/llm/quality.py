@@ -49,11 +49,12 @@ MIN_ROWS = 100
 #: Fixed values for five dimensions: the factor that makes the covariance of
 #: the inner 75 % consistent for normal data, the 97.5 % point of chi-square,
 #: the factor for the covariance within it, and the point for rejection, which
-#: normal data pass with a probability of 1 - 1e-8.
+#: normal data pass with a probability of 1 - 1e-15; real statistics have
+#: heavier tails, and what is junk lies far beyond.
 CONSISTENT = 1.41
 INNER = 12.83
 CONSISTENT_INNER = 1.09
-REJECT = 47.0
+REJECT = 80.0
 
 _symbol = np.zeros(256, dtype=bool)
 _symbol[[ord(c) for c in "#*$%&|<>"]] = True
