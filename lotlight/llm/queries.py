@@ -80,8 +80,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r AS (SELECT DISTINCT a AS doc, a AS at FROM e UNION SELECT r.doc, e.b FROM r JOIN e ON e.a = r.at),
-c AS (SELECT doc, min(at) AS component FROM r GROUP BY 1)
+r AS (SELECT DISTINCT a AS doc, a AS found FROM e UNION SELECT r.doc, e.b FROM r JOIN e ON e.a = r.found),
+c AS (SELECT doc, min(found) AS component FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc = d.doc_id
 """
 
