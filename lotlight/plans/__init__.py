@@ -1,6 +1,6 @@
 """Registered queries; importing the modules fills the registry."""
 
-from . import analytics, enrichment, profiles, replay, retrieval
+from . import analytics, enrichment, market, profiles, replay, retrieval
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analytics", "enrichment", "profiles", "replay", "retrieval"]
+__all__ = ["QUERIES", "SQL", "analytics", "enrichment", "market", "profiles", "replay", "retrieval"]
