@@ -25,7 +25,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keep one document, that of the smallest id, of each group."""
     tune(spark)
     gone = cut(near_dup.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id"))
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
