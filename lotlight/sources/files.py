@@ -6,7 +6,7 @@ and every value stays text until it is normalised.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,20 +22,22 @@ CONTRACT = "id string, publishDate string, regNum string, customer struct<inn:st
 
 
 def delimited(spark: SparkSession, path: str, dataset: str, sep: str = ";") -> DataFrame:
-    """Text columns of a delivery, and ``row_no`` in file order.
+    """Text columns of a delivery, and ``row_no`` in file order from 1.
 
-    A file is read by whole lines with Spark's monotonic ids, which grow with
-    position; ranks over them are taken per file, so ``row_no`` starts at 1.
+    Spark's monotonic ids hold a split's number and the row's place in it; the
+    rows of earlier splits of the same file are added from one small table
+    with a row per split, so no file meets in one task.
     """
     columns = DATASETS[dataset]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = spark.read.csv(path, schema=schema, sep=sep, quote='"', escape='"', header=True, encoding="UTF-8", multiLine=False, mode="PERMISSIVE", enforceSchema=True, emptyValue="", nullValue=None)
-    rows = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("_file").orderBy("_at")
+    rows = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_id", F.monotonically_increasing_id())
+    rows = rows.withColumns({"_split": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    splits = rows.groupBy("_file", "_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    base = splits.select("_file", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     text = [F.coalesce(c, F.lit("")).alias(c) for c in columns]
-    return rows.withColumn("row_no", F.row_number().over(order)).select("row_no", *text)
+    return rows.join(base, ["_file", "_split"]).select((F.col("_base") + F.col("_at") - F.col("_first") + 1).alias("row_no"), *text)
 
 
 def header_drift(spark: SparkSession, path: str, dataset: str, sep: str = ";") -> list[tuple[str | None, str | None]]:
