@@ -190,7 +190,7 @@ def _slots(texts: DataFrame, k: int) -> np.ndarray:
 
 def prefixes(texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """id, each shingle of its set's prefix in the order of (slot count, hash),
-    its place there and the size of the set."""
+    its place there, the one before it and the size of the set."""
     counts = texts.sparkSession.sparkContext.broadcast(_slots(texts, k))
 
     def run(batches):
@@ -204,10 +204,11 @@ def prefixes(texts: DataFrame, k: int, threshold: int) -> DataFrame:
                 n = np.bincount(row, minlength=m)
                 place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 keep = place <= (n - -(-threshold * n // 100))[row]
-                columns = [part.column(0).take(pa.array(row[keep])), pa.array(sh[keep].view(np.int64)), pa.array(place[keep]), pa.array(n[row[keep]])]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "shingle", "place", "size"])
+                before = pa.array(np.roll(sh, 1)[keep].view(np.int64), mask=place[keep] == 0)
+                columns = [part.column(0).take(pa.array(row[keep])), pa.array(sh[keep].view(np.int64)), before, pa.array(place[keep]), pa.array(n[row[keep]])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "shingle", "before", "place", "size"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, shingle long, place long, size long")
+    return texts.select("id", "text").mapInArrow(run, "id long, shingle long, before long, place long, size long")
 
 
 def across(texts: DataFrame, named: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -215,19 +216,21 @@ def across(texts: DataFrame, named: DataFrame, k: int, threshold: int) -> DataFr
     which as many can follow in both as the threshold asks for.
 
     ``named`` is (id, component).  Per shingle, rows outside its largest
-    component meet all rows; rows within it never meet each other.
+    component meet all rows; rows within it never meet each other.  Where the
+    shingles before are equal too, the pair has met there already.
     """
     rows = cut(prefixes(texts, k, threshold).join(named.hint("merge"), "id"))
     held = rows.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     mixed = held.groupBy("shingle").agg(F.max_by("component", "n").alias("major"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     rows = cut(rows.join(cut(mixed).hint("merge"), "shingle"))
     own = lambda c, x: F.col(c).alias(f"{c}_{x}")
-    minor = rows.filter("component != major").select("shingle", F.col("id").alias("a"), F.col("component").alias("ca"), own("place", "a"), own("size", "a"))
-    other = rows.select("shingle", F.col("id").alias("b"), F.col("component").alias("cb"), "major", own("place", "b"), own("size", "b"))
+    minor = rows.filter("component != major").select("shingle", F.col("id").alias("a"), F.col("component").alias("ca"), own("place", "a"), own("size", "a"), own("before", "a"))
+    other = rows.select("shingle", F.col("id").alias("b"), F.col("component").alias("cb"), "major", own("place", "b"), own("size", "b"), own("before", "b"))
     apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
     need = F.ceil(threshold * (F.col("size_a") + F.col("size_b")) / (100 + threshold) - 1e-9)
     follow = (F.col("place_a") + need <= F.col("size_a")) & (F.col("place_b") + need <= F.col("size_b"))
-    met = minor.join(other, "shingle").filter(apart & follow)
+    new = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
+    met = minor.join(other, "shingle").filter(apart & follow & new)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
