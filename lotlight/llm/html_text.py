@@ -37,8 +37,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Opening one of these ends an open paragraph.
 ENDS_P = BLOCKS - {"br", "td", "th", "tr", "caption", "body", "html"}
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|copyright|comments?|replies|respond|disqus|discussion|"
-    r"cookies?|consent|notices?|notifications?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|widget\w*|toolbar|pagination|pager|skip\w*|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer\w*|copyright|comment\w*|replies|respond|disqus|discussion|"
+    r"cookie\w*|consent|notice\w*|notification\w*|alerts?|popup\w*|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|widget\w*|toolbar|pagination|pager|skip\w*|hidden)(?:$|[\s_-])",
     re.I,
 )
 

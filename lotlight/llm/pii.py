@@ -255,6 +255,8 @@ def draws(docs: DataFrame, key: str) -> DataFrame:
         state = judged.filter("lost").select("form", "match", (F.col("draw") + 1).alias("draw"))
         if not state.take(1):
             break
+    else:
+        raise RuntimeError(f"surrogates still collide after {ROUNDS} draws")
     return settled.filter("draw > 0").select("form", "draw")
 
 

@@ -60,8 +60,10 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], rows: int, lim
     if rows <= limit:
         return big.join(F.broadcast(small), keys, how)
     salts = 16
+    # a hash, so that a task that runs again deals its rows as before
+    spread = F.pmod(F.xxhash64(*[c for c in big.columns if c not in keys]), F.lit(salts)).cast("int")
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+    return big.withColumn("_salt", spread).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
