@@ -40,6 +40,8 @@ WORDS64 = 2
 RADIUS = 32
 BLOCKS = 8
 NEAR = RADIUS // BLOCKS
+#: Up to so many items of a size their blocks are compared at once, beyond by tables.
+DIRECT = 64
 #: Items in one index; more items are taken in blocks, each a pass over the texts.
 BLOCK_ITEMS = 1000
 
@@ -93,12 +95,17 @@ class Index:
             for b in range(BLOCKS):
                 values = (self.prints[own, b][:, None] ^ _masks[None, :]).ravel()
                 order = np.argsort(values, kind="stable")
-                out.append((np.searchsorted(values[order], np.arange(65537)), np.repeat(own, len(_masks))[order]))
+                out.append((np.searchsorted(values[order], np.arange(65537)).astype(np.int32), np.repeat(own, len(_masks)).astype(np.int32)[order]))
             self.tables[size] = out
         return self.tables[size]
 
     def near(self, prints: np.ndarray, size: int) -> list[tuple[int, int]]:
         """(window, item) of all fingerprints within the radius."""
+        if len(self.by_size[size]) <= DIRECT:
+            own = np.array(self.by_size[size])
+            apart = np.bitwise_count(prints[:, None, :] ^ self.prints[own][None])
+            window, item = np.nonzero((apart.min(axis=2) <= NEAR) & (apart.sum(axis=2) <= RADIUS))
+            return list(zip(window.tolist(), own[item].tolist()))
         found: set[tuple[int, int]] = set()
         for b, (first, items) in enumerate(self.table(size)):
             value = prints[:, b].astype(np.int64)

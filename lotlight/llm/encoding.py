@@ -11,11 +11,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Entries of each cache before it is cleared.
-CACHE = 800_000
+CACHE = 250_000
 
 #: Fixed value: the pre-tokenizer's pattern for which encoding by chunk holds.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -54,7 +55,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.chunks: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, array] = {}
         self.pool = np.empty(1 << 20, dtype=np.uint32)
         self.used = 0
         self.offset = np.empty(1 << 18, dtype=np.int64)
@@ -93,7 +94,7 @@ class Encoder:
             for part in find(chunk.lower()):
                 got = parts.get(part)
                 if got is None:
-                    got = parts[part] = tuple([t.id for t in tokenize(part if part.isascii() else part.translate(table))])
+                    got = parts[part] = array("I", [t.id for t in tokenize(part if part.isascii() else part.translate(table))])
                 ids += got
             known.append(chunk)
             lengths.append(len(ids) - before)

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from lotlight.llm import decontam
 
 
@@ -66,9 +68,12 @@ def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
     assert decontam.find(docs, items.filter("false")).count() == 0 and decontam.find(docs.filter("false"), items).count() == 0
 
 
-def test_index_finds_all_within_the_radius():
+@pytest.mark.parametrize("direct", [0, 64])
+def test_index_finds_all_within_the_radius(monkeypatch, direct):
     import numpy as np
 
+    monkeypatch.setattr(decontam, "DIRECT", direct)
+
     rng = np.random.default_rng(1)
     index = decontam.Index([(i, " ".join(f"t{i}_{j}" for j in range(10))) for i in range(20)])
     (size,) = index.by_size
