@@ -1,16 +1,20 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Restaurants, from the leaves up: one for each class of the preceding word
-(``CONTEXTS`` fixed classes: short words by hash, all longer ones, the start of
-a text), which share as parent the restaurant of all words; its base is the
+Restaurants, from the leaves up: one for each preceding word (or the start of a
+text) that training saw; those of a class of words (``CONTEXTS`` fixed classes:
+short words by hash, all longer ones, the start) share the restaurant of their
+class as parent, and the classes share that of all words; its base is the
 spelling of a word by a second hierarchy over bytes, whose restaurants for the
 last three byte classes share those for two, for one and for none as parents,
-down to the uniform distribution.  A table of a word in a class is a customer
-of the word restaurant; a table there is a customer of the spelling.
+down to the uniform distribution.  A table of a word after another is a
+customer of the class, a table there one of the word restaurant, and a table
+there one of the spelling.
 
 Seating is sampled by blocked Gibbs sweeps: given the totals of the last
-sweep, every word is seated anew where it lies, and only totals and spelling
-counts, whose number is bounded by the fixed classes, meet on the driver.
+sweep, every word is seated anew where it lies, and only totals of classes and
+spelling counts, whose number is bounded, meet on the driver.  Totals of
+preceding words are a table, which pairs of words meet by joins; a pair seen
+once has one table in every sweep and is never seated anew.
 Large counts are seated in batches of an eighth of what already sits.  After the first
 sweep, spelling probabilities are averaged over sweeps, and word
 probabilities over several seatings.
@@ -19,8 +23,9 @@ Words that training never saw count as one further type, as in the base
 score; it has what the spelling leaves beyond all known words.
 
 Documents are dealt by id into blocks of a few megabytes.  A block asks once
-for each distinct word it holds, so that texts meet counts without a row per
-occurrence, and frequent words never gather in one task.  Words meet by a
+for each distinct word and each distinct pair of words it holds, so that texts
+meet counts without a row per occurrence, and frequent words never gather in
+one task.  Words meet by a
 64-bit hash.
 
 Defined cases: null and empty texts have one token, the end; repeated rows
@@ -34,6 +39,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +70,7 @@ _class[97:123] = np.arange(26)
 _class[48:58] = 26
 _class[0x80:0xA0], _class[0xA0:0xC0], _class[0xC0:] = 28, 29, 30
 
-END_HASH = mix(np.array([0x454E44], dtype=np.uint64))[0]
+END_HASH, START_HASH = mix(np.array([0x454E44, 0x5354415254], dtype=np.uint64))
 
 
 def seat(count: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -190,18 +196,42 @@ def _word_table(column: pa.Array) -> Words:
     return Words(data, offsets[:-1], offsets[1:], np.arange(len(column)), np.arange(len(column) + 1))
 
 
+def _pairs(row: np.ndarray, which: np.ndarray, distinct: int) -> np.ndarray:
+    """Each token's pair as one number: the word before (``distinct``: the
+    start of a text) times ``distinct``, plus the token."""
+    before = np.full(len(which), distinct, dtype=np.int64)
+    same = row[1:] == row[:-1]
+    before[1:][same] = which[:-1][same]
+    return before * distinct + which
+
+
+ASKED = "block long, c long, h long, kind int, word binary, n long"
+
+
 def _count_block(table: pa.Table) -> pa.Table:
-    """The distinct words of a block with their training counts by class."""
+    """The distinct words of a block (c is null) and its distinct pairs of
+    words, c before h, with their training counts."""
     column = table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
     words, h, row, before, index = tokens(column)
     train = ~np.asarray(table["held_out"].to_pylist(), dtype=bool)[row]
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    counts = np.bincount(which[train] * CONTEXTS + before[train], minlength=len(first) * CONTEXTS).reshape(-1, CONTEXTS)
+    v = len(first)
+    pair, at, of = np.unique(_pairs(row, which, v), return_index=True, return_inverse=True)
     raw = words.data.tobytes()
     names = [raw[words.starts[i] : words.ends[i]] if i >= 0 else b"" for i in index[first].tolist()]
-    block = pa.array(np.full(len(names), table["block"][0].as_py()), pa.int64())
-    h = pa.array(h[first].view(np.int64))
-    return pa.table([block, h, pa.array(names, pa.binary()), *[pa.array(counts[:, k], pa.int32()) for k in range(CONTEXTS)]], names=["block", "h", "word", *COUNTS])
+    hashes = np.append(h[first], START_HASH).view(np.int64)
+    none = len(pair)
+    return pa.table(
+        [
+            pa.array(np.full(v + none, table["block"][0].as_py()), pa.int64()),
+            pa.concat_arrays([pa.nulls(v, pa.int64()), pa.array(hashes[pair // max(v, 1)])]),
+            pa.array(np.concatenate([hashes[:v], hashes[pair % max(v, 1)]])),
+            pa.concat_arrays([pa.nulls(v, pa.int32()), pa.array(before[at], pa.int32())]),
+            pa.concat_arrays([pa.array(names, pa.binary()), pa.nulls(none, pa.binary())]),
+            pa.array(np.concatenate([np.bincount(which[train], minlength=v), np.bincount(of[train], minlength=none)]), pa.int64()),
+        ],
+        names=[c.split()[0] for c in ASKED.split(", ")],
+    )
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -293,11 +323,11 @@ def _probabilities(vocabulary: DataFrame, state) -> DataFrame:
                 p = (c - WORD_D * root_t + (WORD_S + WORD_D * s.root_opened) * spelled) / (WORD_S + s.root_customers)
                 root += p / SEATINGS
                 by_class += (count - CONTEXT_D * t + (CONTEXT_S + CONTEXT_D * s.opened[kind]) * p[word]) / (CONTEXT_S + s.customers[kind]) / SEATINGS
-            total = np.bincount(word, weights=count, minlength=len(spelled)).astype(np.int64)
+            total = batch.column(1 + CONTEXTS).to_numpy()
             facts = pack_facts(root, total, word, kind, by_class)
             yield pa.RecordBatch.from_arrays([pa.array(_word_hashes(words).view(np.int64)), facts], names=["h", "facts"])
 
-    return vocabulary.select("word", *COUNTS).mapInArrow(run, "h long, facts binary")
+    return vocabulary.select("word", *COUNTS, "total").mapInArrow(run, "h long, facts binary")
 
 
 def _word_hashes(words: Words) -> np.ndarray:
@@ -340,15 +370,46 @@ def unpack_facts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return field(at, 4, "<f4"), field(at + 4, 8, "<i8"), word, kind, field(where, 4, "<f4")
 
 
+def _tables(pairs: DataFrame, contexts: DataFrame, facts: DataFrame, seed: int, draws: int = 1) -> DataFrame:
+    """Pairs (c, h, kind, n) with their tables ``t``, seated anew under the
+    probabilities of their class; the mean of ``draws`` seatings."""
+
+    def run(batches):
+        rng = np.random.default_rng([seed, _task()])
+        for batch in batches:
+            count, opened = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            _, _, word, kind, chance = unpack_facts(batch.column(5))
+            above = np.zeros((len(count), CONTEXTS))
+            above[word, kind] = chance
+            pull = (CONTEXT_S + CONTEXT_D * opened) * above[np.arange(len(count)), batch.column(2).to_numpy()]
+            t = sum(seat(count, pull, CONTEXT_D, rng) for _ in range(draws)) / draws
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(t, pa.float64())], names=["c", "h", "kind", "n", "t"])
+
+    met = pairs.join(contexts.select("c", "opened").hint("merge"), "c").join(facts.hint("merge"), "h")
+    return met.select("c", "h", "kind", "n", "opened", "facts").mapInArrow(run, "c long, h long, kind int, n long, t double")
+
+
+def _by_context(tables: DataFrame) -> DataFrame:
+    """Customers and tables after each word."""
+    return tables.groupBy("c").agg(F.sum("n").alias("customers"), F.sum("t").alias("opened"))
+
+
+def _by_word(tables: DataFrame) -> DataFrame:
+    """Tables of each word by class of the word before: its customers there."""
+    return tables.groupBy("h").agg(*[F.sum(F.when(F.col("kind") == k, F.col("t")).otherwise(0.0)).alias(c) for k, c in enumerate(COUNTS)])
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score_block(total: int, distinct: int, state):
+def _score_block(total: int, distinct: int, start: float, state):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)], names=[c.split()[0] for c in SCORES.split(", ")])
         s = state.value
         _, h, row, before, _ = tokens(docs["text"].combine_chunks())
+        met = known.filter(pc.is_valid(known["c"]))
+        known = known.filter(pc.is_null(known["c"]))
         keys = known["h"].to_numpy().view(np.uint64) if known.num_rows else np.zeros(0, np.uint64)
         order = np.argsort(keys)
         rest = (CONTEXT_S + CONTEXT_D * s.opened) / (CONTEXT_S + s.customers)
@@ -366,6 +427,21 @@ def _score_block(total: int, distinct: int, state):
             p[hit] = full[who, before[hit]]
         miss = ~hit
         p[miss] *= (WORD_S + WORD_D * s.root_opened) / (WORD_S + s.root_customers) * s.unseen
+        # after the word before: what its restaurant leaves to its class, and its own share
+        own, which = np.unique(h, return_inverse=True)
+        v = len(own)
+        left = np.ones(v + 1)
+        left[v] = start
+        left[np.searchsorted(own, keys)] = known["share"].to_numpy() if known.num_rows else 1.0
+        pair = _pairs(row, which, v)
+        p *= left[pair // v]
+        if met.num_rows:
+            c, w = met["c"].to_numpy().view(np.uint64), met["h"].to_numpy().view(np.uint64)
+            code = np.where(c == START_HASH, v, np.searchsorted(own, c)) * v + np.searchsorted(own, w)
+            order = np.argsort(code)
+            at = np.minimum(np.searchsorted(code[order], pair), len(code) - 1)
+            same = code[order][at] == pair
+            p[same] += met["share"].to_numpy()[order][at[same]]
         n = docs.num_rows
         base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
         per = lambda x: np.bincount(row, weights=x, minlength=n)
@@ -387,13 +463,19 @@ def score(docs: DataFrame, held_out_of: int = 5, held_out: int = 1) -> DataFrame
     dealt = docs.select(
         F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), is_held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text")
     )
-    counts = ", ".join(f"{c} int" for c in COUNTS)
-    asked = cut(dealt.groupBy("block").applyInArrow(_count_block, f"block long, h long, word binary, {counts}"))
-    summed = asked.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    vocabulary = cut(summed.filter(" or ".join(f"{c} > 0" for c in COUNTS)))
-    totals = vocabulary.agg(F.count("*").alias("v"), F.sum(sum((F.col(c) for c in COUNTS[1:]), F.col(COUNTS[0]))).alias("n")).first()
+    asked = cut(dealt.groupBy("block").applyInArrow(_count_block, ASKED))
+    asked_words, asked_pairs = asked.filter("c is null"), asked.filter("c is not null").select("block", "c", "h", "kind", "n")
+    words = cut(asked_words.groupBy("word").agg(F.first("h").alias("h"), F.sum("n").alias("total")).filter("total > 0"))
+    pairs = cut(asked_pairs.filter("n > 0").groupBy("c", "h").agg(F.first("kind").alias("kind"), F.sum("n").alias("n")))
+    totals = words.agg(F.count("*").alias("v"), F.sum("total").alias("n")).first()
+    once = pairs.filter("n = 1").withColumn("t", F.lit(1.0))
+    often, tables = pairs.filter("n > 1"), pairs.filter("n > 1").withColumn("t", F.lit(1.0))
+    once_context, once_word = cut(_by_context(once)), cut(_by_word(once))
     state, mean = None, None
     for sweep in range(SWEEPS):
+        contexts = cut(once_context.unionByName(_by_context(tables)).groupBy("c").agg(F.sum("customers").alias("customers"), F.sum("opened").alias("opened")))
+        counts = once_word.unionByName(_by_word(tables)).groupBy("h").agg(*[F.sum(c).cast("long").alias(c) for c in COUNTS])
+        vocabulary = cut(words.join(counts.hint("merge"), "h").select("word", *COUNTS, "total"))
         last = _sweep(vocabulary, state, 1 + sweep)
         if state is not None:  # the first sweep only makes a start
             state.unpersist()
@@ -402,6 +484,18 @@ def score(docs: DataFrame, held_out_of: int = 5, held_out: int = 1) -> DataFrame
             last.spelling = Spelling(mean / sweep, last.spelling.row_of)
             last.unseen = max(1e-9, 1.0 - _known_mass(vocabulary, last.spelling))
         state = spark.sparkContext.broadcast(last)
-    known = asked.select("block", "h").join(_probabilities(vocabulary, state).hint("merge"), "h")
-    run = _score_block(int(totals["n"] or 0), int(totals["v"] or 0), state)
+        facts = cut(_probabilities(vocabulary, state))
+        tables = cut(_tables(often, contexts, facts, 31 + sweep, SEATINGS if sweep == SWEEPS - 1 else 1))
+    # the tables of the last seating decide both what a word takes and what it leaves
+    contexts = cut(once_context.unionByName(_by_context(tables)).groupBy("c").agg(F.sum("customers").alias("customers"), F.sum("opened").alias("opened")))
+    left = (CONTEXT_S + CONTEXT_D * F.col("opened")) / (CONTEXT_S + F.col("customers"))
+    first = contexts.filter(F.col("c") == int(START_HASH.view(np.int64))).select(left).first()
+    taken = (F.col("n") - CONTEXT_D * F.col("t")) / (CONTEXT_S + F.col("customers"))
+    shares = once.unionByName(tables).join(contexts.select("c", "customers").hint("merge"), "c").select("c", "h", taken.alias("share"))
+    about = facts.join(contexts.select(F.col("c").alias("h"), left.alias("share")).hint("merge"), "h", "left").select("h", "facts", F.coalesce("share", F.lit(1.0)).alias("share"))
+    no_c, no_facts = F.lit(None).cast("long").alias("c"), F.lit(None).cast("binary").alias("facts")
+    known_words = asked_words.select("block", "h").join(about.hint("merge"), "h").select("block", no_c, "h", "facts", "share")
+    known_pairs = asked_pairs.select("block", "c", "h").join(shares.hint("merge"), ["c", "h"]).select("block", "c", "h", no_facts, "share")
+    known = known_words.unionByName(known_pairs)
+    run = _score_block(int(totals["n"] or 0), int(totals["v"] or 0), first[0] if first else 1.0, state)
     return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, SCORES)

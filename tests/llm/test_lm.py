@@ -86,3 +86,23 @@ def test_facts_round_trip():
         inside = (word >= lo) & (word < hi)
         want = (p[lo:hi], counts.sum(axis=1)[lo:hi], word[inside] - lo, kind[inside], chance[inside])
         assert all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+def test_long_words_are_contexts(spark):
+    """Equal words, another order: only what follows each long word differs."""
+    train = [d for d in range(400) if not held(d)][:200]
+    a, b = [d for d in range(1000, 1100) if held(d)][:2]
+    rows = [(d, "morning sunlight evening shadows" if d % 2 else "evening shadows morning sunlight") for d in train]
+    rows += [(a, "morning sunlight evening shadows"), (b, "morning shadows evening sunlight")]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[a].base_score == pytest.approx(got[b].base_score)
+    assert got[a].score > got[b].score + 1
+
+
+def test_pairs_of_words_are_counted_once_a_block():
+    table = pa.table({"block": [4, 4, 4], "text": ["some words some words", "words", "held words"], "held_out": [False, False, True]})
+    rows = lm._count_block(table).to_pylist()
+    name = {r["h"]: r["word"].decode() for r in rows if r["c"] is None} | {int(lm.START_HASH.view(np.int64)): "^"}
+    assert {name[r["h"]]: r["n"] for r in rows if r["c"] is None} == {"some": 2, "words": 3, "held": 0, "": 2}
+    pairs = [(name[r["c"]], name[r["h"]], r["n"]) for r in rows if r["c"] is not None]
+    assert sorted(pairs) == sorted([("^", "some", 1), ("some", "words", 2), ("words", "some", 1), ("words", "", 2), ("^", "words", 1), ("^", "held", 0), ("held", "words", 0)])
