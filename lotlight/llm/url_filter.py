@@ -12,6 +12,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -24,20 +26,48 @@ SIZES = (3, 4, 5)
 #: Fixed values: (host, path, verdict) of the list rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
-#: Words of host names in the labelled table.
-BLOCKED_WORDS = "casino-win casino-royal best-casino free-bets sport-bets bets-online poker-win slots-jackpot cheap-pills pills-shop buy-pills pharma-pills viagra-shop ads-track ad-tracker click-ads track-clicks spam-farm link-farm spam-links seo-spam adult-x adult-cams xxx-adult porn-tube sex-cams payday-loans fast-loans cheap-loans replica-watches warez-crack malware-drop phish-login free-prizes win-prizes".split()
-ALLOWED_WORDS = "tionsh tionble tiontion ththth thther ththon ththan ththhe thering therha thernd therti library museum weather gardening recipes university research archive journal history science travel-notes city-news daily-news open-data music-school bookshelf mountain-club river-walks health-advice train-times language-lab maps-and-routes photo-diary bike-repair".split()
+#: Host names of the labelled table, written for it; none comes from the tables that are judged.
+BLOCKED_WORDS = """royal-casino casinopalace online-casino casino-bonus vegascasino live-casino-games megacasino24 pokerstarz videopoker-room texas-poker freepoker slotmachines super-slots slots-jackpot
+lucky-jackpot sportbets betsonline bets-today freebet-bonus bet-and-win betting-odds bookmaker-bonus roulette-royal bingo-bonus big-win-prizes free-prizes win-a-phone lottery-winners claim-your-prize free-gift-cards
+discount-pills diet-pills pillshop24 bluepills buy-viagra viagra-online genericviagra cialis-pharmacy cheap-meds online-pharma-rx no-prescription-meds steroids-shop weightloss-pills cheapcialis
+adserver ads-network clickads popads adtracker track-clicks pixel-track banner-ads adsdelivery trackstats ad-exchange popunder-ads click-tracker doubleads
+spamlinks seo-spam link-farm linkfarm-seo backlinks-cheap buy-backlinks mail-spam content-farm spam-bots article-spinner
+adultcams adult-dating adult-videos xxx-movies xxxtube freexxx pornvideos porn-hd teenporn sex-chat livesex sexcams hot-escorts nude-girls adultfriends erotic-cams milf-xxx
+payday-loans fastloans cheap-loans bad-credit-loans instant-cash-loan quick-cash crypto-doubler easy-money-fast get-rich-now forex-signals-pro
+replica-watches fake-rolex cheap-handbags warez-crack cracked-apks keygen-download free-torrents serial-keys malware-drop trojan-host phish-login verify-account-login secure-login-update""".split()
+ALLOWED_WORDS = """library citylibrary museum national-museum weather weather-today gardening kitchen-garden recipes easy-recipes university technical-university research research-notes archive archives-nationales
+journal journal-of-biology history local-history science popular-science travel-notes slow-travel city-news daily-news morningpost thedailyherald tribune gazette lemonde-diplo zeitung abendblatt nachrichten elpais-cultura noticias
+open-data statistics-office census parliament ministry-of-health cityhall townhall-services hospital children-hospital health-advice nursing dentist pharmacists-association music-school orchestra jazzclub theatre opera-house
+bookshelf bookshop second-hand-books mountain-club alpine-hut river-walks hiking-trails cycling-routes bike-repair track-and-field athletics football-club chess-club winter-sports rowing
+train-times railway bus-timetable airport-info harbour maps maps-and-routes geodata language-lab dictionary grammar translation photo-diary photography camera-reviews film-review cinema painting
+farmers-market organic-farm dairy-farm beekeeping winery bakery coffee-roasters restaurant-guide hotel-sonne campsite adult-education adult-learning evening-classes kindergarten primary-school highschool
+software-docs developer-handbook python-tutorial linux-wiki opensource compiler-notes database-journal mathematics physics-forum chemistry astronomy geology botany birdwatching wildlife
+credit-union savings-bank insurance-guide tax-office law-review courts freelance-network freedom-of-press winter-garden windows-and-doors alphabets tablets-for-schools advice-line adriatic-coast addis-report
+toys knitting woodworking furniture carpentry plumbing electricians architecture interior-design renewable-energy solar-power water-board recycling climate-lab oceanography
+stmartin-parish cathedral choir genealogy family-tree memories letters essays poetry shortstories philosophy podcast radio-nord stadtwerke gemeinde universidad biblioteca ayuntamiento mairie musee-lyon jardin""".split()
+FRONTS = ("", "www.", "news.", "shop.", "static.")
+TAILS = ("com", "org", "net", "info", "eu", "de", "fr", "es", "co.uk", "io", "ch")
+PATHS = ("", "/", "/index.html", "/about", "/2021/05/18/some-title", "/a/b/c", "/item.php?id=77", "/en/start", "/category/new/page/3", "/go?to=1&from=2", "/x91k2", "/files/list.htm#end", "/contact/", "/de/seite")
+
+
+def words() -> list[tuple[str, float]]:
+    """The host names of the labelled table, and 1 for block."""
+    return [(w, 1.0) for w in BLOCKED_WORDS] + [(w, 0.0) for w in ALLOWED_WORDS]
+
+
+def urls(names: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """Four URLs of each host name; front, tail and path don't depend on the label."""
+    rows = []
+    for word, label in names:
+        for j in range(4):
+            k = crc32(f"{word} {j}".encode())
+            rows.append((f"{('http', 'https')[k % 2]}://{FRONTS[k // 2 % 5]}{word}.{TAILS[k // 10 % 11]}{PATHS[k // 110 % 14]}", label))
+    return rows
 
 
 def labelled(spark: SparkSession) -> DataFrame:
     """url and label (1: block) of the training table."""
-    rows, words = [], [(w, 1.0) for w in BLOCKED_WORDS] + [(w, 0.0) for w in ALLOWED_WORDS]
-    for i, (word, label) in enumerate(words):
-        for j, front in enumerate(("", "www.", "blog.", "m.")):
-            tail = ("example.com", "example.org", "example.net")[(i + j) % 3]
-            path = ("/en/12", "/de/345.html", "/fr/678/", "/es/90?page=2", "/", "")[(i // 2 + j) % 6]
-            rows.append((f"{('http', 'https')[j % 2]}://{front}{word}.{tail}{path}", label))
-    return spark.createDataFrame(rows, "url string, label double")
+    return spark.createDataFrame(urls(words()), "url string, label double")
 
 
 def host(url: str = "url") -> Column:

@@ -47,3 +47,25 @@ def test_model_generalises_and_is_native(spark, model):
     plan = out._jdf.queryExecution().toString()
     assert not any(k in plan for k in ("Python", "Pandas", "Arrow"))
     assert url_filter.judge(df.filter("false"), model).count() == 0
+
+
+def test_no_training_host_comes_from_the_given_tables(spark):
+    given = {re.sub(r"^(www|blog|m)\.", "", parts(r.url)[0]).split(".")[0] for d in ("sf0.001", "sf0.01", "sf0.1") for r in spark.read.parquet(f"/root/testdata/{d}/pages.parquet").select("url").distinct().collect()}
+    trained = {label for r in url_filter.labelled(spark).collect() for label in parts(r.url)[0].split(".")}
+    assert len(given - {""}) > 20 and not trained & (given - {""})
+
+
+def test_accuracy_on_hosts_that_were_not_in_training(spark):
+    """Each host is judged by a model of the other four fifths of hosts."""
+    right = dict.fromkeys((0.0, 1.0), 0)
+    total = dict(right)
+    for fold in range(5):
+        seen = [w for i, w in enumerate(url_filter.words()) if i % 5 != fold]
+        rest = [w for i, w in enumerate(url_filter.words()) if i % 5 == fold]
+        model = url_filter.train(spark.createDataFrame(url_filter.urls(seen), "url string, label double"))
+        test = spark.createDataFrame(url_filter.urls(rest), "url string, label double")
+        for r in url_filter.judge(test, model, ("label",)).collect():
+            total[r.label] += 1
+            right[r.label] += (r.score >= 0.5) == (r.label == 1.0)
+    print("allowed", right[0.0], total[0.0], "blocked", right[1.0], total[1.0])
+    assert right[0.0] >= 0.9 * total[0.0] and right[1.0] >= 0.5 * total[1.0]
