@@ -4,8 +4,10 @@ The standard library's parser streams events; block elements and line breaks
 end a line.  Every line has the ratio of its text to the tags within it.  The
 ratios are smoothed with a Gaussian over neighbouring lines and split into two
 clusters; the lines of the upper cluster show which region of the page holds
-the content.  All lines of that region are kept, so that a short paragraph
-between long ones stays.
+the content, on every page.  An article or main element is chosen whole where
+it holds at least ``HELD`` of that content, and counts as any other region
+where it doesn't.  All lines of the chosen region are kept, so that a short
+paragraph between long ones stays.
 
 Elements that never hold article text (navigation, headers, footers, asides,
 forms, scripts, styles, and elements whose class, id or role names an advert,
@@ -42,6 +44,8 @@ NAMES = re.compile(
     re.I,
 )
 
+#: The share of content that a chosen region holds at least.
+HELD = 0.8
 SIGMA = 1.5
 RADIUS = 4
 
@@ -163,21 +167,19 @@ def main_text(html: str | None) -> str:
     for (text, _, path), good in zip(lines, content):
         for r in path:
             weight[r] = weight.get(r, 0.0) + (len(text) if good else 0.0)
-    named = [r for r in weight if parser.kinds[r] in ("article", "main") and weight[r] > 0]
-    if named:
-        # whole articles; one that lies in another is already part of it
-        region = set(named)
-    else:
-        # go down while one inner region holds nearly all content
-        at, total = 0, weight[0]
-        while True:
-            inner = {path[path.index(at) + 1] for _, _, path in lines if at in path and path.index(at) + 1 < len(path)}
-            best = max(inner, key=lambda r: (weight[r], -r), default=None)
-            if best is None or weight[best] < 0.8 * total:
-                break
-            at = best
-        region = {at}
-    return "\n".join(t for t, _, path in lines if region.intersection(path))
+    # go down while one inner region holds nearly all content
+    chain, total = [0], weight[0]
+    while True:
+        at = chain[-1]
+        inner = {path[path.index(at) + 1] for _, _, path in lines if at in path and path.index(at) + 1 < len(path)}
+        best = max(inner, key=lambda r: (weight[r], -r), default=None)
+        if best is None or weight[best] < HELD * total:
+            break
+        chain.append(best)
+    # an article or main on the way is kept whole
+    whole = [r for kind in ("article", "main") for r in chain if parser.kinds[r] == kind]
+    region = whole[0] if whole else chain[-1]
+    return "\n".join(t for t, _, path in lines if region in path)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -36,3 +36,24 @@ def test_frame(spark):
     got = sorted((r.page_id, r.n_chars, len(r.text)) for r in extract(df).collect())
     assert got == [(1, 92, 92), (1, 92, 92), (2, 0, 0)] or all(a == b for _, a, b in got)
     assert extract(df.filter("false")).count() == 0
+
+
+def test_teaser_articles_beside_the_body():
+    body = [f"Paragraph {i} of the story with a good number of words in it, so that its ratio is high." for i in range(12)]
+    teaser = f"<article><h3><a href='/x'>Another story</a></h3><p>{'One line of the other story that is long enough to count as content. ' * 2}</p></article>"
+    links = "".join(f"<li><a>{x}</a></li>" for x in "ABCD")
+    page = f"<body><ul>{links}</ul><div class='story'>{''.join(f'<p>{p}</p>' for p in body)}</div><div class='cards'>{teaser}</div></body>"
+    assert main_text(page).split("\n") == body
+
+
+def test_several_articles_that_share_the_content_stay():
+    part = "<p>A paragraph with a good number of words in it, so that its ratio is high.</p>" * 4
+    page = f"<body><div><a>Home</a></div><div><article>{part}</article><article>{part}</article></div></body>"
+    assert len(main_text(page).split("\n")) == 8
+
+
+def test_an_article_that_holds_the_content_is_whole():
+    part = "<p>A paragraph with a good number of words in it, so that its ratio is high.</p>"
+    page = f"<body><main><div><p>Before the article.</p></div><article><h1>Title</h1><div>{part * 6}</div><p>Short.</p></article></main></body>"
+    lines = main_text(page).split("\n")
+    assert lines[0] == "Title" and lines[-1] == "Short." and len(lines) == 8
