@@ -8,6 +8,9 @@ block, and the index holds every value within 4 bits of an item's block.  Found
 verified by the exact similarity of weighted shingles, the sum of smaller
 counts over the sum of larger counts, which must reach 0.8.
 
+A text that is shorter than an item, but long enough to reach the similarity,
+is one window as a whole.
+
 Windows that hold too few shingles of any item to reach that similarity are
 skipped before they are fingerprinted, which loses nothing.  At a similarity
 of exactly 0.8 a window's fingerprint lies beyond the radius with a
@@ -143,28 +146,29 @@ class Index:
             spots = np.flatnonzero(hit[lo:hi])
             cuts = np.flatnonzero(np.diff(spots) > reach)
             for a, b in zip(spots[np.concatenate([[0], cuts + 1])].tolist(), spots[np.concatenate([cuts, [len(spots) - 1]])].tolist()):
-                self._region(sh[lo:hi], hit[lo:hi], max(0, a - reach), min(hi - lo, b + reach + 1), best)
+                self._region(sh[lo:hi], hit[lo:hi], max(0, a - reach), min(hi - lo, b + reach + 1), hi - lo, best)
             out += [(r, i, s, p, len_ + K - 1) for i, (s, p, len_) in sorted(best.items())]
         return out
 
-    def _region(self, sh: np.ndarray, hit: np.ndarray, lo: int, hi: int, best: dict) -> None:
+    def _region(self, sh: np.ndarray, hit: np.ndarray, lo: int, hi: int, whole: int, best: dict) -> None:
         part = sh[lo:hi]
         held = np.concatenate([[0], np.cumsum(hit[lo:hi])])
         votes = None
         for size in self.by_size:
-            if size > len(part):
+            n, need = min(size, len(part)), math.ceil(THRESHOLD * size - 1e-9)
+            if n < need or n < size and n < whole:  # a region is shorter than the item only where the text is
                 continue
-            starts = np.flatnonzero(held[size:] - held[:-size] >= math.ceil(THRESHOLD * size - 1e-9))
+            starts = np.flatnonzero(held[n:] - held[:-n] >= need)
             if not len(starts):
                 continue
             if votes is None:
                 votes = np.zeros((len(part) + 1, 64 * WORDS64), np.int32)
                 np.cumsum(_votes(part), axis=0, out=votes[1:])
-            for w, item in self.near(_prints(votes[starts + size] - votes[starts]), size):
+            for w, item in self.near(_prints(votes[starts + n] - votes[starts]), size):
                 p = int(starts[w])
-                s = self.verify(part[p : p + size], item)
+                s = self.verify(part[p : p + n], item)
                 if s >= THRESHOLD - 1e-9 and (item not in best or s > best[item][0] + 1e-12):
-                    best[item] = (s, lo + p, size)
+                    best[item] = (s, lo + p, n)
 
 
 _indexes: dict[str, Index] = {}

@@ -84,3 +84,30 @@ def test_index_finds_all_within_the_radius(monkeypatch, direct):
     found = set(index.near(prints, size))
     want = {(w, i) for w in range(20) for i in range(20) if int(np.bitwise_count(prints[w] ^ index.prints[i]).sum()) <= decontam.RADIUS}
     assert found == want and {(i, i) for i in range(20)} <= found
+
+
+def test_documents_shorter_than_an_item(spark):
+    """A whole document that is an item less some words matches as one window."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(rng.randint(12, 60)))) for i in range(30)] + [(90, "a b c d e a b c d e a b c d e a b c d e")]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for front, back in ((0, 1), (1, 0), (1, 2), (3, 0), (4, 4), (9, 9)):
+            docs.append((len(docs), " ".join(w[front : len(w) - back])))
+            docs.append((len(docs), " ".join(["other", *w[front : len(w) - back]])))
+    got = {(r.doc_id, r.item_id): r for r in decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want, short = {}, 0
+    for d, text in docs:
+        w = words(text)
+        for i, item in items:
+            q = words(item)
+            n, g = min(len(w), len(q)), grams(q)
+            for p in range(len(w) - n + 1):
+                h = grams(w[p : p + n])
+                s = sum((g & h).values()) / max(1, sum((g | h).values()))
+                if s >= 0.8 - 1e-9 and s > want.get((d, i), 0):
+                    want[d, i] = s
+            short += (d, i) in want and len(w) < len(q)
+    assert {k: round(r.similarity, 9) for k, r in got.items()} == {k: round(s, 9) for k, s in want.items()}
+    assert short > 40 and all(r.n_words <= len(words(docs[d][1])) and r.start_word >= 0 for (d, _), r in got.items())
