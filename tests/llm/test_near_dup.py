@@ -84,3 +84,12 @@ def test_estimate_is_close(spark):
     bits = near_dup.sketch(df, 1).select("doc_id", "bits")
     both = bits.filter("doc_id = 1").select(F.col("bits").alias("x")).crossJoin(bits.filter("doc_id = 2").select(F.col("bits").alias("y")))
     assert abs(both.select(near_dup.estimate("x", "y")).first()[0] - 0.8) < 0.14
+
+
+def test_estimates_rarely_miss_a_pair_at_the_threshold():
+    from math import comb
+
+    n, chance = near_dup.HASHES, 1 / (1 << near_dup.BITS)
+    equal = 0.8 + 0.2 * chance
+    low = [i for i in range(n + 1) if (i / n - chance) / (1 - chance) < 0.8 - near_dup.SLACK]
+    assert sum(comb(n, i) * equal**i * (1 - equal) ** (n - i) for i in low) < 1e-5
