@@ -2,14 +2,16 @@
 
 Layout of a file: data frames, each holding the little-endian unsigned 32-bit
 ids of consecutive documents; one skippable frame with the document index
-(doc_id, frame, first id in the frame, ids; itself compressed); last a
+(doc_id, frame, first id in the frame, ids; itself compressed; the frame of a
+document without an id is stored as -1 - frame, and its doc_id as 0); last a
 skippable frame with the seek table: for each data frame its compressed size,
 decompressed size and the low 32 bits of the XXH64 of its content, then the
 footer (frame count, descriptor, magic number).  Any zstandard decoder reads
 the file as a whole; a reader that wants some documents decompresses only
 their frames and checks each against its sum.
 
-Defined cases: null and empty texts are documents of one end id; repeated
+Defined cases: null and empty texts are documents of one end id; null doc_ids
+come first and stay null; repeated
 doc_ids stay separate documents, next to each other; an empty table gives no
 file and no rows.  Every task attempt writes files of its own name, and only those
 of successful attempts are in the manifest, so a lost executor leaves at most
@@ -61,9 +63,9 @@ class FileWriter:
         self.docs: list[tuple[int, int, int, int]] = []
         self.n_ids = 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        n = len(ids) // 4
-        self.docs.append((doc_id, len(self.frames), self.held_ids, n))
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        n, frame = len(ids) // 4, len(self.frames)
+        self.docs.append((0, -1 - frame, self.held_ids, n) if doc_id is None else (doc_id, frame, self.held_ids, n))
         self.held.append(ids)
         self.held_ids += n
         self.n_ids += n
@@ -122,12 +124,14 @@ class FileReader:
             raise ValueError(f"frame {k} does not match its checksum")
         return raw
 
-    def read(self, doc_ids: set[int] | None = None):
+    def read(self, doc_ids: set[int | None] | None = None):
         """(doc_id, first id in the file, ids) of all documents or those
         asked for; frames without a document asked for are not read."""
         begins = np.concatenate([[0], np.cumsum(self.docs[:, 3])])
         open_frame, raw = -1, b""
         for (doc, k, at, n), start in zip(self.docs.tolist(), begins.tolist()):
+            if k < 0:
+                doc, k = None, -1 - k
             if doc_ids is not None and doc not in doc_ids:
                 continue
             if k != open_frame:
@@ -157,7 +161,7 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
         def close():
             writer.finish()
             out.close()
-            return pa.RecordBatch.from_pylist([{"path": name, "first_doc": writer.docs[0][0], "n_docs": len(writer.docs), "n_ids": writer.n_ids}])
+            return pa.RecordBatch.from_pylist([{"path": name, "first_doc": None if writer.docs[0][1] < 0 else writer.docs[0][0], "n_docs": len(writer.docs), "n_ids": writer.n_ids}])
 
         for batch in batches:
             for lo, n in row_slices(batch.column(1)):
@@ -177,7 +181,7 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
         if writer is not None:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return cut(ordered.mapInArrow(run, MANIFEST))
 
@@ -217,7 +221,7 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
 def with_starts(manifest: DataFrame) -> DataFrame:
     """Add ``base``, the number of ids in all earlier files.  One row per file
     of some 128 MB; the running sum is over those few rows."""
-    before = Window.orderBy("first_doc", "path").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.asc_nulls_first("first_doc"), "path").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 

@@ -154,3 +154,13 @@ def test_reader_opens_only_wanted_frames_and_checks_them():
     bad[12] ^= 0xFF
     with pytest.raises(Exception):
         list(token_files.FileReader(io.BytesIO(bytes(bad))).read())
+
+
+def test_documents_without_an_id_are_kept_first(spark):
+    from lotlight.llm import token_files
+
+    rows = [(3, "three words here"), (None, "no id"), (-5, "minus"), (None, None), (0, "zero")]
+    got = token_files.write_and_read(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -5, 0, 3]
+    assert [r.start for r in got] == [sum(g.n_tokens for g in got[:i]) for i in range(5)] and min(r.n_tokens for r in got) == 1
