@@ -1,9 +1,11 @@
 """Token ids of whole texts with the ``tokenizers`` library.
 
 Random-looking words make the library's own cache useless, so ids are kept
-by white-space separated chunk (for vocabularies whose pre-tokenizer never
-spans white space, which is checked) and only chunks not seen before go to the
-library.  Caches are cleared beyond a fixed number of entries.
+by chunk between ASCII white space (for vocabularies whose pre-tokenizer never
+spans white space, which is checked) and only chunks not kept go to the
+library.  The cache is a set of arrays: chunks are found by a 64-bit hash in a
+sorted array and compared byte by byte.  It has a fixed number of entries and
+of bytes; beyond either, the least used half goes.
 """
 
 from __future__ import annotations
@@ -14,9 +16,14 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
-#: Entries of each cache before it is cleared.
-CACHE = 250_000
+from .words import split, text_bytes
+
+#: Entries and bytes (of chunks and ids) of the cache before half of it goes.
+CACHE, CACHE_BYTES = 600_000, 24 << 20
+#: Entries of the dictionary of parts of chunks before it is cleared.
+PARTS = 150_000
 
 #: Fixed value: the pre-tokenizer's pattern for which encoding by chunk holds.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -24,8 +31,6 @@ SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same pattern for chunks of printable ASCII and plain Latin letters.
 _part = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-ž]+|[0-9]|[^a-z\xdf-\xf6\xf8-ž0-9]+")
 _plain = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ž]+")
-_odd_space = re.compile(r"[\x1c-\x1f]")
-_END = "end of text"
 
 
 def _byte_table() -> dict[int, str]:
@@ -35,8 +40,63 @@ def _byte_table() -> dict[int, str]:
     return {c: "".join(moved.get(b, chr(b)) for b in chr(c).encode()) for c in range(0x80, 0x180)}
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of all spans, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Chunks:
+    """Ids of chunks by their bytes, held in flat arrays."""
+
+    def __init__(self):
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.raw, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        # first byte, bytes, first id, ids and uses of each slot
+        self.facts = np.zeros((0, 5), np.int32)
+
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Slot of each chunk (given by hash, place and size in ``data``), or -1."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        found = np.full(len(keys), -1, dtype=np.int64)
+        if not len(self.keys):
+            return found
+        hit = np.flatnonzero(self.keys[at] == keys)
+        slot = self.slot[at[hit]]
+        hit, slot = hit[self.facts[slot, 1] == sizes[hit]], slot[self.facts[slot, 1] == sizes[hit]]
+        n = sizes[hit]
+        differ = self.raw[spans(self.facts[slot, 0].astype(np.int64), n)] != data[spans(starts[hit], n)]
+        bad = np.zeros(len(hit), dtype=bool)
+        bad[np.repeat(np.arange(len(hit)), n)[differ]] = True
+        found[hit[~bad]] = slot[~bad]
+        self.facts[slot, 4] += 1
+        return found
+
+    def add(self, keys: np.ndarray, raw: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Keep new chunks, given in order of their keys; their slots."""
+        slots = len(self.facts) + np.arange(len(keys))
+        columns = [len(self.raw) + np.cumsum(sizes) - sizes, sizes, len(self.ids) + np.cumsum(counts) - counts, counts, np.ones(len(keys))]
+        self.facts = np.concatenate([self.facts, np.stack(columns, axis=1).astype(np.int32)])
+        self.raw, self.ids = np.concatenate([self.raw, raw]), np.concatenate([self.ids, ids])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, slots)
+        return slots
+
+    def shrink(self) -> None:
+        """Keep the more used half once there are too many entries or bytes."""
+        if len(self.keys) <= CACHE and len(self.raw) + 4 * len(self.ids) <= CACHE_BYTES:
+            return
+        uses = self.facts[self.slot, 4]
+        kept = np.sort(np.argsort(-uses, kind="stable")[: len(uses) // 2])
+        old = self.facts[self.slot[kept]].astype(np.int64)
+        keys = self.keys[kept]
+        raw, ids = self.raw[spans(old[:, 0], old[:, 1])], self.ids[spans(old[:, 2], old[:, 3])]
+        self.__init__()
+        self.add(keys, raw, old[:, 1], ids, old[:, 3])
+
+
 class Encoder:
-    """Encodes lists of texts; ``end_id`` follows each text if given."""
+    """Encodes columns of texts; ``end_id`` follows each text if given."""
 
     def __init__(self, path: str, end_id: int | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,93 +104,68 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.end_id = end_id
+        self.end = [] if end_id is None else [end_id]
         spec = json.loads(self.tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
         parts = pre.get("pretokenizers") or [pre]
         self.by_chunk = parts[0].get("type") == "Split" and parts[0]["pattern"].get("Regex") == SPLIT_PATTERN and parts[0].get("invert")
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.table = _byte_table()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.chunks: dict[str, int] = {}
+        self.chunks = Chunks()
         self.parts: dict[str, array] = {}
-        self.pool = np.empty(1 << 20, dtype=np.uint32)
-        self.used = 0
-        self.offset = np.empty(1 << 18, dtype=np.int64)
-        self.length = np.empty(1 << 18, dtype=np.int64)
-        end = [] if self.end_id is None else [self.end_id]
-        self._add([_END], end, [len(end)])
-
-    def _add(self, chunks: list[str], ids: list[int], lengths: list[int]) -> None:
-        """Keep the ids of new chunks; ``ids`` has them one after another."""
-        k, n = len(self.chunks), len(ids)
-        while k + len(chunks) > len(self.offset):
-            self.offset = np.concatenate([self.offset, np.empty_like(self.offset)])
-            self.length = np.concatenate([self.length, np.empty_like(self.length)])
-        while self.used + n > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        self.pool[self.used : self.used + n] = ids
-        size = np.array(lengths, dtype=np.int64)
-        self.length[k : k + len(chunks)] = size
-        self.offset[k : k + len(chunks)] = self.used + np.cumsum(size) - size
-        self.used += n
-        self.chunks.update(zip(chunks, range(k, k + len(chunks))))
-
-    def _learn(self, missing: set[str]) -> None:
+
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after another, and the number of each."""
         tokenize, parts, plain, find, table = self.tok.model.tokenize, self.parts, _plain.fullmatch, _part.findall, self.table
-        if len(parts) > CACHE:
+        if len(parts) > PARTS:
             parts.clear()
-        known: list[str] = []
-        whole: list[str] = []
-        ids: list[int] = []
-        lengths: list[int] = []
-        for chunk in missing:
-            if plain(chunk) is None or "<|" in chunk:
-                whole.append(chunk)
-                continue
+        whole = [c for c in chunks if plain(c) is None or "<|" in c]
+        by_library = dict(zip(whole, (e.ids for e in self.tok.encode_batch_fast(whole, add_special_tokens=False))))
+        ids = array("I")
+        counts = np.empty(len(chunks), dtype=np.int64)
+        for i, chunk in enumerate(chunks):
             before = len(ids)
-            for part in find(chunk.lower()):
-                got = parts.get(part)
-                if got is None:
-                    got = parts[part] = array("I", [t.id for t in tokenize(part if part.isascii() else part.translate(table))])
-                ids += got
-            known.append(chunk)
-            lengths.append(len(ids) - before)
-        for chunk, e in zip(whole, self.tok.encode_batch_fast(whole, add_special_tokens=False)):
-            known.append(chunk)
-            ids += e.ids
-            lengths.append(len(e.ids))
-        self._add(known, ids, lengths)
-
-    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        end = [] if self.end_id is None else [self.end_id]
-        ids = [e.ids + end for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            if chunk in by_library:
+                ids.extend(by_library[chunk])
+            else:
+                for part in find(chunk.lower()):
+                    got = parts.get(part)
+                    if got is None:
+                        got = parts[part] = array("I", [t.id for t in tokenize(part if part.isascii() else part.translate(table))])
+                    ids += got
+            counts[i] = len(ids) - before
+        return np.array(ids, dtype=np.uint32), counts
+
+    def _whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = [t or "" for t in column.to_pylist()]
+        ids = [e.ids + self.end for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter((i for x in ids for i in x), np.uint32), np.array([len(x) for x in ids], np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another (uint32), and the number of each text."""
-        if not texts:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(column):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if not self.by_chunk or any(_odd_space.search(t) for t in texts):
-            return self._whole(texts)
-        chunks: list[str] = []
-        ends = np.empty(len(texts), dtype=np.int64)
-        for i, t in enumerate(texts):
-            chunks += t.split()
-            chunks.append(_END)
-            ends[i] = len(chunks)
-        if len(self.chunks) > CACHE:
-            self._clear()
-        missing = set(chunks) - self.chunks.keys()
-        if missing:
-            self._learn(missing)
-        at = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
-        n = self.length[at]
-        total = np.cumsum(n)
-        where = np.repeat(self.offset[at] - (total - n), n) + np.arange(total[-1])
-        return self.pool[where], np.diff(total[ends - 1], prepend=0)
+        words = split(*text_bytes(column), lower=False)
+        keys, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        size = words.ends - words.starts
+        like = first[which]
+        if not self.by_chunk or (size != size[like]).any() or (words.data[spans(words.starts, size)] != words.data[spans(words.starts[like], size)]).any():
+            return self._whole(column)  # also where two chunks share a hash
+        self.chunks.shrink()
+        slot = self.chunks.find(keys, words.data, words.starts[first], size[first])
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            starts, sizes = words.starts[first[new]], size[first[new]]
+            raw = words.data[spans(starts, sizes)]
+            joined, cut = raw.tobytes(), np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            ids, counts = self._learn([joined[a:b].decode() for a, b in zip(cut, cut[1:])])
+            slot[new] = self.chunks.add(keys[new], raw, sizes, ids, counts)
+        facts = self.chunks.facts[slot[which]].astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(facts[:, 3])])[words.first]  # ids of words before each row
+        out = self.chunks.ids[spans(facts[:, 2], facts[:, 3])]
+        if self.end:
+            out = np.insert(out, before[1:], self.end[0])
+        return out, np.diff(before) + len(self.end)
 
 
 _encoders: dict[tuple, Encoder] = {}

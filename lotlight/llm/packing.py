@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, max_len: int = MAX_LE
         for batch in batches:
             for lo, n in row_slices(batch.column(1)):
                 part = batch.slice(lo, n)
-                ids, count = enc.encode([t or "" for t in part.column(1).to_pylist()])
+                ids, count = enc.encode(part.column(1))
                 per = -(-count // max_len)
                 doc = np.repeat(np.arange(n), per)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)

@@ -166,7 +166,7 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
         for batch in batches:
             for lo, n in row_slices(batch.column(1)):
                 part = batch.slice(lo, n)
-                ids, count = enc.encode([t or "" for t in part.column(1).to_pylist()])
+                ids, count = enc.encode(part.column(1))
                 raw, at = ids.astype("<u4").tobytes(), 0
                 for doc, m in zip(part.column(0).to_pylist(), (count * 4).tolist()):
                     if writer is None:
