@@ -13,9 +13,12 @@ Elements that never hold article text (navigation, headers, footers, asides,
 forms, scripts, styles, and elements whose class, id or role names an advert,
 sidebar, notice, comment and the like) are left out before.
 
+Inline elements, also those left out, never end a line.
+
 Defined cases: null, empty or tag-only html gives an empty text; text
 without any markup is one line; unclosed elements end with the element around
-them; repeated rows are extracted alike; other columns are ignored.
+them, an unclosed comment with the page; marked sections and unknown declarations are comments; very
+long pages are read whole; repeated rows are extracted alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ NAMES = re.compile(
 
 #: The share of content that a chosen region holds at least.
 HELD = 0.8
+#: Clusters whose means are closer than this factor are one.
+APART = 2.0
 SIGMA = 1.5
 RADIUS = 4
 
@@ -55,6 +60,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.ending = False
         self.open: list[tuple[str, bool]] = []
         self.regions: list[tuple[int, int]] = [(0, 0)]  # (depth in open, id)
         self.made = 0
@@ -71,12 +77,12 @@ class Lines(HTMLParser):
         self.text, self.tags = [], 0
 
     def handle_starttag(self, tag, attrs):
+        if tag in BLOCKS:
+            self.line_end()
         if tag in ENDS_P and any(t == "p" for t, _ in self.open) and tag != "li":
             self._close("p")
         if tag == "li" and self.open and self.open[-1][0] == "li":
             self._close("li")
-        if tag in BLOCKS:
-            self.line_end()
         self.tags += 1
         if tag in VOID:
             return
@@ -96,23 +102,38 @@ class Lines(HTMLParser):
         self.tags += 1
 
     def handle_endtag(self, tag):
-        if tag in BLOCKS or tag in DROPPED:
+        if tag in BLOCKS:
             self.line_end()
         self.tags += 1
         self._close(tag)
 
     def _close(self, tag: str) -> None:
+        """End the innermost open element of this name and all within it; an
+        inline end tag doesn't reach beyond the block it stands in."""
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.line_end()
+            name = self.open[i][0]
+            if name == tag:
                 self.dropped -= sum(g for _, g in self.open[i:])
                 del self.open[i:]
                 while self.regions and self.regions[-1][0] > i:
                     self.regions.pop()
                 return
-            if tag == "p" and self.open[i][0] in REGIONS:
+            if name in (REGIONS if tag == "p" else BLOCKS) and (tag == "p" or tag not in BLOCKS):
                 return
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section, of whatever name, is a comment up to the next ``>``."""
+        return self.parse_bogus_comment(i)
+
+    def parse_comment(self, i, report=1):
+        """A comment that nothing ends reaches to the end of the page."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 and self.ending else end
+
+    def close(self):
+        self.ending = True
+        super().close()
+
     def handle_data(self, data):
         if not self.dropped:
             self.text.append(data)
@@ -161,6 +182,9 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = smoothed([len(t) / max(1, tags) for t, tags, _ in lines])
     edge = threshold(ratios)
+    low, high = [r for r in ratios if r < edge], [r for r in ratios if r >= edge]
+    if low and sum(high) * len(low) < APART * sum(low) * len(high):
+        edge = 0.0  # one kind of lines only
     content = [r >= edge for r in ratios]
     # the text of content lines below each region
     weight: dict[int, float] = {}

@@ -14,7 +14,10 @@ def test_article_only():
     assert main_text(PAGE) == 'Title & more\nFirst words here.\nSecond paragraph with quite some text, "quoted" é.\nShort.'
 
 
-@pytest.mark.parametrize("html,want", [(None, ""), ("", ""), ("<p></p>", ""), ("just text", "just text"), ("<div>a<p>b", "a\nb"), ("<p>x &am</p>", "x &am"), ("<article><p>in<article><p>deep</article></article>", "in\ndeep")])
+@pytest.mark.parametrize("html,want", [(None, ""), ("", ""), ("<p></p>", ""), ("just text", "just text"), ("<div>a<p>b", "a\nb"), ("<p>x &am</p>", "x &am"), ("<article><p>in<article><p>deep</article></article>", "in\ndeep"),
+    ("<p>Hello <b>bold</b> world again</p>", "Hello bold world again"), ("<p>Second <a href='x'>link</a>, text</p>", "Second link, text"), ("<p>Hello <script>x</script>world</p>", "Hello world"),
+    ("<p>one <span class='ad'>buy</span>two</p>", "one two"), ("<p>a<![foo[ b ]]></p>", "a"), ("<p>a <!-- never closed <p>b", "a"), ("<p>a</p><!weird b><p>c", "a\nc"), ("<p><b>x<br><p>y</b> z</p>", "x\ny z"),
+    ("<article><p>first</p></article><article><p>teaser two</p></article>", "first\nteaser two"), ("<p>a</p></div></b><p>b</p>", "a\nb")])
 def test_defined_cases(html, want):
     assert main_text(html) == want
 
@@ -57,3 +60,25 @@ def test_an_article_that_holds_the_content_is_whole():
     page = f"<body><main><div><p>Before the article.</p></div><article><h1>Title</h1><div>{part * 6}</div><p>Short.</p></article></main></body>"
     lines = main_text(page).split("\n")
     assert lines[0] == "Title" and lines[-1] == "Short." and len(lines) == 8
+
+
+def test_ratios_decide_on_pages_with_an_article():
+    good = "".join(f"<p>Paragraph {i} of the story has a good number of words in it, so its ratio is high.</p>" for i in range(8))
+    links = "".join(f"<p><a href='/{i}'>Go</a> <a href='/{i}'>to</a></p>" for i in range(30))
+    page = f"<body><article>{links}</article><div>{good}</div></body>"
+    assert main_text(page).split("\n")[0].startswith("Paragraph 0")
+    other = f"<body><article>{good}</article><div>{links}</div></body>"
+    assert len(main_text(other).split("\n")) == 8
+
+
+def test_broken_pages_never_raise():
+    import random
+
+    rng = random.Random(5)
+    bits = ["<p>", "</p>", "<div", ">", "<b>", "</b>", "<!--", "-->", "<![x[", "]]>", "<!DOCTYPE", "<?php ", "&#", "&amp", "&#xFFFFFFFF;", "<script>", "</script", "<li>", "</ul>", "text ", "<article>", "</article>", "<", "'", '"', "=", "<td>", "\x00", "<a href='", "<svg/>", "<!", "</", "<textarea>", "<!ELEMENT a [", "<title>"]
+    for _ in range(1000):
+        assert isinstance(main_text("".join(rng.choice(bits) for _ in range(rng.randint(1, 40)))), str)
+
+
+def test_very_long_page():
+    assert main_text("<p>" + "word " * 400_000 + "</p>" + "<div>" * 3000 + "<p>" + "tail " * 50) .count("word") == 400_000
