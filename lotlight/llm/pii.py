@@ -1,8 +1,11 @@
 """Personal data replaced by surrogates, in SQL expressions only.
 
-Detected are e-mail addresses, IPv4 addresses, telephone and identity numbers,
-card and account numbers, secret keys in hex, and personal names (a known
-first name and a capitalised family name, in Latin or Cyrillic script).
+Detected are e-mail addresses, IPv4 and IPv6 addresses, international account
+numbers (IBAN), telephone and identity numbers, card and account numbers, secret
+keys in hex, and personal names (a known first name and a family name, both
+capitalised or both in capitals, in Latin or Cyrillic script).  A family name
+that stands alone in a text that has it in a full name follows that name (the
+first one, if several share it).
 
 A surrogate is derived from a keyed hash of the kind and the canonical form
 of an entity, so the same entity gets the same surrogate everywhere, also in
@@ -17,8 +20,10 @@ entity, draws again until all are distinct.  Few entities ever draw again;
 only documents that hold one of them are joined with its draw.
 
 Defined cases: null texts stay null, texts without entities stay as they are;
-an empty key is refused; repeated rows get equal surrogates; all other columns
-pass through unchanged, whatever their names.
+an empty key is refused; repeated rows get equal surrogates; rows with a null doc_id
+are treated like any other; texts of any length are read whole, and no pattern
+recurses deeper than a fixed bound; all other columns pass through unchanged,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small_join
 
 #: First names by script and gender.
 NAMES = {
@@ -40,19 +45,24 @@ SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se ta".split(),
     "cyrillic": "ба бе бо ва ве во га го да де до за зо ка ко ла ле ло ма ме мо на не но па по ра ре ро са та то".split(),
 }
-ENDINGS = {("latin", "f"): "rson", ("latin", "m"): "rson", ("cyrillic", "f"): "рова", ("cyrillic", "m"): "ров"}
+_latin = "rson ley man ton field ner well der".split()
+ENDINGS = {("latin", "f"): _latin, ("latin", "m"): _latin, ("cyrillic", "f"): "рова лина нева това".split(), ("cyrillic", "m"): "ров лин нев тов".split()}
 
 _all_names = "|".join(n for names in NAMES.values() for n in names)
 _cap = r"(?=[A-ZА-ЯЁ])"
+_edge, _end = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+_group = "[0-9A-Fa-f]{1,4}"
 #: The kinds, in order of precedence, and their patterns.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}",
+    "iban": rf"{_edge}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,6}} ?[A-Z0-9]{{1,4}}{_end}",
+    "ip6": rf"(?<![0-9A-Za-z:.])(?:(?:{_group}:){{7}}{_group}|(?=[0-9A-Fa-f:]{{0,30}}[0-9])(?:{_group}:){{1,6}}(?::{_group}){{1,6}})(?![0-9A-Za-z:]|\.[0-9])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "name": rf"(?<![\p{{L}}\p{{N}}]){_cap}(?:{_all_names}) \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?(?![\p{{L}}\p{{N}}])",
+    "name": rf"{_edge}{_cap}(?:(?:{_all_names}) \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?|(?:{_all_names.upper()}) \p{{Lu}}{{2,}}+(?:-\p{{Lu}}{{2,}}+)?){_end}",
 }
 PATTERN = "|".join(KINDS.values())
 ROUNDS = 20
@@ -63,7 +73,9 @@ def kind(match: Column) -> Column:
     return (
         F.when(match.contains("@"), "email")
         .when(match.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"), "secret")
+        .when(match.rlike("^[0-9A-Fa-f]{1,4}:"), "ip6")
         .when(match.rlike(rf"^{KINDS['ip']}$"), "ip")
+        .when(match.rlike("^[A-Z]{2}[0-9]{2}"), "iban")
         .when(match.rlike(rf"^{KINDS['card']}$"), "card")
         .when(match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "identity")
         .when(match.rlike("^[+(0-9]"), "phone")
@@ -79,6 +91,8 @@ def canonical(match: Column, k: Column) -> Column:
     """Kind and the form in which two writings of an entity are equal."""
     form = (
         F.when(k.isin("card", "identity"), digits(match))
+        .when(k == "iban", F.regexp_replace(match, " ", ""))
+        .when(k == "ip6", F.lower(match))
         .when(k == "phone", F.when(F.length(digits(match)) > 10, digits(match)).otherwise(F.concat(F.lit("1"), digits(match))))
         .when(k.isin("email", "secret", "name"), F.lower(match))
         .otherwise(match)
@@ -103,15 +117,36 @@ def _stream(hex_text: Column, alphabet: str) -> Column:
     return F.array_join(F.transform(at, lambda x: F.substring(F.lit(alphabet), x + 1, F.lit(1))), "")
 
 
-def _fill_digits(text: Column, new: Column) -> Column:
-    """``text`` with its digits replaced, in order, by those of ``new``."""
+def _fill(text: Column, new: Column, places: str) -> Column:
+    """``text`` with its characters in ``places`` replaced, in order, by those of ``new``."""
     start = F.struct(F.lit("").alias("o"), F.lit(1).alias("k"))
-    step = lambda s, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(s["o"], F.substring(new, s["k"], F.lit(1))).alias("o"), (s["k"] + 1).alias("k"))).otherwise(
+    step = lambda s, c: F.when(c.rlike(f"^[{places}]$"), F.struct(F.concat(s["o"], F.substring(new, s["k"], F.lit(1))).alias("o"), (s["k"] + 1).alias("k"))).otherwise(
         F.struct(F.concat(s["o"], c).alias("o"), s["k"].alias("k"))
     )
     return F.aggregate(F.split(text, ""), start, step)["o"]
 
 
+def _fill_digits(text: Column, new: Column) -> Column:
+    return _fill(text, new, "0-9")
+
+
+def _iban(match: Column, number: Column, letters: Column) -> Column:
+    """Country, letters' and digits' places stay; the check digits are right if they were."""
+    own = F.regexp_replace(match, " ", "")
+    body = _fill(_fill_digits(F.substring(own, F.lit(5), F.length(own)), number), F.upper(letters), "A-Z")
+
+    def rest(number: Column) -> Column:  # of the division by 97, letters being 10 to 35
+        value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        return F.aggregate(F.split(number, ""), F.lit(0), lambda a, c: (a * F.when(value(c) < 10, 10).otherwise(100) + value(c)) % 97)
+
+    country = F.substring(own, 1, 2)
+    check = 98 - rest(F.concat(body, country, F.lit("00")))
+    good = rest(F.concat(F.substring(own, F.lit(5), F.length(own)), F.substring(own, 1, 4))) == 1
+    check = F.lpad(F.when(good, check).otherwise(check % 97 + 1).cast("string"), 2, "0")
+    new = F.concat(country, check, body)
+    return _fill(match, new, "A-Z0-9")
+
+
 def _luhn(number: Column) -> Column:
     """Sum of the Luhn check, modulo 10."""
     turned = F.split(F.reverse(number), "")
@@ -136,12 +171,12 @@ def _pick(values: list[str], at: Column) -> Column:
 
 
 def _name(match: Column, h: Column) -> Column:
-    first = F.split(match, " ")[0]
+    first = F.initcap(F.split(match, " ")[0])
     out = F.lit(None).cast("string")
     for (script, gender), names in NAMES.items():
-        family = F.initcap(F.concat(*[_pick(SYLLABLES[script], _number(h, 13 + 12 * i, len(SYLLABLES[script]))) for i in range(4)], F.lit(ENDINGS[script, gender])))
+        family = F.initcap(F.concat(*[_pick(SYLLABLES[script], _number(h, 13 + 12 * i, len(SYLLABLES[script]))) for i in range(3)], _pick(ENDINGS[script, gender], _number(h, 49, len(ENDINGS[script, gender])))))
         out = F.when(first.isin(names), F.concat_ws(" ", _pick(names, _number(h, 1, len(names))), family)).otherwise(out)
-    return out
+    return F.when((F.upper(match) == match) & (F.lower(match) != match), F.upper(out)).otherwise(out)
 
 
 def _email(match: Column, number: Column, letters: Column, domain_hash: Column) -> Column:
@@ -200,8 +235,8 @@ def with_surrogates(df: DataFrame, key: str, draw) -> DataFrame:
         email = e["k"] == "email"
         return F.struct(
             e["m"].alias("m"), e["k"].alias("k"), e["h"].alias("h"),
-            F.when(e["k"].isin("email", "card", "identity", "phone"), _stream(e["h"], "0123456789")).alias("n"),
-            F.when(email, _stream(F.reverse(e["h"]), LETTERS)).alias("l"),
+            F.when(e["k"].isin("email", "card", "identity", "phone", "iban"), _stream(e["h"], "0123456789")).alias("n"),
+            F.when(email | (e["k"] == "iban"), _stream(F.reverse(e["h"]), LETTERS)).alias("l"),
             F.when(email, _hash(key, F.concat_ws(us, F.lit("domain"), F.lower(F.substring_index(e["m"], "@", -1))))).alias("d"),
         )
 
@@ -212,6 +247,8 @@ def with_surrogates(df: DataFrame, key: str, draw) -> DataFrame:
             F.when(k == "email", _email(m, n, e["l"], e["d"]))
             .when(k == "secret", _secret(m, key, h))
             .when(k == "ip", ip)
+            .when(k == "ip6", F.when(F.upper(m) == m, F.upper(_fill(m, h, "0-9A-Fa-f"))).otherwise(_fill(m, h, "0-9A-Fa-f")))
+            .when(k == "iban", _iban(m, n, e["l"]))
             .when(k == "card", _card(m, n))
             .when(k == "identity", _fill_digits(m, n))
             .when(k == "phone", _phone(m, n))
@@ -230,6 +267,14 @@ def _form(match: Column) -> Column:
     return canonical(match, kind(match))
 
 
+def _lone_names(piece: Column, old: Column, new: Column) -> Column:
+    """A stretch of text between entities, the family names of ``old`` in it
+    replaced by those of ``new``; one pattern holds all of them."""
+    pattern = F.concat(F.lit(_edge + "(?:"), F.array_join(F.transform(old, lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|"), F.lit(")" + _end))
+    alone = F.transform(F.regexp_extract_all(piece, pattern, F.lit(0)), lambda n: F.element_at(new, F.array_position(old, n).cast("int")))
+    return F.array_join(F.zip_with(F.split(piece, pattern, -1), alone, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def draws(docs: DataFrame, key: str) -> DataFrame:
     """form and draw of the entities whose first surrogate collides.
 
@@ -247,7 +292,7 @@ def draws(docs: DataFrame, key: str) -> DataFrame:
         rows = tried.select("new", "form") if settled is None else tried.select("new", "form").unionByName(settled.select("new", F.lit("").alias("form")))
         first = rows.groupBy("new").agg(F.min("form").alias("winner"), F.count("*").alias("n")).filter("n > 1")
         real = forms.select(F.col("form").alias("new"), F.lit(True).alias("real"))
-        judged = tried.join(first, "new", "left").join(real, "new", "left")
+        judged = tried.join(first.hint("merge"), "new", "left").join(real.hint("merge"), "new", "left")
         lost = F.coalesce("real", F.lit(False)) | F.coalesce(F.col("winner") != F.col("form"), F.lit(False))
         judged = cut(judged.select("form", "match", "draw", "new", lost.alias("lost")))
         good = judged.filter("not lost").select("form", "draw", "new")
@@ -266,15 +311,22 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
         raise ValueError("surrogates need a key")
     again = cut(draws(docs, key))
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("_row"), F.col("text").alias("_text"), F.col("doc_id").alias("_id"))
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc")
+    rows = docs.select(F.struct(*names).alias("_row"), F.col("text").alias("_text"), doc)
     marked, draw = rows.withColumn("_m", found("_text")), lambda f: F.lit(0)
     if again.take(1):
         # documents that hold an entity with a later draw carry these draws along
-        holders = docs.select(F.col("doc_id").alias("_doc"), F.explode(found()).alias("match")).select("_doc", _form(F.col("match")).alias("form")).distinct()
-        held = holders.join(again, "form").groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("form", "draw"))).alias("_draws"))
-        marked = marked.join(held, F.col("_id") == F.col("_doc"), "left")
+        holders = docs.select(doc, F.explode(found()).alias("match")).select("_doc", _form(F.col("match")).alias("form")).distinct()
+        held = cut(holders.join(again.hint("merge"), "form").groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("form", "draw"))).alias("_draws")))
+        marked = small_join(marked, held, ["_doc"], held.count(), how="left")
         draw = lambda f: F.coalesce(F.element_at("_draws", f), F.lit(0))
-    done = with_surrogates(marked, key, draw)
+    done = with_surrogates(marked.withColumn("_old", F.col("_m")), key, draw)
+    # old and new family names of the text's full names; the first of equal ones counts
+    last = lambda m: F.substring_index(m, " ", -1)
+    both = F.filter(F.zip_with("_old", "_new", lambda o, n: F.when(kind(o) == "name", F.struct(last(o).alias("old"), last(n).alias("new")))), lambda p: p.isNotNull())
+    done = done.withColumn("_names", both).withColumn("_family", F.array_distinct(F.col("_names.old")))
+    done = done.withColumn("_instead", F.transform("_family", lambda n: F.element_at(F.col("_names.new"), F.array_position(F.col("_names.old"), n).cast("int"))))
     pieces = F.split(F.col("_text"), PATTERN, -1)
+    pieces = F.when(F.size("_family") > 0, F.transform(pieces, lambda p: _lone_names(p, F.col("_family"), F.col("_instead")))).otherwise(pieces)
     text = F.when(F.size("_new") > 0, F.array_join(F.zip_with(pieces, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col("_text"))
     return done.select(*[text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in names])

@@ -73,3 +73,38 @@ def test_native_empty_and_key(spark):
 
     with pytest.raises(ValueError):
         pii.replace(df, "")
+
+
+def test_lone_family_names_capitals_and_ties(spark):
+    rows = [(1, "MARY MILLER wrote. Mary Miller again, and Miller's reply; Millers stay, Miller too. mary miller"), (2, "Miller alone is no name here."), (3, "Mary Miller and John Miller: Miller")]
+    got = {d: r.text for d, r in run(spark, rows).items()}
+    high, new = re.match(r"(\w+ \w+) wrote\. (\w+ \w+) again", got[1]).groups()
+    family = new.split()[1]
+    assert high == new.upper() and f"and {family}'s reply; Millers stay, {family} too. mary miller" in got[1]
+    assert got[2] == rows[1][1] and got[3].startswith(new) and got[3].endswith(f": {family}")
+
+
+def test_ip6_and_iban(spark):
+    rows = [(1, "at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 or fe80::1, 12:30:45, std::vector, a::b"), (2, "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432; DE00370400440532013000.")]
+    got = {d: r.text for d, r in run(spark, rows).items()}
+    a, b = re.match(r"at (\S+) or (\S+), 12:30:45, std::vector, a::b$", got[1]).groups()
+    assert re.fullmatch(r"([0-9a-f]{4}:){7}[0-9a-f]{4}", a) and a != rows[0][1].split()[1] and re.fullmatch(r"[0-9a-f]{4}::[0-9a-f]", b)
+    rest = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    de, gb, wrong = re.match(r"IBAN (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) and (GB\d\d[A-Z]{4}\d{14}); (DE\d{20})\.$", got[2]).groups()
+    assert rest(de.replace(" ", "")) == 1 == rest(gb) and rest(wrong) != 1 and "3704" not in de[5:9] and "WEST" not in gb
+
+
+def test_megabyte_runs_of_every_kind(spark):
+    n = 1 << 20
+    runs = ["x@" + "a." * (n // 2) + "com", "a" * n + "@b.c", "x@" + "y" * n, "x@" + "a-" * (n // 2) + ".de", "1" * n, "+1" + " 23" * (n // 3), "(12) " * (n // 5), "1." * (n // 2), "f" * n, "a:" * (n // 2), "::" * (n // 2),
+            "DE89" + " 1234" * (n // 5), "DE89" + "A" * n, "Mary " + "M" + "i" * n, "MARY " + "M" * n, "Mary Miller " * (n // 12), "4111 " * (n // 5), "1-" * (n // 2)]
+    got = run(spark, list(enumerate(runs)))
+    assert len(got) == len(runs) and got[2].text == runs[2] and "Miller" not in got[15].text
+
+
+def test_null_ids_draw_again_as_others(spark, monkeypatch):
+    small = lambda h, place, below: F.pmod(F.conv(F.substring(h, place, 12), 16, 10).cast("long"), F.lit(3))
+    monkeypatch.setattr(pii, "_number", small)
+    df = spark.createDataFrame([(None, f"host 10.0.0.{i + 1}") for i in range(30)], "doc_id long, text string")
+    got = [r.text for r in pii.replace(df, KEY).collect()]
+    assert len(set(got)) == 30
