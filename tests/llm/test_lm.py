@@ -74,18 +74,91 @@ def test_predictive_probabilities_sum_to_one():
     assert 0 < p.sum() + end < 1
 
 
-def test_facts_round_trip():
-    rng = np.random.default_rng(3)
-    counts = rng.integers(0, 3, size=(50, lm.CONTEXTS)) * (rng.random((50, lm.CONTEXTS)) < 0.3)
-    counts[:, 0] += counts.sum(axis=1) == 0
-    word, kind = np.nonzero(counts)
-    p, chance = rng.random(50).astype("<f4"), rng.random(len(word)).astype("<f4")
-    packed = lm.pack_facts(p, counts.sum(axis=1), word, kind, chance)
-    for lo, hi in ((0, 50), (7, 30)):
-        got = lm.unpack_facts(packed.slice(lo, hi - lo))
-        inside = (word >= lo) & (word < hi)
-        want = (p[lo:hi], counts.sum(axis=1)[lo:hi], word[inside] - lo, kind[inside], chance[inside])
-        assert all(np.array_equal(a, b) for a, b in zip(got, want))
+def test_packed_columns_round_trip():
+    for v in ([], [0], [1, 255, 256, 2**40, 7], list(range(1000))):
+        assert lm.unpack(lm.pack(np.array(v, np.int64))).tolist() == v
+    assert lm.unpack_rising(lm.pack_rising(np.array([3, 3, 9, 2**33]))).tolist() == [3, 3, 9, 2**33]
+    words = lm._word_table(pa.array(["b", "", "été", "a"]))
+    back = lm.unpack_words(*[[x] for x in lm.pack_words(words, np.array([2, 1, 0]))])
+    assert [back.data.tobytes()[a:b].decode() for a, b in zip(back.starts, back.ends)] == ["été", "", "b"]
+    assert back.hashes().tolist() == words.hashes()[[2, 1, 0]].tolist()
+
+
+def test_tables_follow_their_exact_distribution():
+    """All partitions of four customers, weighed by table sizes, against draws."""
+    d, strength, others, chance = 0.6, 1.5, 3.0, 0.3
+
+    def partitions(n):
+        if n == 0:
+            yield ()
+            return
+        for p in partitions(n - 1):
+            for i in range(len(p)):
+                yield p[:i] + (p[i] + 1,) + p[i + 1 :]
+            yield p + (1,)
+
+    weight = [0.0] * 5
+    for p in partitions(4):
+        sizes = math.prod(math.prod(j - d for j in range(1, k)) for k in p)
+        weight[len(p)] += sizes * math.prod((strength + d * (others + i)) * chance for i in range(len(p)))
+    n = 40_000
+    t = lm.tables_of(np.full(n, 4), np.full(n, chance), np.full(n, others), d, strength, np.random.default_rng(1))
+    got = np.bincount(t, minlength=5) / n
+    assert np.allclose(got, np.array(weight) / sum(weight), atol=0.012)
+    few = lm.tables_of(np.array([0, 1, 500]), np.full(3, 0.1), np.zeros(3), d, strength, np.random.default_rng(1))
+    assert few[0] == 0 and few[1] == 1 and 1 <= few[2] <= 500
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    """With one table a dish and a fixed spelling, every probability is known."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(lm, "_learn", lambda state, seed: fixed_model(state))
+    keep = lm.tables_of
+
+    def fixed_model(state):
+        kept = state.select("customers").collect()
+        n = sum(int(lm.unpack(r.customers).sum()) for r in kept)
+        v = sum(int((lm.unpack(r.customers) > 0).sum()) for r in kept)
+        return lm.Model(lm.Spelling(), n, v)
+
+    import sys
+
+    from pyspark import cloudpickle
+
+    def once(count, *rest):
+        return np.minimum(count, 1).astype(np.int64)
+
+    cloudpickle.register_pickle_by_value(sys.modules[lm.__name__])
+    monkeypatch.setattr(lm, "tables_of", once)
+    try:
+        df = spark.createDataFrame([(d, t) for d, t in ROWS], "doc_id long, text string").repartition(2)
+        got = {r.doc_id: r.score for r in lm.score(df).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[lm.__name__])
+        assert lm.tables_of is not keep
+    pairs, after, known = {}, {}, {}
+    for d, t in ROWS:
+        if not held(d):
+            for c, h in zip(["^", *words(t)], words(t)):
+                pairs[c, h] = pairs.get((c, h), 0) + 1
+                after.setdefault(c, []).append(h)
+    for c, h in pairs:
+        known[h] = known.get(h, 0) + 1
+    customers, opened = sum(known.values()), len(known)
+    spell = lambda h: (1 / lm.SYMBOLS) ** (1 + len((h or "").encode()))
+    unseen = 1 - sum(map(spell, known))
+
+    def chance(c, h):
+        rest = (lm.WORD_S + lm.WORD_D * opened) / (lm.WORD_S + customers)
+        p = (known[h] - lm.WORD_D) / (lm.WORD_S + customers) + rest * spell(h) if h in known else rest * unseen
+        if c not in after:
+            return p
+        n, tables = pairs.get((c, h), 0), len(set(after[c]))
+        return ((n - lm.CONTEXT_D) * (n > 0) + (lm.CONTEXT_S + lm.CONTEXT_D * tables) * p) / (lm.CONTEXT_S + len(after[c]))
+
+    for d, t in ROWS:
+        want = sum(math.log10(chance(c, h)) for c, h in zip(["^", *words(t)], words(t)))
+        assert got[d] == pytest.approx(want, abs=1e-4 + 2e-5 * len(words(t)))
 
 
 def test_long_words_are_contexts(spark):
@@ -99,10 +172,11 @@ def test_long_words_are_contexts(spark):
     assert got[a].score > got[b].score + 1
 
 
-def test_pairs_of_words_are_counted_once_a_block():
-    table = pa.table({"block": [4, 4, 4], "text": ["some words some words", "words", "held words"], "held_out": [False, False, True]})
-    rows = lm._count_block(table).to_pylist()
-    name = {r["h"]: r["word"].decode() for r in rows if r["c"] is None} | {int(lm.START_HASH.view(np.int64)): "^"}
-    assert {name[r["h"]]: r["n"] for r in rows if r["c"] is None} == {"some": 2, "words": 3, "held": 0, "": 2}
-    pairs = [(name[r["c"]], name[r["h"]], r["n"]) for r in rows if r["c"] is not None]
-    assert sorted(pairs) == sorted([("^", "some", 1), ("some", "words", 2), ("words", "some", 1), ("words", "", 2), ("^", "words", 1), ("^", "held", 0), ("held", "words", 0)])
+def test_one_word_that_is_most_of_the_text(spark):
+    """A context with most tokens is dealt over the buckets and counted whole."""
+    train = [d for d in range(300) if not held(d)]
+    rows = [(d, " ".join(f"the w{(d * 7 + i) % 90}" for i in range(40))) for d in train] + [(next(d for d in range(1000, 1100) if held(d)), "the w1 the w2 unknown the")]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    some = [r for r in got if not r.held_out]
+    assert sum(r.score for r in some) / sum(r.n_tokens for r in some) > -1.2  # about log10(90) / 2
