@@ -22,7 +22,6 @@ SECTIONS = [
 ]
 #: Similarity of two codes by the deepest level they share.
 LEVEL_SCORES = [("kind", 0.7), ("subgroup", 0.55), ("group", 0.4), ("subclass", 0.25), ("class", 0.1)]
-OKPD2_SHAPE = r"^[0-9]{2}(\.([0-9]|[0-9]{2}(\.([0-9]|[0-9]{2}(\.[0-9]{1,3})?))?))?$"
 
 
 def _stripped(c: Column) -> Column:
@@ -60,9 +59,13 @@ def okpd2(raw: Column) -> Column:
     """Category code with its levels; a malformed code has none, only a flag."""
     s = _stripped(raw)
     sec = section(F.substring(s, 1, 2))
-    good = s.rlike(OKPD2_SHAPE) & sec.isNotNull()
-    seg = F.split(s, r"\.")
+    seg = F.split(s, r"\.", -1)
     depth = F.size(seg)
+    # two digits a level; the last of two or three levels may have one, a fourth up to three
+    most = lambda i: F.when(i == 3, 3).otherwise(2)
+    least = lambda i: F.when((i == depth - 1) & (i > 0), 1).otherwise(2)
+    levels = F.transform(seg, lambda x, i: x.rlike("^[0-9]+$") & F.length(x).between(least(i), most(i)))
+    good = (depth <= 4) & F.forall(levels, lambda x: x) & sec.isNotNull()
     second, third = F.get(seg, 1), F.get(seg, 2)
     group = F.when((depth >= 2) & (F.length(second) == 2), F.concat_ws(".", seg[0], second))
     of = lambda c: F.when(good, c)
@@ -137,10 +140,24 @@ def name_variant(name: Column, subject: Column) -> Column:
 
 
 def type_marker(text: Column) -> Column:
-    found = F.regexp_extract(text, r"(?U)(?<!\w)тип\s?(\d{1,3})(?!\w)", 1)
+    """``тип`` and a number of up to three digits, in one token or in two."""
+    joined = F.regexp_replace(F.concat_ws(" ", F.lit(""), text, F.lit("")), r"(?U)[^\w]+", "  ")
+    found = F.regexp_extract(joined, r" тип {0,2}([0-9]{1,3}) ", 1)
     return F.when(found != "", F.concat(F.lit("тип "), found))
 
 
+def code_relation(a: Column, b: Column) -> Column:
+    """How two category codes meet: 3 the same, 2 in one group, 1 in one class, 0 not at all."""
+    first, second = F.split(a, r"\."), F.split(b, r"\.")
+    group = (F.size(first) >= 2) & (F.size(second) >= 2) & (first[0] == second[0]) & (F.get(first, F.lit(1)) == F.get(second, F.lit(1)))
+    return F.when(a == b, 3).when(F.coalesce(group, F.lit(False)), 2).when(first[0] == second[0], 1).otherwise(0)
+
+
+def alignment(best: Column) -> Column:
+    """What the best relation of a given code to the suggested ones says."""
+    return F.when(best >= 2, "ALIGNED").when(best == 1, "UNCERTAIN").when(best == 0, "MISMATCH")
+
+
 def numeric_tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda t: t.rlike(r"\d"))
 

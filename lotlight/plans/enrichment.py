@@ -182,10 +182,54 @@ def contract_violations(spark, sf_dir):
     return enrich.violations(table(spark, sf_dir, "orders"), rules)
 
 
-@query()
+def _twin(name: str, steps: list[str]) -> str:
+    """A chain of views, each an expression of the one before as ``t``."""
+    return ", ".join(f"{name}{i + 1} AS (SELECT doc_id, {e} AS t FROM {name}{i})" for i, e in enumerate(steps))
+
+
+def _quoted(chars: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in chars)
+
+
+_W, _D = r"[\p{L}\p{N}]", r"\p{Nd}"
+#: Without looking around, marks that stay are first moved to private characters.
+_KEPT = {".": "\ue001", ",": "\ue002", "%": "\ue003", "-": "\ue004", "/": "\ue005", "+": "\ue006"}
+
+
+def _keep(pattern: str, mark: str) -> str:
+    """Twice, as neighbouring matches overlap."""
+    return f"regexp_replace(regexp_replace(t, '{pattern}', '\\1{_KEPT[mark]}\\2', 'g'), '{pattern}', '\\1{_KEPT[mark]}\\2', 'g')"
+
+
+_STEPS = [
+    f"lower(translate(nfc_normalize(text), {_quoted(text.SOURCE)}, {_quoted(text.TARGET)}))",
+    "replace(replace(replace(replace(t, 'м²', 'м2'), 'м³', 'м3'), 'm²', 'm2'), 'm³', 'm3')",
+    r"""regexp_replace(t, '[²³¹\x{2070}-\x{209f}]|[^\p{L}\p{N}\s.,/+"%*-]', ' ', 'g')""",
+    _keep(rf"({_D})\.({_D})", "."),
+    _keep(rf"({_D}),({_D})", ","),
+    "translate(replace(replace(t, '.', ' '), ',', ' '), '\ue001\ue002', '.,')",
+    """CASE WHEN contains(t, '"') THEN list_reduce(list_prepend({'out': string_split(t, '"')[1], 'p': string_split(t, '"')[1], 'i': 0, 'n': 0, 'q': FALSE}, list_transform(string_split(t, '"')[2:], lambda p, i: {'out': '', 'p': p, 'i': i, 'n': len(string_split(t, '"')) - 1, 'q': FALSE})),
+ lambda s, x: {'out': s.out || CASE WHEN NOT s.q AND regexp_matches(s.p, '\\p{Nd}$') THEN '"' ELSE ' ' END || x.p, 'p': x.p, 'i': x.i, 'n': x.n,
+ 'q': NOT s.q AND NOT regexp_matches(s.p, '\\p{Nd}$') AND CASE WHEN x.p = '' THEN x.i < x.n ELSE NOT regexp_matches(x.p, '^[\\s\\p{Z}\\x{85}]') END}).out ELSE t END""",
+    _keep(rf"({_D})%()", "%"),
+    "translate(replace(t, '%', ' '), '\ue003', '%')",
+    *[_keep(rf"({_W})[{m}]({_W})", m) for m in "-/+"],
+    "translate(regexp_replace(t, '[/+-]', ' ', 'g'), '\ue004\ue005\ue006', '-/+')",
+    r"regexp_replace(t, '[\s\p{Z}\x{85}]+', ' ', 'g')",
+    *[rf"regexp_replace(t, '({_D}){s}[xх*]{s}({_D})', '\1x\2', 'g')" for s in ("", " ", "", " ")],
+    "trim(regexp_replace(t, '[* ]+', ' ', 'g'))",
+]
+
+
+@query(
+    f"WITH n0 AS (SELECT doc_id, text FROM documents), {_twin('n', _STEPS)}, f AS (SELECT doc_id, nullif(t, '') AS t FROM n{len(_STEPS)}), "
+    + r"""x AS (SELECT doc_id, t, string_split(coalesce(t, ''), ' ') AS w FROM f)
+ SELECT doc_id, md5(t) AS digest, CAST(len(list_distinct(list_filter(list_transform(w, lambda x: regexp_replace(x, '^["%]+|["%]+$', '', 'g')), lambda x: length(x) >= 5 AND regexp_matches(x, '\p{L}') AND regexp_matches(x, '[0-9]')))) AS INTEGER) AS technical,
+ CAST(len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) AS INTEGER) AS numeric FROM x"""
+)
 def normalized_texts(spark, sf_dir):
     """Search form of every whole text, as digest and markers."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize("text").alias("t"))
+    docs = text.normalize(table(spark, sf_dir, "documents"), "text", "t").select("doc_id", "t")
     return docs.select("doc_id", F.md5("t").alias("digest"), F.size(scalars.tech_tokens(F.col("t"))).alias("technical"), F.size(scalars.numeric_tokens(F.col("t"))).alias("numeric"))
 
 
