@@ -10,7 +10,8 @@ confirmed on the whole shingle sets.
 
 A band key that many representatives share is never expanded into all pairs.
 Every representative is compared with two pivots of the keys it has, and
-connected components are found.  Within a component further links change
+connected components are found.  Keys, pivots, hubs, classes and shingles that hold
+very many rows are counted, and joined by broadcast or in parts.  Within a component further links change
 nothing, so only keys with members of different components go on.  For their
 members a prefix filter finds every pair across components that can still
 reach the threshold: with all shingles in one order, rare ones first, two sets
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import HOT, cut, hot_keys, skew_join
 from .words import distinct, mix, odd, row_slices, shingles, split, text_bytes
 
 BANDS = 32
@@ -48,6 +49,8 @@ BITS = 2
 SLACK = 0.17
 #: Counters of the shingle order (bounded, whatever the corpus).
 SLOTS = 1 << 16
+#: Tasks over which a hot shingle is dealt.
+SALTS = 32
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
 
@@ -160,12 +163,13 @@ def components(links: DataFrame) -> DataFrame:
     until nothing changes; every round is written, so lineage stays short.
     """
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hubs = hot_keys(edges, ["b"])
     labels = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        passed = cut(labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "m").alias("component"), F.col("component").alias("was")))
+        near = skew_join(edges, labels.toDF("b", "component"), ["b"], hubs).groupBy("a").agg(F.min("component").alias("m"))
+        passed = cut(labels.join(near.hint("merge"), labels["node"] == near["a"]).select("node", F.least("component", "m").alias("component"), F.col("component").alias("was")))
         up = passed.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        jumped = cut(passed.join(up, "component").select("node", F.col("next").alias("component"), (F.col("next") != F.col("was")).alias("moved")))
+        jumped = cut(skew_join(passed, up, ["component"]).select("node", F.col("next").alias("component"), (F.col("next") != F.col("was")).alias("moved")))
         labels = jumped.select("node", "component")
         if not jumped.filter("moved").take(1):
             return labels
@@ -232,7 +236,12 @@ def across(texts: DataFrame, named: DataFrame, k: int, threshold: int) -> DataFr
     need = F.ceil(threshold * (F.col("size_a") + F.col("size_b")) / (100 + threshold) - 1e-9)
     follow = (F.col("place_a") + need <= F.col("size_a")) & (F.col("place_b") + need <= F.col("size_b"))
     new = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
-    met = minor.join(other, "shingle").filter(apart & follow & new)
+    # a shingle of very many rows is dealt over several tasks by its other rows
+    hot = F.broadcast(hot_keys(rows, ["shingle"]).withColumn("_hot", F.lit(True)))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    minor = minor.join(hot, "shingle", "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    other = other.join(hot, "shingle", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    met = minor.join(other.hint("merge"), ["shingle", "_salt"]).filter(apart & follow & new)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -250,33 +259,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     reps = sk.filter("n_shingles > 0").join(groups.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     reps = reps.select(F.col("doc_id").alias("rep"), "bands", "bits")
     banded = reps.select("rep", F.explode("bands").alias("band"))
-    shared = cut(banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high"))
-    members = cut(banded.join(shared.hint("merge"), "band"))
+    shared = cut(banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).filter("low < high"))
+    # bands and classes of very many rows; one in 20,000 rows or more, so few
+    total = sk.count()
+    hot = cut(shared.filter(F.col("n") > max(HOT, BANDS * total // 20_000)).select("band"))
+    members = cut(skew_join(banded, shared.drop("n"), ["band"], hot))
     star = cut(members.groupBy("rep").agg(F.min("low").alias("low"), F.max("high").alias("high")))
     ids = star.select(F.col("rep").alias("id"))
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi"))
     bits = cut(sk.select(F.col("doc_id").alias("id"), "bits").join(ids.hint("merge"), "id", "left_semi"))
 
     def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs whose estimate may reach the threshold."""
-        with_a = cut(pairs.join(bits.toDF("a", "bits_a").hint("merge"), "a"))
-        both = with_a.join(bits.toDF("b", "bits_b").hint("merge"), "b")
+        """Pairs whose estimate may reach the threshold; many may have the same ``a``."""
+        with_b = cut(pairs.join(bits.toDF("b", "bits_b").hint("merge"), "b"))
+        both = skew_join(with_b, bits.toDF("a", "bits_a"), ["a"])
         return both.filter(estimate("bits_a", "bits_b") >= threshold / 100 - SLACK).select("a", "b").distinct()
 
-    near = star.select(F.col("low").alias("a"), F.col("rep").alias("b")).unionByName(star.select(F.col("rep").alias("a"), F.col("high").alias("b")))
+    near = star.select(F.col("low").alias("a"), F.col("rep").alias("b")).unionByName(star.select(F.col("high").alias("a"), F.col("rep").alias("b")))
     links = cut(confirm(likely(near.filter("a != b").distinct()), texts, k, threshold))
     found = components(links)
 
     named = members.select("band", F.col("rep").alias("id")).join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     named = cut(named.withColumn("component", F.coalesce("component", "id")))
     mixed = cut(named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band"))
-    rest = cut(named.join(mixed.hint("merge"), "band", "left_semi").select("id", "component").distinct())
+    rest = cut(skew_join(named, mixed, ["band"], hot).select("id", "component").distinct())
     open_texts = cut(texts.join(rest.select("id").hint("merge"), "id", "left_semi"))
     more = cut(confirm(likely(across(open_texts, rest, k, threshold)), open_texts, k, threshold))
     if more.take(1):
         found = components(links.unionByName(more))
-    classes = groups.filter("n > 1").drop("n")
-    out = sk.select("doc_id", *key).join(classes, key, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    out = cut(out.select("doc_id", "n_shingles", "rep")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep")
+    labels = found.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    classes = groups.filter("n > 1").join(labels.withColumnRenamed("doc_id", "rep").hint("merge"), "rep", "left").withColumn("of_class", F.coalesce("label", "rep"))
+    hot = cut(groups.filter(F.col("n") > max(HOT, total // 20_000)).select(*key))
+    out = skew_join(sk.select("doc_id", *key), classes.select(*key, "of_class"), key, hot, how="left")
+    out = out.join(labels.hint("merge"), "doc_id", "left")
+    component = F.coalesce("of_class", "label", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

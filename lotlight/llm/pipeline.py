@@ -3,6 +3,9 @@
 ``docs`` is read more than once by some stages and must be stable; the runner
 writes every stage's result.  All stages but the last return the columns they
 were given.
+
+Defined cases: an empty table gives an empty one; a null text has no language and goes
+at the first stage; rows with a null or repeated id are documents like others.
 """
 
 from __future__ import annotations
@@ -16,16 +19,24 @@ from .shared import cut, read, tune
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language, or of none for most of their words."""
+    """Drop documents of no language (null, empty or without letters), or of none for most of their words."""
     tune(spark)
     return langid.keep(docs, langid.train(docs))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each group."""
+    """Keep one document, that of the smallest id (a null one before all), of
+    each group.  Rows count, not ids: of rows with one id, those that are no
+    copies of each other stay, and of equal rows one stays."""
     tune(spark)
-    gone = cut(near_dup.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id"))
-    return docs.join(gone.distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_dup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id").hint("merge"), row)
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(F.col("first").getField(row).alias(row))
+    return rows.join(cut(first).hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: make batches by row count unbounded, so they are bounded by bytes.
 BATCH_BYTES = 4 << 20
 
+#: Rows of one key up to which it is no hot one.
+HOT = 256
+
 
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session by bytes."""
@@ -66,5 +69,25 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], rows: int, lim
     return big.withColumn("_salt", spread).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
+def hot_keys(big: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with so many rows of ``big`` (a written table) that a task of
+    their own would be slow: more than ``HOT`` and than one in 20,000 of all
+    rows, so never more than 20,000 keys."""
+    limit = max(HOT, big.count() // 20_000)
+    return cut(big.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys))
+
+
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Equi-join with ``small``, which is unique on ``keys``, where some keys
+    may hold most of ``big``.  The rows of ``small`` for hot keys (at most
+    20,000) are broadcast; all others meet by a merge join."""
+    hot = hot_keys(big, keys) if hot is None else hot
+    if not hot.take(1):
+        return big.join(small.hint("merge"), keys, how)
+    marked = big.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    few = small.join(F.broadcast(hot), keys, "left_semi")
+    return marked.filter("_hot").drop("_hot").join(F.broadcast(few), keys, how).unionByName(marked.filter("_hot is null").drop("_hot").join(small.hint("merge"), keys, how))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -93,3 +93,22 @@ def test_estimates_rarely_miss_a_pair_at_the_threshold():
     equal = 0.8 + 0.2 * chance
     low = [i for i in range(n + 1) if (i / n - chance) / (1 - chance) < 0.8 - near_dup.SLACK]
     assert sum(comb(n, i) * equal**i * (1 - equal) ** (n - i) for i in low) < 1e-5
+
+
+def test_hot_keys_are_split_and_give_the_same(spark, monkeypatch):
+    """With a low bound every key is hot: hubs, classes, bands and shingles."""
+    from lotlight.llm import shared
+
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base + (f" x{i % 7}" if i % 3 else "")) for i in range(60)] + [(100 + i, f"{i} other text of {i * 31} some words {i % 2} here") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(map(tuple, near_dup.near_duplicates(df).collect()))
+    monkeypatch.setattr(shared, "HOT", 2)
+    monkeypatch.setattr(near_dup, "HOT", 2)
+    assert sorted(map(tuple, near_dup.near_duplicates(df).collect())) == want
+
+
+def test_very_long_text(spark):
+    long = " ".join(str(i * 7919 % 100003) for i in range(400_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short text of five words")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_dup.near_duplicates(df).collect()) == [(1, 1), (2, 1), (3, 3)]

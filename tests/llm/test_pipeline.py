@@ -34,3 +34,16 @@ def test_each_stage_takes_effect(spark):
     assert "bob@" not in text and "@" in text
     packed = corpus_pipeline.STAGES[-1][1](spark, at, ROOT)
     assert ids(packed) == seen[4]
+
+
+def test_near_duplicate_stage_drops_rows_not_ids(spark):
+    from lotlight.llm.shared import cut
+
+    text, other = "one two three four five six seven eight nine ten", "some quite different words that are in no other document here"
+    rows = [(7, text, 1), (3, text, 2), (7, other, 3), (None, "null id " + other * 2, 4), (9, None, 5), (9, "", 6), (5, "again again and again five", 7), (5, "again again and again five", 8)]
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string, _row int"))
+    out = corpus_pipeline.STAGES[1][1](spark, docs, ROOT)
+    assert out.columns == docs.columns
+    kept = {r._row for r in out.collect()}
+    assert {2, 3, 4, 5, 6} <= kept and 1 not in kept and len(kept & {7, 8}) == 1
+    assert corpus_pipeline.STAGES[1][1](spark, cut(docs.filter("false")), ROOT).count() == 0
