@@ -22,7 +22,8 @@ in lower case, so punctuation and markup around words don't hide a passage.
 Defined cases: null and empty texts match nothing; items with less than five
 words are no evidence and match nothing; a passage that occurs repeatedly is
 reported once per document and item, at its best and first window; null
-item texts are skipped; repeated documents are each reported.
+item texts are skipped; repeated documents are each reported, with a null doc_id
+too; very long texts are read in overlapping parts.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ NEAR = RADIUS // BLOCKS
 DIRECT = 64
 #: Items in one index; more items are taken in blocks, each a pass over the texts.
 BLOCK_ITEMS = 1000
+#: Shingles of a text whose votes are summed at once.
+REGION = 1 << 13
 
 MATCH = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 
@@ -146,7 +149,9 @@ class Index:
             spots = np.flatnonzero(hit[lo:hi])
             cuts = np.flatnonzero(np.diff(spots) > reach)
             for a, b in zip(spots[np.concatenate([[0], cuts + 1])].tolist(), spots[np.concatenate([cuts, [len(spots) - 1]])].tolist()):
-                self._region(sh[lo:hi], hit[lo:hi], max(0, a - reach), min(hi - lo, b + reach + 1), hi - lo, best)
+                begin, end = max(0, a - reach), min(hi - lo, b + reach + 1)
+                for step in range(begin, end, REGION):  # parts overlap by a window, so every window lies in one of them
+                    self._region(sh[lo:hi], hit[lo:hi], step, min(end, step + REGION + reach), hi - lo, best)
             out += [(r, i, s, p, len_ + K - 1) for i, (s, p, len_) in sorted(best.items())]
         return out
 

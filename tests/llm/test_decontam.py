@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from lotlight.llm import decontam
@@ -111,3 +112,11 @@ def test_documents_shorter_than_an_item(spark):
             short += (d, i) in want and len(w) < len(q)
     assert {k: round(r.similarity, 9) for k, r in got.items()} == {k: round(s, 9) for k, s in want.items()}
     assert short > 40 and all(r.n_words <= len(words(docs[d][1])) and r.start_word >= 0 for (d, _), r in got.items())
+
+
+def test_very_long_text_of_item_words_is_read_in_parts():
+    item = " ".join(f"q{i}" for i in range(40))
+    index = decontam.Index([(1, item), (2, " ".join(f"q{i}" for i in range(20, 60)))])
+    text = " ".join(f"q{i % 35}" for i in range(300_000)) + " " + item
+    got = {m[1]: m for m in index.matches(pa.array(["no match here at all", text]))}
+    assert got[0][0] == 1 and got[0][2] == 1.0 and got[0][3] == 300_000
