@@ -24,15 +24,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep(docs, langid.train(docs))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id (a null one before all), of
     each group.  Rows count, not ids: of rows with one id, those that are no
     copies of each other stay, and of equal rows one stays."""
     tune(spark)
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
-    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    row, at = (_free(docs, name) for name in ("_row", "_at"))
+    rows = cut(docs.withColumn(at, F.monotonically_increasing_id()))
+    # the first row of an id goes by the id, all others (few, as a rule) by numbers beyond all ids
+    ids = rows.select(at, "doc_id")
+    firsts = ids.filter("doc_id is not null").groupBy("doc_id").agg(F.min(at).alias(at))
+    others = cut(ids.join(firsts.select(at).hint("merge"), at, "left_anti").select(at))
+    if others.take(1):
+        beyond = 1 + (rows.agg(F.max("doc_id")).first()[0] or 0)
+        rows = rows.join(others.withColumn(row, F.col(at) + F.lit(beyond)).hint("merge"), at, "left").withColumn(row, F.coalesce(row, "doc_id"))
+    else:
+        rows = rows.withColumn(row, F.col("doc_id"))
     found = near_dup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"))
     groups = found.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id").hint("merge"), row)
     first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(F.col("first").getField(row).alias(row))
