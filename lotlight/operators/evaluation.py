@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,32 +22,30 @@ def allocate(sizes: dict[str, int], total: int) -> dict[str, int]:
     """Places per stratum in proportion to the root of its size, by largest
     remainder, never more than it has; freed places are dealt again."""
     given = dict.fromkeys(sizes, 0)
-    left = min(total, sum(sizes.values()))
-    while left:
-        open_ = [k for k in sorted(sizes) if given[k] < sizes[k]]
-        weight = sum(math.sqrt(sizes[k]) for k in open_)
-        quota = {k: left * math.sqrt(sizes[k]) / weight for k in open_}
-        before = left
-        for k in open_:
-            add = min(int(quota[k]), sizes[k] - given[k])
-            given[k] += add
-            left -= add
-        for k in sorted(open_, key=lambda k: (int(quota[k]) - quota[k], k)):
-            if left and given[k] < sizes[k]:
-                given[k] += 1
-                left -= 1
-        if left == before:
-            break
+    while left := min(total, sum(sizes.values())) - sum(given.values()):
+        room = {k: n - given[k] for k, n in sizes.items() if n > given[k]}
+        roots = sum(math.sqrt(sizes[k]) for k in room)
+        # whole places of each quota first, then one each by the largest rest
+        shares = sorted((math.modf(left * math.sqrt(sizes[k]) / roots)[::-1] + (k,) for k in room), key=lambda s: (-s[1], s[2]))
+        for whole, _, k in shares:
+            given[k] += min(int(whole), room[k])
+        spare = min(total, sum(sizes.values())) - sum(given.values())
+        for k in [k for _, _, k in shares if given[k] < sizes[k]][:spare]:
+            given[k] += 1
     return given
 
 
+def sampling_key(seed: int, lot: Column) -> Column:
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), lot.cast("string")), 256)
+
+
 def stratified(rows: DataFrame, total: int, seed: int) -> DataFrame:
     """A deterministic sample: within a stratum by the hash of seed and lot.
     Each row has its inverse inclusion weight."""
     sizes = {r["stratum"]: r["n"] for r in rows.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
     given = allocate(sizes, total)
     plan = rows.sparkSession.createDataFrame([(k, given[k], round(sizes[k] / given[k], 4) if given[k] else 0.0) for k in sizes], "stratum string, places long, weight double")
-    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("lot_id").cast("string")), 256)
+    order = sampling_key(seed, F.col("lot_id"))
     ranked = rows.withColumn("_at", F.row_number().over(Window.partitionBy("stratum").orderBy(order, "lot_id")))
     return ranked.join(plan, "stratum").filter("_at <= places").drop("_at", "places")
 

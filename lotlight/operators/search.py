@@ -62,11 +62,19 @@ def rare_tokens(weighted: DataFrame, key: str, documents: int, config: Config =
     return rare.withColumn("place", F.row_number().over(order)).filter((F.col("rare") & (F.col("place") <= config.max_lexemes)) | ~F.col("any_rare")).select(key, "token", "df", F.col("any_rare").alias("rare"))
 
 
-def text_scores(queries: DataFrame, catalogue: DataFrame, key: str, item: str) -> DataFrame:
+def text_scores(queries: DataFrame, catalogue: DataFrame, key: str, item: str, rare: DataFrame | None = None) -> DataFrame:
     """Share of a query's token weight that an item's tokens hold: query
-    tokens (key, token, idf) against item tokens (item, token)."""
+    tokens (key, token, idf) against item tokens (item, token).
+
+    With ``rare`` (key, token), only items that hold one of these tokens are
+    scored, so frequent tokens never make candidates of their own."""
     total = queries.groupBy(key).agg(F.sum("idf").alias("total"))
-    got = queries.join(catalogue, "token").groupBy(key, item).agg(F.sum("idf").alias("got"))
+    if rare is None:
+        met = queries.join(catalogue, "token")
+    else:
+        candidates = rare.select(key, "token").join(catalogue, "token").select(key, item).distinct()
+        met = candidates.join(catalogue, item).join(queries, [key, "token"])
+    got = met.groupBy(key, item).agg(F.sum("idf").alias("got"))
     return got.join(total, key).select(key, item, (F.col("got") / F.col("total")).alias("text"))
 
 

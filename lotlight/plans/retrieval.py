@@ -14,14 +14,18 @@ from ..sources.canonical import History
 from .registry import query
 
 AS_OF = date(2000, 1, 1)
-CONFIG = search.Config(text_limit=20)
+CONFIG = search.Config()
+#: Newest lots of the same code, and of its group, for each query.
+SAME_CODE, SAME_GROUP = 300, 200
 
 _Q = """q AS (SELECT p_partkey AS query, p_name AS name, p_type || '.' || p_brand || '.' || CAST(p_size AS VARCHAR) AS qcode, p_type || '.' || p_brand AS qgroup, p_type AS qclass FROM part WHERE p_partkey % 50 = 0),
  n AS (SELECT count(*) AS docs FROM part), df AS (SELECT token, count(*) AS df FROM tokens GROUP BY 1), idf AS (SELECT token, df, ln((docs + 1) / (df + 1)) + 1 AS idf FROM df, n)"""
 _TEXT = (
     _Q
     + """, qt AS (SELECT query, token, idf FROM q JOIN tokens ON part = query JOIN idf USING (token)), tot AS (SELECT query, sum(idf) AS total FROM qt GROUP BY 1),
- tx AS (SELECT query, part, sum(idf) / any_value(total) AS text FROM qt JOIN tokens USING (token) JOIN tot USING (query) GROUP BY 1, 2),
+ seldom AS (SELECT query, token, df, df <= 0.02 * docs AS rare FROM qt JOIN df USING (token), n), few AS (SELECT *, bool_or(rare) OVER (PARTITION BY query) AS any_rare, row_number() OVER (PARTITION BY query ORDER BY rare DESC, df, token) AS nth_rare FROM seldom),
+ cand AS (SELECT DISTINCT query, part FROM few JOIN tokens USING (token) WHERE (rare AND nth_rare <= 6) OR NOT any_rare),
+ tx AS (SELECT query, part, sum(idf) / any_value(total) AS text FROM cand JOIN tokens USING (part) JOIN qt USING (query, token) JOIN tot USING (query) GROUP BY 1, 2),
  ranked AS (SELECT query, part, text, row_number() OVER (PARTITION BY query ORDER BY round(text, 9) DESC, part) AS place FROM tx)"""
 )
 
@@ -40,8 +44,8 @@ def _weighted(spark, sf_dir):
 
 
 def _text_hits(spark, sf_dir):
-    catalogue, asked, _ = _weighted(spark, sf_dir)
-    scored = search.text_scores(asked, catalogue, "query", "part")
+    catalogue, asked, parts = _weighted(spark, sf_dir)
+    scored = search.text_scores(asked, catalogue, "query", "part", search.rare_tokens(asked, "query", parts.count()))
     return search.top(scored, "query", [F.desc(F.round("text", 9)), "part"], CONFIG.text_limit)
 
 
@@ -73,31 +77,38 @@ def rare_query_tokens(spark, sf_dir):
     return search.rare_tokens(asked, "query", parts.count())
 
 
-@query("WITH " + _TEXT + " SELECT query, part, round(text, 9) AS text, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 20", "tokens")
+@query("WITH " + _TEXT + " SELECT query, part, round(text, 9) AS text, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 300", "tokens")
 def text_retrieval(spark, sf_dir):
-    """The 20 catalogue parts nearest to each query text."""
+    """The 300 catalogue parts nearest to each query text."""
     return _text_hits(spark, sf_dir).withColumn("text", F.round("text", 9))
 
 
 _CATEGORY = """, c AS (SELECT DISTINCT query, lot_id, publish_date, code, code_group FROM q JOIN items ON code_group = qgroup WHERE publish_date < DATE '2000-01-01'),
  one AS (SELECT query, lot_id, publish_date, max(CASE WHEN code = qcode THEN 1 ELSE 0 END) AS exact FROM c JOIN q USING (query) GROUP BY 1, 2, 3),
- placed AS (SELECT *, row_number() OVER (PARTITION BY query, exact ORDER BY publish_date DESC, lot_id) AS place FROM one)"""
+ newest AS (SELECT *, row_number() OVER (PARTITION BY query, exact ORDER BY publish_date DESC, lot_id) AS place FROM one),
+ same_code AS (SELECT query, lot_id, publish_date, exact, place FROM newest WHERE place <= CASE WHEN exact = 1 THEN 300 ELSE 200 END)"""
 
 
-@query("WITH " + _Q + _CATEGORY + " SELECT query, lot_id, publish_date, exact = 1 AS exact, CAST(place AS INTEGER) AS place FROM placed WHERE place <= CASE WHEN exact = 1 THEN 30 ELSE 20 END", "tokens lots items")
+@query("WITH " + _Q + _CATEGORY + " SELECT query, lot_id, publish_date, exact = 1 AS exact, CAST(place AS INTEGER) AS place FROM same_code", "tokens lots items")
 def category_retrieval(spark, sf_dir):
     """Newest lots of the same code and of the same group, one row a lot."""
+    return _category_hits(spark, sf_dir)
+
+
+def _category_hits(spark, sf_dir):
     asked = _queries(spark, sf_dir).select("query", "qcode", F.col("qgroup").alias("code_group"))
     lots = History(spark, sf_dir, AS_OF).items().select("lot_id", "publish_date", "code", "code_group")
     one = asked.join(lots, "code_group").groupBy("query", "lot_id", "publish_date").agg(F.max(F.col("code") == F.col("qcode")).alias("exact"))
     placed = one.withColumn("key", F.struct("query", "exact"))
-    return search.top(placed, "key", [F.desc("publish_date"), "lot_id"], 30).filter(F.col("exact") | (F.col("place") <= 20)).select("query", "lot_id", "publish_date", "exact", "place")
+    return search.top(placed, "key", [F.desc("publish_date"), "lot_id"], SAME_CODE).filter(F.col("exact") | (F.col("place") <= SAME_GROUP)).select("query", "lot_id", "publish_date", "exact", "place")
 
 
 _LOTS = (
     _TEXT
+    + _CATEGORY
     + """, m AS (SELECT r.query, i.lot_id, i.publish_date, r.text, CASE WHEN i.code = qcode THEN 1.0 WHEN i.code_group = qgroup THEN 0.4 WHEN i.code_class = qclass THEN 0.1 ELSE 0.0 END AS okpd2
- FROM ranked r JOIN items i ON i.part = r.part JOIN q ON q.query = r.query WHERE place <= 20 AND i.publish_date < DATE '2000-01-01'),
+ FROM ranked r JOIN items i ON i.part = r.part JOIN q ON q.query = r.query WHERE place <= 300 AND i.publish_date < DATE '2000-01-01'
+ UNION ALL SELECT query, lot_id, publish_date, 0.0, CASE WHEN exact = 1 THEN 1.0 ELSE 0.4 END FROM same_code),
  best AS (SELECT query, lot_id, publish_date, max(text) AS text, CAST(max(okpd2) AS DOUBLE) AS okpd2 FROM m GROUP BY 1, 2, 3),
  scored AS (SELECT *, (CAST(0.6 AS DOUBLE) * text + CAST(0.3 AS DOUBLE) * okpd2) / (CAST(0.6 AS DOUBLE) + CAST(0.3 AS DOUBLE)) AS relevance FROM best)"""
 )
@@ -109,7 +120,8 @@ def _lots(spark, sf_dir):
     asked = _queries(spark, sf_dir).drop("name")
     matched = hits.join(items, "part").join(asked, "query")
     matched = matched.withColumn("okpd2", search.category_score(("code", "code_group", "code_class"), ("qcode", "qgroup", "qclass")))
-    return search.lot_scores(matched, CONFIG)
+    by_code = _category_hits(spark, sf_dir).select("query", "lot_id", "publish_date", F.lit(0.0).alias("text"), F.when(F.col("exact"), 1.0).otherwise(0.4).alias("okpd2"))
+    return search.lot_scores(matched.select(*by_code.columns).unionByName(by_code), CONFIG)
 
 
 @query("WITH " + _LOTS + " SELECT query, lot_id, publish_date, round(text, 9) AS text, okpd2, round(relevance, 9) AS relevance FROM scored", "tokens lots items")
@@ -169,7 +181,7 @@ def supplier_search_region(spark, sf_dir):
 
 
 @query(
-    "WITH " + _TEXT + """, x AS (SELECT query, code, sum(CAST(round(text * 1000000) AS BIGINT)) AS w, count(*) AS items FROM ranked JOIN (SELECT p_partkey AS part, p_type || '.' || p_brand AS code FROM part) USING (part) WHERE place <= 20 AND text >= 0.5 GROUP BY 1, 2),
+    "WITH " + _TEXT + """, x AS (SELECT query, code, sum(CAST(round(text * 1000000) AS BIGINT)) AS w, count(*) AS items FROM ranked JOIN (SELECT p_partkey AS part, p_type || '.' || p_brand AS code FROM part) USING (part) WHERE place <= 300 AND text >= 0.5 GROUP BY 1, 2),
  y AS (SELECT query, code, CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY query) AS DOUBLE) AS share, items, row_number() OVER (PARTITION BY query ORDER BY w DESC, code) AS place FROM x) SELECT query, code, round(share, 4) AS share, items, CAST(place AS INTEGER) AS place FROM y WHERE place <= 3""",
     "tokens",
 )

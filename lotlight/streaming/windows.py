@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import folder
+
 #: Fixed value: the log's schema; streams don't infer one.
 LOG = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def windowed(log: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts by tumbling window and kind; rows later than the watermark go."""
     timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
@@ -25,7 +19,7 @@ def windowed(log: DataFrame, size: str = "1 day", late: str = "2 days") -> DataF
 
 def daily_counts(spark: SparkSession, path: str) -> DataFrame:
     """Run the windowed count over all files there are, then read its output."""
-    folder = _folder(spark)
+    out_dir = folder(spark)
     source = spark.readStream.schema(LOG)
     if any(f.rstrip("/").endswith(path.rstrip("/").rpartition("/")[2]) for f in spark.read.schema(LOG).parquet(path).inputFiles()):
         # one file: streams read folders, so its folder is read with the file's name as filter
@@ -34,10 +28,10 @@ def daily_counts(spark: SparkSession, path: str) -> DataFrame:
     log = source.parquet(path)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out_dir}/out/batch={number}")
 
-    stream = windowed(log).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    stream = windowed(log).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out_dir}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
     last = stream.lastProgress.batchId if stream.lastProgress else 0
-    out = spark.read.parquet(f"{folder}/out/batch={last}")
+    out = spark.read.parquet(f"{out_dir}/out/batch={last}")
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "users")
