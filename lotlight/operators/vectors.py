@@ -1,12 +1,14 @@
 """Exact nearest neighbours of a stated query set among all vectors.
 
-Queries are taken in blocks of bounded size; each block is one pass over all
-vectors, in which every task keeps its best ``k`` per query, and the tasks'
+Queries are taken in blocks of about ``BLOCK``, dealt by a hash, so that the driver
+never holds more than one; each block is one pass over all vectors, in which every task keeps its best ``k`` per query, and the tasks'
 bests are merged.  No pair of rows is ever emitted beyond these.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,29 +25,38 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest other vectors of each query by cosine, ties by id."""
     spark = vectors.sparkSession
-    ids = [r[0] for r in queries.select("vec_id").filter("embedding is not null").orderBy("vec_id").collect()]
+    asked = queries.filter("embedding is not null").select("vec_id", "embedding")
+    blocks = math.ceil(asked.count() / BLOCK)
     parts = None
-    for lo in range(0, len(ids), BLOCK):
-        block = queries.filter(F.col("vec_id").between(ids[lo], ids[min(lo + BLOCK, len(ids)) - 1])).orderBy("vec_id").select("vec_id", "embedding").toArrow()
+    for number in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number).orderBy("vec_id").toArrow()
+        if not block.num_rows:
+            continue
         q = _matrix(block["embedding"].combine_chunks())
         norm = np.linalg.norm(q, axis=1, keepdims=True)
         shared = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), q / np.where(norm > 0, norm, 1)))
 
         def run(batches, shared=shared):
             name, unit = shared.value
-            kept = [(np.zeros(0), np.zeros(0, np.int64))] * len(name)
+            # the best of each query so far: its place among the queries, cosine and vector
+            at, score, who = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 v = _matrix(batch.column(1))
                 size = np.linalg.norm(v, axis=1, keepdims=True)
-                near = (v / np.where(size > 0, size, 1)) @ unit.T
                 own = batch.column(0).to_numpy()
-                for i in range(len(name)):
-                    other = own != name[i]
-                    s, d = np.concatenate([kept[i][0], near[other, i]]), np.concatenate([kept[i][1], own[other]])
-                    best = np.lexsort((d, -np.round(s, 9)))[:k]
-                    kept[i] = (s[best], d[best])
-            n = [len(s) for s, _ in kept]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, n)), pa.array(np.concatenate([d for _, d in kept])), pa.array(np.concatenate([s for s, _ in kept]))], names=["query", "vec_id", "cosine"])
+                near = (v / np.where(size > 0, size, 1)) @ unit.T
+                near[own[:, None] == name[None, :]] = -np.inf
+                rounded = np.round(near, 9)
+                least = np.partition(rounded, max(len(v) - k, 0), axis=0)[max(len(v) - k, 0)]
+                row, query = np.nonzero((rounded >= least) & np.isfinite(near))  # all ties with the last one
+                at, score, who = np.concatenate([at, query]), np.concatenate([score, near[row, query]]), np.concatenate([who, own[row]])
+                order = np.lexsort((who, -np.round(score, 9), at))
+                at, score, who = at[order], score[order], who[order]
+                best = np.arange(len(at)) - np.searchsorted(at, at) < k
+                at, score, who = at[best], score[best], who[best]
+            yield pa.RecordBatch.from_arrays([pa.array(name[at]), pa.array(who), pa.array(score)], names=["query", "vec_id", "cosine"])
 
         rows = vectors.filter("embedding is not null").select("vec_id", "embedding").mapInArrow(run, NEAR)
         parts = rows if parts is None else parts.unionByName(rows)

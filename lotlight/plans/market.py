@@ -20,7 +20,7 @@ LATE = date(2000, 1, 1)
     _concentration(
         "code_group", LATE, 20,
         """, seen AS (SELECT DISTINCT i.code_group AS code, o.supplier_id FROM observed o JOIN items i ON i.lot_id = o.lot_id WHERE o.publish_date < DATE '2000-01-01' AND i.publish_date < DATE '2000-01-01'),
- u AS (SELECT code, count(*) AS known FROM seen GROUP BY 1) SELECT l.code, l.label, l.hhi, u.known, (SELECT count(*) FROM supplier) - u.known AS unseen FROM labelled l JOIN u ON u.code = l.code""",
+ u AS (SELECT code, count(*) AS known FROM seen GROUP BY 1) SELECT l.code, l.label, l.hhi, coalesce(u.known, 0) AS known, (SELECT count(*) FROM supplier) - coalesce(u.known, 0) AS unseen FROM labelled l LEFT JOIN u ON u.code = l.code""",
     ),
     "lots relations observed items",
 )
@@ -29,7 +29,8 @@ def market_intelligence(spark, sf_dir):
     h = History(spark, sf_dir, LATE)
     known = pool_health.supplier_awards(h, "group").groupBy("code").agg(F.count("*").alias("known"))
     total = table(spark, sf_dir, "supplier").count()
-    return pool_health.concentration(h, "group").join(known, "code").select("code", "label", "hhi", "known", (F.lit(total) - F.col("known")).alias("unseen"))
+    seen = F.coalesce("known", F.lit(0))
+    return pool_health.concentration(h, "group").join(known, "code", "left").select("code", "label", "hhi", seen.alias("known"), (F.lit(total) - seen).alias("unseen"))
 
 
 @query(
