@@ -97,51 +97,6 @@ def analyze(history: History, scope: str, value: str, t: Thresholds = Thresholds
     suppliers = per.unionByName(leading, allowMissingColumns=True).agg(
         F.count("awards").alias("observed_suppliers"),
         F.count_if(F.col("awards") > 0).alias("winning_suppliers"),
-        F.count("*").alias("observed_suppliers"),
-        F.max(F.when(F.col("place") == 1, F.col("awards"))).alias("top1"),
-        F.sum(F.when(F.col("place") <= 3, F.col("awards"))).alias("top3"),
-        F.sum(F.col("awards") * F.col("awards")).alias("squares"),
-    )
-    support = history.categories(scope).groupBy("code").agg(F.count("*").alias("lots"))
-    total = F.when(F.col("awards") > 0, F.col("awards").cast("double"))
-    out = support.join(shares, "code", "left").select(
-        "code",
-        "lots",
-        F.coalesce("awards", F.lit(0)).alias("awards"),
-        F.coalesce("winning_suppliers", F.lit(0)).alias("winning_suppliers"),
-        F.coalesce("observed_suppliers", F.lit(0)).alias("observed_suppliers"),
-        (F.col("top1") / total).alias("top1_share"),
-        (F.col("top3") / total).alias("top3_share"),
-        (F.col("squares") / (total * total)).alias("hhi"),
-    )
-    return out.withColumn("label", tier(t))
-
-
-def analyze(history: History, scope: str, value: str, t: Thresholds = Thresholds(), recent_days: int = 365) -> DataFrame:
-    """One row on one category: support, supplier counts, shares, tier."""
-    in_scope = history.categories(scope).filter(F.col("code") == value).select("lot_id")
-    known = history.lots().join(in_scope, "lot_id", "left_semi")
-    support = known.agg(F.count("*").alias("lots"), F.countDistinct("customer").alias("customers"))
-    recent = F.lit(history.as_of - timedelta(days=recent_days))
-    per = (
-        history.observed()
-        .join(in_scope, "lot_id", "left_semi")
-        .groupBy("supplier_id")
-        .agg(
-            F.count_if("is_winner").alias("awards"),
-            F.count_if(F.col("is_winner") & (F.col("publish_date") >= recent)).alias("recent"),
-            F.bool_or(F.col("platform") == "EM").alias("em"),
-            F.bool_or((F.col("platform") == "EM") & F.col("is_winner")).alias("em_won"),
-            F.bool_or((F.col("platform") == "AIS_GZ") & F.col("is_winner")).alias("ais_won"),
-        )
-    )
-    # the three largest counts ride along as rows of their own, so that no list grows with the scope
-    best = per.orderBy(F.desc("awards")).limit(3).select("awards", F.lit(True).alias("best"))
-    top = F.sort_array(F.collect_list(F.when(F.col("best"), F.col("awards"))), False)
-    per = per.withColumn("best", F.lit(False)).unionByName(best, allowMissingColumns=True)
-    suppliers = per.agg(
-        F.count_if(~F.col("best")).alias("observed_suppliers"),
-        F.count_if(F.col("awards") > 0).alias("winning_suppliers"),
         F.count_if(F.col("recent") > 0).alias("recent_winners"),
         F.count_if("em").alias("em_observed"),
         F.count_if("em_won").alias("em_winning"),
