@@ -87,6 +87,48 @@ def category_score(level: tuple[str, str, str], other: tuple[str, str, str]) ->
     return F.when(F.col(level[0]) == F.col(other[0]), 1.0).when(F.col(level[1]) == F.col(other[1]), 0.4).when(F.col(level[2]) == F.col(other[2]), 0.1).otherwise(0.0)
 
 
+def query_items(items: DataFrame, frequency: DataFrame, documents: int, limit: int = 8, min_technical: int = 5) -> DataFrame:
+    """The most informative distinct items of each lot, in line order.
+
+    items: lot_id, line, name, code.  An item's information is the weight of
+    its name's tokens, the largest weight for each technical token (a letter
+    and a digit, ``min_technical`` characters at least) and 1 for a code; ties
+    go to the earlier line, then by name and code.  Items without name and code are none.
+    """
+    rows = items.filter("name is not null or code is not null").withColumn("name", F.coalesce("name", F.lit("")))
+    weighted = with_idf(tokens(rows.select("name").distinct(), "name", "name"), frequency, documents)
+    technical = F.col("token").rlike("[0-9]") & F.col("token").rlike(r"\p{L}") & (F.length("token") >= min_technical)
+    top_weight = scalars.idf(F.lit(documents), F.lit(0))
+    known = weighted.groupBy("name").agg((F.sum("idf") + top_weight * F.count_if(technical)).alias("weight"))
+    told = rows.join(known, "name", "left").repartition("lot_id")
+    info = F.round(F.coalesce("weight", F.lit(0.0)) + F.when(F.col("code").isNotNull(), 1.0).otherwise(0.0), 6)
+    one = told.groupBy("lot_id", "name", "code").agg(F.min("line").alias("line"), F.first(info).alias("info"))
+    return top(top(one, "lot_id", [F.desc("info"), "line", "name", "code"], limit, "nth"), "lot_id", ["line", "name", "code"], limit).drop("nth")
+
+
+def code_relation(a: Column, b: Column) -> Column:
+    """3 for equal codes, 2 for one group (two segments), 1 for one class, else 0."""
+    pa, pb = F.split(a, r"\."), F.split(b, r"\.")
+    group = (F.size(pa) >= 2) & (F.size(pb) >= 2) & (F.slice(pa, 1, 2) == F.slice(pb, 1, 2))
+    return F.when(a == b, 3).when(group, 2).when(pa[0] == pb[0], 1).otherwise(0)
+
+
+def alignment(suggested: DataFrame, provided: str = "provided", min_share: float = 0.15, min_items: int = 3) -> DataFrame:
+    """How the code a query gave agrees with those its text suggests.
+
+    suggested: query, provided, code, share, place, support (supporting items
+    of all codes).  The best relation to the suggestions with ``min_share``,
+    or to the first where none has it, decides; little support is uncertain,
+    and a query without a code gets null.
+    """
+    related = code_relation(F.col(provided), F.col("code"))
+    strong = F.max(F.when(F.col("share") >= min_share, related))
+    first = F.max(F.when(F.col("place") == 1, related))
+    best = suggested.groupBy("query", provided).agg(F.coalesce(strong, first).alias("best"), F.max("support").alias("support"))
+    label = F.when(F.col("support") < min_items, "UNCERTAIN").when(F.col("best") >= 2, "ALIGNED").when(F.col("best") == 1, "UNCERTAIN").otherwise("MISMATCH")
+    return best.withColumn("alignment", F.when(F.col(provided).isNotNull(), label))
+
+
 def lot_scores(matches: DataFrame, config: Config = Config()) -> DataFrame:
     """Relevance of each lot to a query from its best item for text and for
     category (query, lot_id, publish_date, text, okpd2)."""

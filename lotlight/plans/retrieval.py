@@ -196,6 +196,44 @@ def suggested_codes(spark, sf_dir):
     return search.top(held.withColumn("share", share), "query", [F.desc("w"), "code"], 3).select("query", "code", F.round("share", 4).alias("share"), "items", "place")
 
 
+@query(
+    "WITH " + _Q + r""", w AS (SELECT part, sum(idf) AS w, count(*) FILTER (regexp_matches(token, '[0-9]') AND regexp_matches(token, '\p{L}') AND length(token) >= 5) AS technical FROM tokens JOIN idf USING (token) GROUP BY 1),
+ one AS (SELECT l_orderkey AS lot_id, p_name AS name, p_type || '.' || p_brand || '.' || CAST(p_size AS VARCHAR) AS code, min(l_linenumber) AS line, round(any_value(w) + (ln(any_value(docs) + 1) + 1) * any_value(technical) + 1, 6) AS info
+ FROM lineitem JOIN part ON p_partkey = l_partkey JOIN w ON part = p_partkey, n GROUP BY 1, 2, 3),
+ nth AS (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY info DESC, line, name, code) AS nth FROM one)
+ SELECT lot_id, name, code, line, info, CAST(row_number() OVER (PARTITION BY lot_id ORDER BY line, name, code) AS INTEGER) AS place FROM nth WHERE nth <= 8""",
+    "tokens",
+)
+def query_items(spark, sf_dir):
+    """Every lot as a query of its eight most informative items."""
+    parts = table(spark, sf_dir, "part")
+    lines = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    items = lines.select(F.col("l_orderkey").alias("lot_id"), F.col("l_linenumber").alias("line"), F.col("p_name").alias("name"), canonical.code_parts()[0].alias("code"))
+    frequency = search.document_frequency(search.tokens(parts, "p_partkey", "p_name"))
+    return search.query_items(items, frequency, parts.count())
+
+
+@query(
+    "WITH " + _TEXT + """, x AS (SELECT query, code, sum(CAST(round(text * 1000000) AS BIGINT)) AS w, count(*) AS items FROM ranked JOIN (SELECT p_partkey AS part, p_type || '.' || p_brand AS code FROM part) USING (part) WHERE place <= 300 AND text >= 0.5 GROUP BY 1, 2),
+ y AS (SELECT query, code, CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY query) AS DOUBLE) AS share, sum(items) OVER (PARTITION BY query) AS support, row_number() OVER (PARTITION BY query ORDER BY w DESC, code) AS place FROM x),
+ z AS (SELECT y.query, qcode AS provided, share, support, place, CASE WHEN code = qcode THEN 3 WHEN code = qgroup THEN 2 WHEN split_part(code, '.', 1) = qclass THEN 1 ELSE 0 END AS related FROM y JOIN q ON q.query = y.query WHERE place <= 3),
+ b AS (SELECT query, provided, CAST(max(support) AS BIGINT) AS support, CAST(coalesce(max(CASE WHEN share >= 0.15 THEN related END), max(CASE WHEN place = 1 THEN related END)) AS INTEGER) AS best FROM z GROUP BY 1, 2)
+ SELECT *, CASE WHEN support < 3 THEN 'UNCERTAIN' WHEN best >= 2 THEN 'ALIGNED' WHEN best = 1 THEN 'UNCERTAIN' ELSE 'MISMATCH' END AS alignment FROM b""",
+    "tokens",
+)
+def code_alignment(spark, sf_dir):
+    """Each query's own code against the groups that its text suggests."""
+    from pyspark.sql import Window
+
+    codes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), canonical.code_parts()[1].alias("code"))
+    micro = F.round(F.col("text") * 1_000_000).cast("long")
+    held = _text_hits(spark, sf_dir).filter("text >= 0.5").join(codes, "part").groupBy("query", "code").agg(F.sum(micro).alias("w"), F.count("*").alias("items"))
+    whole = Window.partitionBy("query")
+    held = held.withColumn("share", F.col("w").cast("double") / F.sum("w").over(whole)).withColumn("support", F.sum("items").over(whole))
+    asked = _queries(spark, sf_dir).select("query", F.col("qcode").alias("provided"))
+    return search.alignment(search.top(held, "query", [F.desc("w"), "code"], 3).join(asked, "query"))
+
+
 @query(
     """WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0), v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
  x AS (SELECT query, vec_id, list_cosine_similarity(q.e, v.e) AS cosine FROM q, v WHERE query <> vec_id), y AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(cosine, 9) DESC, vec_id) AS place FROM x)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lotlight.operators import enrich, evaluation, ingest, pool_health, profile
+from lotlight.operators import enrich, evaluation, ingest, pool_health, profile, search
 from lotlight.operators.vectors import nearest
 from lotlight.sources import files
 
@@ -126,6 +126,17 @@ def test_violations_count_nulls(spark):
     assert {r.rule: r.violations for r in enrich.violations(rows, {"positive": "x > 0"}).collect()} == {"positive": 2}
 
 
+def test_query_items_and_alignment(spark):
+    rows = [(1, 1, "red", "a.b"), (1, 2, "red", "a.b"), (1, 3, "common", "a"), (1, 4, "ab123 red", None), (1, 5, None, None), (2, 1, None, "c")]
+    items = spark.createDataFrame(rows, "lot_id long, line int, name string, code string")
+    frequency = spark.createDataFrame([("red", 2), ("common", 9)], "token string, df long")
+    got = search.query_items(items, frequency, 9, limit=2).orderBy("lot_id", "place").collect()
+    assert [(r.lot_id, r.line, r.name, r.place) for r in got] == [(1, 1, "red", 1), (1, 4, "ab123 red", 2), (2, 1, "", 1)]
+    hints = [(1, "a.b.1", "a.b", 0.9, 1, 5), (2, "a.c", "a.b", 0.1, 1, 5), (2, "a.c", "a.c", 0.1, 2, 5), (3, "z", "a.b", 0.9, 1, 5), (4, "a.b", "a.b", 0.9, 1, 2), (5, None, "a.b", 0.9, 1, 5)]
+    named = spark.createDataFrame(hints, "query long, provided string, code string, share double, place int, support long")
+    assert {r["query"]: r.alignment for r in search.alignment(named).collect()} == {1: "ALIGNED", 2: "UNCERTAIN", 3: "MISMATCH", 4: "UNCERTAIN", 5: None}
+
+
 def test_registry():
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and "category_concentration" in o
