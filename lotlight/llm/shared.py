@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch between the JVM and a Python worker.  Long texts
@@ -89,5 +89,31 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame
     return marked.filter("_hot").drop("_hot").join(F.broadcast(few), keys, how).unionByName(marked.filter("_hot is null").drop("_hot").join(small.hint("merge"), keys, how))
 
 
+def numbered(df: DataFrame, group: str, order: list[str], weight: str | None = None) -> DataFrame:
+    """Add each row's place ``_rank`` (from 0) in its group's order, the
+    group's rows ``_n``, and with ``weight`` the sum ``_before`` of that
+    column over the rows ahead.  ``df`` must be stable (written, or a plain
+    scan), and ``order`` leave only rows open that are alike.
+
+    Rows are range sorted by group and order and written with their place in
+    the sorted table; running counts of its partitions make that a place in
+    the group.  A group may hold most rows: it spans many partitions.
+    """
+    placed = cut(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))  # the upper bits are the partition's number
+    whole = Window.partitionBy(group)
+    ahead = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum(weight or F.lit(0))
+    runs = placed.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"), total.alias("_weight"))
+    runs = runs.select("_part", group, (F.coalesce(F.sum("_rows").over(ahead), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_rows").over(whole).alias("_n"), F.coalesce(F.sum("_weight").over(ahead), F.lit(0)).alias("_base"))
+    if weight:
+        inner = Window.partitionBy("_part", group).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn("_own", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
+    out = placed.join(runs, ["_part", group]).withColumn("_rank", F.col("_at") + F.col("_shift"))
+    if weight:
+        out = out.withColumn("_before", F.col("_base") + F.col("_own")).drop("_own")
+    return out.drop("_at", "_part", "_shift", "_base")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
