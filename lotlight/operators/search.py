@@ -1,8 +1,19 @@
-"""Lexical, category and vector retrieval, lot scores and supplier ranks.
-
-A batch of queries is one table (query, as_of, name, code parts, customer);
-every branch is a join of that table with the history, and every limit is a
-window that Spark prunes before it sorts.
+"""Retrieval of historical items, lot relevance and supplier ranks for batches of queries.
+
+A batch is two tables: queries (query, as_of, customer, subject) and their
+items (query, no, text, code).  Product texts are matched as distinct texts
+and only then become items, so a text that many items share costs once:
+
+- text branch: items that hold one of a text's rarest tokens; where no token
+  is rare, items that hold *all* of them.  The latter meet by the pair of the
+  two rarest tokens of the query, which few texts share;
+- technical branch: items whose text contains a technical token anywhere; the
+  candidates come from the token's rarest trigram and are verified;
+- category branch: newest lots with the code, and with the code's most
+  specific level under another code, one item a lot.
+
+A lot's relevance is a matrix of its best match with every query item, whatever
+branch found the lot.  Every limit is a window that Spark prunes before it sorts.
 """
 
 from __future__ import annotations
@@ -13,18 +24,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..session import written
 
 
 @dataclass(frozen=True)
 class Config:
     """Limits and weights of retrieval, lot fusion and supplier scores."""
 
+    max_items: int = 8
     max_df_ratio: float = 0.02
     max_lexemes: int = 6
+    min_technical: int = 5
     text_limit: int = 300
+    technical_limit: int = 100
+    same_code: int = 300
+    same_level: int = 200
+    lot_text: float = 0.6
+    lot_okpd2: float = 0.3
+    lot_subject: float = 0.1
     lot_limit: int = 300
     min_relevance: float = 0.05
-    lot_weights: tuple[float, float] = (0.6, 0.3)
     product_text: float = 0.35
     okpd2: float = 0.30
     historical_relevance: float = 0.10
@@ -32,6 +51,10 @@ class Config:
     em_participation: float = 0.05
     recency: float = 0.05
     same_customer: float = 0.05
+    evidence_quality: float = 0.0
+    item_coverage: float = 0.0
+    redundant_factor: float = 1.0
+    redundancy: float = 0.8
     evidence_saturation: float = 10.0
     awards_saturation: float = 6.0
     participation_saturation: float = 6.0
@@ -39,9 +62,17 @@ class Config:
     quality_top: int = 3
 
 
+#: Components of a supplier's score, in their fixed order.
+COMPONENTS = ("product_text", "okpd2", "historical_relevance", "relevant_awards", "em_participation", "recency", "same_customer", "evidence_quality", "item_coverage")
+
+
+def tokens_of(text: str) -> Column:
+    return F.array_distinct(F.filter(F.split(text, " "), lambda t: t != ""))
+
+
 def tokens(names: DataFrame, key: str, text: str) -> DataFrame:
     """Distinct tokens of each text."""
-    return names.select(key, F.explode(F.array_distinct(F.filter(F.split(text, " "), lambda t: t != ""))).alias("token"))
+    return names.select(key, F.explode(tokens_of(text)).alias("token"))
 
 
 def document_frequency(tokenised: DataFrame) -> DataFrame:
@@ -62,29 +93,277 @@ def rare_tokens(weighted: DataFrame, key: str, documents: int, config: Config =
     return rare.withColumn("place", F.row_number().over(order)).filter((F.col("rare") & (F.col("place") <= config.max_lexemes)) | ~F.col("any_rare")).select(key, "token", "df", F.col("any_rare").alias("rare"))
 
 
-def text_scores(queries: DataFrame, catalogue: DataFrame, key: str, item: str, rare: DataFrame | None = None) -> DataFrame:
+def text_scores(queries: DataFrame, catalogue: DataFrame, key: str, item: str) -> DataFrame:
     """Share of a query's token weight that an item's tokens hold: query
-    tokens (key, token, idf) against item tokens (item, token).
-
-    With ``rare`` (key, token), only items that hold one of these tokens are
-    scored, so frequent tokens never make candidates of their own."""
+    tokens (key, token, idf) against item tokens (item, token)."""
     total = queries.groupBy(key).agg(F.sum("idf").alias("total"))
-    if rare is None:
-        met = queries.join(catalogue, "token")
-    else:
-        candidates = rare.select(key, "token").join(catalogue, "token").select(key, item).distinct()
-        met = candidates.join(catalogue, item).join(queries, [key, "token"])
-    got = met.groupBy(key, item).agg(F.sum("idf").alias("got"))
+    got = queries.join(catalogue, "token").groupBy(key, item).agg(F.sum("idf").alias("got"))
     return got.join(total, key).select(key, item, (F.col("got") / F.col("total")).alias("text"))
 
 
-def top(rows: DataFrame, key: str, order: list[Column | str], limit: int, name: str = "place") -> DataFrame:
+def top(rows: DataFrame, key: str | list[str], order: list[Column | str], limit: int, name: str = "place") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col(name) <= limit)
 
 
-def category_score(level: tuple[str, str, str], other: tuple[str, str, str]) -> Column:
-    """Similarity of two three-level codes: same code, group or class."""
-    return F.when(F.col(level[0]) == F.col(other[0]), 1.0).when(F.col(level[1]) == F.col(other[1]), 0.4).when(F.col(level[2]) == F.col(other[2]), 0.1).otherwise(0.0)
+@dataclass
+class Catalogue:
+    """Visible items (lot_id, part, line, publish_date, text, code: the
+    category struct), their distinct texts, and token frequencies over items."""
+
+    items: DataFrame
+    texts: DataFrame
+    frequency: DataFrame
+    documents: int
+
+    @classmethod
+    def of(cls, items: DataFrame) -> Catalogue:
+        """Written once, for every branch reads it."""
+        items = written(items)
+        texts = written(items.filter("text is not null").groupBy("text").agg(F.count("*").alias("n")).withColumn("tokens", tokens_of("text")))
+        frequency = written(texts.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("df")))
+        return cls(items, texts, frequency, texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+    @property
+    def top_weight(self) -> Column:
+        return scalars.idf(F.lit(self.documents), F.lit(0))
+
+    def features(self, texts: DataFrame, key: str, config: Config = Config()) -> DataFrame:
+        """Weighted tokens (``weights``), technical tokens and the whole weight of each distinct text."""
+        distinct = texts.select(key).filter(F.col(key).isNotNull()).distinct()
+        weighted = with_idf(tokens(distinct, key, key), self.frequency, self.documents)
+        held = weighted.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("token", "df", "idf"))).alias("weights"))
+        technical = scalars.tech_tokens(F.col(key), config.min_technical)
+        out = distinct.join(held, key, "left").select(key, F.coalesce("weights", F.array().cast("array<struct<token:string,df:bigint,idf:double>>")).alias("weights"), technical.alias("technical"))
+        return out.withColumn("total", _total("weights") + self.top_weight * F.size("technical"))
+
+
+def _total(weights: str | Column) -> Column:
+    return F.aggregate(weights, F.lit(0.0), lambda s, x: s + x.idf)
+
+
+def similarity(top_weight: Column, weights: str, technical: str, total: str, tokens: str, text: str) -> Column:
+    """Share of a query text's weight that an item's text holds; technical
+    tokens count with the largest weight wherever the text contains them."""
+    found = _total(F.filter(weights, lambda x: F.array_contains(tokens, x.token)))
+    inside = F.size(F.filter(technical, lambda t: F.contains(F.col(text), t)))
+    return F.round(F.when(F.col(total) > 0, (found + top_weight * inside) / F.col(total)).otherwise(0.0), 9)
+
+
+def any_of(asked: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
+    """asked: key, weights.  Texts with one of the rarest tokens of a query that has rare ones."""
+    rare = F.filter("weights", lambda x: x.df <= config.max_df_ratio * catalogue.documents)
+    chosen = F.slice(F.array_sort(rare, lambda a, b: F.when(a.idf > b.idf, -1).when(a.idf < b.idf, 1).when(a.token < b.token, -1).otherwise(1)), 1, config.max_lexemes)
+    postings = catalogue.texts.select("text", F.explode("tokens").alias("token"))
+    return asked.select("key", F.explode(chosen.token).alias("token")).join(postings, "token").select("key", "text").distinct()
+
+
+def all_of(asked: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
+    """Texts with all tokens of a query that has no rare one.
+
+    Frequent tokens are at most the mean number of tokens a text over the
+    ratio, some hundreds, so they are broadcast.  A query meets the texts that
+    hold its two rarest tokens (one token is a pair with itself); the others
+    are verified on the text's tokens."""
+    limit = config.max_df_ratio * catalogue.documents
+    none = F.size(F.filter("weights", lambda x: x.df <= limit)) == 0
+    order = lambda c: F.array_sort(c, lambda a, b: F.when(a.df < b.df, -1).when(a.df > b.df, 1).when(a.token < b.token, -1).when(a.token > b.token, 1).otherwise(0))
+    few = asked.filter(none & (F.size("weights") > 0)).withColumn("_o", order("weights"))
+    few = few.select("key", F.col("weights.token").alias("all"), F.col("_o")[0].token.alias("first"), F.get("_o", F.least(F.lit(1), F.size("_o") - 1)).token.alias("second"))
+    frequent = F.broadcast(catalogue.frequency.filter(F.col("df") > limit))
+    held = catalogue.texts.select("text", "tokens", F.explode("tokens").alias("token")).join(frequent, "token").groupBy("text").agg(F.first("tokens").alias("tokens"), order(F.collect_list(F.struct("token", "df"))).alias("_f"))
+    pairs = held.select("text", "tokens", F.posexplode("_f.token").alias("_i", "first"), F.col("_f.token").alias("_all"))
+    pairs = pairs.select("text", "tokens", "first", F.explode(F.slice("_all", F.col("_i") + 1, F.size("_all"))).alias("second"))
+    return few.join(pairs, ["first", "second"]).filter(F.size(F.array_except("all", "tokens")) == 0).select("key", "text")
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct runs of three characters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)))
+
+
+def containing(asked: DataFrame, texts: DataFrame, key: str = "text") -> DataFrame:
+    """(token, key) where a text contains a token of three characters or more,
+    as plain characters.
+
+    An index of trigrams holds the texts' keys; a token meets it at its rarest
+    trigram, and only candidates meet their texts again to be verified."""
+    need = asked.select("token").filter(F.length("token") >= 3).distinct().withColumn("gram", F.explode(trigrams(F.col("token"))))
+    index = texts.select(key, F.explode(trigrams(F.col("text"))).alias("gram")).join(need.select("gram").distinct(), "gram", "left_semi")
+    known = index.groupBy("gram").agg(F.count("*").alias("df"))
+    rated = need.join(known, "gram", "left").groupBy("token").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("least"))
+    met = rated.select("token", F.col("least.gram").alias("gram")).join(index, "gram")
+    if key != "text":
+        met = met.join(texts.select(key, "text"), key)
+    return met.filter(F.contains("text", F.col("token"))).select("token", key)
+
+
+def matching_texts(asked: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
+    """key and text of the text branch with the text's similarity (asked: features by key)."""
+    met = any_of(asked, catalogue, config).unionByName(all_of(asked, catalogue, config))
+    scored = met.join(asked, "key").join(catalogue.texts.select("text", "tokens"), "text")
+    return scored.select("key", "text", similarity(catalogue.top_weight, "weights", "technical", "total", "tokens", "text").alias("score"))
+
+
+def text_hits(asked: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
+    """key, lot_id, part, place: items of the best texts, by id within a text.
+    No text gives more than the limit, so its first items suffice."""
+    first = top(catalogue.items.select("text", "lot_id", "part"), "text", ["lot_id", "part"], config.text_limit).drop("place")
+    met = matching_texts(asked, catalogue, config).join(first, "text")
+    return top(met, "key", [F.desc("score"), "lot_id", "part"], config.text_limit).select("key", "lot_id", "part", "score", "place")
+
+
+def technical_hits(asked: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
+    """key, lot_id, part: newest items that contain a technical token, for each token."""
+    wanted = asked.select("key", F.explode("technical").alias("token"))
+    newest = [F.desc("publish_date"), "lot_id", "part"]
+    recent = top(catalogue.items.select("text", "lot_id", "part", "publish_date"), "text", newest, config.technical_limit).drop("place")
+    found = top(containing(wanted, catalogue.texts).join(recent, "text"), "token", newest, config.technical_limit)
+    return wanted.join(found.select("token", "lot_id", "part"), "token").select("key", "lot_id", "part").distinct()
+
+
+def category_hits(codes: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
+    """codes: qcode (category struct), distinct.  qcode.code, lot_id, part,
+    exact: newest lots with the code, and with its most specific level under
+    another code, by their first item.
+
+    A code's newest lots are cut first: a lot beyond them has as many newer
+    ones in every level that holds the code."""
+    held = catalogue.items.filter("code.code is not null")
+    one = held.groupBy(F.col("code.code").alias("c"), "lot_id", "publish_date").agg(F.min(F.struct("line", "part")).alias("item"), F.first("code").alias("code"))
+    newest = [F.desc("publish_date"), "lot_id"]
+    recent = top(one, "c", newest, max(config.same_code, config.same_level), "nth")
+    asked = codes.select("qcode", F.col("qcode.code").alias("q"))
+    exact = asked.join(recent.filter(F.col("nth") <= config.same_code), F.col("q") == F.col("c")).select("q", "lot_id", F.col("item.part").alias("part"), F.lit(True).alias("exact"), F.col("nth").alias("place"))
+    level = lambda c: F.coalesce(F.concat(F.lit("k"), c["kind"]), F.concat(F.lit("g"), c["group"]), F.concat(F.lit("c"), c["class"]))
+    under = recent.withColumn("level", F.explode(F.array_compact(F.array(F.concat(F.lit("k"), F.col("code.kind")), F.concat(F.lit("g"), F.col("code.group")), F.concat(F.lit("c"), F.col("code.class"))))))
+    other = asked.withColumn("level", level(F.col("qcode"))).join(under, "level").filter(F.col("q") != F.col("c"))
+    other = other.groupBy("q", "lot_id", "publish_date").agg(F.min("item").alias("item"))
+    broad = top(other, "q", newest, config.same_level).select("q", "lot_id", F.col("item.part").alias("part"), F.lit(False).alias("exact"), "place")
+    return exact.unionByName(broad)
+
+
+def retrieve(query_items: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
+    """query, lot_id, part and ``by_text`` of every item that a branch finds for one of a query's items."""
+    asked = catalogue.features(query_items, "text", config).withColumnRenamed("text", "key")
+    by_text = text_hits(asked, catalogue, config).select("key", "lot_id", "part").unionByName(technical_hits(asked, catalogue, config))
+    text_rows = query_items.select("query", F.col("text").alias("key")).distinct().join(by_text, "key").select("query", "lot_id", "part", F.lit(True).alias("by_text"))
+    codes = query_items.filter("code.code is not null").select("query", "code")
+    by_code = category_hits(codes.select(F.col("code").alias("qcode")).distinct(), catalogue, config)
+    code_rows = codes.select("query", F.col("code.code").alias("q")).distinct().join(by_code, "q").select("query", "lot_id", "part", F.lit(False).alias("by_text"))
+    return text_rows.unionByName(code_rows).groupBy("query", "lot_id", "part").agg(F.max("by_text").alias("by_text"))
+
+
+def match_matrix(found: DataFrame, query_items: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
+    """Sparse rows (query, lot_id, no): the lot's best text and code match with
+    each query item over all its retrieved items, whatever branch found them."""
+    items = catalogue.items.select("lot_id", "part", "publish_date", "text", F.col("code").alias("hcode"))
+    rows = found.join(items, ["lot_id", "part"]).join(catalogue.texts.select("text", "tokens"), "text", "left")
+    features = catalogue.features(query_items, "text", config).withColumnRenamed("text", "qtext")
+    asked = query_items.select("query", "no", F.col("text").alias("qtext"), F.col("code").alias("qcode")).join(features, "qtext", "left")
+    text = F.when(F.col("total") > 0, F.coalesce(similarity(catalogue.top_weight, "weights", "technical", "total", "tokens", "text"), F.lit(0.0)))
+    code = F.when(F.col("qcode.code").isNotNull(), scalars.okpd2_similarity(F.col("qcode"), F.col("hcode")))
+    cells = rows.join(asked, "query").select("query", "lot_id", "publish_date", "no", "part", F.col("text").alias("name"), F.col("hcode.code").alias("code"), text.alias("text"), code.alias("okpd2"))
+    return cells.groupBy("query", "lot_id", "publish_date", "no").agg(F.max("text").alias("text"), F.max("okpd2").alias("okpd2"), F.max(F.struct("text", "part", "name", "code")).alias("best"))
+
+
+def lot_scores(matrix: DataFrame, queries: DataFrame, subjects: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
+    """Relevance of each retrieved lot: means of its cells and the overlap of
+    subjects (lot_id, subject), with the weights of parts that the query has.
+
+    ``best`` is the item with the best text match (of equal ones that for the
+    earlier query item, then the largest part), ``match`` the combined match by query item."""
+    wt, wo, ws = config.lot_text, config.lot_okpd2, config.lot_subject
+    cell = (F.coalesce(wt * F.col("text"), F.lit(0.0)) + F.coalesce(wo * F.col("okpd2"), F.lit(0.0))) / F.nullif(F.when(F.col("text").isNotNull(), wt).otherwise(0.0) + F.when(F.col("okpd2").isNotNull(), wo).otherwise(0.0), F.lit(0.0))
+    lots = matrix.groupBy("query", "lot_id", "publish_date").agg(
+        F.round(_mean("text"), 9).alias("text"), F.round(_mean("okpd2"), 9).alias("okpd2"),
+        F.max_by("best", F.struct(F.col("best.text"), -F.col("no"))).alias("best"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("no", F.round(F.coalesce(cell, F.lit(0.0)), 9))))).alias("match"),
+    )
+    features = catalogue.features(queries, "subject", config).select("subject", "weights", _total("weights").alias("subject_total"))
+    told = queries.select("query", "subject").join(features, "subject").filter("subject_total > 0").select("query", "weights", "subject_total")
+    out = lots.join(told, "query", "left").join(subjects.select("lot_id", tokens_of("subject").alias("_s")), "lot_id", "left")
+    overlap = F.coalesce(_total(F.filter("weights", lambda x: F.array_contains("_s", x.token))) / F.col("subject_total"), F.lit(0.0))
+    out = out.withColumn("subject", F.round(F.when(F.col("subject_total").isNotNull(), overlap), 9))
+    parts = [("text", wt), ("okpd2", wo), ("subject", ws)]
+    whole = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in parts), F.lit(0.0))
+    relevance = sum((F.coalesce(w * F.col(c), F.lit(0.0)) for c, w in parts), F.lit(0.0)) / F.when(whole > 0, whole).otherwise(1.0)
+    out = out.withColumn("relevance", F.round(relevance, 9))
+    return out.select("query", "lot_id", "publish_date", *[F.coalesce(c, F.lit(0.0)).alias(c) for c, _ in parts], "relevance", F.col("best.name").alias("product"), F.col("best.code").alias("code"), "match")
+
+
+def _mean(column: str) -> Column:
+    """A mean of values with nine decimals as a sum of integers, so that no order of rows matters."""
+    return F.sum(F.round(F.col(column) * 1e9).cast("long")) / 1e9 / F.count(column)
+
+
+def query_features(queries: DataFrame, query_items: DataFrame, config: Config = Config()) -> DataFrame:
+    """What a query has: its number of items, codes among them, a customer, and
+    whether all item texts are redundant with the subject."""
+    key = lambda c: F.array_distinct(F.filter(F.split(scalars.comparison_key(F.col(c)), " "), lambda t: t != ""))
+    rows = query_items.join(queries.select("query", "subject"), "query").withColumn("_a", key("text")).withColumn("_b", key("subject"))
+    same = (F.size("_a") > 0) & (F.size("_b") > 0) & (scalars.jaccard(F.col("_a"), F.col("_b")) >= config.redundancy)
+    per = rows.groupBy("query").agg(F.count("*").alias("n_items"), F.max(F.col("code.code").isNotNull()).alias("has_code"), F.min(F.coalesce(same, F.lit(False))).alias("redundant"))
+    return queries.select("query", "as_of", F.col("customer").isNotNull().alias("has_customer")).join(per, "query")
+
+
+def rank_suppliers(lots: DataFrame, relations: DataFrame, facts: DataFrame, same_customer: DataFrame, config: Config = Config()) -> DataFrame:
+    """Suppliers of the relevant lots by nine weighted components; a component
+    that a query has no basis for drops out, and the others' weights fill its place.
+
+    lots: as ``lot_scores`` gives them; relations: lot_id, supplier_id,
+    is_winner, platform; facts: as ``query_features`` gives them;
+    same_customer: query, supplier_id."""
+    order = [F.desc("relevance"), F.desc("publish_date"), "lot_id"]
+    evidence = top(lots, "query", order, config.lot_limit, "lot_place").filter(F.col("relevance") >= config.min_relevance)
+    rows = evidence.join(relations.select("lot_id", "supplier_id", "is_winner", "platform"), "lot_id").join(facts, "query")
+    # sums in a fixed order: relevance is rounded to billionths and summed as integers
+    nano = F.round(F.col("relevance") * 1e9).cast("long")
+    total = lambda c: F.coalesce(F.sum(F.when(c, nano)), F.lit(0)) / 1e9
+    per = rows.groupBy("query", "supplier_id").agg(
+        F.count("*").alias("relevant_lots"), F.count_if("is_winner").alias("awards"), F.count_if(F.col("platform") == "EM").alias("em_participations"),
+        F.count_if(F.col("is_winner") & (F.col("platform") == "AIS_GZ")).alias("ais_awards"),
+        F.max("text").alias("product_text"), F.max("okpd2").alias("okpd2"), total(F.lit(True)).alias("_all"), total(F.col("is_winner")).alias("_won"), total(F.col("platform") == "EM").alias("_em"),
+        F.min(F.datediff("as_of", "publish_date")).alias("age"), *[F.first(c).alias(c) for c in ("n_items", "has_code", "has_customer", "redundant")],
+    )
+    near = top(rows, ["query", "supplier_id"], order, max(5, config.quality_top), "nth")
+    five = F.filter(F.sort_array(F.collect_list(F.struct("nth", "lot_id", "product", "code", nano.alias("nano")))), lambda x: x.nth <= 5)
+    quality = F.sum(F.when(F.col("nth") <= config.quality_top, nano)) / 1e9 / config.quality_top
+    shown = near.groupBy("query", "supplier_id").agg(five.alias("_e"), quality.alias("evidence_quality"))
+    cover = rows.select("query", "supplier_id", F.explode("match").alias("no", "value")).groupBy("query", "supplier_id", "no").agg(F.max("value").alias("value"))
+    cover = cover.groupBy("query", "supplier_id").agg((F.sum(F.round(F.col("value") * 1e9).cast("long")) / 1e9).alias("_cover"))
+    known = same_customer.select("query", "supplier_id").distinct().withColumn("_same", F.lit(1.0))
+    keys = ["query", "supplier_id"]
+    out = per.join(shown, keys).join(cover, keys, "left").join(known, keys, "left").select(
+        *keys, "relevant_lots", "awards", "em_participations", "ais_awards", "age", "n_items", "has_code", "has_customer", "redundant", "product_text", "okpd2",
+        scalars.saturation(F.col("_all"), config.evidence_saturation).alias("historical_relevance"), scalars.saturation(F.col("_won"), config.awards_saturation).alias("relevant_awards"),
+        scalars.saturation(F.col("_em"), config.participation_saturation).alias("em_participation"), scalars.recency(F.col("age"), config.half_life).alias("recency"), F.coalesce("_same", F.lit(0.0)).alias("same_customer"),
+        "evidence_quality", (F.coalesce("_cover", F.lit(0.0)) / F.col("n_items")).alias("item_coverage"),
+        F.col("_e.lot_id").alias("evidence_lots"), F.slice(F.array_distinct(F.filter("_e.product", lambda p: p.isNotNull())), 1, 3).alias("best_products"), F.get("_e.code", F.lit(0)).alias("best_code"),
+    )
+    weights = {c: F.lit(getattr(config, c)) for c in COMPONENTS}
+    weights["product_text"] = F.when(F.col("redundant"), config.product_text * config.redundant_factor).otherwise(config.product_text)
+    weights["okpd2"] = F.when(F.col("has_code"), config.okpd2).otherwise(0.0)
+    weights["same_customer"] = F.when(F.col("has_customer"), config.same_customer).otherwise(0.0)
+    weights["item_coverage"] = F.when(F.col("n_items") >= 2, config.item_coverage).otherwise(0.0)
+    whole = sum(weights.values(), F.lit(0.0))
+    score = sum((weights[c] * F.col(c) for c in COMPONENTS), F.lit(0.0)) / F.when(whole > 0, whole).otherwise(1.0)
+    return out.withColumn("score", F.round(score, 6))
+
+
+def placed(ranked: DataFrame, limit: int = 20) -> DataFrame:
+    """The best suppliers of each query: by score, then weighted awards, then id."""
+    return top(ranked, "query", [F.desc("score"), F.desc(F.round("relevant_awards", 4)), "supplier_id"], limit, "rank")
+
+
+def explain(ranked: DataFrame) -> Column:
+    """Template facts from the evidence of a ranked supplier."""
+    return F.concat_ws(
+        "; ",
+        F.format_string("matched %d historically similar lot(s)", "relevant_lots"),
+        F.when(F.col("okpd2") >= 1.0, "exact category match").when(F.col("okpd2") > 0, "related category match"),
+        F.format_string("%d relevant award(s)", "awards"),
+        F.when(F.col("same_customer") > 0, "earlier history with the same customer"),
+    )
 
 
 def query_items(items: DataFrame, frequency: DataFrame, documents: int, limit: int = 8, min_technical: int = 5) -> DataFrame:
@@ -106,11 +385,18 @@ def query_items(items: DataFrame, frequency: DataFrame, documents: int, limit: i
     return top(top(one, "lot_id", [F.desc("info"), "line", "name", "code"], limit, "nth"), "lot_id", ["line", "name", "code"], limit).drop("nth")
 
 
-def code_relation(a: Column, b: Column) -> Column:
-    """3 for equal codes, 2 for one group (two segments), 1 for one class, else 0."""
-    pa, pb = F.split(a, r"\."), F.split(b, r"\.")
-    group = (F.size(pa) >= 2) & (F.size(pb) >= 2) & (F.slice(pa, 1, 2) == F.slice(pb, 1, 2))
-    return F.when(a == b, 3).when(group, 2).when(pa[0] == pb[0], 1).otherwise(0)
+def suggest(found: DataFrame, asked: DataFrame, catalogue: Catalogue, least: float = 0.5, limit: int = 3, config: Config = Config()) -> DataFrame:
+    """Codes that a text suggests: those of items that the text branches found,
+    by their share of similarity.  asked: query, text; gives query, code,
+    share, items, lots, support (items of all codes) and place."""
+    features = catalogue.features(asked, "text", config).withColumnRenamed("text", "qtext")
+    rows = found.filter("by_text").join(catalogue.items.select("lot_id", "part", "text", F.col("code.code").alias("code")), ["lot_id", "part"]).filter("code is not null")
+    rows = rows.join(catalogue.texts.select("text", "tokens"), "text").join(asked.select("query", F.col("text").alias("qtext")), "query").join(features, "qtext")
+    rows = rows.withColumn("score", similarity(catalogue.top_weight, "weights", "technical", "total", "tokens", "text")).filter(F.col("score") >= least)
+    held = rows.groupBy("query", "code").agg(F.sum(F.round(F.col("score") * 1e9).cast("long")).alias("w"), F.count("*").alias("items"), F.countDistinct("lot_id").alias("lots"))
+    whole = Window.partitionBy("query")
+    held = held.withColumn("share", F.col("w").cast("double") / F.sum("w").over(whole)).withColumn("support", F.sum("items").over(whole))
+    return top(held, "query", [F.desc("w"), "code"], limit).drop("w")
 
 
 def alignment(suggested: DataFrame, provided: str = "provided", min_share: float = 0.15, min_items: int = 3) -> DataFrame:
@@ -121,69 +407,9 @@ def alignment(suggested: DataFrame, provided: str = "provided", min_share: float
     or to the first where none has it, decides; little support is uncertain,
     and a query without a code gets null.
     """
-    related = code_relation(F.col(provided), F.col("code"))
+    related = F.when(F.col(provided).isNotNull() & F.col("code").isNotNull(), scalars.code_relation(F.col(provided), F.col("code")))
     strong = F.max(F.when(F.col("share") >= min_share, related))
     first = F.max(F.when(F.col("place") == 1, related))
     best = suggested.groupBy("query", provided).agg(F.coalesce(strong, first).alias("best"), F.max("support").alias("support"))
-    label = F.when(F.col("support") < min_items, "UNCERTAIN").when(F.col("best") >= 2, "ALIGNED").when(F.col("best") == 1, "UNCERTAIN").otherwise("MISMATCH")
+    label = F.when(F.coalesce("support", F.lit(0)) < min_items, "UNCERTAIN").otherwise(scalars.alignment(F.col("best")))
     return best.withColumn("alignment", F.when(F.col(provided).isNotNull(), label))
-
-
-def lot_scores(matches: DataFrame, config: Config = Config()) -> DataFrame:
-    """Relevance of each lot to a query from its best item for text and for
-    category (query, lot_id, publish_date, text, okpd2)."""
-    wt, wo = config.lot_weights
-    best = matches.groupBy("query", "lot_id", "publish_date").agg(F.max("text").alias("text"), F.max("okpd2").alias("okpd2"))
-    return best.withColumn("relevance", (wt * F.col("text") + wo * F.col("okpd2")) / (wt + wo))
-
-
-def rank_suppliers(lots: DataFrame, relations: DataFrame, queries: DataFrame, same_customer: DataFrame, config: Config = Config()) -> DataFrame:
-    """Suppliers of relevant lots by their weighted components.
-
-    lots: query, lot_id, publish_date, text, okpd2, relevance; relations:
-    lot_id, supplier_id, is_winner, platform; queries: query, as_of;
-    same_customer: query, supplier_id.
-    """
-    order = [F.desc("relevance"), F.desc("publish_date"), F.col("lot_id")]
-    evidence = top(lots.filter(F.col("relevance") >= config.min_relevance), "query", order, config.lot_limit).drop("place")
-    rows = evidence.join(relations.select("lot_id", "supplier_id", "is_winner", "platform"), "lot_id").join(queries.select("query", "as_of"), "query")
-    # sums in a fixed order: relevance is rounded to millionths and summed as integers
-    micro = F.round(F.col("relevance") * 1_000_000).cast("long")
-    best = F.sort_array(F.collect_list("relevance"), False)
-    per = rows.groupBy("query", "supplier_id").agg(
-        F.count("*").alias("relevant_lots"),
-        F.count_if("is_winner").alias("relevant_awards"),
-        F.max("text").alias("product_text"),
-        F.max("okpd2").alias("okpd2"),
-        F.sum(micro).alias("all_sum"),
-        F.coalesce(F.sum(F.when(F.col("is_winner"), micro)), F.lit(0)).alias("won_sum"),
-        F.coalesce(F.sum(F.when(F.col("platform") == "EM", micro)), F.lit(0)).alias("em_sum"),
-        F.min(F.datediff("as_of", "publish_date")).alias("age"),
-        F.aggregate(F.slice(best, 1, config.quality_top), F.lit(0.0), lambda a, x: a + x).alias("best_sum"),
-    )
-    known = same_customer.select("query", "supplier_id").distinct().withColumn("same", F.lit(1.0))
-    per = per.join(known, ["query", "supplier_id"], "left")
-    parts = {
-        "product_text": (config.product_text, F.col("product_text")),
-        "okpd2": (config.okpd2, F.col("okpd2")),
-        "historical_relevance": (config.historical_relevance, scalars.saturation(F.col("all_sum") / 1e6, config.evidence_saturation)),
-        "relevant_awards_score": (config.relevant_awards, scalars.saturation(F.col("won_sum") / 1e6, config.awards_saturation)),
-        "em_participation": (config.em_participation, scalars.saturation(F.col("em_sum") / 1e6, config.participation_saturation)),
-        "recency": (config.recency, scalars.recency(F.col("age"), config.half_life)),
-        "same_customer": (config.same_customer, F.coalesce("same", F.lit(0.0))),
-    }
-    total = sum(w for w, _ in parts.values())
-    out = per.select("query", "supplier_id", "relevant_lots", "relevant_awards", "age", (F.col("best_sum") / config.quality_top).alias("evidence_quality"), *[c.alias(k) for k, (_, c) in parts.items()])
-    score = sum((F.lit(w) * F.col(k) for k, (w, _) in list(parts.items())[1:]), F.lit(config.product_text) * F.col("product_text")) / total
-    return out.withColumn("score", F.round(score, 6))
-
-
-def explain(ranked: DataFrame) -> Column:
-    """Template facts from the evidence of a ranked supplier."""
-    return F.concat_ws(
-        "; ",
-        F.format_string("matched %d historically similar lot(s)", "relevant_lots"),
-        F.when(F.col("okpd2") >= 1.0, "exact category match").when(F.col("okpd2") > 0, "related category match"),
-        F.format_string("%d relevant award(s)", "relevant_awards"),
-        F.when(F.col("same_customer") > 0, "earlier history with the same customer"),
-    )

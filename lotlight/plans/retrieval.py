@@ -1,4 +1,6 @@
-"""Search queries: every part whose key is divisible by 50 asks, all rows answer."""
+"""Search queries: every lot whose key is divisible by 50 asks with its items,
+its customer and its subject; all earlier lots answer.  Free texts are those of
+every fiftieth part."""
 
 from __future__ import annotations
 
@@ -14,39 +16,88 @@ from ..sources.canonical import History
 from .registry import query
 
 AS_OF = date(2000, 1, 1)
-CONFIG = search.Config()
-#: Newest lots of the same code, and of its group, for each query.
-SAME_CODE, SAME_GROUP = 300, 200
-
-_Q = """q AS (SELECT p_partkey AS query, p_name AS name, p_type || '.' || p_brand || '.' || CAST(p_size AS VARCHAR) AS qcode, p_type || '.' || p_brand AS qgroup, p_type AS qclass FROM part WHERE p_partkey % 50 = 0),
- n AS (SELECT count(*) AS docs FROM part), df AS (SELECT token, count(*) AS df FROM tokens GROUP BY 1), idf AS (SELECT token, df, ln((docs + 1) / (df + 1)) + 1 AS idf FROM df, n)"""
-_TEXT = (
-    _Q
-    + """, qt AS (SELECT query, token, idf FROM q JOIN tokens ON part = query JOIN idf USING (token)), tot AS (SELECT query, sum(idf) AS total FROM qt GROUP BY 1),
- seldom AS (SELECT query, token, df, df <= 0.02 * docs AS rare FROM qt JOIN df USING (token), n), few AS (SELECT *, bool_or(rare) OVER (PARTITION BY query) AS any_rare, row_number() OVER (PARTITION BY query ORDER BY rare DESC, df, token) AS nth_rare FROM seldom),
- cand AS (SELECT DISTINCT query, part FROM few JOIN tokens USING (token) WHERE (rare AND nth_rare <= 6) OR NOT any_rare),
- tx AS (SELECT query, part, sum(idf) / any_value(total) AS text FROM cand JOIN tokens USING (part) JOIN qt USING (query, token) JOIN tot USING (query) GROUP BY 1, 2),
- ranked AS (SELECT query, part, text, row_number() OVER (PARTITION BY query ORDER BY round(text, 9) DESC, part) AS place FROM tx)"""
+#: All nine components weigh, and redundant texts count half.
+CONFIG = search.Config(evidence_quality=0.05, item_coverage=0.10, redundant_factor=0.5)
+
+#: Twin: visible goods, tokens, weights; then what asks (a: query, no, text, code).
+_BASE = """his AS MATERIALIZED (SELECT * FROM goods WHERE publish_date < DATE '2000-01-01'), nn AS (SELECT count(*) AS docs, ln(count(*) + 1) + 1 AS top FROM his),
+ tk AS MATERIALIZED (SELECT DISTINCT text, unnest(string_split(text, ' ')) AS token FROM (SELECT DISTINCT text FROM products)), df AS (SELECT token, count(*) AS df FROM his JOIN tk USING (text) GROUP BY 1),
+ w AS MATERIALIZED (SELECT token, coalesce(df, 0) AS df, ln((docs + 1) / (coalesce(df, 0) + 1)) + 1 AS idf, coalesce(df, 0) <= 0.02 * docs AS rare, regexp_matches(token, '[0-9]') AND regexp_matches(token, '[a-z]') AND length(token) >= 5 AS technical, top FROM (SELECT DISTINCT token FROM tk) LEFT JOIN df USING (token), nn),
+ total AS MATERIALIZED (SELECT text, sum(idf) + sum(CASE WHEN technical THEN top ELSE 0 END) AS total, count(*) FILTER (technical) AS technical, count(*) AS n FROM tk JOIN w USING (token) GROUP BY 1)"""
+_LOT_ITEMS = """, one AS (SELECT lot_id, g.text, code, min(line) AS line, round(any_value(total) + CASE WHEN code IS NULL THEN 0 ELSE 1 END, 6) AS info FROM goods g JOIN total USING (text) WHERE lot_id % 50 = 0 GROUP BY 1, 2, 3),
+ lv AS (SELECT DISTINCT code, code_class, code_group, code_kind FROM products WHERE code IS NOT NULL),
+ best8 AS (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY info DESC, line, text, code NULLS FIRST) AS nth FROM one),
+ a AS MATERIALIZED (SELECT lot_id AS query, CAST(row_number() OVER (PARTITION BY lot_id ORDER BY line, text, code NULLS FIRST) AS INTEGER) AS no, text, b.code, code_class, code_group, code_kind FROM best8 b LEFT JOIN lv USING (code) WHERE nth <= 8)"""
+_PART_ITEMS = """, lv AS (SELECT DISTINCT code, code_class, code_group, code_kind FROM products WHERE code IS NOT NULL), a AS MATERIALIZED (SELECT part AS query, 1 AS no, text, code, code_class, code_group, code_kind FROM products WHERE part % 50 = 0)"""
+_FOUND = """, qt AS (SELECT DISTINCT text FROM a), few AS (SELECT qt.text AS q, token, rare, bool_or(rare) OVER (PARTITION BY qt.text) AS any_rare, count(*) OVER (PARTITION BY qt.text) AS n, row_number() OVER (PARTITION BY qt.text ORDER BY rare DESC, idf DESC, token) AS nth FROM qt JOIN tk USING (text) JOIN w USING (token)),
+ met AS (SELECT DISTINCT q, text FROM few JOIN tk USING (token) WHERE rare AND nth <= 6 UNION ALL SELECT q, text FROM few JOIN tk USING (token) WHERE NOT any_rare GROUP BY q, text HAVING count(*) = any_value(n)),
+ common AS (SELECT x.text AS q, y.text, sum(idf) AS got FROM tk x JOIN tk y USING (token) JOIN w USING (token) WHERE x.text IN (SELECT text FROM qt) GROUP BY 1, 2),
+ inside AS MATERIALIZED (SELECT x.text AS q, token, t.text FROM (SELECT text, token FROM tk JOIN w USING (token) WHERE technical AND text IN (SELECT text FROM qt)) x JOIN (SELECT DISTINCT text FROM products) t ON t.text LIKE '%' || replace(replace(replace(token, '!', '!!'), '%', '!%'), '_', '!_') || '%' ESCAPE '!'),
+ sim AS MATERIALIZED (SELECT q, text, round((coalesce(got, 0) + coalesce(n, 0) * (SELECT top FROM nn)) / total, 9) AS s FROM common FULL JOIN (SELECT q, text, count(*) AS n FROM inside GROUP BY 1, 2) USING (q, text) JOIN (SELECT text AS q, total FROM total) USING (q)),
+ texthits AS MATERIALIZED (SELECT q, lot_id, part, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, lot_id, part) AS place FROM met JOIN sim USING (q, text) JOIN his USING (text) QUALIFY place <= 300),
+ techhits AS (SELECT DISTINCT q, lot_id, part FROM (SELECT q, token, lot_id, part, row_number() OVER (PARTITION BY q, token ORDER BY publish_date DESC, lot_id, part) AS place FROM inside JOIN his USING (text)) WHERE place <= 100),
+ qc AS (SELECT DISTINCT code, code_class, code_group, code_kind FROM a WHERE code IS NOT NULL),
+ lotcode AS (SELECT qc.code AS q, lot_id, publish_date, h.code = qc.code AS exact, min_by(part, (line, part)) AS part FROM qc JOIN his h ON CASE WHEN qc.code_kind IS NOT NULL THEN h.code_kind = qc.code_kind ELSE h.code_group = qc.code_group END OR h.code = qc.code GROUP BY 1, 2, 3, 4),
+ codehits AS MATERIALIZED (SELECT q, lot_id, part, exact, row_number() OVER (PARTITION BY q, exact ORDER BY publish_date DESC, lot_id) AS place FROM lotcode QUALIFY place <= CASE WHEN exact THEN 300 ELSE 200 END),
+ found AS MATERIALIZED (SELECT query, lot_id, part, max(b) AS by_text FROM (SELECT query, lot_id, part, true AS b FROM a JOIN texthits ON q = text UNION ALL SELECT query, lot_id, part, true FROM a JOIN techhits ON q = text UNION ALL SELECT query, lot_id, part, false FROM a JOIN codehits ON q = code) GROUP BY 1, 2, 3)"""
+_LOTS = (
+    _BASE + _LOT_ITEMS + _FOUND + """, cc AS (SELECT a.code AS qc, l.code AS hc, CASE WHEN a.code = l.code THEN 1.0 WHEN NOT regexp_matches(a.code, '\\..*\\..*\\.') AND coalesce(l.code_kind = a.code_kind, CASE WHEN a.code_kind IS NULL THEN l.code_group = a.code_group END, false) THEN 0.8
+  WHEN NOT regexp_matches(l.code, '\\..*\\..*\\.') AND coalesce(l.code_kind = a.code_kind, CASE WHEN l.code_kind IS NULL THEN l.code_group = a.code_group END, false) THEN 0.8 WHEN l.code_kind = a.code_kind THEN 0.7 WHEN l.code_group = a.code_group THEN 0.4 WHEN l.code_class = a.code_class THEN 0.1 ELSE 0.0 END AS c FROM qc a, lv l),
+ cell AS (SELECT f.query, f.lot_id, h.publish_date, no, coalesce(s, 0) AS s, CASE WHEN a.code IS NOT NULL THEN coalesce(c, 0) END AS c, f.part, h.text, h.code FROM found f JOIN his h USING (lot_id, part) JOIN a ON a.query = f.query LEFT JOIN sim ON sim.q = a.text AND sim.text = h.text LEFT JOIN cc ON cc.qc = a.code AND cc.hc = h.code),
+ matrix AS MATERIALIZED (SELECT query, lot_id, publish_date, no, max(s) AS s, max(c) AS c, max((s, part, text, code)) AS best FROM cell GROUP BY 1, 2, 3, 4),
+ subject AS (SELECT lot_id, min_by(text, (line, part)) AS subject FROM goods GROUP BY 1), whom AS (SELECT lot_id, CASE WHEN customer % 10 <> 0 THEN customer END AS customer FROM lots),
+ st AS (SELECT x.lot_id AS query, y.lot_id, sum(idf) AS got FROM subject x JOIN tk u ON u.text = x.subject JOIN w USING (token) JOIN tk v ON v.token = u.token JOIN subject y ON y.subject = v.text WHERE x.lot_id % 50 = 0 GROUP BY 1, 2),
+ subjtotal AS (SELECT lot_id AS query, sum(idf) AS total FROM subject JOIN tk ON tk.text = subject JOIN w USING (token) GROUP BY 1),
+ lots2 AS (SELECT query, lot_id, publish_date, round(sum(CAST(round(s * 1e9) AS BIGINT)) / 1e9 / count(s), 9) AS text, round(sum(CAST(round(c * 1e9) AS BIGINT)) / 1e9 / count(c), 9) AS okpd2, max_by(best, (best[1], -no)) AS best, map_from_entries(list((no, round((CAST(0.6 AS DOUBLE) * s + CASE WHEN c IS NULL THEN 0 ELSE CAST(0.3 AS DOUBLE) * c END) / (CAST(0.6 AS DOUBLE) + CASE WHEN c IS NULL THEN 0 ELSE CAST(0.3 AS DOUBLE) END), 9)) ORDER BY no)) AS match FROM matrix GROUP BY 1, 2, 3),
+ scored AS MATERIALIZED (SELECT query, lot_id, publish_date, text, coalesce(okpd2, 0) AS okpd2, round(coalesce(got, 0) / total, 9) AS subject, round((CAST(0.6 AS DOUBLE) * text + coalesce(CAST(0.3 AS DOUBLE) * okpd2, 0) + CAST(0.1 AS DOUBLE) * round(coalesce(got, 0) / total, 9)) / (CAST(0.6 AS DOUBLE) + CASE WHEN okpd2 IS NULL THEN 0 ELSE CAST(0.3 AS DOUBLE) END + CAST(0.1 AS DOUBLE)), 9) AS relevance, best[3] AS product, best[4] AS code, match
+  FROM lots2 JOIN subjtotal USING (query) LEFT JOIN st USING (query, lot_id))"""
+)
+_RANKED = (
+    _LOTS + """, top300 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relevance DESC, publish_date DESC, lot_id) AS lot_place FROM scored QUALIFY lot_place <= 300),
+ e AS MATERIALIZED (SELECT t.query, r.supplier_id, t.lot_id, t.publish_date, text, okpd2, relevance, CAST(round(relevance * 1e9) AS BIGINT) AS nano, is_winner, r.platform, date_diff('day', t.publish_date, DATE '2000-01-01') AS age, product, code, match, row_number() OVER (PARTITION BY t.query, r.supplier_id ORDER BY relevance DESC, t.publish_date DESC, t.lot_id) AS nth FROM top300 t JOIN relations r ON r.lot_id = t.lot_id WHERE relevance >= 0.05),
+ cover AS (SELECT query, supplier_id, sum(v) AS cover FROM (SELECT query, supplier_id, kv.key AS no, CAST(round(max(kv.value) * 1e9) AS BIGINT) / 1e9 AS v FROM (SELECT query, supplier_id, unnest(map_entries(match)) AS kv FROM e) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ red AS (SELECT query, min(CASE WHEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) >= 0.8 THEN 1 ELSE 0 END) = 1 AS redundant, count(*) AS n_items, max(CASE WHEN code IS NULL THEN 0 ELSE 1 END) AS has_code FROM (SELECT query, code, list_distinct(string_split(replace(text, '-', ' '), ' ')) AS x, list_distinct(string_split(replace(subject, '-', ' '), ' ')) AS y FROM a JOIN subject ON subject.lot_id = query) GROUP BY 1),
+ same AS (SELECT DISTINCT x.lot_id AS query, r.supplier_id FROM whom x JOIN whom y ON x.customer = y.customer JOIN relations r ON r.lot_id = y.lot_id WHERE x.lot_id % 50 = 0 AND r.publish_date < DATE '2000-01-01'),
+ s AS (SELECT query, supplier_id, count(*) AS relevant_lots, count(*) FILTER (is_winner) AS awards, count(*) FILTER (platform = 'EM') AS em_participations, count(*) FILTER (is_winner AND platform = 'AIS_GZ') AS ais_awards, max(text) AS product_text, max(okpd2) AS okpd2, CAST(sum(nano) AS DOUBLE) / 1e9 AS al, CAST(coalesce(sum(nano) FILTER (is_winner), 0) AS DOUBLE) / 1e9 AS won, CAST(coalesce(sum(nano) FILTER (platform = 'EM'), 0) AS DOUBLE) / 1e9 AS em, min(age) AS age,
+  CAST(sum(nano) FILTER (nth <= 3) AS DOUBLE) / 1e9 / 3 AS evidence_quality, list(lot_id ORDER BY nth) FILTER (nth <= 5) AS evidence_lots, list(product ORDER BY nth) FILTER (nth <= 5) AS five, min_by(coalesce(code, ''), nth) AS best_code FROM e GROUP BY 1, 2),
+ f AS (SELECT s.*, n_items, redundant, has_code, customer IS NOT NULL AS has_customer, 1 - exp(-al / 10) AS historical_relevance, 1 - exp(-won / 6) AS relevant_awards, 1 - exp(-em / 6) AS em_participation, pow(0.5, age / 365.0) AS recency, CASE WHEN same.supplier_id IS NULL THEN 0.0 ELSE 1.0 END AS same_customer, cover / n_items AS item_coverage,
+  CASE WHEN redundant THEN 0.35 * 0.5 ELSE 0.35 END AS w1, 0.30 * has_code AS w2, CASE WHEN customer IS NULL THEN 0 ELSE 0.05 END AS w7, CASE WHEN n_items >= 2 THEN 0.10 ELSE 0 END AS w9 FROM s JOIN red USING (query) JOIN whom ON whom.lot_id = s.query JOIN cover USING (query, supplier_id) LEFT JOIN same ON same.query = s.query AND same.supplier_id = s.supplier_id),
+ g AS (SELECT *, round((CAST(w1 AS DOUBLE) * product_text + CAST(w2 AS DOUBLE) * okpd2 + 0.10 * historical_relevance + 0.10 * relevant_awards + 0.05 * em_participation + 0.05 * recency + CAST(w7 AS DOUBLE) * same_customer + 0.05 * evidence_quality + CAST(w9 AS DOUBLE) * item_coverage) / CAST(w1 + w2 + 0.10 + 0.10 + 0.05 + 0.05 + w7 + 0.05 + w9 AS DOUBLE), 6) AS score FROM f),
+ h AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, round(relevant_awards, 4) DESC, supplier_id) AS INTEGER) AS rank FROM g)"""
 )
+_VIEWS = "lots relations products goods"
 
 
-def _queries(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").filter("p_partkey % 50 = 0")
-    code, group, klass = canonical.code_parts()
-    return parts.select(F.col("p_partkey").alias("query"), F.col("p_name").alias("name"), code.alias("qcode"), group.alias("qgroup"), klass.alias("qclass"))
+def _history(spark, sf_dir):
+    return History(spark, sf_dir, AS_OF)
 
 
-def _weighted(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), "p_name")
-    catalogue = search.tokens(parts, "part", "p_name")
-    asked = search.tokens(_queries(spark, sf_dir), "query", "name")
-    return catalogue, search.with_idf(asked, search.document_frequency(catalogue), parts.count()), parts
+def _catalogue(spark, sf_dir):
+    return search.Catalogue.of(_history(spark, sf_dir).product_items())
+
+
+def _lot_queries(spark, sf_dir, catalogue):
+    """Lots that ask (query, as_of, customer, subject) and their items (query,
+    no, text, code); customers whose key ends in 0 stay unnamed."""
+    own = canonical.product_items(spark, sf_dir).filter("lot_id % 50 = 0")
+    named = own.select("lot_id", "line", F.col("text").alias("name"), F.col("code.code").alias("code"))
+    kept = search.query_items(named, catalogue.frequency, catalogue.documents, CONFIG.max_items, CONFIG.min_technical)
+    levels = canonical.products(spark, sf_dir).select(F.col("code.code").alias("_c"), F.col("code").alias("levels")).distinct()
+    items = kept.join(levels, kept["code"] == levels["_c"], "left").select(F.col("lot_id").alias("query"), F.col("place").alias("no"), F.col("name").alias("text"), F.col("levels").alias("code"))
+    customer = F.when(F.col("customer") % 10 != 0, F.col("customer")).alias("customer")
+    lots = canonical.lots(spark, sf_dir).select("lot_id", customer).join(canonical.subjects(own), "lot_id")
+    return lots.select(F.col("lot_id").alias("query"), F.lit(AS_OF).alias("as_of"), "customer", "subject"), items
 
 
-def _text_hits(spark, sf_dir):
-    catalogue, asked, parts = _weighted(spark, sf_dir)
-    scored = search.text_scores(asked, catalogue, "query", "part", search.rare_tokens(asked, "query", parts.count()))
-    return search.top(scored, "query", [F.desc(F.round("text", 9)), "part"], CONFIG.text_limit)
+def _part_queries(spark, sf_dir):
+    parts = canonical.products(spark, sf_dir).filter("part % 50 = 0")
+    return parts.select(F.col("part").alias("query"), F.lit(1).alias("no"), "text", "code")
+
+
+def _distinct_texts(spark, sf_dir):
+    catalogue = _catalogue(spark, sf_dir)
+    asked = catalogue.features(_part_queries(spark, sf_dir), "text", CONFIG).withColumnRenamed("text", "key")
+    return catalogue, asked
 
 
 @query("SELECT token, count(*) AS df, ln(((SELECT count(*) FROM part) + 1) / (count(*) + 1)) + 1 AS idf FROM tokens GROUP BY 1", "tokens")
@@ -67,171 +118,164 @@ def corpus_token_frequency(spark, sf_dir):
     return docs.select(F.explode(words).alias("token")).filter(F.length("token") >= 3).groupBy("token").agg(F.count("*").alias("df"))
 
 
-@query(
-    "WITH " + _Q + """, x AS (SELECT query, token, df, idf, df <= 0.02 * docs AS rare FROM q JOIN tokens ON part = query JOIN idf USING (token), n), y AS (SELECT *, bool_or(rare) OVER (PARTITION BY query) AS any_rare, row_number() OVER (PARTITION BY query ORDER BY rare DESC, idf DESC, token) AS place FROM x)
- SELECT query, token, df, any_rare AS rare FROM y WHERE (rare AND place <= 6) OR NOT any_rare""",
-    "tokens",
-)
+@query("WITH " + _BASE + ", qt AS (SELECT DISTINCT text FROM products WHERE part % 50 = 0), x AS (SELECT text, token, df, rare, bool_or(rare) OVER (PARTITION BY text) AS any_rare, row_number() OVER (PARTITION BY text ORDER BY rare DESC, idf DESC, token) AS place FROM qt JOIN tk USING (text) JOIN w USING (token)) SELECT text, token, df, any_rare AS rare FROM x WHERE (rare AND place <= 6) OR NOT any_rare", _VIEWS)
 def rare_query_tokens(spark, sf_dir):
-    _, asked, parts = _weighted(spark, sf_dir)
-    return search.rare_tokens(asked, "query", parts.count())
+    """What each text is searched by: its rarest tokens, or all where none is rare."""
+    catalogue = _catalogue(spark, sf_dir)
+    texts = _part_queries(spark, sf_dir).select("text").distinct()
+    weighted = search.with_idf(search.tokens(texts, "text", "text"), catalogue.frequency, catalogue.documents)
+    return search.rare_tokens(weighted, "text", catalogue.documents)
 
 
-@query("WITH " + _TEXT + " SELECT query, part, round(text, 9) AS text, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 300", "tokens")
+@query("WITH " + _BASE + _PART_ITEMS + _FOUND + " SELECT q AS text, lot_id, part, s AS score, CAST(place AS INTEGER) AS place FROM texthits", _VIEWS)
 def text_retrieval(spark, sf_dir):
-    """The 300 catalogue parts nearest to each query text."""
-    return _text_hits(spark, sf_dir).withColumn("text", F.round("text", 9))
+    """The text branch: 300 items at most for each text, by any rare or by all tokens."""
+    catalogue, asked = _distinct_texts(spark, sf_dir)
+    return search.text_hits(asked, catalogue, CONFIG).withColumnRenamed("key", "text")
 
 
-_CATEGORY = """, c AS (SELECT DISTINCT query, lot_id, publish_date, code, code_group FROM q JOIN items ON code_group = qgroup WHERE publish_date < DATE '2000-01-01'),
- one AS (SELECT query, lot_id, publish_date, max(CASE WHEN code = qcode THEN 1 ELSE 0 END) AS exact FROM c JOIN q USING (query) GROUP BY 1, 2, 3),
- newest AS (SELECT *, row_number() OVER (PARTITION BY query, exact ORDER BY publish_date DESC, lot_id) AS place FROM one),
- same_code AS (SELECT query, lot_id, publish_date, exact, place FROM newest WHERE place <= CASE WHEN exact = 1 THEN 300 ELSE 200 END)"""
+@query("WITH " + _BASE + _PART_ITEMS + _FOUND + " SELECT q AS text, lot_id, part FROM techhits", _VIEWS)
+def technical_retrieval(spark, sf_dir):
+    """The technical branch: the newest 100 items that contain a technical token anywhere."""
+    catalogue, asked = _distinct_texts(spark, sf_dir)
+    return search.technical_hits(asked, catalogue, CONFIG).withColumnRenamed("key", "text")
 
 
-@query("WITH " + _Q + _CATEGORY + " SELECT query, lot_id, publish_date, exact = 1 AS exact, CAST(place AS INTEGER) AS place FROM same_code", "tokens lots items")
-def category_retrieval(spark, sf_dir):
-    """Newest lots of the same code and of the same group, one row a lot."""
-    return _category_hits(spark, sf_dir)
+@query(
+    r"""WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL), t AS (SELECT DISTINCT unnest(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: regexp_matches(x, '[0-9%_@#*&]') AND length(x) >= 3)) AS token FROM documents WHERE doc_id % 50 = 0)
+ SELECT token, count(DISTINCT doc_id) AS documents FROM t JOIN d ON d.text LIKE '%' || replace(replace(replace(token, '!', '!!'), '%', '!%'), '_', '!_') || '%' ESCAPE '!' GROUP BY 1"""
+)
+def substring_search(spark, sf_dir):
+    """In how many documents each odd token (with a digit or a sign, wildcards of
+    LIKE among them) of every fiftieth document occurs, as plain characters."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x.rlike("[0-9%_@#*&]") & (F.length(x) >= 3))
+    asked = docs.filter("doc_id % 50 = 0").select(F.explode(words).alias("token")).distinct()
+    return search.containing(asked, docs, "doc_id").groupBy("token").agg(F.countDistinct("doc_id").alias("documents"))
 
 
-def _category_hits(spark, sf_dir):
-    asked = _queries(spark, sf_dir).select("query", "qcode", F.col("qgroup").alias("code_group"))
-    lots = History(spark, sf_dir, AS_OF).items().select("lot_id", "publish_date", "code", "code_group")
-    one = asked.join(lots, "code_group").groupBy("query", "lot_id", "publish_date").agg(F.max(F.col("code") == F.col("qcode")).alias("exact"))
-    placed = one.withColumn("key", F.struct("query", "exact"))
-    return search.top(placed, "key", [F.desc("publish_date"), "lot_id"], SAME_CODE).filter(F.col("exact") | (F.col("place") <= SAME_GROUP)).select("query", "lot_id", "publish_date", "exact", "place")
+@query("WITH " + _BASE + _PART_ITEMS + _FOUND + " SELECT q AS code, lot_id, part, exact, CAST(place AS INTEGER) AS place FROM codehits", _VIEWS)
+def category_retrieval(spark, sf_dir):
+    """The category branch: newest lots of each code and of its most specific level."""
+    codes = _part_queries(spark, sf_dir).filter("code.code is not null").select(F.col("code").alias("qcode")).distinct()
+    return search.category_hits(codes, _catalogue(spark, sf_dir), CONFIG).withColumnRenamed("q", "code")
 
 
-_LOTS = (
-    _TEXT
-    + _CATEGORY
-    + """, m AS (SELECT r.query, i.lot_id, i.publish_date, r.text, CASE WHEN i.code = qcode THEN 1.0 WHEN i.code_group = qgroup THEN 0.4 WHEN i.code_class = qclass THEN 0.1 ELSE 0.0 END AS okpd2
- FROM ranked r JOIN items i ON i.part = r.part JOIN q ON q.query = r.query WHERE place <= 300 AND i.publish_date < DATE '2000-01-01'
- UNION ALL SELECT query, lot_id, publish_date, 0.0, CASE WHEN exact = 1 THEN 1.0 ELSE 0.4 END FROM same_code),
- best AS (SELECT query, lot_id, publish_date, max(text) AS text, CAST(max(okpd2) AS DOUBLE) AS okpd2 FROM m GROUP BY 1, 2, 3),
- scored AS (SELECT *, (CAST(0.6 AS DOUBLE) * text + CAST(0.3 AS DOUBLE) * okpd2) / (CAST(0.6 AS DOUBLE) + CAST(0.3 AS DOUBLE)) AS relevance FROM best)"""
-)
+def _lots(spark, sf_dir):
+    catalogue = _catalogue(spark, sf_dir)
+    queries, items = _lot_queries(spark, sf_dir, catalogue)
+    matrix = search.match_matrix(search.retrieve(items, catalogue, CONFIG), items, catalogue, CONFIG)
+    return queries, items, search.lot_scores(matrix, queries, canonical.subjects(catalogue.items), catalogue, CONFIG)
 
 
-def _lots(spark, sf_dir):
-    hits = _text_hits(spark, sf_dir).select("query", "part", "text")
-    items = History(spark, sf_dir, AS_OF).items()
-    asked = _queries(spark, sf_dir).drop("name")
-    matched = hits.join(items, "part").join(asked, "query")
-    matched = matched.withColumn("okpd2", search.category_score(("code", "code_group", "code_class"), ("qcode", "qgroup", "qclass")))
-    by_code = _category_hits(spark, sf_dir).select("query", "lot_id", "publish_date", F.lit(0.0).alias("text"), F.when(F.col("exact"), 1.0).otherwise(0.4).alias("okpd2"))
-    return search.lot_scores(matched.select(*by_code.columns).unionByName(by_code), CONFIG)
+@query("WITH " + _LOTS + " SELECT query, lot_id, no, s AS text, c AS okpd2, best[2] AS part FROM matrix", _VIEWS)
+def match_cells(spark, sf_dir):
+    """The sparse matrix of retrieved lots and query items."""
+    catalogue = _catalogue(spark, sf_dir)
+    _, items = _lot_queries(spark, sf_dir, catalogue)
+    matrix = search.match_matrix(search.retrieve(items, catalogue, CONFIG), items, catalogue, CONFIG)
+    return matrix.select("query", "lot_id", "no", "text", "okpd2", "best.part")
 
 
-@query("WITH " + _LOTS + " SELECT query, lot_id, publish_date, round(text, 9) AS text, okpd2, round(relevance, 9) AS relevance FROM scored", "tokens lots items")
+@query("WITH " + _LOTS + " SELECT query, lot_id, publish_date, text, okpd2, subject, relevance, product FROM scored", _VIEWS)
 def lot_relevance(spark, sf_dir):
     """Fused relevance of every retrieved lot."""
-    return _lots(spark, sf_dir).select("query", "lot_id", "publish_date", F.round("text", 9).alias("text"), "okpd2", F.round("relevance", 9).alias("relevance"))
-
-
-_RANKED = (
-    _LOTS
-    + """, placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relevance DESC, publish_date DESC, lot_id) AS place FROM scored WHERE relevance >= 0.05),
- e AS (SELECT p.query, r.supplier_id, p.lot_id, text, okpd2, relevance, CAST(round(relevance * 1000000) AS BIGINT) AS micro, is_winner, r.platform, date_diff('day', p.publish_date, DATE '2000-01-01') AS age,
- row_number() OVER (PARTITION BY p.query, r.supplier_id ORDER BY relevance DESC, p.lot_id) AS nth FROM placed p JOIN relations r ON r.lot_id = p.lot_id WHERE place <= 300 AND r.publish_date < DATE '2000-01-01'),
- same AS (SELECT DISTINCT q.query, r.supplier_id FROM q JOIN lots l ON l.customer = q.query JOIN relations r ON r.lot_id = l.lot_id WHERE l.publish_date < DATE '2000-01-01'),
- s AS (SELECT query, supplier_id, count(*) AS relevant_lots, count(*) FILTER (WHERE is_winner) AS relevant_awards, max(text) AS product_text, max(okpd2) AS okpd2, CAST(sum(micro) AS DOUBLE) / 1e6 AS all_sum,
- CAST(coalesce(sum(micro) FILTER (WHERE is_winner), 0) AS DOUBLE) / 1e6 AS won_sum, CAST(coalesce(sum(micro) FILTER (WHERE platform = 'EM'), 0) AS DOUBLE) / 1e6 AS em_sum, min(age) AS age, sum(relevance) FILTER (WHERE nth <= 3) / 3 AS evidence_quality FROM e GROUP BY 1, 2),
- f AS (SELECT s.*, 1 - exp(-all_sum / 10) AS historical_relevance, 1 - exp(-won_sum / 6) AS relevant_awards_score, 1 - exp(-em_sum / 6) AS em_participation, pow(0.5, age / 365.0) AS recency, CASE WHEN same.supplier_id IS NULL THEN 0.0 ELSE 1.0 END AS same_customer FROM s LEFT JOIN same ON same.query = s.query AND same.supplier_id = s.supplier_id),
- g AS (SELECT *, round((0.35 * product_text + 0.30 * okpd2 + 0.10 * historical_relevance + 0.10 * relevant_awards_score + 0.05 * em_participation + 0.05 * recency + 0.05 * same_customer), 6) AS score FROM f),
- h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, round(relevant_awards_score, 4) DESC, supplier_id) AS rank FROM g)"""
-)
+    return _lots(spark, sf_dir)[2].drop("code", "match")
 
 
 def _ranked(spark, sf_dir):
-    h = History(spark, sf_dir, AS_OF)
-    asked = _queries(spark, sf_dir).select("query").withColumn("as_of", F.lit(AS_OF))
-    lots = h.lots().select("lot_id", F.col("customer").alias("query"))
-    same = asked.select("query").join(lots, "query").join(h.relations().select("lot_id", "supplier_id"), "lot_id")
-    scored = search.rank_suppliers(_lots(spark, sf_dir), h.relations(), asked, same, CONFIG)
-    return search.top(scored, "query", [F.desc("score"), F.desc(F.round("relevant_awards_score", 4)), "supplier_id"], 20, "rank")
+    h = _history(spark, sf_dir)
+    queries, items, lots = _lots(spark, sf_dir)
+    earlier = h.lots().select("lot_id", "customer").filter("customer % 10 != 0")
+    same = queries.select("query", "customer").join(earlier, "customer").join(h.relations().select("lot_id", "supplier_id"), "lot_id")
+    return search.placed(search.rank_suppliers(lots, h.relations(), search.query_features(queries, items, CONFIG), same, CONFIG))
 
 
-@query("WITH " + _RANKED + " SELECT query, supplier_id, relevant_lots, relevant_awards, okpd2, score, round(evidence_quality, 6) AS evidence_quality, CAST(rank AS INTEGER) AS rank FROM h WHERE rank <= 20", "tokens lots relations items")
+@query(
+    "WITH " + _RANKED + " SELECT query, supplier_id, relevant_lots, awards, em_participations, ais_awards, age, " + ", ".join(f"round({c}, 6) AS {c}" for c in search.COMPONENTS) + ", score, rank FROM h WHERE rank <= 20",
+    _VIEWS,
+)
 def supplier_search(spark, sf_dir):
-    """The 20 best suppliers for each query, with their evidence."""
+    """The 20 best suppliers for each query, with their nine components."""
+    facts = ["query", "supplier_id", "relevant_lots", "awards", "em_participations", "ais_awards", "age"]
+    return _ranked(spark, sf_dir).select(*facts, *[F.round(c, 6).alias(c) for c in search.COMPONENTS], "score", "rank")
+
+
+@query(
+    "WITH " + _RANKED + """, p AS (SELECT query, supplier_id, x.i AS i, x.p AS p FROM (SELECT query, supplier_id, unnest(list_transform(five, lambda p, i: {'i': i, 'p': p})) AS x FROM h WHERE rank <= 20) WHERE x.p IS NOT NULL),
+ three AS (SELECT query, supplier_id, string_agg(p, '; ' ORDER BY i) FILTER (nth <= 3) AS products FROM (SELECT *, row_number() OVER (PARTITION BY query, supplier_id ORDER BY i) AS nth FROM (SELECT query, supplier_id, p, min(i) AS i FROM p GROUP BY 1, 2, 3)) GROUP BY 1, 2)
+ SELECT query, supplier_id, rank, array_to_string(evidence_lots, '; ') AS lots, coalesce(products, '') AS products, best_code FROM h LEFT JOIN three USING (query, supplier_id) WHERE rank <= 20""",
+    _VIEWS,
+)
+def supplier_evidence(spark, sf_dir):
+    """The five most relevant lots of each ranked supplier and their first three products."""
     out = _ranked(spark, sf_dir)
-    return out.select("query", "supplier_id", "relevant_lots", "relevant_awards", "okpd2", "score", F.round("evidence_quality", 6).alias("evidence_quality"), "rank")
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), "; ")
+    return out.select("query", "supplier_id", "rank", join("evidence_lots").alias("lots"), join("best_products").alias("products"), F.coalesce("best_code", F.lit("")).alias("best_code"))
 
 
 @query(
-    "WITH " + _RANKED + """ SELECT query, supplier_id, CAST(rank AS INTEGER) AS rank, 'matched ' || relevant_lots || ' historically similar lot(s)' || CASE WHEN okpd2 >= 1.0 THEN '; exact category match' WHEN okpd2 > 0 THEN '; related category match' ELSE '' END
- || '; ' || relevant_awards || ' relevant award(s)' || CASE WHEN same_customer > 0 THEN '; earlier history with the same customer' ELSE '' END AS reasons FROM h WHERE rank <= 20""",
-    "tokens lots relations items",
+    "WITH " + _RANKED + """ SELECT query, supplier_id, rank, 'matched ' || relevant_lots || ' historically similar lot(s)' || CASE WHEN okpd2 >= 1.0 THEN '; exact category match' WHEN okpd2 > 0 THEN '; related category match' ELSE '' END
+ || '; ' || awards || ' relevant award(s)' || CASE WHEN same_customer > 0 THEN '; earlier history with the same customer' ELSE '' END AS reasons FROM h WHERE rank <= 20""",
+    _VIEWS,
 )
 def supplier_reasons(spark, sf_dir):
     out = _ranked(spark, sf_dir)
     return out.select("query", "supplier_id", "rank", search.explain(out).alias("reasons"))
 
 
-@query(
-    "WITH " + _RANKED + " SELECT query, h.supplier_id, n_name AS nation, CAST(rank AS INTEGER) AS rank FROM h JOIN supplier ON s_suppkey = h.supplier_id JOIN nation ON n_nationkey = s_nationkey WHERE rank <= 20 AND n_regionkey = 1",
-    "tokens lots relations items",
-)
+@query("WITH " + _RANKED + " SELECT query, h.supplier_id, n_name AS nation, rank FROM h JOIN supplier ON s_suppkey = h.supplier_id JOIN nation ON n_nationkey = s_nationkey WHERE rank <= 20 AND n_regionkey = 1", _VIEWS)
 def supplier_search_region(spark, sf_dir):
     """A region filter after ranking: ranks keep their global value."""
     places = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation").filter("n_regionkey = 1"), F.col("s_nationkey") == F.col("n_nationkey"))
     return _ranked(spark, sf_dir).join(places.select(F.col("s_suppkey").alias("supplier_id"), F.col("n_name").alias("nation")), "supplier_id").select("query", "supplier_id", "nation", "rank")
 
 
-@query(
-    "WITH " + _TEXT + """, x AS (SELECT query, code, sum(CAST(round(text * 1000000) AS BIGINT)) AS w, count(*) AS items FROM ranked JOIN (SELECT p_partkey AS part, p_type || '.' || p_brand AS code FROM part) USING (part) WHERE place <= 300 AND text >= 0.5 GROUP BY 1, 2),
- y AS (SELECT query, code, CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY query) AS DOUBLE) AS share, items, row_number() OVER (PARTITION BY query ORDER BY w DESC, code) AS place FROM x) SELECT query, code, round(share, 4) AS share, items, CAST(place AS INTEGER) AS place FROM y WHERE place <= 3""",
-    "tokens",
+_SUGGESTED = (
+    _BASE + _PART_ITEMS + _FOUND + """, x AS (SELECT query, h.code, sum(CAST(round(s * 1e9) AS BIGINT)) AS w, count(*) AS items, count(DISTINCT h.lot_id) AS lots FROM found f JOIN his h USING (lot_id, part) JOIN a USING (query) JOIN sim ON sim.q = a.text AND sim.text = h.text WHERE by_text AND h.code IS NOT NULL AND s >= 0.5 GROUP BY 1, 2),
+ y AS (SELECT *, CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY query) AS DOUBLE) AS share, CAST(sum(items) OVER (PARTITION BY query) AS BIGINT) AS support, CAST(row_number() OVER (PARTITION BY query ORDER BY w DESC, code) AS INTEGER) AS place FROM x QUALIFY place <= 3)"""
 )
-def suggested_codes(spark, sf_dir):
-    """Category codes suggested by the text alone, by similarity-weighted share."""
-    from pyspark.sql import Window
 
-    codes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), canonical.code_parts()[1].alias("code"))
-    micro = F.round(F.col("text") * 1_000_000).cast("long")
-    held = _text_hits(spark, sf_dir).filter("text >= 0.5").join(codes, "part").groupBy("query", "code").agg(F.sum(micro).alias("w"), F.count("*").alias("items"))
-    share = F.col("w").cast("double") / F.sum("w").over(Window.partitionBy("query"))
-    return search.top(held.withColumn("share", share), "query", [F.desc("w"), "code"], 3).select("query", "code", F.round("share", 4).alias("share"), "items", "place")
+
+def _suggested(spark, sf_dir):
+    catalogue = _catalogue(spark, sf_dir)
+    asked = _part_queries(spark, sf_dir)
+    return search.suggest(search.retrieve(asked, catalogue, CONFIG), asked, catalogue, config=CONFIG)
+
+
+@query("WITH " + _SUGGESTED + " SELECT query, code, round(share, 4) AS share, items, lots, support, place FROM y", _VIEWS)
+def suggested_codes(spark, sf_dir):
+    """Category codes that a text suggests, by similarity-weighted share."""
+    return _suggested(spark, sf_dir).withColumn("share", F.round("share", 4))
 
 
 @query(
-    "WITH " + _Q + r""", w AS (SELECT part, sum(idf) AS w, count(*) FILTER (regexp_matches(token, '[0-9]') AND regexp_matches(token, '\p{L}') AND length(token) >= 5) AS technical FROM tokens JOIN idf USING (token) GROUP BY 1),
- one AS (SELECT l_orderkey AS lot_id, p_name AS name, p_type || '.' || p_brand || '.' || CAST(p_size AS VARCHAR) AS code, min(l_linenumber) AS line, round(any_value(w) + (ln(any_value(docs) + 1) + 1) * any_value(technical) + 1, 6) AS info
- FROM lineitem JOIN part ON p_partkey = l_partkey JOIN w ON part = p_partkey, n GROUP BY 1, 2, 3),
- nth AS (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY info DESC, line, name, code) AS nth FROM one)
- SELECT lot_id, name, code, line, info, CAST(row_number() OVER (PARTITION BY lot_id ORDER BY line, name, code) AS INTEGER) AS place FROM nth WHERE nth <= 8""",
-    "tokens",
+    "WITH " + _SUGGESTED + """, given AS (SELECT x.part AS query, CASE WHEN x.part % 150 = 0 THEN NULL WHEN x.part % 100 = 0 THEN y.code ELSE x.code END AS provided FROM products x LEFT JOIN products y ON y.part = x.part + 1 WHERE x.part % 50 = 0),
+ z AS (SELECT g.query, provided, share, support, place, CASE WHEN code = provided THEN 3 WHEN contains(code, '.') AND contains(provided, '.') AND string_split(code, '.')[:2] = string_split(provided, '.')[:2] THEN 2 WHEN split_part(code, '.', 1) = split_part(provided, '.', 1) THEN 1 WHEN provided IS NOT NULL AND code IS NOT NULL THEN 0 END AS related FROM given g LEFT JOIN y ON y.query = g.query),
+ b AS (SELECT query, provided, max(support) AS support, coalesce(max(CASE WHEN share >= 0.15 THEN related END), max(CASE WHEN place = 1 THEN related END)) AS best FROM z GROUP BY 1, 2)
+ SELECT query, provided, best, support, CASE WHEN provided IS NULL THEN NULL WHEN coalesce(support, 0) < 3 THEN 'UNCERTAIN' WHEN best >= 2 THEN 'ALIGNED' WHEN best = 1 THEN 'UNCERTAIN' ELSE 'MISMATCH' END AS alignment FROM b""",
+    _VIEWS,
 )
-def query_items(spark, sf_dir):
-    """Every lot as a query of its eight most informative items."""
-    parts = table(spark, sf_dir, "part")
-    lines = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    items = lines.select(F.col("l_orderkey").alias("lot_id"), F.col("l_linenumber").alias("line"), F.col("p_name").alias("name"), canonical.code_parts()[0].alias("code"))
-    frequency = search.document_frequency(search.tokens(parts, "p_partkey", "p_name"))
-    return search.query_items(items, frequency, parts.count())
+def code_alignment(spark, sf_dir):
+    """A code given with each text (its own, another part's, or none) against those that the text suggests."""
+    products = canonical.products(spark, sf_dir)
+    other = products.select((F.col("part") - 1).alias("query"), F.col("code.code").alias("other"))
+    given = F.when(F.col("query") % 150 == 0, None).when(F.col("query") % 100 == 0, F.col("other")).otherwise(F.col("code.code"))
+    asked = _part_queries(spark, sf_dir).join(other, "query", "left").select("query", given.alias("provided"))
+    return search.alignment(asked.join(_suggested(spark, sf_dir), "query", "left"))
 
 
 @query(
-    "WITH " + _TEXT + """, x AS (SELECT query, code, sum(CAST(round(text * 1000000) AS BIGINT)) AS w, count(*) AS items FROM ranked JOIN (SELECT p_partkey AS part, p_type || '.' || p_brand AS code FROM part) USING (part) WHERE place <= 300 AND text >= 0.5 GROUP BY 1, 2),
- y AS (SELECT query, code, CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY query) AS DOUBLE) AS share, sum(items) OVER (PARTITION BY query) AS support, row_number() OVER (PARTITION BY query ORDER BY w DESC, code) AS place FROM x),
- z AS (SELECT y.query, qcode AS provided, share, support, place, CASE WHEN code = qcode THEN 3 WHEN code = qgroup THEN 2 WHEN split_part(code, '.', 1) = qclass THEN 1 ELSE 0 END AS related FROM y JOIN q ON q.query = y.query WHERE place <= 3),
- b AS (SELECT query, provided, CAST(max(support) AS BIGINT) AS support, CAST(coalesce(max(CASE WHEN share >= 0.15 THEN related END), max(CASE WHEN place = 1 THEN related END)) AS INTEGER) AS best FROM z GROUP BY 1, 2)
- SELECT *, CASE WHEN support < 3 THEN 'UNCERTAIN' WHEN best >= 2 THEN 'ALIGNED' WHEN best = 1 THEN 'UNCERTAIN' ELSE 'MISMATCH' END AS alignment FROM b""",
-    "tokens",
+    "WITH " + _BASE + """, one AS (SELECT lot_id, g.text AS name, code, min(line) AS line, round(any_value(total) + CASE WHEN code IS NULL THEN 0 ELSE 1 END, 6) AS info FROM goods g JOIN total USING (text) GROUP BY 1, 2, 3),
+ nth AS (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY info DESC, line, name, code NULLS FIRST) AS nth FROM one)
+ SELECT lot_id, name, code, line, info, CAST(row_number() OVER (PARTITION BY lot_id ORDER BY line, name, code NULLS FIRST) AS INTEGER) AS place FROM nth WHERE nth <= 8""",
+    _VIEWS,
 )
-def code_alignment(spark, sf_dir):
-    """Each query's own code against the groups that its text suggests."""
-    from pyspark.sql import Window
-
-    codes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), canonical.code_parts()[1].alias("code"))
-    micro = F.round(F.col("text") * 1_000_000).cast("long")
-    held = _text_hits(spark, sf_dir).filter("text >= 0.5").join(codes, "part").groupBy("query", "code").agg(F.sum(micro).alias("w"), F.count("*").alias("items"))
-    whole = Window.partitionBy("query")
-    held = held.withColumn("share", F.col("w").cast("double") / F.sum("w").over(whole)).withColumn("support", F.sum("items").over(whole))
-    asked = _queries(spark, sf_dir).select("query", F.col("qcode").alias("provided"))
-    return search.alignment(search.top(held, "query", [F.desc("w"), "code"], 3).join(asked, "query"))
+def query_items(spark, sf_dir):
+    """Every lot as a query of its eight most informative items."""
+    catalogue = _catalogue(spark, sf_dir)
+    items = canonical.product_items(spark, sf_dir).select("lot_id", "line", F.col("text").alias("name"), F.col("code.code").alias("code"))
+    return search.query_items(items, catalogue.frequency, catalogue.documents)
 
 
 @query(

@@ -30,3 +30,11 @@ def folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         top = tempfile.mkdtemp(prefix="spark-")
     return f"{top.rstrip('/')}/core-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a new shared folder and read back: later parts of a
+    query read it as often as they like, and lost executors cost no rerun."""
+    path = folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -52,6 +52,37 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).join(dated, "lot_id").select("lot_id", "publish_date", "name", "code", "code_group", "code_class", F.col("l_partkey").alias("part"))
 
 
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product texts and category codes of mixed depth for the search.
+
+    Every third size has a model mark behind the name.  A code is type, brand
+    and the two digits of the size; sizes that end in 5 stop at the first
+    digit, those that end in 0 at the brand, and size 50 has no code."""
+    size = F.col("p_size")
+    mark = F.concat(F.lit(" b"), F.split("p_brand", "#")[1], F.lit("-"), size.cast("string"))
+    text = F.concat("p_name", F.when(size % 3 == 0, mark).otherwise(""))
+    group = F.concat_ws(".", "p_type", "p_brand")
+    tens, ones = F.floor(size / 10).cast("string"), (size % 10).cast("string")
+    kind = F.when(size % 10 != 0, F.concat_ws(".", group, tens))
+    code = F.when(size % 10 == 0, group).when(size % 10 == 5, kind).otherwise(F.concat_ws(".", group, tens, ones))
+    has = lambda c: F.when(size != 50, c)
+    none = F.lit(None).cast("string")
+    levels = F.struct(has(code).alias("code"), has(F.col("p_type")).alias("class"), none.alias("subclass"), has(group).alias("group"), none.alias("subgroup"), has(kind).alias("kind"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), text.alias("text"), levels.alias("code"))
+
+
+def product_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per product of a lot: lot_id, part, line (the first), publish_date, text, code."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("lot_id"), F.col("l_partkey").alias("part")).agg(F.min("l_linenumber").alias("line"))
+    dated = lots(spark, sf_dir).select("lot_id", "publish_date")
+    return lines.join(products(spark, sf_dir), "part").join(dated, "lot_id").select("lot_id", "part", "line", "publish_date", "text", "code")
+
+
+def subjects(items: DataFrame) -> DataFrame:
+    """A lot's subject: the text of its first line (of several the smallest part's)."""
+    return items.groupBy("lot_id").agg(F.min_by("text", F.struct("line", "part")).alias("subject"))
+
+
 def visible(as_of: date, column: str = "publish_date") -> Column:
     """The one temporal rule: strictly before the cut-off."""
     return F.col(column) < F.lit(as_of)
@@ -82,6 +113,9 @@ class History:
     def items(self) -> DataFrame:
         return items(self.spark, self.sf_dir).filter(visible(self.as_of))
 
+    def product_items(self) -> DataFrame:
+        return product_items(self.spark, self.sf_dir).filter(visible(self.as_of))
+
     def categories(self, scope: str) -> DataFrame:
         """Distinct lot and category value, called ``code``."""
         return self.items().select("lot_id", F.col(SCOPES[scope]).alias("code")).distinct()
