@@ -78,31 +78,30 @@ def okpd2(raw: Column) -> Column:
     )
 
 
-def _deepest(o: Column) -> tuple[Column, Column]:
-    """Name and value of the deepest level a code itself denotes."""
-    name = value = F.lit(None).cast("string")
-    for level, _ in reversed(LEVEL_SCORES):
-        name, value = F.when(o[level].isNotNull(), level).otherwise(name), F.when(o[level].isNotNull(), o[level]).otherwise(value)
+def okpd2_path(o: Column) -> Column:
+    """A category struct with its levels in order, and the place of the
+    deepest level it denotes itself (none for a whole code of four parts)."""
+    path = F.array(*[o[level] for level, _ in reversed(LEVEL_SCORES)])
+    deepest = F.lit(None).cast("int")
+    for i in range(len(LEVEL_SCORES)):
+        deepest = F.when(path[i].isNotNull(), i).otherwise(deepest)
     whole = F.size(F.split(o["code"], r"\.")) == 4
-    return F.when(~whole, name), F.when(~whole, value)
+    return F.struct(o["code"].alias("code"), path.alias("path"), F.when(~whole, deepest).alias("deepest"))
 
 
-def _level(o: Column, name: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for level, _ in LEVEL_SCORES:
-        out = F.when(name == level, o[level]).otherwise(out)
-    return out
+def path_similarity(q: Column, h: Column) -> Column:
+    """Similarity of two categories as ``okpd2_path`` gives them."""
+    same = lambda i: F.coalesce(F.get(q["path"], i) == F.get(h["path"], i), F.lit(False))
+    out = F.when(same(q["deepest"]) | same(h["deepest"]), 0.8)
+    for i, (_, score) in enumerate(LEVEL_SCORES):
+        out = out.when(same(F.lit(len(LEVEL_SCORES) - 1 - i)), score)
+    return F.when(q["code"].isNull() | h["code"].isNull(), 0.0).when(q["code"] == h["code"], 1.0).otherwise(out.otherwise(0.0))
 
 
 def okpd2_similarity(q: Column, h: Column) -> Column:
     """1 for the same code, 0.8 where one lies in the other's branch, then by
     the deepest common level; 0 for unrelated or missing codes."""
-    (qn, qv), (hn, hv) = _deepest(q), _deepest(h)
-    inside = (F.coalesce(_level(h, qn) == qv, F.lit(False))) | (F.coalesce(_level(q, hn) == hv, F.lit(False)))
-    out = F.lit(0.0)
-    for level, score in reversed(LEVEL_SCORES):
-        out = F.when(q[level] == h[level], score).otherwise(out)
-    return F.when(q["code"].isNull() | h["code"].isNull(), 0.0).when(q["code"] == h["code"], 1.0).when(inside, 0.8).otherwise(out)
+    return path_similarity(okpd2_path(q), okpd2_path(h))
 
 
 def price(raw: Column) -> Column:

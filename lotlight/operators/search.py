@@ -141,12 +141,13 @@ def _total(weights: str | Column) -> Column:
     return F.aggregate(weights, F.lit(0.0), lambda s, x: s + x.idf)
 
 
-def similarity(top_weight: Column, weights: str, technical: str, total: str, tokens: str, text: str) -> Column:
-    """Share of a query text's weight that an item's text holds; technical
-    tokens count with the largest weight wherever the text contains them."""
-    found = _total(F.filter(weights, lambda x: F.array_contains(tokens, x.token)))
-    inside = F.size(F.filter(technical, lambda t: F.contains(F.col(text), t)))
-    return F.round(F.when(F.col(total) > 0, (found + top_weight * inside) / F.col(total)).otherwise(0.0), 9)
+def similarity(top_weight: Column, asked: Column, tokens: Column, text: Column) -> Column:
+    """Share of a query text's weight (``asked``: weights, technical, total)
+    that an item's text holds; technical tokens count with the largest weight
+    wherever the text contains them.  Null for a text without tokens."""
+    found = F.aggregate(asked["weights"], F.lit(0.0), lambda s, x: s + F.when(F.array_contains(tokens, x.token), x.idf).otherwise(0.0))
+    inside = F.size(F.filter(asked["technical"], lambda t: F.contains(text, t)))
+    return F.round(F.when(asked["total"] > 0, (found + top_weight * inside) / asked["total"]), 9)
 
 
 def any_of(asked: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
@@ -201,7 +202,7 @@ def matching_texts(asked: DataFrame, catalogue: Catalogue, config: Config = Conf
     """key and text of the text branch with the text's similarity (asked: features by key)."""
     met = any_of(asked, catalogue, config).unionByName(all_of(asked, catalogue, config))
     scored = met.join(asked, "key").join(catalogue.texts.select("text", "tokens"), "text")
-    return scored.select("key", "text", similarity(catalogue.top_weight, "weights", "technical", "total", "tokens", "text").alias("score"))
+    return scored.select("key", "text", F.coalesce(similarity(catalogue.top_weight, F.struct("weights", "technical", "total"), F.col("tokens"), F.col("text")), F.lit(0.0)).alias("score"))
 
 
 def text_hits(asked: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
@@ -254,31 +255,41 @@ def retrieve(query_items: DataFrame, catalogue: Catalogue, config: Config = Conf
 
 
 def match_matrix(found: DataFrame, query_items: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
-    """Sparse rows (query, lot_id, no): the lot's best text and code match with
-    each query item over all its retrieved items, whatever branch found them."""
-    items = catalogue.items.select("lot_id", "part", "publish_date", "text", F.col("code").alias("hcode"))
-    rows = found.join(items, ["lot_id", "part"]).join(catalogue.texts.select("text", "tokens"), "text", "left")
-    features = catalogue.features(query_items, "text", config).withColumnRenamed("text", "qtext")
-    asked = query_items.select("query", "no", F.col("text").alias("qtext"), F.col("code").alias("qcode")).join(features, "qtext", "left")
-    text = F.when(F.col("total") > 0, F.coalesce(similarity(catalogue.top_weight, "weights", "technical", "total", "tokens", "text"), F.lit(0.0)))
-    code = F.when(F.col("qcode.code").isNotNull(), scalars.okpd2_similarity(F.col("qcode"), F.col("hcode")))
-    cells = rows.join(asked, "query").select("query", "lot_id", "publish_date", "no", "part", F.col("text").alias("name"), F.col("hcode.code").alias("code"), text.alias("text"), code.alias("okpd2"))
-    return cells.groupBy("query", "lot_id", "publish_date", "no").agg(F.max("text").alias("text"), F.max("okpd2").alias("okpd2"), F.max(F.struct("text", "part", "name", "code")).alias("best"))
+    """(query, lot_id, publish_date): the lot's best match with every query
+    item over all its retrieved items, whatever branch found them.
+
+    ``text`` and ``okpd2`` are arrays by query item (null where the item has
+    no tokens or no code).  ``best`` is the best text match: its value, the
+    query item (the earlier of equal ones) and the part (the largest)."""
+    features = catalogue.features(query_items, "text", config)
+    asked = query_items.join(features, "text", "left").groupBy("query").agg(
+        F.sort_array(F.collect_list(F.struct("no", "weights", "technical", "total", scalars.okpd2_path(F.col("code")).alias("path")))).alias("asked")
+    )
+    items = catalogue.items.select("lot_id", "part", "publish_date", "text", scalars.okpd2_path(F.col("code")).alias("path"))
+    rows = found.select("query", "lot_id", "part").join(items, ["lot_id", "part"]).join(catalogue.texts.select("text", "tokens"), "text", "left").join(asked, "query")
+    top_weight = catalogue.top_weight
+    cell = lambda q: F.struct(
+        F.when(q["total"] > 0, F.coalesce(similarity(top_weight, q, F.col("tokens"), F.col("text")), F.lit(0.0))).alias("text"),
+        F.when(q["path"]["code"].isNotNull(), scalars.path_similarity(q["path"], F.col("path"))).alias("okpd2"),
+    )
+    cells = rows.select("query", "lot_id", "publish_date", "part", F.transform("asked", cell).alias("cells"))
+    nearest = F.array_max(F.transform("cells", lambda c, i: F.struct(c["text"].alias("value"), (-i).alias("no"))))
+    per = cells.withColumn("nearest", nearest).groupBy("query", "lot_id", "publish_date").agg(
+        F.max(F.size("cells")).alias("n"), F.max(F.struct("nearest.value", "nearest.no", "part")).alias("best"),
+        *[F.max(F.get("cells", F.lit(i))[c]).alias(f"{c}{i}") for c in ("text", "okpd2") for i in range(config.max_items)],
+    )
+    gathered = [F.slice(F.array(*[f"{c}{i}" for i in range(config.max_items)]), 1, F.col("n")).alias(c) for c in ("text", "okpd2")]
+    return per.select("query", "lot_id", "publish_date", *gathered, F.struct(F.col("best.value"), (1 - F.col("best.no")).alias("no"), F.col("best.part")).alias("best"))
 
 
 def lot_scores(matrix: DataFrame, queries: DataFrame, subjects: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
-    """Relevance of each retrieved lot: means of its cells and the overlap of
-    subjects (lot_id, subject), with the weights of parts that the query has.
-
-    ``best`` is the item with the best text match (of equal ones that for the
-    earlier query item, then the largest part), ``match`` the combined match by query item."""
+    """Relevance of each retrieved lot: means over its row of the matrix and
+    the overlap of subjects (lot_id, subject), with the weights of parts that
+    the query has.  ``match`` is the combined match by query item."""
     wt, wo, ws = config.lot_text, config.lot_okpd2, config.lot_subject
-    cell = (F.coalesce(wt * F.col("text"), F.lit(0.0)) + F.coalesce(wo * F.col("okpd2"), F.lit(0.0))) / F.nullif(F.when(F.col("text").isNotNull(), wt).otherwise(0.0) + F.when(F.col("okpd2").isNotNull(), wo).otherwise(0.0), F.lit(0.0))
-    lots = matrix.groupBy("query", "lot_id", "publish_date").agg(
-        F.round(_mean("text"), 9).alias("text"), F.round(_mean("okpd2"), 9).alias("okpd2"),
-        F.max_by("best", F.struct(F.col("best.text"), -F.col("no"))).alias("best"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("no", F.round(F.coalesce(cell, F.lit(0.0)), 9))))).alias("match"),
-    )
+    both = lambda t, o: F.when(t.isNotNull() | o.isNotNull(), (F.coalesce(wt * t, F.lit(0.0)) + F.coalesce(wo * o, F.lit(0.0))) / (F.when(t.isNotNull(), wt).otherwise(0.0) + F.when(o.isNotNull(), wo).otherwise(0.0)))
+    match = F.zip_with("text", "okpd2", lambda t, o: F.round(F.coalesce(both(t, o), F.lit(0.0)), 9))
+    lots = matrix.select("query", "lot_id", "publish_date", "best.part", match.alias("match"), *[_mean(c).alias(c) for c in ("text", "okpd2")])
     features = catalogue.features(queries, "subject", config).select("subject", "weights", _total("weights").alias("subject_total"))
     told = queries.select("query", "subject").join(features, "subject").filter("subject_total > 0").select("query", "weights", "subject_total")
     out = lots.join(told, "query", "left").join(subjects.select("lot_id", tokens_of("subject").alias("_s")), "lot_id", "left")
@@ -287,13 +298,15 @@ def lot_scores(matrix: DataFrame, queries: DataFrame, subjects: DataFrame, catal
     parts = [("text", wt), ("okpd2", wo), ("subject", ws)]
     whole = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in parts), F.lit(0.0))
     relevance = sum((F.coalesce(w * F.col(c), F.lit(0.0)) for c, w in parts), F.lit(0.0)) / F.when(whole > 0, whole).otherwise(1.0)
-    out = out.withColumn("relevance", F.round(relevance, 9))
-    return out.select("query", "lot_id", "publish_date", *[F.coalesce(c, F.lit(0.0)).alias(c) for c, _ in parts], "relevance", F.col("best.name").alias("product"), F.col("best.code").alias("code"), "match")
+    return out.select("query", "lot_id", "publish_date", *[F.coalesce(c, F.lit(0.0)).alias(c) for c, _ in parts], F.round(relevance, 9).alias("relevance"), "part", "match")
 
 
 def _mean(column: str) -> Column:
-    """A mean of values with nine decimals as a sum of integers, so that no order of rows matters."""
-    return F.sum(F.round(F.col(column) * 1e9).cast("long")) / 1e9 / F.count(column)
+    """Mean of an array's values, which have nine decimals, as a sum of
+    integers; null where it has none."""
+    values = F.filter(column, lambda x: x.isNotNull())
+    total = F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + F.round(x * 1e9).cast("long"))
+    return F.round(F.when(F.size(values) > 0, total / 1e9 / F.size(values)), 9)
 
 
 def query_features(queries: DataFrame, query_items: DataFrame, config: Config = Config()) -> DataFrame:
@@ -324,21 +337,19 @@ def rank_suppliers(lots: DataFrame, relations: DataFrame, facts: DataFrame, same
         F.count_if(F.col("is_winner") & (F.col("platform") == "AIS_GZ")).alias("ais_awards"),
         F.max("text").alias("product_text"), F.max("okpd2").alias("okpd2"), total(F.lit(True)).alias("_all"), total(F.col("is_winner")).alias("_won"), total(F.col("platform") == "EM").alias("_em"),
         F.min(F.datediff("as_of", "publish_date")).alias("age"), *[F.first(c).alias(c) for c in ("n_items", "has_code", "has_customer", "redundant")],
+        sum((F.coalesce(F.round(F.max(F.get("match", F.lit(i))) * 1e9).cast("long"), F.lit(0)) for i in range(config.max_items)), F.lit(0)).alias("_cover"),
     )
     near = top(rows, ["query", "supplier_id"], order, max(5, config.quality_top), "nth")
-    five = F.filter(F.sort_array(F.collect_list(F.struct("nth", "lot_id", "product", "code", nano.alias("nano")))), lambda x: x.nth <= 5)
+    five = F.filter(F.sort_array(F.collect_list(F.struct("nth", "lot_id", "part"))), lambda x: x.nth <= 5)
     quality = F.sum(F.when(F.col("nth") <= config.quality_top, nano)) / 1e9 / config.quality_top
     shown = near.groupBy("query", "supplier_id").agg(five.alias("_e"), quality.alias("evidence_quality"))
-    cover = rows.select("query", "supplier_id", F.explode("match").alias("no", "value")).groupBy("query", "supplier_id", "no").agg(F.max("value").alias("value"))
-    cover = cover.groupBy("query", "supplier_id").agg((F.sum(F.round(F.col("value") * 1e9).cast("long")) / 1e9).alias("_cover"))
     known = same_customer.select("query", "supplier_id").distinct().withColumn("_same", F.lit(1.0))
     keys = ["query", "supplier_id"]
-    out = per.join(shown, keys).join(cover, keys, "left").join(known, keys, "left").select(
+    out = per.join(shown, keys).join(known, keys, "left").select(
         *keys, "relevant_lots", "awards", "em_participations", "ais_awards", "age", "n_items", "has_code", "has_customer", "redundant", "product_text", "okpd2",
         scalars.saturation(F.col("_all"), config.evidence_saturation).alias("historical_relevance"), scalars.saturation(F.col("_won"), config.awards_saturation).alias("relevant_awards"),
         scalars.saturation(F.col("_em"), config.participation_saturation).alias("em_participation"), scalars.recency(F.col("age"), config.half_life).alias("recency"), F.coalesce("_same", F.lit(0.0)).alias("same_customer"),
-        "evidence_quality", (F.coalesce("_cover", F.lit(0.0)) / F.col("n_items")).alias("item_coverage"),
-        F.col("_e.lot_id").alias("evidence_lots"), F.slice(F.array_distinct(F.filter("_e.product", lambda p: p.isNotNull())), 1, 3).alias("best_products"), F.get("_e.code", F.lit(0)).alias("best_code"),
+        "evidence_quality", (F.col("_cover") / 1e9 / F.col("n_items")).alias("item_coverage"), F.col("_e").alias("evidence"),
     )
     weights = {c: F.lit(getattr(config, c)) for c in COMPONENTS}
     weights["product_text"] = F.when(F.col("redundant"), config.product_text * config.redundant_factor).otherwise(config.product_text)
@@ -355,6 +366,17 @@ def placed(ranked: DataFrame, limit: int = 20) -> DataFrame:
     return top(ranked, "query", [F.desc("score"), F.desc(F.round("relevant_awards", 4)), "supplier_id"], limit, "rank")
 
 
+def with_evidence(ranked: DataFrame, products: DataFrame) -> DataFrame:
+    """Ranked suppliers with their five most relevant lots in order, the first
+    three distinct products among these and the first lot's code; products: part, text, code."""
+    told = products.select("part", F.col("text").alias("product"), F.col("code.code").alias("code"))
+    rows = ranked.select("query", "supplier_id", F.explode("evidence").alias("e")).select("query", "supplier_id", "e.nth", "e.lot_id", "e.part").join(told, "part", "left")
+    per = rows.groupBy("query", "supplier_id").agg(F.sort_array(F.collect_list(F.struct("nth", "lot_id", "product", "code"))).alias("_e"))
+    named = F.slice(F.array_distinct(F.filter("_e.product", lambda p: p.isNotNull())), 1, 3)
+    per = per.select("query", "supplier_id", F.col("_e.lot_id").alias("evidence_lots"), named.alias("best_products"), F.get("_e.code", F.lit(0)).alias("best_code"))
+    return ranked.drop("evidence").join(per, ["query", "supplier_id"])
+
+
 def explain(ranked: DataFrame) -> Column:
     """Template facts from the evidence of a ranked supplier."""
     return F.concat_ws(
@@ -392,7 +414,7 @@ def suggest(found: DataFrame, asked: DataFrame, catalogue: Catalogue, least: flo
     features = catalogue.features(asked, "text", config).withColumnRenamed("text", "qtext")
     rows = found.filter("by_text").join(catalogue.items.select("lot_id", "part", "text", F.col("code.code").alias("code")), ["lot_id", "part"]).filter("code is not null")
     rows = rows.join(catalogue.texts.select("text", "tokens"), "text").join(asked.select("query", F.col("text").alias("qtext")), "query").join(features, "qtext")
-    rows = rows.withColumn("score", similarity(catalogue.top_weight, "weights", "technical", "total", "tokens", "text")).filter(F.col("score") >= least)
+    rows = rows.withColumn("score", similarity(catalogue.top_weight, F.struct("weights", "technical", "total"), F.col("tokens"), F.col("text"))).filter(F.col("score") >= least)
     held = rows.groupBy("query", "code").agg(F.sum(F.round(F.col("score") * 1e9).cast("long")).alias("w"), F.count("*").alias("items"), F.countDistinct("lot_id").alias("lots"))
     whole = Window.partitionBy("query")
     held = held.withColumn("share", F.col("w").cast("double") / F.sum("w").over(whole)).withColumn("support", F.sum("items").over(whole))

@@ -49,7 +49,7 @@ _LOTS = (
  st AS (SELECT x.lot_id AS query, y.lot_id, sum(idf) AS got FROM subject x JOIN tk u ON u.text = x.subject JOIN w USING (token) JOIN tk v ON v.token = u.token JOIN subject y ON y.subject = v.text WHERE x.lot_id % 50 = 0 GROUP BY 1, 2),
  subjtotal AS (SELECT lot_id AS query, sum(idf) AS total FROM subject JOIN tk ON tk.text = subject JOIN w USING (token) GROUP BY 1),
  lots2 AS (SELECT query, lot_id, publish_date, round(sum(CAST(round(s * 1e9) AS BIGINT)) / 1e9 / count(s), 9) AS text, round(sum(CAST(round(c * 1e9) AS BIGINT)) / 1e9 / count(c), 9) AS okpd2, max_by(best, (best[1], -no)) AS best, map_from_entries(list((no, round((CAST(0.6 AS DOUBLE) * s + CASE WHEN c IS NULL THEN 0 ELSE CAST(0.3 AS DOUBLE) * c END) / (CAST(0.6 AS DOUBLE) + CASE WHEN c IS NULL THEN 0 ELSE CAST(0.3 AS DOUBLE) END), 9)) ORDER BY no)) AS match FROM matrix GROUP BY 1, 2, 3),
- scored AS MATERIALIZED (SELECT query, lot_id, publish_date, text, coalesce(okpd2, 0) AS okpd2, round(coalesce(got, 0) / total, 9) AS subject, round((CAST(0.6 AS DOUBLE) * text + coalesce(CAST(0.3 AS DOUBLE) * okpd2, 0) + CAST(0.1 AS DOUBLE) * round(coalesce(got, 0) / total, 9)) / (CAST(0.6 AS DOUBLE) + CASE WHEN okpd2 IS NULL THEN 0 ELSE CAST(0.3 AS DOUBLE) END + CAST(0.1 AS DOUBLE)), 9) AS relevance, best[3] AS product, best[4] AS code, match
+ scored AS MATERIALIZED (SELECT query, lot_id, publish_date, text, coalesce(okpd2, 0) AS okpd2, round(coalesce(got, 0) / total, 9) AS subject, round((CAST(0.6 AS DOUBLE) * text + coalesce(CAST(0.3 AS DOUBLE) * okpd2, 0) + CAST(0.1 AS DOUBLE) * round(coalesce(got, 0) / total, 9)) / (CAST(0.6 AS DOUBLE) + CASE WHEN okpd2 IS NULL THEN 0 ELSE CAST(0.3 AS DOUBLE) END + CAST(0.1 AS DOUBLE)), 9) AS relevance, best[2] AS part, best[3] AS product, best[4] AS code, match
   FROM lots2 JOIN subjtotal USING (query) LEFT JOIN st USING (query, lot_id))"""
 )
 _RANKED = (
@@ -168,19 +168,20 @@ def _lots(spark, sf_dir):
     return queries, items, search.lot_scores(matrix, queries, canonical.subjects(catalogue.items), catalogue, CONFIG)
 
 
-@query("WITH " + _LOTS + " SELECT query, lot_id, no, s AS text, c AS okpd2, best[2] AS part FROM matrix", _VIEWS)
+@query("WITH " + _LOTS + " SELECT query, lot_id, no, s AS text, c AS okpd2 FROM matrix", _VIEWS)
 def match_cells(spark, sf_dir):
     """The sparse matrix of retrieved lots and query items."""
     catalogue = _catalogue(spark, sf_dir)
     _, items = _lot_queries(spark, sf_dir, catalogue)
     matrix = search.match_matrix(search.retrieve(items, catalogue, CONFIG), items, catalogue, CONFIG)
-    return matrix.select("query", "lot_id", "no", "text", "okpd2", "best.part")
+    cells = matrix.select("query", "lot_id", F.posexplode(F.arrays_zip("text", "okpd2")).alias("no", "cell"))
+    return cells.select("query", "lot_id", (F.col("no") + 1).alias("no"), "cell.text", "cell.okpd2")
 
 
-@query("WITH " + _LOTS + " SELECT query, lot_id, publish_date, text, okpd2, subject, relevance, product FROM scored", _VIEWS)
+@query("WITH " + _LOTS + " SELECT query, lot_id, publish_date, text, okpd2, subject, relevance, part FROM scored", _VIEWS)
 def lot_relevance(spark, sf_dir):
     """Fused relevance of every retrieved lot."""
-    return _lots(spark, sf_dir)[2].drop("code", "match")
+    return _lots(spark, sf_dir)[2].drop("match")
 
 
 def _ranked(spark, sf_dir):
@@ -209,7 +210,7 @@ def supplier_search(spark, sf_dir):
 )
 def supplier_evidence(spark, sf_dir):
     """The five most relevant lots of each ranked supplier and their first three products."""
-    out = _ranked(spark, sf_dir)
+    out = search.with_evidence(_ranked(spark, sf_dir), canonical.products(spark, sf_dir))
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), "; ")
     return out.select("query", "supplier_id", "rank", join("evidence_lots").alias("lots"), join("best_products").alias("products"), F.coalesce("best_code", F.lit("")).alias("best_code"))
 
