@@ -1,5 +1,10 @@
+import math
+import random
+import time
+
 import pytest
 
+from lotlight.llm import html_text
 from lotlight.llm.html_text import extract, main_text, smoothed, threshold
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -82,3 +87,76 @@ def test_broken_pages_never_raise():
 
 def test_very_long_page():
     assert main_text("<p>" + "word " * 400_000 + "</p>" + "<div>" * 3000 + "<p>" + "tail " * 50) .count("word") == 400_000
+
+
+PROSE = "<p>" + "A sentence of the article that goes on for a while. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("page", [f'<div class="article with-sidebar">{PROSE * 3}</div>', f'<div class="content-side">{PROSE * 3}</div>', f'<div class="share-price-news">{PROSE * 3}</div>', f'<div id="social-history">{PROSE * 4}</div><div>foot</div>'])
+def test_a_name_that_is_a_vote_does_not_cut_the_content(page):
+    assert html_text.main_text(page).count("goes on for a while") == 4 * page.count("<p>")
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "sidebar", "cookie-bar", "ad", "nav-main", "widget-social share"])
+def test_named_parts_beside_the_content_go(name):
+    page = f'<div>{PROSE * 3}</div><div class="{name}"><p>Something that is said beside it.</p></div>'
+    assert "beside it" not in html_text.main_text(page) and "goes on" in html_text.main_text(page)
+
+
+@pytest.mark.parametrize("page", ["<div><p>some text</p>" * 50_000, "<div>" * 50_000 + "x</section>" * 50_000, "<div><u><div>" + "<i>" * 50_000 + "x" + "</u>" * 50_000, "<p><b>x" * 50_000])
+def test_deep_and_broken_nesting_takes_linear_time(page):
+    began = time.time()
+    html_text.main_text(page)
+    assert time.time() - began < 30
+
+
+def random_page(rng):
+    """Nested divs of link lists, prose and short lines, without any telling name."""
+    parts = []
+    for _ in range(rng.randint(3, 8)):
+        kind = rng.choice(["links", "prose", "short"])
+        inner = {"links": "<ul>" + "".join(f'<li><a href="/{i}">go {i}</a></li>' for i in range(rng.randint(4, 14))) + "</ul>", "prose": "".join(f"<p>{'prose words run on here ' * rng.randint(3, 12)}{i}</p>" for i in range(rng.randint(1, 5))), "short": f"<p>line {rng.random():.3f}</p>"}[kind]
+        for _ in range(rng.randint(0, 3)):
+            inner = f"<div>{inner}</div>"
+        parts.append(inner)
+    return "<html><body>" + "".join(parts) + "</body></html>"
+
+
+def brute(page, flat=False):
+    """The choice of a region by scanning all lines for every region."""
+    parser = html_text.Lines()
+    parser.feed(page)
+    parser.close()
+    parser.line_end()
+
+    def path(r):
+        return [0] if r == 0 else [*path(parser.parents[r]), r]
+
+    lines = [(t, tags, path(r)) for t, tags, r in parser.lines]
+    raw = [1.0 if flat else len(t) / max(1, tags) for t, tags, _ in lines]
+    soft = []
+    for i in range(len(raw)):
+        near = [(math.exp(-((i - j) ** 2) / (2 * html_text.SIGMA**2)), raw[j]) for j in range(len(raw)) if abs(i - j) <= html_text.RADIUS]
+        soft.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+    edge = html_text.threshold(soft)
+    low, high = [v for v in soft if v < edge], [v for v in soft if v >= edge]
+    if low and sum(high) / len(high) < html_text.APART * sum(low) / len(low):
+        edge = 0
+    held = lambda r: sum(len(t) for (t, _, p), v in zip(lines, soft) if r in p and v >= edge)
+    at = 0
+    while True:
+        inner = sorted({p[p.index(at) + 1] for _, _, p in lines if at in p[:-1]}, key=lambda r: (-held(r), r))
+        if not inner or held(inner[0]) < html_text.HELD * held(0):
+            return "\n".join(t for t, _, p in lines if at in p)
+        at = inner[0]
+
+
+def test_regions_equal_a_plain_search_and_ratios_decide():
+    rng = random.Random(5)
+    pages = [random_page(rng) for _ in range(300)]
+    found = [html_text.main_text(p) for p in pages]
+    assert found == [brute(p) for p in pages]
+    links = '<div><ul>' + "".join(f'<li><a href="/{i}">a link that leads to page {i}</a></li>' for i in range(40)) + "</ul></div>"
+    mixed = [f"<body>{links}<div>{PROSE * n}</div>{links}</body>" for n in range(3, 12)]
+    told = [html_text.main_text(p) for p in mixed]
+    assert all("a link" not in t for t in told) and sum(a != brute(p, flat=True) for a, p in zip(told, mixed)) > len(mixed) / 2
