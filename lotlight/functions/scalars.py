@@ -226,6 +226,11 @@ def registrable_domain(h: Column) -> Column:
     return F.when((F.size(parts) >= 3) & two.isin(zones), three).otherwise(two)
 
 
+def like_pattern(needle: Column) -> Column:
+    """A LIKE pattern for texts that contain ``needle``; its wildcards are escaped."""
+    return F.concat(F.lit("%"), F.regexp_replace(needle, r"([\\%_])", r"\\$1"), F.lit("%"))
+
+
 def search_id(*fields: Column) -> Column:
     """A stateless id of a search: its request as base64 JSON."""
     return F.base64(F.encode(F.to_json(F.struct(*fields)), "UTF-8"))

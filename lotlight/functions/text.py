@@ -1,10 +1,13 @@
 """The search form of procurement text, in SQL expressions.
 
-First every character is given its plain form or becomes a space, then marks
-stay only where their neighbours give them a meaning: points and commas within
-numbers, per cent after a digit, joints between two letters or digits, double
-quotes as inch marks, signs of multiplication between numbers.  Only rows with
-combining marks go through Python, for their composition.
+Characters first get their plain form.  What remains is then said by one
+pattern of a token: letters and digits, and marks that stand where they mean
+something (a point or comma within a number, a per cent or inch sign behind a
+digit, a joint between two letters or digits).  The tokens are taken out of
+the text in order; everything else is a gap.  Whether a double quote is an
+inch sign depends on the quotes before it, so a fold over the quoted pieces
+says that beforehand.  Only rows with combining marks go through Python, for
+their composition.
 """
 
 from __future__ import annotations
@@ -26,7 +29,11 @@ RAISED = r"²³¹⁰-₟"
 #: What translate() takes: characters, and what they become (the rest vanishes).
 SOURCE, TARGET = "".join(PLAIN) + GONE, "".join(PLAIN.values())
 
-_word, _space = r"[\p{L}\p{N}]", r"[\s\p{Z}\x85]"
+_digit = r"\p{Nd}"
+_letter = rf"[\p{{L}}\p{{N}}&&[^{RAISED}]]"
+#: One character of a token, by what stands around it; a star may turn out to be a sign of multiplication.
+_inside = [_letter, r"\*", rf"(?<={_digit})[.,](?={_digit})", rf'(?<={_digit})[%"]', rf"(?<={_letter})[/+-](?={_letter})"]
+TOKEN = f"(?:{'|'.join(_inside)})+"
 
 
 @F.pandas_udf(StringType())
@@ -35,14 +42,15 @@ def _composed(texts: pd.Series) -> pd.Series:
 
 
 def inch_marks(text: Column) -> Column:
-    """Double quotes stay only as inch marks after a digit outside quotation."""
+    """Double quotes stay only as inch marks after a digit outside quotation;
+    one before a character that can stand in a token opens a quotation."""
     parts = F.transform(F.split(text, '"', -1), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
     last = F.size(parts) - 1
     start = F.struct(parts[0]["p"].alias("out"), parts[0]["p"].alias("before"), F.lit(False).alias("quoting"))
 
     def step(s: Column, x: Column) -> Column:
-        inch = ~s["quoting"] & s["before"].rlike(r"\p{Nd}$")
-        opens = ~s["quoting"] & ~inch & F.when(x["p"] == "", x["i"] < last).otherwise(~x["p"].rlike(f"^{_space}"))
+        inch = ~s["quoting"] & s["before"].rlike(rf"{_digit}$")
+        opens = ~s["quoting"] & ~inch & F.when(x["p"] == "", x["i"] < last).otherwise(x["p"].rlike(rf"^(?:{_letter}|[%*/+-])"))
         return F.struct(F.concat(s["out"], F.when(inch, '"').otherwise(" "), x["p"]).alias("out"), x["p"].alias("before"), opens.alias("quoting"))
 
     return F.when(text.contains('"'), F.aggregate(F.slice(parts, 2, F.greatest(last, F.lit(1))), start, step)["out"]).otherwise(text)
@@ -51,21 +59,14 @@ def inch_marks(text: Column) -> Column:
 def normalize(df: DataFrame, column: str, name: str) -> DataFrame:
     """``df`` with ``name``, the search form of ``column``; null where nothing
     is left.  Applying it twice changes nothing."""
-
-    def spaced(text: Column, pattern: str) -> Column:
-        return F.regexp_replace(text, pattern, " ")
-
     raw = F.col(column)
     out = df.withColumn(name, F.coalesce(_composed(F.when(raw.rlike(r"\p{M}"), raw)), raw))
-    text = F.lower(F.translate(name, SOURCE, TARGET))
-    for unit, plain in UNITS.items():
-        text = F.replace(text, F.lit(unit), F.lit(plain))
-    text = spaced(text, rf"[{RAISED}]|[^\p{{L}}\p{{N}}\s.,/+\"%*-]")
-    out = out.withColumn(name, spaced(text, r"[.,](?!\p{Nd})|(?<!\p{Nd})[.,]"))
-    out = out.withColumn(name, inch_marks(F.col(name)))
-    text = spaced(F.col(name), r"(?<!\p{Nd})%")
-    text = spaced(text, rf"[/+-](?!{_word})|(?<!{_word})[/+-]")
-    text = spaced(text, f"{_space}+")
-    # the sign has a space on both sides or on neither
-    text = F.regexp_replace(text, r"(\p{Nd})( ?)[xх*]\2(?=\p{Nd})", "$1x")
-    return out.withColumn(name, F.nullif(F.trim(spaced(text, "[* ]+")), F.lit("")))
+    plain = F.lower(F.translate(name, SOURCE, TARGET))
+    for unit, digit in UNITS.items():
+        plain = F.replace(plain, F.lit(unit), F.lit(digit))
+    out = out.withColumn(name, plain)
+    out = out.withColumn(name, F.array_join(F.regexp_extract_all(inch_marks(F.col(name)), F.lit(TOKEN), F.lit(0)), " "))
+    # a sign of multiplication between numbers, within a token or as a token of its own
+    signs = F.regexp_replace(name, rf"(?<={_digit})[xх*](?={_digit})", "x")
+    signs = F.regexp_replace(signs, rf"(?<={_digit}) [xх*] (?={_digit})", "x")
+    return out.withColumn(name, F.nullif(F.trim(F.regexp_replace(signs, "[* ]+", " ")), F.lit("")))

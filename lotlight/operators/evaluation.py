@@ -41,13 +41,24 @@ def sampling_key(seed: int, lot: Column) -> Column:
 
 def stratified(rows: DataFrame, total: int, seed: int) -> DataFrame:
     """A deterministic sample: within a stratum by the hash of seed and lot.
-    Each row has its inverse inclusion weight."""
+    Each row has its inverse inclusion weight.
+
+    A stratum's hashes are even, so its places almost surely lie below a
+    threshold and only rows below it are ranked; where fewer rows than places
+    lie there, all rows are."""
     sizes = {r["stratum"]: r["n"] for r in rows.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
     given = allocate(sizes, total)
-    plan = rows.sparkSession.createDataFrame([(k, given[k], round(sizes[k] / given[k], 4) if given[k] else 0.0) for k in sizes], "stratum string, places long, weight double")
+    below = {k: (given[k] + 6 * math.sqrt(given[k]) + 20) / sizes[k] for k in sizes}
+    plan = rows.sparkSession.createDataFrame([(k, given[k], round(sizes[k] / given[k], 4) if given[k] else 0.0, below[k]) for k in sizes], "stratum string, places long, weight double, below double")
     order = sampling_key(seed, F.col("lot_id"))
-    ranked = rows.withColumn("_at", F.row_number().over(Window.partitionBy("stratum").orderBy(order, "lot_id")))
-    return ranked.join(plan, "stratum").filter("_at <= places").drop("_at", "places")
+    share = F.conv(F.substring(order, 1, 12), 16, 10).cast("double") / 16.0**12
+    keyed = rows.join(plan, "stratum")
+    low = keyed.filter(share < F.col("below"))
+    found = {r["stratum"]: r["n"] for r in low.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    if any(found.get(k, 0) < given[k] for k in sizes):
+        low = keyed
+    ranked = low.withColumn("_at", F.row_number().over(Window.partitionBy("stratum").orderBy(order, "lot_id")))
+    return ranked.filter("_at <= places").drop("_at", "places", "below")
 
 
 def difficulty(targets: DataFrame, relations: DataFrame, lots: DataFrame, items: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, search
+from ..operators import asof, evaluation, search
 from ..sources import canonical
 from .registry import query
 
@@ -72,7 +72,8 @@ def _replayed(spark, sf_dir):
     targets = _eligible(spark, sf_dir).filter("lot_id % 50 = 0").select(F.col("lot_id").alias("query"), F.col("publish_date").alias("as_of"), "stratum")
     asked = targets.join(groups.withColumnRenamed("lot_id", "query"), "query")
     won = rel.filter("is_winner").select("lot_id", "supplier_id", "publish_date").join(groups, "lot_id")
-    votes = asked.join(won, "code_group").filter("publish_date < as_of").groupBy("query", "supplier_id").agg(F.count("*").alias("n"))
+    earlier = asof.counts_before(won, asked, "code_group", "supplier_id")
+    votes = asked.join(earlier, ["code_group", "as_of"]).groupBy("query", "supplier_id").agg(F.sum("n").alias("n"))
     ranked = search.top(votes, "query", [F.desc("n"), "supplier_id"], 50, "rank")
     relevant = rel.withColumnRenamed("lot_id", "query").join(targets.select("query"), "query", "left_semi").select("query", "supplier_id", F.when(F.col("is_winner"), 2).otherwise(1).alias("grade"))
     return targets, evaluation.metrics(ranked, relevant)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lotlight.operators import enrich, evaluation, ingest, pool_health, profile, search
+from lotlight.operators import asof, enrich, evaluation, ingest, pool_health, profile, search
 from lotlight.operators.vectors import nearest
 from lotlight.sources import files
 
@@ -144,3 +144,49 @@ def test_registry():
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_counts_before_equal_a_plain_count(spark):
+    import random
+
+    rng = random.Random(4)
+    day = lambda: date(2024, 1, rng.randint(1, 20))
+    events = [(rng.choice("ab"), rng.randint(1, 4), day()) for _ in range(200)] + [("a", 9, None), (None, 1, day())]
+    asked = [(rng.choice("abc"), day()) for _ in range(30)]
+    got = asof.counts_before(spark.createDataFrame(events, "g string, m int, publish_date date"), spark.createDataFrame(asked, "g string, as_of date"), "g", "m")
+    want = {(g, d, m): n for g, d in asked for m in range(10) if (n := sum(e[0] == g and e[1] == m and e[2] is not None and e[2] < d for e in events))}
+    assert {(r["g"], r["as_of"], r["m"]): r["n"] for r in got.collect()} == want
+
+
+def test_sample_by_threshold_equals_a_whole_ranking(spark):
+    rows = spark.range(5000).select(F.col("id").alias("lot_id"), F.when(F.col("id") % 50 == 0, "rare").otherwise("many").alias("stratum"))
+    got = evaluation.stratified(rows, 120, 3).collect()
+    given = evaluation.allocate({"rare": 100, "many": 4900}, 120)
+    keys = {r["lot_id"]: (r["k"], r["stratum"]) for r in rows.withColumn("k", evaluation.sampling_key(3, F.col("lot_id"))).collect()}
+    want = {i for s, n in given.items() for i in sorted((i for i in keys if keys[i][1] == s), key=lambda i: keys[i][0])[:n]}
+    assert {r["lot_id"] for r in got} == want
+
+
+def test_substrings_by_trigrams_equal_contains(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab_%1 é") for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["x" * 30_000 + "a_b"]
+    tokens = [t[i : i + n] for t in texts[:60] for i, n in ((0, 3), (3, 4), (7, 6))] + ["ab", "zzz", "a_b", "%1%"]
+    found = search.containing(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id")
+    assert {(r["token"], r["id"]) for r in found.collect()} == {(t, i) for t in set(tokens) if len(t) >= 3 for i, x in enumerate(texts) if t in x}
+
+
+def test_all_tokens_are_asked_for_where_none_is_rare(spark):
+    names = ["red steel bolt", "red bolt", "steel bolt red long", "blue steel", "red steel", "bolt", "q7-x100 red"]
+    code = "struct<code:string,class:string,subclass:string,`group`:string,subgroup:string,kind:string>"
+    items = spark.createDataFrame([(lot, i, 1, date(2024, 1, 1), n, None) for lot in range(3) for i, n in enumerate(names)], f"lot_id long, part long, line int, publish_date date, text string, code {code}")
+    config = search.Config(max_df_ratio=0.2)
+    catalogue = search.Catalogue.of(items)
+    asked = catalogue.features(spark.createDataFrame([("red steel",), ("bolt",), ("red long",), ("x100",)], "text string"), "text", config).withColumnRenamed("text", "key")
+    got = {}
+    for r in search.matching_texts(asked, catalogue, config).collect():
+        got.setdefault(r["key"], set()).add(r["text"])
+    assert got == {"red steel": {"red steel bolt", "steel bolt red long", "red steel"}, "bolt": {"red steel bolt", "red bolt", "steel bolt red long", "bolt"}, "red long": {"steel bolt red long"}}
+    technical = catalogue.features(spark.createDataFrame([("x100a",), ("-x100",)], "text string"), "text", config).withColumnRenamed("text", "key")
+    assert {(r["key"], r["lot_id"]) for r in search.technical_hits(technical, catalogue, config).collect()} == {("-x100", 0), ("-x100", 1), ("-x100", 2)}
