@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..operators import pool_health, resolver, search
+from ..operators import pool_health, resolver, search, similar
 from ..session import table
 from ..sources import canonical
 from ..sources.canonical import History
@@ -116,6 +116,29 @@ def category_resolution(spark, sf_dir):
     return resolver.resolve(asked, titles)
 
 
+_WORDS = r"unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: length(x) >= 6)))"
+
+
+@query(
+    f"""WITH RECURSIVE q AS (SELECT DISTINCT doc_id AS query, {_WORDS} AS word FROM documents WHERE doc_id % 50 = 0), po AS (SELECT item_id AS code, {_WORDS} AS term FROM benchmark), v AS (SELECT DISTINCT term FROM po), u AS (SELECT DISTINCT word FROM q WHERE word NOT IN (SELECT term FROM v)),
+ c AS MATERIALIZED (SELECT word, term, length(word) AS la, length(term) AS lb FROM u JOIN v ON abs(length(word) - length(term)) <= 2 AND levenshtein(word, term) <= 0.36 * (length(word) + length(term)) + 1e-9),
+ runs AS MATERIALIZED (SELECT word, term, i, j, max(k) AS run FROM (SELECT *, unnest(range(1, least(la, lb) + 1)) AS k FROM (SELECT *, unnest(range(1, lb + 1)) AS j FROM (SELECT *, unnest(range(1, la + 1)) AS i FROM c))) WHERE i + k <= la + 1 AND j + k <= lb + 1 AND substr(word, i, k) = substr(term, j, k) GROUP BY 1, 2, 3, 4),
+ r AS (SELECT word, term, 1 AS alo, la + 1 AS ahi, 1 AS blo, lb + 1 AS bhi, 0 AS m FROM c UNION ALL
+  SELECT word, term, CASE side WHEN 1 THEN alo ELSE best[1] - best[2] END, CASE side WHEN 1 THEN -best[2] ELSE ahi END, CASE side WHEN 1 THEN blo ELSE best[1] - best[3] END, CASE side WHEN 1 THEN -best[3] ELSE bhi END, CASE side WHEN 1 THEN best[1] ELSE 0 END
+  FROM (SELECT word, term, alo, ahi, blo, bhi, max((least(run, ahi - i, bhi - j), -i, -j)) AS best FROM r JOIN runs USING (word, term) WHERE i >= alo AND i < ahi AND j >= blo AND j < bhi GROUP BY 1, 2, 3, 4, 5, 6), (SELECT unnest([1, 2]) AS side)),
+ near AS (SELECT word, term, 2.0 * sum(m) / (length(word) + length(term)) AS ratio FROM r GROUP BY 1, 2 HAVING 2.0 * sum(m) / (length(word) + length(term)) >= 0.88),
+ best AS (SELECT query, code, max(ratio) AS ratio, min_by(term, (-ratio, term)) AS term FROM q JOIN near USING (word) JOIN po USING (term) GROUP BY 1, 2)
+ SELECT query, code, CAST(round(ratio, 6) AS DOUBLE) AS ratio, term, CAST(round(least(0.4, 0.2 + 0.2 * ratio), 3) AS DOUBLE) AS confidence FROM best"""
+)
+def fuzzy_categories(spark, sf_dir):
+    """Suggestions for words of every fiftieth document that no title (a
+    benchmark item) has: titles with a term that is nearly the same."""
+    words = lambda df, key, name: df.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: F.length(x) >= 6))).alias(name))
+    asked = words(table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query"), "query", "word")
+    titles = words(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "code"), "code", "term")
+    return similar.fuzzy_codes(asked, titles).withColumn("ratio", F.round("ratio", 6))
+
+
 @query(
     """WITH p AS (SELECT o_custkey AS k, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders GROUP BY 1), s AS (SELECT least(done / n, 1.0) AS score, least(n, 20) / 40.0 AS second, done >= 3 AS correct FROM p),
  h AS (SELECT round(score, 2) AS score, round(score - second, 2) AS gap, correct, count(*) AS n FROM s GROUP BY 1, 2, 3), g AS (SELECT * FROM h CROSS JOIN (SELECT unnest([0.2, 0.4, 0.6]) AS accept) a CROSS JOIN (SELECT unnest([0.0, 0.2]) AS margin) m)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lotlight.operators import asof, enrich, evaluation, ingest, pool_health, profile, search
+from lotlight.operators import asof, enrich, evaluation, ingest, pool_health, profile, search, similar
 from lotlight.operators.vectors import nearest
 from lotlight.sources import files
 
@@ -190,3 +190,23 @@ def test_all_tokens_are_asked_for_where_none_is_rare(spark):
     assert got == {"red steel": {"red steel bolt", "steel bolt red long", "red steel"}, "bolt": {"red steel bolt", "red bolt", "steel bolt red long", "bolt"}, "red long": {"steel bolt red long"}}
     technical = catalogue.features(spark.createDataFrame([("x100a",), ("-x100",)], "text string"), "text", config).withColumnRenamed("text", "key")
     assert {(r["key"], r["lot_id"]) for r in search.technical_hits(technical, catalogue, config).collect()} == {("-x100", 0), ("-x100", 1), ("-x100", 2)}
+
+
+@pytest.mark.parametrize("least", [0.88, 0.8, 0.7])
+def test_similar_words_equal_all_pairs(spark, least):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(int(least * 100))
+    terms = ["".join(rng.choice("abcdeéж") for _ in range(rng.randint(4, 18))) for _ in range(150)] + ["abababab", "aaaaaaa", "aaaaaaaa"]
+
+    def typo(t):
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(t) + 1)
+            t = rng.choice([t[:i] + rng.choice("abcdeжz") + t[i:], t[:i] + t[i + 1 :], t[:i] + "q" + t[i + 1 :], t[1:] + t[:1]])
+        return t
+
+    words = [typo(t) for t in terms for _ in range(3)] + ["babababa", None, "", "aaaaaaaaa"]
+    got = similar.similar(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in terms] * 2, "term string"), least).collect()
+    want = {(w, t): r for w in set(words) if w and len(w) >= 6 and w not in terms for t in set(terms) if len(t) >= 6 and abs(len(w) - len(t)) <= 2 and (r := SequenceMatcher(None, w, t).ratio()) >= least}
+    assert {(r["word"], r["term"]): r["ratio"] for r in got} == want and len(want) > 50
