@@ -290,6 +290,46 @@ def nearest_vectors(spark, sf_dir):
     return vectors.nearest(v, v.filter("vec_id % 50 = 0"), 10).withColumn("cosine", F.round("cosine", 6))
 
 
+#: Texts of the semantic branch, newest items of each, and its two cut-offs.
+NEAR_TEXTS, NEAR_ITEMS, CUTS = 12, 5, ("1997-06-01", "2000-01-01")
+
+_SEMANTIC = """tx AS (SELECT text, min(part) AS part, min(publish_date) AS first_seen FROM goods GROUP BY 1), em AS (SELECT text, md5(text) AS key, first_seen, CAST(embedding AS DOUBLE[]) AS e FROM tx JOIN embeddings ON vec_id = part % (SELECT count(*) FROM embeddings)),
+ asked AS (SELECT part AS query, text, CAST(embedding AS DOUBLE[]) AS e FROM products JOIN embeddings ON vec_id = part % (SELECT count(*) FROM embeddings) WHERE part % 50 = 0), cuts AS (SELECT CAST(unnest(['1997-06-01', '2000-01-01']) AS DATE) AS as_of),
+ nt AS (SELECT query, as_of, em.text, key, list_cosine_similarity(asked.e, em.e) AS cosine, row_number() OVER (PARTITION BY query, as_of ORDER BY round(list_cosine_similarity(asked.e, em.e), 9) DESC, key) AS rank FROM asked, cuts, em WHERE first_seen < as_of QUALIFY rank <= 12),
+ ni AS (SELECT query, as_of, lot_id, part, cosine, rank, row_number() OVER (PARTITION BY query, as_of, nt.text ORDER BY publish_date DESC, lot_id, part) AS nth FROM nt JOIN goods USING (text) WHERE publish_date < as_of QUALIFY nth <= 5)"""
+
+
+def _semantic(spark, sf_dir):
+    """Items of the texts nearest to every fiftieth part's, at two dates; a
+    part's vector is the one with its key modulo the number of vectors."""
+    vectors_of = table(spark, sf_dir, "embeddings")
+    n = vectors_of.count()
+    embedded = lambda df: df.withColumn("vec_id", F.col("part") % n).join(vectors_of.select("vec_id", "embedding"), "vec_id")
+    items = canonical.product_items(spark, sf_dir)
+    texts = items.groupBy("text").agg(F.min("part").alias("part"), F.min("publish_date").alias("first_seen")).withColumn("key", F.md5("text"))
+    index = vectors.AsOfIndex(embedded(texts))
+    asked = embedded(_part_queries(spark, sf_dir).withColumn("part", F.col("query"))).withColumn("as_of", F.explode(F.array(*[F.lit(c).cast("date") for c in CUTS])))
+    return vectors.newest_items(index.nearest(asked, NEAR_TEXTS), texts.select("key", "text"), items, NEAR_ITEMS)
+
+
+@query("WITH " + _SEMANTIC + " SELECT query, as_of, lot_id, part, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM ni", "lots products goods")
+def semantic_retrieval(spark, sf_dir):
+    """The semantic branch: newest items of the nearest texts first seen before each date, with cosine and rank."""
+    return _semantic(spark, sf_dir).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    "WITH " + _BASE + _PART_ITEMS + _FOUND + ", " + _SEMANTIC + """ SELECT query, n.lot_id, n.part, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank, NOT bool_or(f.lot_id IS NOT NULL) AS semantic_only FROM ni n LEFT JOIN (SELECT DISTINCT query, lot_id FROM found) f USING (query, lot_id) WHERE as_of = DATE '2000-01-01' AND rank <= 6 GROUP BY ALL""",
+    _VIEWS,
+)
+def semantic_provenance(spark, sf_dir):
+    """Of the six nearest texts, which lots no other branch finds."""
+    near = vectors.restricted(_semantic(spark, sf_dir).filter(F.col("as_of") == F.lit(AS_OF)), 6)
+    lexical = search.retrieve(_part_queries(spark, sf_dir), _catalogue(spark, sf_dir), CONFIG).select("query", "lot_id").distinct().withColumn("_met", F.lit(True))
+    out = near.join(lexical, ["query", "lot_id"], "left")
+    return out.select("query", "lot_id", "part", F.round("cosine", 6).alias("cosine"), "rank", F.col("_met").isNull().alias("semantic_only"))
+
+
 @query(
     """WITH p AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS t FROM part), s AS (SELECT p_partkey, string_split(p_name, ' ') AS t, list_distinct(list_append(string_split(lower(p_type), ' '), string_split(p_name, ' ')[1])) AS u FROM part)
  SELECT p_partkey, len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) AS redundancy, len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) >= 0.8 AS redundant FROM s"""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lotlight.operators import asof, enrich, evaluation, ingest, pool_health, profile, search, similar
+from lotlight.operators import asof, enrich, evaluation, ingest, pool_health, profile, search, similar, vectors
 from lotlight.operators.vectors import nearest
 from lotlight.sources import files
 
@@ -210,3 +210,26 @@ def test_similar_words_equal_all_pairs(spark, least):
     got = similar.similar(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in terms] * 2, "term string"), least).collect()
     want = {(w, t): r for w in set(words) if w and len(w) >= 6 and w not in terms for t in set(terms) if len(t) >= 6 and abs(len(w) - len(t)) <= 2 and (r := SequenceMatcher(None, w, t).ratio()) >= least}
     assert {(r["word"], r["term"]): r["ratio"] for r in got} == want and len(want) > 50
+
+
+@pytest.mark.parametrize("lists, part", [(4096, 20_000), (3, 7)])
+def test_as_of_index_equals_brute_force(spark, monkeypatch, lists, part):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "LISTS", lists)
+    monkeypatch.setattr(vectors, "PART", part)
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(6, 8))
+    v = np.concatenate([centers[i % 6] + 0.2 * rng.normal(size=8) for i in range(240)] + [centers[0]] * 60).reshape(-1, 8)
+    seen = [date(2024, 1, 1 + int(x)) for x in rng.integers(0, 28, len(v))]
+    rows = [(f"k{i:03d}", x.tolist(), d) for i, (x, d) in enumerate(zip(v, seen))] + [("none", None, date(2024, 1, 1)), ("never", v[0].tolist(), None)]
+    index = vectors.AsOfIndex(spark.createDataFrame(rows, "key string, embedding array<double>, first_seen date"))
+    asked = [(q, date(2024, 1, d), v[q].tolist()) for q in (0, 1, 50, 250, 299) for d in (1, 2, 15, 31)] + [(7, None, v[7].tolist()), (8, date(2024, 1, 9), None)]
+    got = index.nearest(spark.createDataFrame(asked, "query long, as_of date, embedding array<double>"), 9).collect()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {}
+    for q, d, e in asked:
+        if d and e:
+            order = sorted((-round(float(u[i] @ u[q]), 9), f"k{i:03d}") for i in range(len(v)) if seen[i] < d)[:9]
+            want |= {(q, d, key): r for r, (_, key) in enumerate(order, 1)}
+    assert {(r["query"], r["as_of"], r["key"]): r["rank"] for r in got} == want
