@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars, text
 from ..operators import enrich, ingest
 from ..session import table
-from ..streaming import windows
+from ..streaming import breaker, windows
 from .registry import query
 
 TODAY = date(2024, 2, 1)
@@ -55,6 +55,25 @@ def breaker_islands(spark, sf_dir):
     return enrich.error_islands(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
 
 
+_BREAKER = """WITH RECURSIVE n AS (SELECT event_id, user_id, ts, coalesce(event_type = 'error', false) AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ r AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, 0 AS failures, CAST(NULL AS TIMESTAMP) AS opened, '' AS outcome, false AS opens FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, n, event_id, ts, CASE WHEN skips THEN failures ELSE now END, CASE WHEN skips THEN opened WHEN now >= 2 THEN ts END, CASE WHEN skips THEN 'SKIPPED' WHEN failed THEN 'FAILED' ELSE 'ANSWERED' END, NOT skips AND now >= 2
+  FROM (SELECT n.*, failures, opened, opened IS NOT NULL AND n.ts < opened + INTERVAL 900 SECOND AS skips, CASE WHEN failed THEN 1 + CASE WHEN opened IS NULL THEN failures ELSE 0 END ELSE 0 END AS now FROM r JOIN n ON n.user_id = r.user_id AND n.n = r.n + 1))
+ SELECT event_id, user_id, ts, outcome, opens FROM r WHERE n > 0"""
+
+
+@query(_BREAKER)
+def breaker_calls(spark, sf_dir):
+    """What a breaker with a cool-down makes of every call."""
+    return breaker.calls(table(spark, sf_dir, "events"))
+
+
+@query(_BREAKER)
+def breaker_stream(spark, sf_dir):
+    """The same from a stream with state."""
+    return breaker.stream_calls(spark, f"{sf_dir}/events.parquet")
+
+
 @query(
     """WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1) SELECT c_custkey AS user_id, CASE WHEN last IS NULL THEN 'UNKNOWN' WHEN date_diff('day', CAST(last AS DATE), DATE '2024-02-01') <= 7 THEN 'FRESH' ELSE 'STALE' END AS freshness FROM customer LEFT JOIN l ON l.user_id = c_custkey"""
 )

@@ -17,15 +17,20 @@ def windowed(log: DataFrame, size: str = "1 day", late: str = "2 days") -> DataF
     return timed.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
 
 
-def daily_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Run the windowed count over all files there are, then read its output."""
-    out_dir = folder(spark)
-    source = spark.readStream.schema(LOG)
+def source(spark: SparkSession, path: str) -> DataFrame:
+    """The log as a stream over a file or a folder."""
+    reader = spark.readStream.schema(LOG)
     if any(f.rstrip("/").endswith(path.rstrip("/").rpartition("/")[2]) for f in spark.read.schema(LOG).parquet(path).inputFiles()):
         # one file: streams read folders, so its folder is read with the file's name as filter
         folder_of, _, name = path.rpartition("/")
-        source, path = source.option("pathGlobFilter", name), folder_of
-    log = source.parquet(path)
+        reader, path = reader.option("pathGlobFilter", name), folder_of
+    return reader.parquet(path)
+
+
+def daily_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Run the windowed count over all files there are, then read its output."""
+    out_dir = folder(spark)
+    log = source(spark, path)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_dir}/out/batch={number}")

@@ -233,3 +233,17 @@ def test_as_of_index_equals_brute_force(spark, monkeypatch, lists, part):
             order = sorted((-round(float(u[i] @ u[q]), 9), f"k{i:03d}") for i in range(len(v)) if seen[i] < d)[:9]
             want |= {(q, d, key): r for r, (_, key) in enumerate(order, 1)}
     assert {(r["query"], r["as_of"], r["key"]): r["rank"] for r in got} == want
+
+
+def test_breaker_skips_while_it_cools_and_probes_from_zero(spark):
+    from datetime import datetime, timedelta
+
+    from lotlight.streaming import breaker
+
+    start = datetime(2024, 1, 1)
+    kinds = [(0, "error"), (10, "error"), (20, "view"), (800, "error"), (909, "error"), (910, "error"), (920, "view"), (930, "error"), (940, "error"), (950, None)]
+    rows = [(i, 1, start + timedelta(seconds=s), k) for i, (s, k) in enumerate(kinds)] + [(50, None, start, "error"), (51, None, start, "error"), (52, 2, None, "error"), (53, 2, start, "error")]
+    got = breaker.calls(spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string").repartition(3)).collect()
+    want = "FAILED FAILED SKIPPED SKIPPED SKIPPED FAILED ANSWERED FAILED FAILED SKIPPED".split()
+    by = {r["event_id"]: (r["outcome"], r["opens"]) for r in got}
+    assert [by[i][0] for i in range(10)] == want and [i for i in by if by[i][1]] and {i for i in by if by[i][1]} == {1, 8, 51, 53}
