@@ -18,8 +18,11 @@ branch found the lot.  Every limit is a window that Spark prunes before it sorts
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -254,32 +257,85 @@ def retrieve(query_items: DataFrame, catalogue: Catalogue, config: Config = Conf
     return text_rows.unionByName(code_rows).groupBy("query", "lot_id", "part").agg(F.max("by_text").alias("by_text"))
 
 
+MATRIX = "query long, lot_id long, publish_date date, text array<double>, okpd2 array<double>, value double, no int, part long"
+
+
+def _text_cells(texts: list[str | None], asked: list[dict], top_weight: float) -> np.ndarray:
+    """``similarity`` of each text with each query item."""
+    out = np.zeros((len(texts), len(asked)))
+    for r, text in enumerate(texts):
+        held = set((text or "").split(" "))
+        for c, q in enumerate(asked):
+            if q["total"]:
+                found = sum(x["idf"] for x in q["weights"] if x["token"] in held)
+                out[r, c] = round((found + top_weight * sum(t in (text or "") for t in q["technical"])) / q["total"], 9)
+    return out
+
+
+def _code_cells(codes: list[dict | None], asked: list[dict]) -> np.ndarray:
+    """``scalars.path_similarity`` of each code with each query item's."""
+    out = np.zeros((len(codes), len(asked)))
+    scores = [score for _, score in reversed(scalars.LEVEL_SCORES)]
+    for r, h in enumerate(codes):
+        for c, q in enumerate(q["path"] for q in asked):
+            if h is not None and h["code"] is not None and q["code"] is not None:
+                same = [x is not None and x == y for x, y in zip(q["path"], h["path"])]
+                inside = any(d is not None and same[d] for d in (q["deepest"], h["deepest"]))
+                levels = [score for score, met in zip(scores, same) if met]
+                out[r, c] = 1.0 if h["code"] == q["code"] else 0.8 if inside else max(levels, default=0.0)
+    return out
+
+
 def match_matrix(found: DataFrame, query_items: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
     """(query, lot_id, publish_date): the lot's best match with every query
     item over all its retrieved items, whatever branch found them.
 
     ``text`` and ``okpd2`` are arrays by query item (null where the item has
-    no tokens or no code).  ``best`` is the best text match: its value, the
-    query item (the earlier of equal ones) and the part (the largest)."""
+    no tokens or no code); ``value``, ``no`` and ``part`` say the best text
+    match: its value, the query item (the earlier of equal ones) and the part
+    (the largest).  The limits of the branches bound a query's rows, so its
+    distinct texts and codes are compared once in one group."""
     features = catalogue.features(query_items, "text", config)
-    asked = query_items.join(features, "text", "left").groupBy("query").agg(
+    asked = query_items.join(features, "text", "left").groupBy(F.col("query").alias("_query")).agg(
         F.sort_array(F.collect_list(F.struct("no", "weights", "technical", "total", scalars.okpd2_path(F.col("code")).alias("path")))).alias("asked")
     )
     items = catalogue.items.select("lot_id", "part", "publish_date", "text", scalars.okpd2_path(F.col("code")).alias("path"))
-    rows = found.select("query", "lot_id", "part").join(items, ["lot_id", "part"]).join(catalogue.texts.select("text", "tokens"), "text", "left").join(asked, "query")
-    top_weight = catalogue.top_weight
-    cell = lambda q: F.struct(
-        F.when(q["total"] > 0, F.coalesce(similarity(top_weight, q, F.col("tokens"), F.col("text")), F.lit(0.0))).alias("text"),
-        F.when(q["path"]["code"].isNotNull(), scalars.path_similarity(q["path"], F.col("path"))).alias("okpd2"),
-    )
-    cells = rows.select("query", "lot_id", "publish_date", "part", F.transform("asked", cell).alias("cells"))
-    nearest = F.array_max(F.transform("cells", lambda c, i: F.struct(c["text"].alias("value"), (-i).alias("no"))))
-    per = cells.withColumn("nearest", nearest).groupBy("query", "lot_id", "publish_date").agg(
-        F.max(F.size("cells")).alias("n"), F.max(F.struct("nearest.value", "nearest.no", "part")).alias("best"),
-        *[F.max(F.get("cells", F.lit(i))[c]).alias(f"{c}{i}") for c in ("text", "okpd2") for i in range(config.max_items)],
-    )
-    gathered = [F.slice(F.array(*[f"{c}{i}" for i in range(config.max_items)]), 1, F.col("n")).alias(c) for c in ("text", "okpd2")]
-    return per.select("query", "lot_id", "publish_date", *gathered, F.struct(F.col("best.value"), (1 - F.col("best.no")).alias("no"), F.col("best.part")).alias("best"))
+    rows = found.select("query", "lot_id", "part").join(items, ["lot_id", "part"])
+    top_weight = math.log(catalogue.documents + 1) + 1
+
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(own) or not len(told):
+            return pa.table([pa.array([], t) for t in KINDS], names=NAMES)
+        items = [{**q, "weights": q["weights"] or [], "technical": q["technical"] or [], "total": q["total"] or 0.0} for q in told["asked"][0].as_py()]
+        text = own["text"].combine_chunks().dictionary_encode("encode")
+        code = own["path"].combine_chunks()
+        name = code.field("code").dictionary_encode("encode")
+        where = np.unique(name.indices.to_numpy(), return_index=True)[1]  # a row of each code, in order of numbers
+        t = _text_cells(text.dictionary.to_pylist(), items, top_weight)[text.indices.to_numpy()]
+        c = _code_cells(code.take(pa.array(where)).to_pylist(), items)[name.indices.to_numpy()]
+        lot, part, first = own["lot_id"].to_numpy(), own["part"].to_numpy(), t.argmax(axis=1)
+        value = t[np.arange(len(t)), first]
+        order = np.lexsort((-part, first, -value, lot))  # a lot's best match comes first
+        starts = np.flatnonzero(np.diff(lot[order], prepend=lot[order[0]] - 1))
+        best = order[starts]
+
+        def cells(values: np.ndarray, has: list[bool]) -> pa.Array:
+            most = np.maximum.reduceat(values[order], starts, axis=0)
+            flat = pa.array(most.ravel(), mask=np.tile(~np.array(has), len(most)))
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, most.size + 1, len(items)), pa.int32()), flat)
+
+        n = len(best)
+        columns = [
+            own["query"].slice(0, 1).take(pa.array(np.zeros(n, np.int64))), pa.array(lot[best]), own["publish_date"].take(pa.array(best)),
+            cells(t, [q["total"] > 0 for q in items]), cells(c, [q["path"]["code"] is not None for q in items]), pa.array(value[best]), pa.array(first[best] + 1, pa.int32()), pa.array(part[best]),
+        ]
+        return pa.table(columns, names=NAMES)
+
+    return rows.groupBy("query").cogroup(asked.groupBy("_query")).applyInArrow(run, MATRIX)
+
+
+NAMES = [c.split()[0] for c in MATRIX.split(", ")]
+KINDS = [pa.int64(), pa.int64(), pa.date32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.int64()]
 
 
 def lot_scores(matrix: DataFrame, queries: DataFrame, subjects: DataFrame, catalogue: Catalogue, config: Config = Config()) -> DataFrame:
@@ -289,7 +345,7 @@ def lot_scores(matrix: DataFrame, queries: DataFrame, subjects: DataFrame, catal
     wt, wo, ws = config.lot_text, config.lot_okpd2, config.lot_subject
     both = lambda t, o: F.when(t.isNotNull() | o.isNotNull(), (F.coalesce(wt * t, F.lit(0.0)) + F.coalesce(wo * o, F.lit(0.0))) / (F.when(t.isNotNull(), wt).otherwise(0.0) + F.when(o.isNotNull(), wo).otherwise(0.0)))
     match = F.zip_with("text", "okpd2", lambda t, o: F.round(F.coalesce(both(t, o), F.lit(0.0)), 9))
-    lots = matrix.select("query", "lot_id", "publish_date", "best.part", match.alias("match"), *[_mean(c).alias(c) for c in ("text", "okpd2")])
+    lots = matrix.select("query", "lot_id", "publish_date", "part", match.alias("match"), *[_mean(c).alias(c) for c in ("text", "okpd2")])
     features = catalogue.features(queries, "subject", config).select("subject", "weights", _total("weights").alias("subject_total"))
     told = queries.select("query", "subject").join(features, "subject").filter("subject_total > 0").select("query", "weights", "subject_total")
     out = lots.join(told, "query", "left").join(subjects.select("lot_id", tokens_of("subject").alias("_s")), "lot_id", "left")
