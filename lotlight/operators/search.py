@@ -354,15 +354,15 @@ def lot_scores(matrix: DataFrame, queries: DataFrame, subjects: DataFrame, catal
     parts = [("text", wt), ("okpd2", wo), ("subject", ws)]
     whole = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in parts), F.lit(0.0))
     relevance = sum((F.coalesce(w * F.col(c), F.lit(0.0)) for c, w in parts), F.lit(0.0)) / F.when(whole > 0, whole).otherwise(1.0)
-    return out.select("query", "lot_id", "publish_date", *[F.coalesce(c, F.lit(0.0)).alias(c) for c, _ in parts], F.round(relevance, 9).alias("relevance"), "part", "match")
+    return out.select("query", "lot_id", "publish_date", *[F.coalesce(c, F.lit(0.0)).alias(c) for c, _ in parts], relevance.alias("relevance"), "part", "match")
 
 
 def _mean(column: str) -> Column:
-    """Mean of an array's values, which have nine decimals, as a sum of
-    integers; null where it has none."""
+    """Mean of an array's values, which have nine decimals, cut to nine
+    decimals in whole numbers; null where it has none."""
     values = F.filter(column, lambda x: x.isNotNull())
     total = F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + F.round(x * 1e9).cast("long"))
-    return F.round(F.when(F.size(values) > 0, total / 1e9 / F.size(values)), 9)
+    return F.when(F.size(values) > 0, F.floor((total - total % F.size(values)) / F.size(values)) / 1e9)
 
 
 def query_features(queries: DataFrame, query_items: DataFrame, config: Config = Config()) -> DataFrame:

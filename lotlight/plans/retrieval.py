@@ -43,13 +43,13 @@ _FOUND = """, qt AS (SELECT DISTINCT text FROM a), few AS (SELECT qt.text AS q,
 _LOTS = (
     _BASE + _LOT_ITEMS + _FOUND + """, cc AS (SELECT a.code AS qc, l.code AS hc, CASE WHEN a.code = l.code THEN 1.0 WHEN NOT regexp_matches(a.code, '\\..*\\..*\\.') AND coalesce(l.code_kind = a.code_kind, CASE WHEN a.code_kind IS NULL THEN l.code_group = a.code_group END, false) THEN 0.8
   WHEN NOT regexp_matches(l.code, '\\..*\\..*\\.') AND coalesce(l.code_kind = a.code_kind, CASE WHEN l.code_kind IS NULL THEN l.code_group = a.code_group END, false) THEN 0.8 WHEN l.code_kind = a.code_kind THEN 0.7 WHEN l.code_group = a.code_group THEN 0.4 WHEN l.code_class = a.code_class THEN 0.1 ELSE 0.0 END AS c FROM qc a, lv l),
- cell AS (SELECT f.query, f.lot_id, h.publish_date, no, coalesce(s, 0) AS s, CASE WHEN a.code IS NOT NULL THEN coalesce(c, 0) END AS c, f.part, h.text, h.code FROM found f JOIN his h USING (lot_id, part) JOIN a ON a.query = f.query LEFT JOIN sim ON sim.q = a.text AND sim.text = h.text LEFT JOIN cc ON cc.qc = a.code AND cc.hc = h.code),
+ cell AS (SELECT f.query, f.lot_id, h.publish_date, no, coalesce(s, 0) AS s, CASE WHEN a.code IS NOT NULL THEN CAST(coalesce(c, 0) AS DOUBLE) END AS c, f.part, h.text, h.code FROM found f JOIN his h USING (lot_id, part) JOIN a ON a.query = f.query LEFT JOIN sim ON sim.q = a.text AND sim.text = h.text LEFT JOIN cc ON cc.qc = a.code AND cc.hc = h.code),
  matrix AS MATERIALIZED (SELECT query, lot_id, publish_date, no, max(s) AS s, max(c) AS c, max((s, part, text, code)) AS best FROM cell GROUP BY 1, 2, 3, 4),
  subject AS (SELECT lot_id, min_by(text, (line, part)) AS subject FROM goods GROUP BY 1), whom AS (SELECT lot_id, CASE WHEN customer % 10 <> 0 THEN customer END AS customer FROM lots),
  st AS (SELECT x.lot_id AS query, y.lot_id, sum(idf) AS got FROM subject x JOIN tk u ON u.text = x.subject JOIN w USING (token) JOIN tk v ON v.token = u.token JOIN subject y ON y.subject = v.text WHERE x.lot_id % 50 = 0 GROUP BY 1, 2),
  subjtotal AS (SELECT lot_id AS query, sum(idf) AS total FROM subject JOIN tk ON tk.text = subject JOIN w USING (token) GROUP BY 1),
- lots2 AS (SELECT query, lot_id, publish_date, round(sum(CAST(round(s * 1e9) AS BIGINT)) / 1e9 / count(s), 9) AS text, round(sum(CAST(round(c * 1e9) AS BIGINT)) / 1e9 / count(c), 9) AS okpd2, max_by(best, (best[1], -no)) AS best, map_from_entries(list((no, round((CAST(0.6 AS DOUBLE) * s + CASE WHEN c IS NULL THEN 0 ELSE CAST(0.3 AS DOUBLE) * c END) / (CAST(0.6 AS DOUBLE) + CASE WHEN c IS NULL THEN 0 ELSE CAST(0.3 AS DOUBLE) END), 9)) ORDER BY no)) AS match FROM matrix GROUP BY 1, 2, 3),
- scored AS MATERIALIZED (SELECT query, lot_id, publish_date, text, coalesce(okpd2, 0) AS okpd2, round(coalesce(got, 0) / total, 9) AS subject, round((CAST(0.6 AS DOUBLE) * text + coalesce(CAST(0.3 AS DOUBLE) * okpd2, 0) + CAST(0.1 AS DOUBLE) * round(coalesce(got, 0) / total, 9)) / (CAST(0.6 AS DOUBLE) + CASE WHEN okpd2 IS NULL THEN 0 ELSE CAST(0.3 AS DOUBLE) END + CAST(0.1 AS DOUBLE)), 9) AS relevance, best[2] AS part, best[3] AS product, best[4] AS code, match
+ lots2 AS (SELECT query, lot_id, publish_date, CAST(CAST(sum(CAST(round(s * 1e9) AS BIGINT)) AS BIGINT) // count(s) AS DOUBLE) / 1e9 AS text, CASE WHEN count(c) > 0 THEN CAST(CAST(sum(CAST(round(c * 1e9) AS BIGINT)) AS BIGINT) // count(c) AS DOUBLE) / 1e9 END AS okpd2, max_by(best, (best[1], -no)) AS best, map_from_entries(list((no, round((CAST(0.6 AS DOUBLE) * s + CASE WHEN c IS NULL THEN 0 ELSE CAST(0.3 AS DOUBLE) * c END) / (CAST(0.6 AS DOUBLE) + CASE WHEN c IS NULL THEN 0 ELSE CAST(0.3 AS DOUBLE) END), 9)) ORDER BY no)) AS match FROM matrix GROUP BY 1, 2, 3),
+ scored AS MATERIALIZED (SELECT query, lot_id, publish_date, text, coalesce(okpd2, 0) AS okpd2, round(coalesce(got, 0) / total, 9) AS subject, (CAST(0.6 AS DOUBLE) * text + coalesce(CAST(0.3 AS DOUBLE) * okpd2, 0) + CAST(0.1 AS DOUBLE) * round(coalesce(got, 0) / total, 9)) / (CAST(0.6 AS DOUBLE) + CASE WHEN okpd2 IS NULL THEN 0 ELSE CAST(0.3 AS DOUBLE) END + CAST(0.1 AS DOUBLE)) AS relevance, best[2] AS part, best[3] AS product, best[4] AS code, match
   FROM lots2 JOIN subjtotal USING (query) LEFT JOIN st USING (query, lot_id))"""
 )
 _RANKED = (
@@ -60,7 +60,7 @@ _RANKED = (
  same AS (SELECT DISTINCT x.lot_id AS query, r.supplier_id FROM whom x JOIN whom y ON x.customer = y.customer JOIN relations r ON r.lot_id = y.lot_id WHERE x.lot_id % 50 = 0 AND r.publish_date < DATE '2000-01-01'),
  s AS (SELECT query, supplier_id, count(*) AS relevant_lots, count(*) FILTER (is_winner) AS awards, count(*) FILTER (platform = 'EM') AS em_participations, count(*) FILTER (is_winner AND platform = 'AIS_GZ') AS ais_awards, max(text) AS product_text, max(okpd2) AS okpd2, CAST(sum(nano) AS DOUBLE) / 1e9 AS al, CAST(coalesce(sum(nano) FILTER (is_winner), 0) AS DOUBLE) / 1e9 AS won, CAST(coalesce(sum(nano) FILTER (platform = 'EM'), 0) AS DOUBLE) / 1e9 AS em, min(age) AS age,
   CAST(sum(nano) FILTER (nth <= 3) AS DOUBLE) / 1e9 / 3 AS evidence_quality, list(lot_id ORDER BY nth) FILTER (nth <= 5) AS evidence_lots, list(product ORDER BY nth) FILTER (nth <= 5) AS five, min_by(coalesce(code, ''), nth) AS best_code FROM e GROUP BY 1, 2),
- f AS (SELECT s.*, n_items, redundant, has_code, customer IS NOT NULL AS has_customer, 1 - exp(-al / 10) AS historical_relevance, 1 - exp(-won / 6) AS relevant_awards, 1 - exp(-em / 6) AS em_participation, pow(0.5, age / 365.0) AS recency, CASE WHEN same.supplier_id IS NULL THEN 0.0 ELSE 1.0 END AS same_customer, cover / n_items AS item_coverage,
+ f AS (SELECT s.*, n_items, redundant, has_code, customer IS NOT NULL AS has_customer, 1 - exp(-al / 10) AS historical_relevance, 1 - exp(-won / 6) AS relevant_awards, 1 - exp(-em / 6) AS em_participation, pow(0.5, age / 365.0) AS recency, CAST(CASE WHEN same.supplier_id IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS same_customer, cover / n_items AS item_coverage,
   CASE WHEN redundant THEN 0.35 * 0.5 ELSE 0.35 END AS w1, 0.30 * has_code AS w2, CASE WHEN customer IS NULL THEN 0 ELSE 0.05 END AS w7, CASE WHEN n_items >= 2 THEN 0.10 ELSE 0 END AS w9 FROM s JOIN red USING (query) JOIN whom ON whom.lot_id = s.query JOIN cover USING (query, supplier_id) LEFT JOIN same ON same.query = s.query AND same.supplier_id = s.supplier_id),
  g AS (SELECT *, round((CAST(w1 AS DOUBLE) * product_text + CAST(w2 AS DOUBLE) * okpd2 + 0.10 * historical_relevance + 0.10 * relevant_awards + 0.05 * em_participation + 0.05 * recency + CAST(w7 AS DOUBLE) * same_customer + 0.05 * evidence_quality + CAST(w9 AS DOUBLE) * item_coverage) / CAST(w1 + w2 + 0.10 + 0.10 + 0.05 + 0.05 + w7 + 0.05 + w9 AS DOUBLE), 6) AS score FROM f),
  h AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, round(relevant_awards, 4) DESC, supplier_id) AS INTEGER) AS rank FROM g)"""
