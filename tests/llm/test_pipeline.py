@@ -7,7 +7,7 @@ ROOT = "/root/testdata/sf0.001"
 def test_stages_and_registry():
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in queries.queries()}
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in queries.queries()}
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
