@@ -19,6 +19,7 @@ branch found the lot.  Every limit is a window that Spark prunes before it sorts
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,9 +74,9 @@ def tokens_of(text: str) -> Column:
     return F.array_distinct(F.filter(F.split(text, " "), lambda t: t != ""))
 
 
-def tokens(names: DataFrame, key: str, text: str) -> DataFrame:
+def tokens(names: DataFrame, key: str, text: str, tokeniser: Callable[[str], Column] = tokens_of) -> DataFrame:
     """Distinct tokens of each text."""
-    return names.select(key, F.explode(tokens_of(text)).alias("token"))
+    return names.select(key, F.explode(tokeniser(text)).alias("token"))
 
 
 def document_frequency(tokenised: DataFrame) -> DataFrame:
@@ -111,20 +112,22 @@ def top(rows: DataFrame, key: str | list[str], order: list[Column | str], limit:
 @dataclass
 class Catalogue:
     """Visible items (lot_id, part, line, publish_date, text, code: the
-    category struct), their distinct texts, and token frequencies over items."""
+    category struct), their distinct texts, and token frequencies over items.
+    The tokeniser gives a text's distinct tokens (``stems.lexemes`` for stems)."""
 
     items: DataFrame
     texts: DataFrame
     frequency: DataFrame
     documents: int
+    tokeniser: Callable[[str], Column] = tokens_of
 
     @classmethod
-    def of(cls, items: DataFrame) -> Catalogue:
+    def of(cls, items: DataFrame, tokeniser: Callable[[str], Column] = tokens_of) -> Catalogue:
         """Written once, for every branch reads it."""
         items = written(items)
-        texts = written(items.filter("text is not null").groupBy("text").agg(F.count("*").alias("n")).withColumn("tokens", tokens_of("text")))
+        texts = written(items.filter("text is not null").groupBy("text").agg(F.count("*").alias("n")).withColumn("tokens", tokeniser("text")))
         frequency = written(texts.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("df")))
-        return cls(items, texts, frequency, texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        return cls(items, texts, frequency, texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], tokeniser)
 
     @property
     def top_weight(self) -> Column:
@@ -133,7 +136,7 @@ class Catalogue:
     def features(self, texts: DataFrame, key: str, config: Config = Config()) -> DataFrame:
         """Weighted tokens (``weights``), technical tokens and the whole weight of each distinct text."""
         distinct = texts.select(key).filter(F.col(key).isNotNull()).distinct()
-        weighted = with_idf(tokens(distinct, key, key), self.frequency, self.documents)
+        weighted = with_idf(tokens(distinct, key, key, self.tokeniser), self.frequency, self.documents)
         held = weighted.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("token", "df", "idf"))).alias("weights"))
         technical = scalars.tech_tokens(F.col(key), config.min_technical)
         out = distinct.join(held, key, "left").select(key, F.coalesce("weights", F.array().cast("array<struct<token:string,df:bigint,idf:double>>")).alias("weights"), technical.alias("technical"))
@@ -348,7 +351,7 @@ def lot_scores(matrix: DataFrame, queries: DataFrame, subjects: DataFrame, catal
     lots = matrix.select("query", "lot_id", "publish_date", "part", match.alias("match"), *[_mean(c).alias(c) for c in ("text", "okpd2")])
     features = catalogue.features(queries, "subject", config).select("subject", "weights", _total("weights").alias("subject_total"))
     told = queries.select("query", "subject").join(features, "subject").filter("subject_total > 0").select("query", "weights", "subject_total")
-    out = lots.join(told, "query", "left").join(subjects.select("lot_id", tokens_of("subject").alias("_s")), "lot_id", "left")
+    out = lots.join(told, "query", "left").join(subjects.select("lot_id", catalogue.tokeniser("subject").alias("_s")), "lot_id", "left")
     overlap = F.coalesce(_total(F.filter("weights", lambda x: F.array_contains("_s", x.token))) / F.col("subject_total"), F.lit(0.0))
     out = out.withColumn("subject", F.round(F.when(F.col("subject_total").isNotNull(), overlap), 9))
     parts = [("text", wt), ("okpd2", wo), ("subject", ws)]

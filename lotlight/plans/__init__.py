@@ -1,6 +1,6 @@
 """Registered queries; importing the modules fills the registry."""
 
-from . import analytics, delivery, enrichment, market, profiles, replay, retrieval
+from . import analytics, delivery, enrichment, language, market, profiles, replay, retrieval
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analytics", "delivery", "enrichment", "market", "profiles", "replay", "retrieval"]
+__all__ = ["QUERIES", "SQL", "analytics", "delivery", "enrichment", "language", "market", "profiles", "replay", "retrieval"]
