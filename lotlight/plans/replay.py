@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, evaluation, search
+from ..operators import asof, evaluation, resample, search
 from ..sources import canonical
 from .registry import query
 
@@ -66,12 +67,13 @@ _REPLAY = (
 )
 
 
-def _replayed(spark, sf_dir):
+def _replayed(spark, sf_dir, history="is_winner"):
+    """Targets, and metrics of the ranking by earlier relations of this kind."""
     rel, items = canonical.relations(spark, sf_dir), canonical.items(spark, sf_dir)
     groups = items.select("lot_id", "code_group").distinct()
     targets = _eligible(spark, sf_dir).filter("lot_id % 50 = 0").select(F.col("lot_id").alias("query"), F.col("publish_date").alias("as_of"), "stratum")
     asked = targets.join(groups.withColumnRenamed("lot_id", "query"), "query")
-    won = rel.filter("is_winner").select("lot_id", "supplier_id", "publish_date").join(groups, "lot_id")
+    won = rel.filter(history).select("lot_id", "supplier_id", "publish_date").join(groups, "lot_id")
     earlier = asof.counts_before(won, asked, "code_group", "supplier_id")
     votes = asked.join(earlier, ["code_group", "as_of"]).groupBy("query", "supplier_id").agg(F.sum("n").alias("n"))
     ranked = search.top(votes, "query", [F.desc("n"), "supplier_id"], 50, "rank")
@@ -119,3 +121,38 @@ def replay_integrity(spark, sf_dir):
     }
     one = e.agg(*[c.alias(n) for n, c in rules.items()])
     return one.unpivot([], list(rules), "check_name", "failures")
+
+
+def _other(name: str, history: str) -> str:
+    """The twin's ranking and metrics once more over other history."""
+    again = re.sub(r"\b(hist|votes|ranked|rel|b|m)\b", rf"\1_{name}", _REPLAY[_REPLAY.index(" hist AS") :])
+    return again.replace("WHERE is_winner)", f"WHERE {history})")
+
+
+#: Challengers of the ranking by earlier awards, by the history that they count.
+CHALLENGERS = {"large": "is_winner AND platform = 'EM'", "seen": "true"}
+RESAMPLES = 500
+
+
+@query(
+    _REPLAY + "," + ",".join(_other(n, h.replace("platform", "x.platform")) for n, h in CHALLENGERS.items())
+    + ", t0 AS (SELECT DISTINCT query, e.stratum FROM target JOIN e ON e.lot_id = query), wt AS (SELECT t.stratum, round(n / count(*), 4) AS weight FROM t0 t JOIN (SELECT stratum, count(*) AS n FROM e GROUP BY 1) USING (stratum) GROUP BY 1, n), d AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS challenger, query, stratum, CAST(round(weight * 10000) AS BIGINT) AS w, CAST(round((c.ndcg - m.ndcg) * 1000000) AS BIGINT) AS v, CAST(round((c.winner_recall - m.winner_recall) * 1000000) AS BIGINT) AS r FROM m_{n} c JOIN m USING (query) JOIN t0 USING (query) JOIN wt USING (stratum)" for n in CHALLENGERS)
+    + f"), s AS (SELECT d.*, b, ('0x' || substr(md5('7:' || query || ':' || b), 1, 8))::UBIGINT AS h FROM d, range(0, {RESAMPLES + 1}) x(b)), k AS (SELECT *, w * CASE WHEN b = 0 THEN 1 ELSE {' + '.join(f'(h >= {c})::INT' for c in resample.CUTS)} END AS wk FROM s),"
+    + """ g AS (SELECT challenger, b, floor(sum(wk * v) / sum(wk)) AS x FROM k WHERE wk > 0 GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY challenger ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY challenger) AS c FROM g WHERE b > 0),
+ q AS (SELECT challenger, max(x) FILTER (WHERE i = floor(0.05 * c)) / 1000000 AS low, max(x) FILTER (WHERE i = floor(0.95 * c)) / 1000000 AS high FROM o GROUP BY 1), p AS (SELECT challenger, floor(sum(w * v) / sum(w)) / 1000000 AS gain, floor(sum(w * r) / sum(w)) / 1000000 AS recall FROM d GROUP BY 1),
+ y AS (SELECT challenger, min(z) AS worst_stratum FROM (SELECT challenger, stratum, floor(sum(v) / count(*)) / 1000000 AS z, count(*) AS n FROM d GROUP BY 1, 2) WHERE n >= 10 GROUP BY 1), j AS (SELECT * FROM p JOIN q USING (challenger) LEFT JOIN y USING (challenger)),
+ l AS (SELECT *, gain >= 0.01 AND low > 0 AS gain_ok, recall >= -0.005 AS recall_ok, coalesce(worst_stratum >= -0.05, TRUE) AS strata_ok FROM j) SELECT *, gain_ok AND recall_ok AND strata_ok AS accepted FROM l""",
+    "lots relations items",
+)
+def challenger_acceptance(spark, sf_dir):
+    """Rankings by other history against the one by earlier awards: weighted
+    gain with its interval, guards of recall and strata, the verdict."""
+    targets, base = _replayed(spark, sf_dir)
+    inverse = _eligible(spark, sf_dir).groupBy("stratum").agg(F.count("*").alias("_all")).join(targets.groupBy("stratum").agg(F.count("*").alias("_in")), "stratum")
+    weights = targets.join(inverse.select("stratum", F.round(F.col("_all") / F.col("_in"), 4).alias("weight")), "stratum").select("query", "stratum", "weight")
+    old = base.select("query", F.col("ndcg").alias("_ndcg"), F.col("winner_recall").alias("_recall")).join(weights, "query")
+    new = [_replayed(spark, sf_dir, h)[1].withColumn("challenger", F.lit(n)) for n, h in CHALLENGERS.items()]
+    both = new[0].unionByName(new[1]).join(old, "query")
+    differences = both.select("challenger", "query", "stratum", "weight", (F.col("ndcg") - F.col("_ndcg")).alias("ndcg"), (F.col("winner_recall") - F.col("_recall")).alias("winner_recall"))
+    return resample.accepted(differences, resamples=RESAMPLES)
