@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import evaluation, search
+from ..operators import evaluation, sealed, search
 from ..session import folder, table
 from ..sources import canonical, files
 from ..sources.canonical import History
@@ -180,3 +180,41 @@ def newest_items(spark, sf_dir):
 def sampling_keys(spark, sf_dir):
     """The hash that orders a stratum's lots for a sample."""
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("lot_id"), evaluation.sampling_key(20, F.col("o_orderkey")).alias("sampling_key"))
+
+
+_SEALED = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+_ROW = " || '|' || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in _SEALED)
+_LANES = ", ".join(f"sum(('0x' || substr(d, {8 * i + 1}, 8))::UBIGINT)::BIGINT AS l{i}" for i in range(sealed.LANES))
+
+
+def _levels(n: int) -> str:
+    """Levels of the twin's tree; one is part of it while the one below has more than one node."""
+    one = "t{k} AS (SELECT {k} AS level, node // 16 AS node, sum(n_rows)::BIGINT AS n_rows, sha256(sum(n_rows)::BIGINT || '|' || string_agg(node || ':' || digest, '|' ORDER BY node)) AS digest FROM t{j} WHERE {k} = 1 OR (SELECT max(node) FROM t{j}) > 0 GROUP BY 2)"
+    return ", ".join(one.format(k=k, j=k - 1) for k in range(1, n + 1))
+
+
+@query(
+    f"WITH r AS (SELECT l_orderkey // 1024 AS node, sha256({_ROW}) AS d FROM lineitem), s AS (SELECT node, count(*) AS n_rows, {_LANES} FROM r GROUP BY 1),"
+    + f" t0 AS (SELECT 0 AS level, node, n_rows, sha256(n_rows || ':' || {chr(32) + '|| chr(58) ||'.join(f' l{i} ' for i in range(sealed.LANES))}) AS digest FROM s), {_levels(5)} "
+    + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(6))
+)
+def sealed_lines(spark, sf_dir):
+    """The tree of digests over the items, sealed beside the rows that were written in ranges of the lot."""
+    return sealed.seal(table(spark, sf_dir, "lineitem"), folder(spark), "l_orderkey", _SEALED)
+
+
+_FORGED = "l_orderkey % 4999 = 7 AND l_linenumber = 1"
+_TAKEN = "l_orderkey % 701 = 3 AND l_linenumber = 2"
+
+
+@query(
+    f"""WITH o AS (SELECT {", ".join(_SEALED)} FROM lineitem), f AS (SELECT * REPLACE (CASE WHEN {_FORGED} THEN l_suppkey + 1 ELSE l_suppkey END AS l_suppkey) FROM o WHERE NOT ({_TAKEN})),
+ u AS (SELECT *, -1 AS s FROM o UNION ALL SELECT *, 1 FROM f), b AS (SELECT {", ".join(_SEALED)}, sum(s) AS s FROM u GROUP BY ALL) SELECT CASE WHEN s > 0 THEN 'NEW' ELSE 'GONE' END AS change, {", ".join(_SEALED)}, abs(s)::BIGINT AS times FROM b WHERE s <> 0"""
+)
+def forged_lines(spark, sf_dir):
+    """Items forged and taken away after sealing: the way down the trees finds
+    the ranges, and only these are compared row by row."""
+    rows, path = table(spark, sf_dir, "lineitem").select(*_SEALED), folder(spark)
+    sealed.seal(rows, path, "l_orderkey", _SEALED)
+    forged = rows.filter(f"NOT ({_TAKEN})").withColumn("l_suppkey", F.when(F.expr(_FORGED), F.col("l_suppkey") + 1).otherwise(F.col("l_suppkey")))
+    return sealed.changed_rows(spark.read.parquet(f"{path}/rows"), forged, sealed.unsealed(forged, path), "l_orderkey", _SEALED)
