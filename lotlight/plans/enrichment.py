@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import enrich, ingest
+from ..operators import enrich, ingest, positions
 from ..session import table
 from ..streaming import breaker, windows
 from .registry import query
@@ -273,3 +273,18 @@ def ordered_flags(spark, sf_dir):
     c = F.col("c_custkey")
     flags = F.array_compact(F.array(F.when(c % 3 == 0, "MISSING_SUBJECT"), F.when(c % 5 == 0, "MISSING_KPP"), F.when(c % 2 == 0, "INVALID_INN_FORMAT"), F.when(c % 3 == 0, "MISSING_SUBJECT")))
     return table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("|", ingest.sort_flags(flags)).alias("flags"))
+
+
+_PLACE = r"(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4})"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '{_PLACE}') AS raws, regexp_split_to_array(text, '{_PLACE}') AS gaps FROM documents WHERE text IS NOT NULL),
+ o AS (SELECT doc_id, raws, gaps, unnest(range(1, len(raws) + 1)) AS i FROM d),
+ p AS (SELECT doc_id, raws[i] AS raw, array_to_string(list_transform(range(1, i), lambda j: gaps[j] || raws[j]), '') || gaps[i] AS head, array_to_string(list_transform(range(i + 1, len(raws) + 1), lambda j: gaps[j] || raws[j]), '') || gaps[len(raws) + 1] AS rest FROM o)
+ SELECT doc_id, CAST(length(head) AS INT) AS at, raw, right(head, 90) AS before, left(rest, 40) AS after FROM p"""
+)
+def contact_places(spark, sf_dir):
+    """Every place of an address or number in whole texts, with the text around it."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(positions.occurrences(F.col("text"), _PLACE)).alias("f")).select("doc_id", "f.*")
