@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Chances of at most 0, 1, ... draws, in units of 2^-32; beyond 12 draws nothing is left of 2^32.
 CUTS = [round(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(12)]
 
@@ -68,6 +70,7 @@ def accepted(differences: DataFrame, rules: Acceptance = Acceptance(), resamples
     fall, and no stratum with enough queries may lose much; a challenger that
     has no such stratum loses in none.
     """
+    differences = written(differences.select("challenger", "query", "stratum", "weight", "ndcg", "winner_recall"))
     gain = bootstrap(differences, "challenger", "query", "ndcg", "weight", resamples, seed).select("challenger", F.col("delta").alias("gain"), "low", "high")
     # the guard of recall takes the mean alone, no resamples
     recall = bootstrap(differences, "challenger", "query", "winner_recall", "weight", 1, seed).select("challenger", F.col("delta").alias("recall"))
