@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import enrich, ingest, positions
+from ..operators import enrich, evidence, ingest, positions
 from ..session import table
 from ..streaming import breaker, windows
 from .registry import query
@@ -288,3 +288,46 @@ def contact_places(spark, sf_dir):
     """Every place of an address or number in whole texts, with the text around it."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.explode(positions.occurrences(F.col("text"), _PLACE)).alias("f")).select("doc_id", "f.*")
+
+
+_NINE = " + ".join(f"{w} * CAST(substr(nine, {i + 1}, 1) AS INTEGER)" for i, w in enumerate(scalars.W10))
+
+
+@query(
+    f"""WITH r AS (SELECT l_suppkey AS s, l_returnflag AS f, l_linestatus AS o, count(*) AS n, CAST(min(l_shipdate) AS DATE) AS d FROM lineitem GROUP BY 1, 2, 3), c0 AS (SELECT s_suppkey AS s, s_name AS name, '77' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS nine FROM supplier),
+ c AS (SELECT *, nine || CAST((({_NINE}) % 11 % 10 + CASE WHEN s % 17 = 16 THEN 1 ELSE 0 END) % 10 AS VARCHAR) AS inn, CASE s % 4 WHEN 0 THEN 'UNDER_REVIEW' WHEN 1 THEN 'UNVERIFIED' ELSE 'VERIFIED' END AS status FROM c0),
+ e AS (SELECT s, f, CASE WHEN (s + n) % 5 = 0 THEN 'SUSPENDED' ELSE 'ACTIVE' END AS state, CASE n % 4 WHEN 3 THEN 'WEAK' WHEN 1 THEN 'MODERATE' ELSE 'STRONG' END AS strength, n % 3 <> 0 AS direct, n % 7 <> 0 AND n % 11 <> 0 AS open, n % 29 = 0 AS unnamed, n % 6 = 0 AS exact, n % 31 = 0 AS ran_out FROM r),
+ x AS (SELECT s, count(*) AS evidence_count, count(*) FILTER (state = 'ACTIVE') AS active_evidence_count, coalesce(bool_or(exact), false) AS exact, count(*) FILTER (f = 'R' AND unnamed) + count(*) FILTER (ran_out AND state = 'ACTIVE') AS bad_records,
+  coalesce(bool_or(f = 'R' AND state = 'ACTIVE' AND strength = 'STRONG' AND direct AND open), false) AS declared, coalesce(bool_or(f = 'A' AND state = 'ACTIVE' AND strength = 'STRONG' AND open), false) AND coalesce(bool_or(f = 'N' AND state = 'ACTIVE' AND strength <> 'WEAK' AND direct AND open), false) AS joint FROM e GROUP BY 1),
+ y AS (SELECT c.s, inn, name, status, evidence_count, active_evidence_count, declared AND s % 13 <> 4 AS declared, joint AND s % 13 <> 4 AS joint, CASE WHEN s % 17 = 16 THEN 2 ELSE 0 END + CASE WHEN s % 19 = 5 THEN 1 ELSE 0 END + CASE WHEN status = 'UNDER_REVIEW' AND s % 8 = 0 THEN 1 ELSE 0 END
+  + CASE WHEN status = 'VERIFIED' AND s % 23 = 2 THEN 1 ELSE 0 END + CASE WHEN status = 'VERIFIED' AND s % 9 = 7 THEN 1 ELSE 0 END + CASE WHEN status = 'VERIFIED' AND NOT ((declared OR joint) AND s % 13 <> 4) THEN 1 ELSE 0 END + bad_records AS faults FROM c JOIN x USING (s))
+ SELECT inn AS supplier_inn, name AS company_name, CASE WHEN faults = 0 THEN status END AS verification_status, CASE WHEN faults > 0 THEN NULL WHEN status = 'UNDER_REVIEW' THEN 'REVIEW' WHEN status = 'UNVERIFIED' THEN 'NONE' WHEN declared THEN 'DECLARATION' ELSE 'IDENTITY_AND_LISTING' END AS basis,
+ CAST(evidence_count AS INTEGER) AS evidence_count, CAST(active_evidence_count AS INTEGER) AS active_evidence_count, CAST(faults AS INTEGER) AS faults FROM y"""
+)
+def evidence_policy(spark, sf_dir):
+    """Conclusions about suppliers as curated candidates: each kind of line of a
+    supplier is one evidence record, and its counts decide the record's fields."""
+    pick = lambda c, *words: F.element_at(F.array(*map(F.lit, words)), (c + 1).cast("int"))
+    n, s = F.col("n"), F.col("s")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("o")).agg(F.count("*").alias("n"), F.min("l_shipdate").alias("d"))
+    kind = {"evidence_type": ("CONFORMITY_DECLARATION", "LEGAL_IDENTITY", "CURRENT_PRODUCT_LISTING"), "role_assertion": ("MANUFACTURER_AND_APPLICANT", "ACTIVE_LEGAL_ENTITY", "MANUFACTURER_NAMED_ON_PRODUCT_LISTING")}
+    of = {k: F.when(F.col("f") == "R", v[0]).when(F.col("f") == "A", v[1]).otherwise(v[2]) for k, v in kind.items()}
+    of |= {
+        "evidence_status": F.when((s + n) % 5 == 0, "SUSPENDED").otherwise("ACTIVE"), "verification_strength": pick(n % 4, "STRONG", "MODERATE", "STRONG", "WEAK"), "target_product_support": F.when(n % 3 == 0, "RELATED").otherwise("DIRECT"),
+        "source_name": F.lit("lines"), "source_authority": F.lit("FIRST_PARTY"), "source_url": F.when(n % 7 != 0, F.when(n % 11 == 0, "ftp://lines.example").otherwise("https://lines.example/1")), "source_record_id": F.when(n % 29 != 0, n.cast("string")),
+        "asserted_okpd2_codes": F.when(n % 6 == 0, F.array(F.lit("10.51.11"))), "evidence_date": F.date_format("d", "yyyy-MM-dd"), "valid_until": F.when(n % 31 == 0, "2009-12-31"), "retrieved_at": F.lit("2009-06-01T00:00:00Z"),
+    }
+    names = "evidence_type source_name source_url source_record_id source_authority evidence_status verification_strength role_assertion target_product_support product_scope asserted_okpd2_codes evidence_date valid_until retrieved_at notes"
+    record = F.struct(*[of.get(k, F.lit(None)).alias(k) for k in names.split()]).cast(evidence.RECORD)
+    records = lines.groupBy("s").agg(F.collect_list(record).alias("evidence_records"))
+    nine = F.concat(F.lit("77"), F.lpad(s.cast("string"), 7, "0"))
+    control = sum((F.lit(w) * F.substring(nine, i + 1, 1).cast("int") for i, w in enumerate(scalars.W10)), F.lit(0)) % 11 % 10
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_name").alias("canonical_name")).join(records, "s").select(
+        F.lit("10.51.11").alias("target_okpd2"), F.lit("2010-01-01T00:00:00Z").alias("checked_at"), F.concat(nine, ((control + F.when(s % 17 == 16, 1).otherwise(0)) % 10).cast("string")).alias("supplier_inn"), "canonical_name",
+        F.array().cast("array<string>").alias("aliases"), F.lit("UNKNOWN").alias("market_role"), pick(s % 4, "UNDER_REVIEW", "UNVERIFIED", "VERIFIED", "VERIFIED").alias("verification_status"), F.when(s % 9 == 7, "WEAK").otherwise("STRONG").alias("overall_strength"),
+        F.when(s % 13 == 4, "HISTORICAL_DIRECT_PRODUCT_TEXT").otherwise("DIRECT_PRODUCT_TEXT").alias("target_product_match"),
+        (F.coalesce(F.exists("evidence_records", lambda e: F.size(e["asserted_okpd2_codes"]) > 0), F.lit(False)) != (s % 19 == 5)).alias("exact_okpd2_asserted_by_source"),
+        F.array().cast("array<string>").alias("verification_reason_codes"), F.when((s % 4 == 0) & (s % 8 != 0) | (s % 4 >= 2) & (s % 23 == 2), F.array(F.lit("ROLE_UNCLEAR"))).alias("review_reasons"), "evidence_records", (s % 17 == 16).alias("_unknown"),
+    )
+    known = rows.filter("not _unknown").select("supplier_inn", "target_okpd2", F.lit("EXTERNAL_NEW").alias("reconciliation_status"))
+    return evidence.judged(rows, known).select("supplier_inn", "company_name", "verification_status", "basis", "evidence_count", "active_evidence_count", F.size("faults").alias("faults"))

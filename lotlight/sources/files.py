@@ -80,20 +80,6 @@ def contract_items(parsed: DataFrame) -> DataFrame:
     return parsed.select("id", F.posexplode("products").alias("line", "p")).select("id", (F.col("line") + 1).alias("line_no"), F.col("p.name").alias("name"), F.col("p.OKPD2.code").alias("code"))
 
 
-def seed(spark: SparkSession, path: str) -> DataFrame:
-    """Curated candidates and their evidence, one row per evidence record."""
-    raw = spark.read.json(path, multiLine=True, schema="target_okpd2 string, checked_at string, candidates array<struct<supplier_inn:string,canonical_name:string,market_role:string,verification_status:string,evidence_records:array<struct<evidence_type:string,source_url:string,evidence_date:date,valid_until:date>>>>")
-    one = raw.select("target_okpd2", F.explode("candidates").alias("c"))
-    return one.select("target_okpd2", "c.supplier_inn", "c.canonical_name", "c.market_role", "c.verification_status", F.explode_outer("c.evidence_records").alias("e")).select("*", "e.*").drop("e")
-
-
-def evidence_status(rows: DataFrame, today) -> DataFrame:
-    """VERIFIED with a dated record that is still valid, else UNDER_REVIEW."""
-    active = F.col("evidence_date").isNotNull() & (F.col("evidence_date") <= F.lit(today)) & (F.col("valid_until").isNull() | (F.col("valid_until") >= F.lit(today)))
-    held = rows.groupBy("supplier_inn").agg(F.count_if(F.col("evidence_type").isNotNull()).alias("records"), F.count_if(active).alias("active"))
-    return held.withColumn("status", F.when(F.col("active") > 0, "VERIFIED").otherwise("UNDER_REVIEW"))
-
-
 def export(rows: DataFrame, path: str, kind: str, columns: list[str]) -> None:
     """Write fixed columns as json, csv or parquet."""
     writer = rows.select(*columns).write.mode("overwrite")
