@@ -378,6 +378,17 @@ def query_features(queries: DataFrame, query_items: DataFrame, config: Config =
     return queries.select("query", "as_of", F.col("customer").isNotNull().alias("has_customer")).join(per, "query")
 
 
+def weights_in_force(config: Config) -> dict[str, Column]:
+    """The weight of each component for a query by its facts (redundant,
+    has_code, has_customer, n_items); a component without a basis weighs nothing."""
+    weights = {c: F.lit(getattr(config, c)) for c in COMPONENTS}
+    weights["product_text"] = F.when(F.col("redundant"), config.product_text * config.redundant_factor).otherwise(config.product_text)
+    weights["okpd2"] = F.when(F.col("has_code"), config.okpd2).otherwise(0.0)
+    weights["same_customer"] = F.when(F.col("has_customer"), config.same_customer).otherwise(0.0)
+    weights["item_coverage"] = F.when(F.col("n_items") >= 2, config.item_coverage).otherwise(0.0)
+    return weights
+
+
 def rank_suppliers(lots: DataFrame, relations: DataFrame, facts: DataFrame, same_customer: DataFrame, config: Config = Config()) -> DataFrame:
     """Suppliers of the relevant lots by nine weighted components; a component
     that a query has no basis for drops out, and the others' weights fill its place.
@@ -410,19 +421,16 @@ def rank_suppliers(lots: DataFrame, relations: DataFrame, facts: DataFrame, same
         scalars.saturation(F.col("_em"), config.participation_saturation).alias("em_participation"), scalars.recency(F.col("age"), config.half_life).alias("recency"), F.coalesce("_same", F.lit(0.0)).alias("same_customer"),
         "evidence_quality", (F.col("_cover") / 1e9 / F.col("n_items")).alias("item_coverage"), F.col("_e").alias("evidence"),
     )
-    weights = {c: F.lit(getattr(config, c)) for c in COMPONENTS}
-    weights["product_text"] = F.when(F.col("redundant"), config.product_text * config.redundant_factor).otherwise(config.product_text)
-    weights["okpd2"] = F.when(F.col("has_code"), config.okpd2).otherwise(0.0)
-    weights["same_customer"] = F.when(F.col("has_customer"), config.same_customer).otherwise(0.0)
-    weights["item_coverage"] = F.when(F.col("n_items") >= 2, config.item_coverage).otherwise(0.0)
+    weights = weights_in_force(config)
     whole = sum(weights.values(), F.lit(0.0))
     score = sum((weights[c] * F.col(c) for c in COMPONENTS), F.lit(0.0)) / F.when(whole > 0, whole).otherwise(1.0)
     return out.withColumn("score", F.round(score, 6))
 
 
-def placed(ranked: DataFrame, limit: int = 20) -> DataFrame:
-    """The best suppliers of each query: by score, then weighted awards, then id."""
-    return top(ranked, "query", [F.desc("score"), F.desc(F.round("relevant_awards", 4)), "supplier_id"], limit, "rank")
+def placed(ranked: DataFrame, limit: int | None = 20) -> DataFrame:
+    """The best suppliers of each query, or all: by score, then weighted awards, then id."""
+    order = [F.desc("score"), F.desc(F.round("relevant_awards", 4)), "supplier_id"]
+    return top(ranked, "query", order, limit, "rank") if limit else ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
 
 
 def with_evidence(ranked: DataFrame, products: DataFrame) -> DataFrame:

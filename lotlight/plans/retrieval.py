@@ -9,8 +9,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import search, vectors
-from ..session import table
+from ..operators import diagnosis, search, vectors
+from ..session import table, written
 from ..sources import canonical
 from ..sources.canonical import History
 from .registry import query
@@ -89,6 +89,10 @@ def _lot_queries(spark, sf_dir, catalogue):
     return lots.select(F.col("lot_id").alias("query"), F.lit(AS_OF).alias("as_of"), "customer", "subject"), items
 
 
+def _later(spark, sf_dir):
+    return canonical.lots(spark, sf_dir).filter(F.col("publish_date") >= F.lit(AS_OF))
+
+
 def _part_queries(spark, sf_dir):
     parts = canonical.products(spark, sf_dir).filter("part % 50 = 0")
     return parts.select(F.col("part").alias("query"), F.lit(1).alias("no"), "text", "code")
@@ -161,9 +165,13 @@ def category_retrieval(spark, sf_dir):
     return search.category_hits(codes, _catalogue(spark, sf_dir), CONFIG).withColumnRenamed("q", "code")
 
 
-def _lots(spark, sf_dir):
+def _lots(spark, sf_dir, later=False):
+    """With ``later``, only lots from the as-of date on ask: they can't find themselves."""
     catalogue = _catalogue(spark, sf_dir)
     queries, items = _lot_queries(spark, sf_dir, catalogue)
+    if later:
+        asks = _later(spark, sf_dir).select(F.col("lot_id").alias("query"))
+        queries, items = queries.join(asks, "query", "left_semi"), items.join(asks, "query", "left_semi")
     matrix = search.match_matrix(search.retrieve(items, catalogue, CONFIG), items, catalogue, CONFIG)
     return queries, items, search.lot_scores(matrix, queries, canonical.subjects(catalogue.items), catalogue, CONFIG)
 
@@ -184,12 +192,12 @@ def lot_relevance(spark, sf_dir):
     return _lots(spark, sf_dir)[2].drop("match")
 
 
-def _ranked(spark, sf_dir):
+def _ranked(spark, sf_dir, limit=20, later=False):
     h = _history(spark, sf_dir)
-    queries, items, lots = _lots(spark, sf_dir)
+    queries, items, lots = _lots(spark, sf_dir, later)
     earlier = h.lots().select("lot_id", "customer").filter("customer % 10 != 0")
     same = queries.select("query", "customer").join(earlier, "customer").join(h.relations().select("lot_id", "supplier_id"), "lot_id")
-    return search.placed(search.rank_suppliers(lots, h.relations(), search.query_features(queries, items, CONFIG), same, CONFIG))
+    return search.placed(search.rank_suppliers(lots, h.relations(), search.query_features(queries, items, CONFIG), same, CONFIG), limit)
 
 
 @query(
@@ -232,6 +240,46 @@ def supplier_search_region(spark, sf_dir):
     return _ranked(spark, sf_dir).join(places.select(F.col("s_suppkey").alias("supplier_id"), F.col("n_name").alias("nation")), "supplier_id").select("query", "supplier_id", "nation", "rank")
 
 
+_WEIGHTED = dict(zip(search.COMPONENTS, "w1 w2 0.10 0.10 0.05 0.05 w7 0.05 w9".split()))
+_DIAGNOSED = (
+    _RANKED + """, win AS (SELECT DISTINCT lot_id AS query, supplier_id FROM relations WHERE is_winner AND publish_date >= DATE '2000-01-01' AND lot_id % 50 = 0),
+ b AS (SELECT h.* FROM h JOIN win USING (query, supplier_id) QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) = 1),
+ """ + "u AS (SELECT query, supplier_id, rank, relevant_lots, awards, em_participations, age, unnest([" + ", ".join(f"{{'name': '{c}', 'v': round({c} * 1e9), 'p': CAST({w} AS DOUBLE) * {c} / CAST(w1 + w2 + 0.10 + 0.10 + 0.05 + 0.05 + w7 + 0.05 + w9 AS DOUBLE)}}" for c, w in _WEIGHTED.items())
+    + """]) AS x FROM h WHERE query IN (SELECT query FROM b WHERE rank > 10)), d AS (SELECT a.query, a.x.name AS component, round(CAST(sum(CAST(round(greatest(a.x.p - w.x.p, 0) * 1e9) AS BIGINT)) AS DOUBLE) / count(*) / 1e9, 6) AS deficit, round(count(*) FILTER (a.x.v > w.x.v) / count(*), 6) AS higher
+  FROM u a JOIN u w ON w.query = a.query AND w.x.name = a.x.name JOIN b ON b.query = w.query AND b.supplier_id = w.supplier_id WHERE a.rank < b.rank GROUP BY 1, 2),
+ main AS (SELECT query, max_by(component, (deficit, component)) AS cause FROM d GROUP BY 1), best AS (SELECT h.query, round(avg(h.relevant_lots), 6) AS top_lots, round(avg(h.awards), 6) AS top_awards, round(avg(h.em_participations), 6) AS top_em, round(avg(h.age), 6) AS top_age FROM h JOIN main USING (query) WHERE rank <= 10 GROUP BY 1)"""
+)
+
+
+def _diagnosed(spark, sf_dir):
+    """Lots from the as-of date on, whose real winners are known and not visible."""
+    winners = canonical.relations(spark, sf_dir).filter("is_winner and lot_id % 50 = 0").join(_later(spark, sf_dir).select("lot_id"), "lot_id", "left_semi").select(F.col("lot_id").alias("query"), "supplier_id")
+    return diagnosis.diagnose(written(_ranked(spark, sf_dir, None, True)), winners, CONFIG)
+
+
+@query(
+    "WITH " + _DIAGNOSED + """ SELECT q.query, CASE WHEN b.rank IS NULL THEN 'RETRIEVAL_FAILURE' WHEN b.rank > 10 THEN 'RANKING_FAILURE' ELSE 'FOUND' END AS outcome, b.supplier_id AS winner, b.rank, cause, redundant, n_items > 1 AS several_items, same_customer > 0 AS known_customer, relevant_lots = 1 AS single_lot,
+ CASE WHEN cause IS NOT NULL THEN relevant_lots END AS lots, top_lots, CASE WHEN cause IS NOT NULL THEN awards END AS awards, top_awards, CASE WHEN cause IS NOT NULL THEN em_participations END AS em, top_em, CASE WHEN cause IS NOT NULL THEN age END AS age, top_age
+ FROM (SELECT DISTINCT query FROM win) q LEFT JOIN b USING (query) LEFT JOIN main ON main.query = q.query LEFT JOIN best ON best.query = q.query""",
+    _VIEWS,
+)
+def ranking_failures(spark, sf_dir):
+    """What became of the real winners of later lots, the dominant cause of
+    each ranking failure, and the winner's evidence beside that of the first ten."""
+    names = {"relevant_lots": "lots", "awards": "awards", "em_participations": "em", "age": "age"}
+    shape = [x for k, n in names.items() for x in (F.col(f"shape.{k}.winner").cast("long").alias(n), F.col(f"shape.{k}.top").alias(f"top_{n}"))]
+    return _diagnosed(spark, sf_dir).select("query", "outcome", "winner", "rank", "cause", "redundant", "several_items", "known_customer", "single_lot", *shape)
+
+
+@query(
+    "WITH " + _DIAGNOSED + " SELECT component, count(*) FILTER (component = cause) AS dominant, round(CAST(sum(CAST(round(deficit * 1e9) AS BIGINT)) AS DOUBLE) / count(*) / 1e9, 4) AS deficit, round(CAST(sum(CAST(round(higher * 1e9) AS BIGINT)) AS DOUBLE) / count(*) / 1e9, 3) AS higher FROM d JOIN main USING (query) GROUP BY 1",
+    _VIEWS,
+)
+def failure_causes(spark, sf_dir):
+    """What each component of the score contributes to ranking failures."""
+    return diagnosis.causes(_diagnosed(spark, sf_dir))
+
+
 _SUGGESTED = (
     _BASE + _PART_ITEMS + _FOUND + """, x AS (SELECT query, h.code, sum(CAST(round(s * 1e9) AS BIGINT)) AS w, count(*) AS items, count(DISTINCT h.lot_id) AS lots FROM found f JOIN his h USING (lot_id, part) JOIN a USING (query) JOIN sim ON sim.q = a.text AND sim.text = h.text WHERE by_text AND h.code IS NOT NULL AND s >= 0.5 GROUP BY 1, 2),
  y AS (SELECT *, CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY query) AS DOUBLE) AS share, CAST(sum(items) OVER (PARTITION BY query) AS BIGINT) AS support, CAST(row_number() OVER (PARTITION BY query ORDER BY w DESC, code) AS INTEGER) AS place FROM x QUALIFY place <= 3)"""
