@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import enrich, evidence, ingest, positions
+from ..operators import enrich, evidence, ingest, positions, websites
 from ..session import table
 from ..streaming import breaker, windows
 from .registry import query
@@ -331,3 +331,33 @@ def evidence_policy(spark, sf_dir):
     )
     known = rows.filter("not _unknown").select("supplier_inn", "target_okpd2", F.lit("EXTERNAL_NEW").alias("reconciliation_status"))
     return evidence.judged(rows, known).select("supplier_inn", "company_name", "verification_status", "basis", "evidence_count", "active_evidence_count", F.size("faults").alias("faults"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id // 3 AS site, doc_id // 3 % (SELECT count(*) FROM supplier) AS supplier_id, CASE WHEN text IS NOT NULL THEN (doc_id * 7 + doc_id // 8) % 8 ELSE 6 END AS c FROM documents),
+ s AS (SELECT site, supplier_id, bool_or(c = 0) AS inn, bool_or(c = 7) AS ogrn, bool_or(c = 1) AND NOT bool_or(c IN (0, 7)) AS warned, bool_or(c = 3) AS kpp, bool_or(c IN (2, 3, 4)) AS name, bool_or(c IN (2, 4)) AS place, bool_or(c = 2) AS street, bool_or(c = 5) AS list FROM p GROUP BY 1, 2),
+ g AS (SELECT *, CASE WHEN list OR warned THEN 'LOW' WHEN inn OR ogrn OR name AND (street OR kpp) THEN 'HIGH' WHEN name AND place THEN 'MEDIUM' ELSE 'LOW' END AS grade FROM s JOIN supplier ON s_suppkey = supplier_id)
+ SELECT site, supplier_id, concat_ws(' ', CASE WHEN inn THEN 'INN_ON_SITE' END, CASE WHEN ogrn THEN 'OGRN_ON_SITE' END, CASE WHEN warned THEN 'ID_ONLY_IN_WARNING_CONTEXT' END, CASE WHEN kpp THEN 'KPP_ON_SITE' END, CASE WHEN name THEN 'EXACT_LEGAL_NAME' END, CASE WHEN place THEN 'REGISTERED_LOCALITY' END,
+ CASE WHEN street THEN 'REGISTERED_STREET_ADDRESS' END, CASE WHEN list THEN 'DIRECTORY_LIKE' END) AS signals, grade, CASE WHEN grade <> 'HIGH' THEN 'REJECTED' WHEN inn OR ogrn THEN 'VERIFIED_STRONG' ELSE 'VERIFIED_COMPOSITE' END AS status FROM g"""
+)
+def website_grades(spark, sf_dir):
+    """Identity of sites: three documents in a row are a site's pages, each
+    headed by one of eight ways to name, or not to name, the supplier it is a candidate for."""
+    s = F.col("supplier_id")
+    nine = F.concat(F.lit("77"), F.lpad(s.cast("string"), 7, "0"))
+    control = sum((F.lit(w) * F.substring(nine, i + 1, 1).cast("int") for i, w in enumerate(scalars.W10)), F.lit(0)) % 11 % 10
+    house = (s % 90 + 10).cast("string")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("name"))
+    known = suppliers.select(
+        "*", F.concat(nine, control.cast("string")).alias("inn"), F.concat(F.lit("1"), F.lpad(s.cast("string"), 12, "0")).alias("ogrn"), F.concat(F.lpad((s % 10000).cast("string"), 4, "0"), F.lit("01001")).alias("kpp"),
+        F.concat(F.lit('ООО "'), "name", F.lit('"')).alias("legal_name"), F.lit(None).cast("string").alias("short_name"), F.concat(F.lit("170000, г. Тверь, ул. Лесная, д. "), house).alias("address"),
+    )
+    n = suppliers.count()
+    pages = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 3).alias("site"), ((F.col("doc_id") * 7 + F.floor(F.col("doc_id") / 8)) % 8).alias("c"), F.col("text").alias("body")).withColumn("supplier_id", F.col("site") % n)
+    heads = [
+        F.concat(F.lit("ИНН "), "inn"), F.concat(F.lit("Осторожно, мошенники: ИНН "), "inn", F.lit(", ОГРН "), "ogrn"), F.concat("name", F.lit(", Тверь, Лесная, "), house), F.concat("name", F.lit(" КПП "), "kpp"),
+        F.concat("name", F.lit(", Тверь")), F.lit("ИНН 1111111111, ИНН 2222222222, ИНН 3333333333"), F.lit(""), F.concat(F.lit("x"), "name", F.lit(", ОГРН "), "ogrn"),
+    ]
+    head = F.coalesce(*[F.when(F.col("c") == i, h) for i, h in enumerate(heads)])
+    told = pages.join(known, "supplier_id").select("site", "supplier_id", F.concat(head, F.lit(". "), "body").alias("text"), F.lit(None).cast("string").alias("html"))
+    return websites.graded(told, known).withColumn("signals", F.array_join("signals", " "))
