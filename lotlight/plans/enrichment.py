@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import enrich, evidence, ingest, positions, websites
+from ..operators import enrich, evidence, golden, ingest, positions, websites
 from ..session import table
 from ..streaming import breaker, windows
 from .registry import query
@@ -361,3 +361,30 @@ def website_grades(spark, sf_dir):
     head = F.coalesce(*[F.when(F.col("c") == i, h) for i, h in enumerate(heads)])
     told = pages.join(known, "supplier_id").select("site", "supplier_id", F.concat(head, F.lit(". "), "body").alias("text"), F.lit(None).cast("string").alias("html"))
     return websites.graded(told, known).withColumn("signals", F.array_join("signals", " "))
+
+
+@query(
+    f"""WITH n AS (SELECT count(*) AS n FROM supplier), d AS (SELECT doc_id, doc_id % n AS s, unnest(regexp_extract_all(text, '{_PLACE}')) AS raw FROM documents, n),
+ v AS (SELECT doc_id, s, CASE WHEN contains(raw, '@') THEN 'EMAIL' ELSE 'PHONE' END AS kind, CASE WHEN contains(raw, '@') THEN lower(raw) ELSE regexp_replace(raw, '[^0-9]', '', 'g') END AS value FROM d),
+ k AS (SELECT s, kind, value, bool_or(doc_id % 3 = 0) AS good, bool_or(doc_id % 3 = 1) AS bad FROM v GROUP BY 1, 2, 3), g AS (SELECT s, kind, bool_or(good) AS eligible, count(*) FILTER (good) > 0 AS hit FROM k GROUP BY 1, 2),
+ t AS (SELECT kind, count(*) AS returned, count(*) FILTER (good) AS correct, count(*) FILTER (bad) AS wrong, count(*) FILTER (NOT good AND NOT bad) AS unlisted FROM v JOIN k USING (s, kind, value) GROUP BY 1),
+ p AS (SELECT kind, count(*) FILTER (eligible) AS eligible, count(*) AS found, count(*) FILTER (eligible AND hit) AS covered FROM g GROUP BY 1),
+ w AS (SELECT s_suppkey AS s, site FROM supplier LEFT JOIN (SELECT page_id % n AS s, min(url) AS site FROM pages, n WHERE contains(url, '://') GROUP BY 1) ON s = s_suppkey),
+ o AS (SELECT 'WEBSITE' AS kind, count(*) FILTER (s % 4 <> 0) AS eligible, count(site) AS found, count(*) FILTER (s % 4 = 1 AND site IS NOT NULL) AS covered, count(site) AS returned, count(*) FILTER (s % 4 = 1 AND site IS NOT NULL) AS correct,
+  count(*) FILTER (s % 4 IN (0, 2) AND site IS NOT NULL) AS wrong, count(*) FILTER (s % 4 = 3 AND site IS NOT NULL) AS unlisted FROM w),
+ a AS (SELECT * FROM o UNION ALL SELECT x.kind, coalesce(eligible, 0), coalesce(found, 0), coalesce(covered, 0), coalesce(returned, 0), coalesce(correct, 0), coalesce(wrong, 0), coalesce(unlisted, 0) FROM (VALUES ('PHONE'), ('EMAIL')) x(kind) LEFT JOIN p USING (kind) LEFT JOIN t USING (kind))
+ SELECT *, CASE WHEN eligible > 0 THEN round(100 * covered / eligible, 1) END AS coverage, CASE WHEN returned > 0 THEN round(100 * correct / returned, 1) END AS "precision" FROM a"""
+)
+def contact_golden(spark, sf_dir):
+    """Scores of contacts in the documents (of a supplier by their number) and of
+    suppliers' first pages as websites; document numbers decide what was expected."""
+    n = table(spark, sf_dir, "supplier").count()
+    kind = F.when(F.contains(F.col("raw"), F.lit("@")), "EMAIL").otherwise("PHONE")
+    places = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % n).alias("supplier_id"), F.explode(F.regexp_extract_all("text", F.lit(_PLACE), F.lit(0))).alias("raw")).withColumn("kind", kind)
+    told = places.filter("doc_id % 3 < 2").select("supplier_id", "kind", golden.value_of(F.col("kind"), F.col("raw")).alias("value"), (F.col("doc_id") % 3 == 0).alias("acceptable"))
+    sites = table(spark, sf_dir, "pages").filter(F.contains(F.col("url"), F.lit("://"))).groupBy((F.col("page_id") % n).alias("supplier_id")).agg(F.min("url").alias("website"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier_id"))
+    own, other = F.array(scalars.registrable_domain(scalars.host(F.col("website")))), F.array(F.lit("other.example"))
+    s = F.col("supplier_id") % 4
+    expected = suppliers.join(sites, "supplier_id", "left").select("supplier_id", F.when(s == 1, own).when(s > 1, other).alias("domains"), F.when(s == 3, own).alias("same_domains"))
+    return golden.scores(suppliers, golden.website_verdicts(expected, sites), told, golden.value_verdicts(told, places))
