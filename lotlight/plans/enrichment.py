@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import enrich, evidence, golden, ingest, positions, websites
+from ..operators import enrich, evidence, golden, ingest, positions, validation, websites
 from ..session import table
 from ..streaming import breaker, windows
 from .registry import query
@@ -388,3 +388,22 @@ def contact_golden(spark, sf_dir):
     s = F.col("supplier_id") % 4
     expected = suppliers.join(sites, "supplier_id", "left").select("supplier_id", F.when(s == 1, own).when(s > 1, other).alias("domains"), F.when(s == 3, own).alias("same_domains"))
     return golden.scores(suppliers, golden.website_verdicts(expected, sites), told, golden.value_verdicts(told, places))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS item, string_split(p_name, ' ') AS t, p_size AS s, (10 + p_size % 5) || '.' || (10 + p_size) AS c, (10 + (p_size + 1) % 5) || '.' || (11 + p_size) AS other FROM part), k AS (SELECT c, min(t[1]) AS token FROM p GROUP BY 1),
+ o AS (SELECT c FROM p GROUP BY c HAVING min(s) % 5 <> 4), x AS (SELECT item, CASE WHEN item % 7 <> 0 THEN p.c END AS given, other, item % 3 = 0 AS resolved, token, item % 7 <> 0 AND o.c IS NOT NULL AS own, list_contains(t, token) AS met FROM p JOIN k USING (c) LEFT JOIN o ON o.c = p.c),
+ y AS (SELECT *, CASE WHEN own AND met THEN 'SUPPLIED_ALIGNED' WHEN resolved THEN 'RESOLVED_FROM_TEXT' WHEN own THEN 'SUPPLIED_UNVERIFIED' ELSE 'UNRESOLVED' END AS status FROM x)
+ SELECT item, CASE status WHEN 'RESOLVED_FROM_TEXT' THEN other WHEN 'UNRESOLVED' THEN NULL ELSE given END AS code, status, CASE WHEN status = 'SUPPLIED_ALIGNED' THEN token ELSE '' END AS shared FROM y"""
+)
+def code_validation(spark, sf_dir):
+    """Codes that sizes stand for, held against the parts' names: every seventh
+    is malformed, every third name resolves to the next size's code."""
+    s, item = F.col("s"), F.col("item")
+    code = lambda n: F.concat_ws(".", (10 + n % 5).cast("string"), (10 + n).cast("string"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.split("p_name", " ").alias("tokens"), F.col("p_size").alias("s")).withColumn("own", code(s))
+    known = parts.groupBy(F.col("own").alias("code")).agg(F.min(F.col("tokens")[0]).alias("token"))
+    official = parts.groupBy(F.col("own").alias("code")).agg(F.min("s").alias("s")).filter("s % 5 <> 4").select("code", F.lit("size").alias("name"))
+    resolved = parts.filter("item % 3 = 0").select("item", F.lit("RESOLVED").alias("state"), code(s + 1).alias("ranking_code"), F.array(code(s + 1)).alias("suggestions"))
+    out = validation.validated(parts.select("item", F.when(item % 7 == 0, F.concat("own", F.lit("x"))).otherwise(F.col("own")).alias("code"), "tokens"), official, known, resolved)
+    return out.withColumn("shared", F.array_join("shared", " "))
