@@ -149,8 +149,7 @@ def merged_identities(spark, sf_dir):
 def tax_numbers(spark, sf_dir):
     """Tax numbers made from keys, normalised and checked."""
     c = F.col("c_custkey")
-    raw = F.lpad(((c * 7919 + 5000000001) % 10000000000).cast("string"), 10, "0")
-    raw = F.when(c % 11 == 0, F.substring(raw, 1, 9)).otherwise(raw)
+    raw = F.lpad(((c * 7919 + 5000000001) % 10000000000).cast("string"), F.when(c % 11 == 0, 9).otherwise(10), "0")
     raw = F.concat(F.lit(" "), raw, F.lit("\t"))
     return table(spark, sf_dir, "customer").select("c_custkey", scalars.inn(raw).alias("n")).select("c_custkey", "n.*")
 
