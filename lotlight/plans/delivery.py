@@ -149,11 +149,11 @@ def literal_wildcards(spark, sf_dir):
     return rows.groupBy("needle").agg(F.count_if(F.like("text", scalars.like_pattern(F.col("needle")))).alias("documents"))
 
 
-@query("SELECT p_type AS prefix_of, count(*) AS n FROM part WHERE p_type LIKE 'S%' GROUP BY 1")
+@query("SELECT p_type AS prefix_of, count(*) AS n, count(*) FILTER (WHERE p_name LIKE '%_mall%') AS literal FROM part WHERE p_type LIKE 'S%' GROUP BY 1")
 def prefix_categories(spark, sf_dir):
-    """Categories by prefix."""
+    """Categories by prefix, and how many of their names have a mark before ``mall``."""
     kept = table(spark, sf_dir, "part").filter(F.col("p_type").startswith("S"))
-    return kept.groupBy(F.col("p_type").alias("prefix_of")).agg(F.count("*").alias("n"))
+    return kept.groupBy(F.col("p_type").alias("prefix_of")).agg(F.count("*").alias("n"), F.count_if(F.col("p_name").like("%_mall%")).alias("literal"))
 
 
 @query(

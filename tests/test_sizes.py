@@ -18,3 +18,12 @@ def test_tax_numbers_of_large_keys(spark, tmp_path):
     con.sql(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
     got, want = rows(plans.QUERIES["tax_numbers"](spark, str(tmp_path)), con.sql(plans.SQL["tax_numbers"]))
     assert got == want
+
+
+def test_prefix_categories_count_names(spark, tmp_path):
+    names = [("SMALL", "small box"), ("SMALL", "mall"), ("SMALL", "mall mall"), ("STANDARD", "a\nmall"), ("STANDARD", None), ("LARGE", "small")]
+    spark.createDataFrame(names, "p_type string, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got, want = rows(plans.QUERIES["prefix_categories"](spark, str(tmp_path)), con.sql(plans.SQL["prefix_categories"]))
+    assert got == want == [("SMALL", 3, 2), ("STANDARD", 2, 1)]
