@@ -2,7 +2,10 @@
 
 import duckdb
 
-from lotlight import plans
+from lotlight import plans, session
+from lotlight.sources import canonical
+
+ROOT = "/root/testdata/sf0.001"
 
 
 def rows(df, twin):
@@ -27,3 +30,11 @@ def test_prefix_categories_count_names(spark, tmp_path):
     con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
     got, want = rows(plans.QUERIES["prefix_categories"](spark, str(tmp_path)), con.sql(plans.SQL["prefix_categories"]))
     assert got == want == [("SMALL", 3, 2), ("STANDARD", 2, 1)]
+
+
+def test_lots_are_dealt_by_the_number_of_lines(spark, monkeypatch):
+    """More lines, more tasks, whatever adaptive execution would join."""
+    monkeypatch.setattr(session, "ROWS", 200)
+    n = spark.read.parquet(f"{ROOT}/lineitem.parquet").count()
+    for view in (canonical.relations, canonical.items):
+        assert view(spark, ROOT).rdd.getNumPartitions() >= n // 200
