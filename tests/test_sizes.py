@@ -1,8 +1,12 @@
 """Queries on tables unlike the given ones, against their twins."""
 
+from datetime import date, timedelta
+
 import duckdb
+from pyspark.sql import functions as F
 
 from lotlight import plans, session
+from lotlight.operators import asof, search
 from lotlight.sources import canonical
 
 ROOT = "/root/testdata/sf0.001"
@@ -38,3 +42,17 @@ def test_lots_are_dealt_by_the_number_of_lines(spark, monkeypatch):
     n = spark.read.parquet(f"{ROOT}/lineitem.parquet").count()
     for view in (canonical.relations, canonical.items):
         assert view(spark, ROOT).rdd.getNumPartitions() >= n // 200
+
+
+def test_members_by_earlier_events_in_blocks(spark):
+    """The best members of each query are those of the counts before its date,
+    ties to the smaller member, however members and queries are dealt."""
+    day = lambda n: date(2024, 1, 1) + timedelta(n)
+    events = [("abc"[i % 3], i * i % 17, day(i * 7 % 20)) for i in range(400)] + [("z", 1, day(0)), (None, 1, day(0)), ("a", 2, None), ("a", None, day(0))]
+    asked = [(q, g, day(q % 21)) for q in range(30) for g in ("ab" if q % 2 else "c")] + [(31, "nowhere", day(9)), (32, "a", None)]
+    events, asked = spark.createDataFrame(events, "g string, m long, publish_date date"), spark.createDataFrame(asked, "query long, g string, as_of date")
+    votes = asked.join(asof.counts_before(events.dropna(subset=["g", "m"]), asked, "g", "m"), ["g", "as_of"]).groupBy("query", "m").agg(F.sum("n").alias("n"))
+    want = sorted(map(tuple, search.top(votes, "query", [F.desc("n"), "m"], 4).select("query", "m", "n").collect()))
+    assert len(want) > 80
+    for blocks, slices in ((1, 1), (3, 2), (40, 5)):
+        assert sorted(map(tuple, asof.most_before(events, asked, "g", "m", 4, blocks, slices).select("query", "m", "n").collect())) == want
