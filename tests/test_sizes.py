@@ -56,3 +56,14 @@ def test_members_by_earlier_events_in_blocks(spark):
     assert len(want) > 80
     for blocks, slices in ((1, 1), (3, 2), (40, 5)):
         assert sorted(map(tuple, asof.most_before(events, asked, "g", "m", 4, blocks, slices).select("query", "m", "n").collect())) == want
+
+
+def test_lots_are_scored_where_their_matrix_lies(spark, capsys):
+    """A lot's subject comes with the matrix, so scoring moves no row of it."""
+    matrix = spark.createDataFrame([(50, 1, date(1999, 1, 1), [0.5, None], [1.0, None], 0.5, 1, 7, 0.25), (50, 2, date(1999, 1, 1), [1.0, 0.0], [None, None], 1.0, 1, 8, None)], search.MATRIX)
+    lots = search.lot_scores(matrix)
+    got = {r.lot_id: r for r in lots.collect()}
+    assert abs(got[1].relevance - (0.6 * 0.5 + 0.3 * 1.0 + 0.1 * 0.25) / 1.0) < 1e-9
+    assert abs(got[2].relevance - 0.5) < 1e-9 and got[2].subject == 0.0
+    lots.explain()
+    assert "Exchange" not in capsys.readouterr().out
