@@ -67,3 +67,15 @@ def test_lots_are_scored_where_their_matrix_lies(spark, capsys):
     assert abs(got[2].relevance - 0.5) < 1e-9 and got[2].subject == 0.0
     lots.explain()
     assert "Exchange" not in capsys.readouterr().out
+
+
+def test_items_are_packed_once_for_each_text_or_code_that_asks(spark):
+    """A key's hits are one row, items of equal text and code in one entry, whatever number of queries takes them."""
+    code = "struct<code:string,path:array<string>,deepest:int>"
+    items = [(lot, lot % 4, date(2024, 1, 1), f"t{lot % 2}", ("c.b", ["c"], 0) if lot % 4 else None, f"s{lot}") for lot in range(40)]
+    items = spark.createDataFrame(items, f"lot_id long, part long, publish_date date, text string, path {code}, subject string")
+    hits = items.selectExpr("'text' kind", "'a' key", "lot_id", "part").unionByName(items.filter("lot_id < 3").selectExpr("'code' kind", "'a' key", "lot_id", "part"))
+    got = {r.kind: r.hits for r in search.packed(hits, items).collect()}
+    assert sorted((h.text, h.path.code, len(h.lots)) for h in got["text"] if h.path and h.path.code) == [("t0", "c.b", 10), ("t1", "c.b", 20)] and len(got["text"]) == 3
+    assert sorted(lot for h in got["text"] for lot in h.lots) == list(range(40)) and sorted(lot for h in got["code"] for lot in h.lots) == [0, 1, 2]
+    assert all(h.parts[i] == lot % 4 and h.subjects[i] == f"s{lot}" and h.text == f"t{lot % 2}" for h in got["text"] for i, lot in enumerate(h.lots))
