@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..session import written
 
 BLOCK = 2000
+#: Vectors that a task compares with a block at a time, which bounds its memory
+#: (some 60 MB) whatever the size of a batch.
+SLICE = 1024
 NEAR = "query long, vec_id long, cosine double"
 
 
@@ -42,9 +45,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             name, unit = shared.value
             # the best of each query so far: its place among the queries, cosine and vector
             at, score, who = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
                 v = _matrix(batch.column(1))
                 size = np.linalg.norm(v, axis=1, keepdims=True)
                 own = batch.column(0).to_numpy()
@@ -68,12 +69,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return parts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
+#: Dates up to which every item is taken for every date.
+DATES = 16
 #: Lists of an index at most, vectors of a part of a list, and lists probed first.
 LISTS, PART, FIRST = 4096, 20_000, 3
 _EPS = 1e-7
 
 _LISTS = "list int, key string, first_seen date, angle double, unit array<double>"
-_PAIRS = "query long, as_of date, list int, unit array<double>"
+_PAIRS = "query long, as_of date, list int, least double, embedding array<float>"
 _FOUND = "query long, as_of date, key string, cosine double"
 
 
@@ -138,12 +141,14 @@ class AsOfIndex:
                 angle = np.arccos(np.clip(unit @ centroids.value[number].T, -1, 1))
                 angle[since[None, :] >= batch.column(1).to_numpy(zero_copy_only=False)[:, None]] = np.inf
                 row, at = np.nonzero(chosen(angle, angle - radius, batch.column(3).to_numpy()) & np.isfinite(angle))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(number[at], pa.int32()), _nested(unit[row])], names=["query", "as_of", "list", "unit"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(number[at], pa.int32()), batch.column(3).take(pa.array(row)), batch.column(2).take(pa.array(row))], names=["query", "as_of", "list", "least", "embedding"])
 
-        return queries.select("query", "as_of", F.col("embedding").cast("array<double>").alias("embedding"), "least").mapInArrow(run, _PAIRS)
+        pairs = _PAIRS.replace("array<float>", dict(queries.dtypes)["embedding"])  # as given: floats are half as long
+        return queries.select("query", "as_of", "embedding", "least").mapInArrow(run, pairs)
 
     def _scan(self, pairs: DataFrame, k: int) -> DataFrame:
-        """The best ``k`` of each query in each part of its lists."""
+        """The best ``k`` of each query in each part of its lists; none that
+        is worse than ``least``, the worst of ``k`` that are known."""
 
         def run(asked: pa.Table, held: pa.Table) -> pa.Table:
             names = [c.split()[0] for c in _FOUND.split(", ")]
@@ -151,14 +156,14 @@ class AsOfIndex:
                 return pa.table([pa.array([], t) for t in (pa.int64(), pa.date32(), pa.string(), pa.float64())], names=names)
             held = held.sort_by("key")
             v, seen = _matrix(held["unit"].combine_chunks()), held["first_seen"].to_numpy()
-            q, dates = _matrix(asked["unit"].combine_chunks()), asked["as_of"].to_numpy()
+            q, dates, least = _units(asked["embedding"].combine_chunks()), asked["as_of"].to_numpy(), asked["least"].to_numpy()
             rows, places, scores = [], [], []
             for lo in range(0, len(q), 512):
                 near = np.where(seen[None, :] < dates[lo : lo + 512, None], q[lo : lo + 512] @ v.T, -np.inf)
                 order = np.argsort(-np.round(near, 9), axis=1, kind="stable")[:, :k]  # ties by key
                 row = np.repeat(np.arange(len(near)), order.shape[1])
                 score = near[row, order.ravel()]
-                good = np.isfinite(score)
+                good = np.isfinite(score) & (score >= least[lo + row] - 2e-9)  # ties are to nine digits
                 rows, places, scores = [*rows, lo + row[good]], [*places, order.ravel()[good]], [*scores, score[good]]
             row, place = pa.array(np.concatenate(rows)), pa.array(np.concatenate(places))
             return pa.table([asked["query"].take(row), asked["as_of"].take(row), held["key"].take(place), pa.array(np.concatenate(scores))], names=names)
@@ -177,7 +182,7 @@ class AsOfIndex:
 
         asked = queries.dropna(subset=["as_of", "embedding"]).select("query", "as_of", "embedding")
         first = lambda angle, bound, least: angle <= np.partition(angle, min(FIRST, angle.shape[1]) - 1, axis=1)[:, [min(FIRST, angle.shape[1]) - 1]]
-        near = written(best(self._scan(self._probe(asked.withColumn("least", F.lit(0.0)), first), k)))
+        near = written(best(self._scan(self._probe(asked.withColumn("least", F.lit(-2.0)), first), k)))
         worst = near.groupBy("query", "as_of").agg(F.when(F.count("*") >= k, F.min("cosine")).alias("least"))
         told = asked.join(worst, ["query", "as_of"], "left").withColumn("least", F.coalesce("least", F.lit(-1.0)))
         rest = lambda angle, bound, least: ~first(angle, bound, least) & (bound <= np.arccos(np.clip(least, -1, 1))[:, None] + _EPS)
@@ -188,11 +193,20 @@ def newest_items(found: DataFrame, texts: DataFrame, items: DataFrame, limit: in
     """The newest visible items of the found texts: found (query, as_of, key,
     cosine, rank) with the text's hash as key, texts (key, text), items
     (lot_id, part, text, publish_date).  Texts meet by their hash and must
-    then be equal, so texts that share a hash stay apart."""
-    told = found.join(texts, "key").withColumn("_text", F.col("text")).drop("text")
-    rows = told.join(items.withColumn("key", F.md5("text")), "key").filter((F.col("text") == F.col("_text")) & (F.col("publish_date") < F.col("as_of")))
-    order = Window.partitionBy("query", "as_of", "key").orderBy(F.desc("publish_date"), "lot_id", "part")
-    return rows.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= limit).select("query", "as_of", "lot_id", "part", "cosine", "rank")
+    then be equal, so texts that share a hash stay apart.
+
+    A text's newest items at a date are cut once, before the queries that
+    found it meet them: many queries may find a text that many items have."""
+    found = written(found)
+    asked = found.select("key", "as_of").distinct().join(texts, "key").select("text", "key", "as_of")
+    dates = found.select("as_of").distinct()
+    if dates.count() <= DATES:  # each task cuts its items before any is moved
+        rows = items.crossJoin(F.broadcast(dates)).filter(F.col("publish_date") < F.col("as_of"))
+    else:
+        rows = items.join(asked.select("text", "as_of").distinct(), "text").filter(F.col("publish_date") < F.col("as_of"))
+    order = Window.partitionBy("as_of", "text").orderBy(F.desc("publish_date"), "lot_id", "part")
+    newest = rows.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= limit).join(asked, ["as_of", "text"])
+    return found.join(newest.select("key", "as_of", "text", "lot_id", "part"), ["key", "as_of"]).select("query", "as_of", "lot_id", "part", "cosine", "rank")
 
 
 def restricted(semantic: DataFrame, k: int) -> DataFrame:

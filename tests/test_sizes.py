@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from lotlight import plans, session
-from lotlight.operators import asof, search
+from lotlight.operators import asof, search, vectors
 from lotlight.sources import canonical
 
 ROOT = "/root/testdata/sf0.001"
@@ -79,3 +79,32 @@ def test_items_are_packed_once_for_each_text_or_code_that_asks(spark):
     assert sorted((h.text, h.path.code, len(h.lots)) for h in got["text"] if h.path and h.path.code) == [("t0", "c.b", 10), ("t1", "c.b", 20)] and len(got["text"]) == 3
     assert sorted(lot for h in got["text"] for lot in h.lots) == list(range(40)) and sorted(lot for h in got["code"] for lot in h.lots) == [0, 1, 2]
     assert all(h.parts[i] == lot % 4 and h.subjects[i] == f"s{lot}" and h.text == f"t{lot % 2}" for h in got["text"] for i, lot in enumerate(h.lots))
+
+
+def test_nearest_vectors_in_slices(spark, monkeypatch):
+    """A task holds one slice's cosines at a time, and ties across slices still go to the smaller id."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(300)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = {}
+    for size in (1024, 7):
+        monkeypatch.setattr(vectors, "SLICE", size)
+        got[size] = sorted((r["query"], r.place, r.vec_id) for r in vectors.nearest(v, v.filter("vec_id % 10 = 0"), 4).collect())
+    assert got[7] == got[1024] and len(got[7]) == 120
+
+
+def test_newest_items_are_cut_before_queries_meet_them(spark, monkeypatch):
+    """A text's newest items are the same for every query that found it, by few dates and by many."""
+    day = lambda n: date(2024, 1, 1) + timedelta(n)
+    texts = spark.createDataFrame([("a",), ("b",)], "text string").withColumn("key", F.md5("text"))
+    goods = [(i, i % 3, "ab"[i % 2], day(i % 9)) for i in range(60)]
+    items = spark.createDataFrame(goods, "lot_id long, part long, text string, publish_date date")
+    asked = [(q, t, day(d)) for q in range(5) for t in "ab" for d in (0, 4, 20)]
+    found = spark.createDataFrame(asked, "query long, text string, as_of date").select("query", "as_of", F.md5("text").alias("key"), F.lit(0.5).alias("cosine"), F.lit(1).alias("rank"))
+    want = sorted((q, d, g[0], g[1]) for q, t, d in asked for g in sorted((g for g in goods if g[2] == t and g[3] < d), key=lambda g: (-g[3].toordinal(), g[0], g[1]))[:5])
+    for dates in (16, 0):
+        monkeypatch.setattr(vectors, "DATES", dates)
+        out = vectors.newest_items(found, texts, items, 5)
+        assert sorted((r["query"], r.as_of, r.lot_id, r.part) for r in out.collect()) == want
