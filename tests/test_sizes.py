@@ -108,3 +108,14 @@ def test_newest_items_are_cut_before_queries_meet_them(spark, monkeypatch):
         monkeypatch.setattr(vectors, "DATES", dates)
         out = vectors.newest_items(found, texts, items, 5)
         assert sorted((r["query"], r.as_of, r.lot_id, r.part) for r in out.collect()) == want
+
+
+def test_documents_of_tokens_by_their_words(spark):
+    """Tokens inside words, repeated words and documents, wildcards, other white space: as plain contains says."""
+    space = r"[\x20\x09-\x0D]"
+    texts = ["a10%b x_1", "a10%b a10%b\ta10%b", "x_1 #tag#tag", "10% off", "", " a 10 ", "xx_1x\n#ta g"]
+    tokens = ["10%", "x_1", "#tag", "_1 #", "a10%b", "zzz", "10", "a 10"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    found = search.documents_with(spark.createDataFrame([(t,) for t in tokens], "token string"), docs, "doc_id", space)
+    want = sorted((t, i) for t in tokens if len(t) >= 3 and " " not in t for i, x in enumerate(texts) if t in x)
+    assert sorted((r.token, r.doc_id) for r in found.collect()) == want and len(want) == 10
