@@ -26,11 +26,9 @@ LATE = date(2000, 1, 1)
 )
 def market_intelligence(spark, sf_dir):
     """Concentration of each group beside its known and unseen suppliers."""
-    h = History(spark, sf_dir, LATE)
-    known = pool_health.supplier_awards(h, "group").groupBy("code").agg(F.count("*").alias("known"))
     total = table(spark, sf_dir, "supplier").count()
-    seen = F.coalesce("known", F.lit(0))
-    return pool_health.concentration(h, "group").join(known, "code", "left").select("code", "label", "hhi", seen.alias("known"), (F.lit(total) - seen).alias("unseen"))
+    known = F.col("observed_suppliers")
+    return pool_health.concentration(History(spark, sf_dir, LATE), "group").select("code", "label", "hhi", known.alias("known"), (F.lit(total) - known).alias("unseen"))
 
 
 @query(

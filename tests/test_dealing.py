@@ -20,3 +20,9 @@ def test_first_dates_of_pairs_are_dealt_by_the_number_of_lines(spark, monkeypatc
     told = capsys.readouterr().out
     for key in ("code_group", "customer"):
         assert re.search(rf"hashpartitioning\(supplier_id#\d+L?, {key}#\d+L?, {n}\), REPARTITION_BY_NUM", told)
+
+
+def test_known_suppliers_come_with_the_concentration(spark, capsys):
+    """Pools are counted once: the lines are read for codes, for relations and for the support."""
+    plans.QUERIES["market_intelligence"](spark, ROOT).explain()
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", capsys.readouterr().out)) == 3
