@@ -26,3 +26,14 @@ def test_known_suppliers_come_with_the_concentration(spark, capsys):
     """Pools are counted once: the lines are read for codes, for relations and for the support."""
     plans.QUERIES["market_intelligence"](spark, ROOT).explain()
     assert len(re.findall(r"FileScan parquet \[l_orderkey", capsys.readouterr().out)) == 3
+
+
+@pytest.mark.parametrize("name", ["batch_selection", "replay_sample"])
+def test_a_task_takes_a_quarter_of_a_million_lines(spark, monkeypatch, name):
+    """Hash tables and sorts of a task's lots stay small at every size (given rows stand for a thousand each)."""
+    monkeypatch.setattr(session, "ROWS", session.ROWS // 1000)
+    made, spread = [], session.spread
+    monkeypatch.setattr("lotlight.sources.canonical.spread", lambda df, rows, *keys: made.append(spread(df, rows, *keys).rdd.getNumPartitions()) or spread(df, rows, *keys))
+    plans.QUERIES[name](spark, ROOT)
+    lines = spark.read.parquet(f"{ROOT}/lineitem.parquet").count()
+    assert made and min(made) >= lines * 1000 // 250_000
