@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..session import spread
 from . import search
 
 
@@ -35,19 +36,23 @@ def ancestors(codes: DataFrame, depth: int) -> DataFrame:
 
 def resolve(queries: DataFrame, titles: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """queries (query, text) against titles (code, title): the best code, its
-    score, how it was found, and the decision."""
+    score, how it was found, and the decision.
+
+    Equal texts are resolved once; a text's pairs with titles are formed in one
+    task, and their number, known from the tokens, deals the texts over tasks."""
     key = lambda c: scalars.comparison_key(F.col(c))
-    asked = queries.withColumn("key", key("text"))
+    asked = queries.select("query", key("text").alias("key"))
+    texts = asked.select("key").distinct()
     named = titles.withColumn("key", key("title"))
-    exact = asked.join(named.select("key", "code"), "key").groupBy("query").agg(F.min("code").alias("exact_code"), F.count("*").alias("exact_codes"))
+    exact = texts.join(named.select("key", "code"), "key").groupBy("key").agg(F.min("code").alias("exact_code"), F.count("*").alias("exact_codes"))
     terms = search.tokens(named.select("code", "key"), "code", "key")
     n = titles.count()
-    weighted = search.with_idf(search.tokens(asked.select("query", "key"), "query", "key"), search.document_frequency(terms), n)
-    scored = search.text_scores(weighted, terms, "query", "code").withColumn("text", F.round("text", 6))
-    order = Window.partitionBy("query").orderBy(F.desc("text"), "code")
-    placed = scored.withColumn("place", F.row_number().over(order)).filter("place <= 2")
-    best = placed.groupBy("query").agg(F.max(F.when(F.col("place") == 1, F.col("code"))).alias("term_code"), F.max(F.when(F.col("place") == 1, F.col("text"))).alias("score"), F.coalesce(F.max(F.when(F.col("place") == 2, F.col("text"))), F.lit(0.0)).alias("second"))
-    both = queries.select("query").join(exact, "query", "left").join(best, "query", "left")
+    weighted = search.with_idf(search.tokens(texts, "key", "key"), search.document_frequency(terms), n)
+    pairs = weighted.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    scored = search.text_scores(spread(weighted, pairs, "key"), terms, "key", "code").withColumn("text", F.round("text", 6))
+    placed = search.top(scored, "key", [F.desc("text"), "code"], 2)
+    best = placed.groupBy("key").agg(F.max(F.when(F.col("place") == 1, F.col("code"))).alias("term_code"), F.max(F.when(F.col("place") == 1, F.col("text"))).alias("score"), F.coalesce(F.max(F.when(F.col("place") == 2, F.col("text"))), F.lit(0.0)).alias("second"))
+    both = asked.join(exact, "key", "left").join(best, "key", "left")
     one_title = F.col("exact_codes") == 1
     decision = (
         F.when(one_title, "RESOLVED").when(F.col("exact_codes") > 1, "AMBIGUOUS").when((F.col("score") >= rule.accept) & (F.col("score") - F.col("second") >= rule.margin), "RESOLVED").when(F.col("score") >= rule.accept, "AMBIGUOUS").otherwise("UNCERTAIN")

@@ -37,3 +37,17 @@ def test_a_task_takes_a_quarter_of_a_million_lines(spark, monkeypatch, name):
     plans.QUERIES[name](spark, ROOT)
     lines = spark.read.parquet(f"{ROOT}/lineitem.parquet").count()
     assert made and min(made) >= lines * 1000 // 250_000
+
+
+def test_equal_texts_are_resolved_once_and_dealt_by_their_pairs(spark, monkeypatch):
+    """What is dealt are the pairs of distinct texts and titles, however many queries ask."""
+    dealt = []
+    monkeypatch.setattr(resolver, "spread", lambda df, rows, *keys: dealt.append(rows) or session.spread(df, rows, *keys), raising=False)
+    titles = spark.createDataFrame([("c1", "red bolt"), ("c2", "red ring"), ("c3", "blue ring"), ("c4", "red bolt")], "code string, title string")
+    texts = ["red bolt", "red ring", "Blue", "green", None]
+    asked = spark.createDataFrame([(i, texts[i % 5]) for i in range(50)], "query long, text string")
+    got = {r["query"]: (r.code, r.found_by, r.decision) for r in resolver.resolve(asked, titles).collect()}
+    want = [("c1", "exact", "AMBIGUOUS"), ("c2", "exact", "RESOLVED"), ("c3", "terms", "RESOLVED"), (None, "none", "UNCERTAIN"), (None, "none", "UNCERTAIN")]
+    assert [got[i] for i in range(50)] == [want[i % 5] for i in range(50)]
+    # red is in 3 titles, bolt and ring in 2, blue in 1: 5 pairs of two texts, one of the third
+    assert dealt == [3 + 2 + 3 + 2 + 1]
