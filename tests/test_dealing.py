@@ -51,3 +51,10 @@ def test_equal_texts_are_resolved_once_and_dealt_by_their_pairs(spark, monkeypat
     assert [got[i] for i in range(50)] == [want[i % 5] for i in range(50)]
     # red is in 3 titles, bolt and ring in 2, blue in 1: 5 pairs of two texts, one of the third
     assert dealt == [3 + 2 + 3 + 2 + 1]
+
+
+def test_only_texts_that_can_give_a_first_item_meet_their_items(spark):
+    """A key's texts below enough items of better ones bring no items; ties stay whole."""
+    met = [("a", "t1", 1.0, 2), ("a", "t2", 0.5, 1), ("a", "t3", 0.5, 9), ("a", "t4", 0.25, 1), ("b", "t1", 1.0, 3), ("b", "t4", 0.25, 1)]
+    met = spark.createDataFrame(met, "key string, text string, score double, n long")
+    assert sorted((r.key, r.text) for r in search.leading_texts(met, 3).collect()) == [("a", "t1"), ("a", "t2"), ("a", "t3"), ("b", "t1")]
