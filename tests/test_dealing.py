@@ -58,3 +58,22 @@ def test_only_texts_that_can_give_a_first_item_meet_their_items(spark):
     met = [("a", "t1", 1.0, 2), ("a", "t2", 0.5, 1), ("a", "t3", 0.5, 9), ("a", "t4", 0.25, 1), ("b", "t1", 1.0, 3), ("b", "t4", 0.25, 1)]
     met = spark.createDataFrame(met, "key string, text string, score double, n long")
     assert sorted((r.key, r.text) for r in search.leading_texts(met, 3).collect()) == [("a", "t1"), ("a", "t2"), ("a", "t3"), ("b", "t1")]
+
+
+def test_equal_texts_suggest_codes_once(spark):
+    """Queries of one text share its codes, and no branch of codes is searched for them."""
+    goods = [(lot, lot % 4, 1, f"2024-01-{1 + lot % 9:02d}", f"{'red blue'.split()[lot % 2]} b{lot % 3}-10", f"c.{lot % 4}" if lot % 4 else None) for lot in range(60)]
+    struct = F.struct(F.col("c").alias("code"), *[F.lit(None).cast("string").alias(x) for x in ("class", "subclass", "group", "subgroup", "kind")])
+    items = spark.createDataFrame(goods, "lot_id long, part long, line int, d string, text string, c string").select("lot_id", "part", "line", F.to_date("d").alias("publish_date"), "text", struct.alias("code"))
+    texts = ["red b0-10", "blue b1-10", None, "nothing"]
+    asked = spark.createDataFrame([(q, texts[q % 4]) for q in range(40)], "query long, text string")
+    got = {}
+    for r in search.suggest(asked, search.Catalogue.of(items)).collect():
+        got.setdefault(r["query"], []).append((r.place, r.code, r["items"], r.lots, r.support))
+    # red: even lots, so parts 0 (no code) and 2; blue: odd lots, parts 1 and 3
+    same = lambda lot, q: {0: (lot % 2 == 0) + (lot % 3 == 0), 1: (lot % 2 == 1) + (lot % 3 == 1)}[q] == 2
+    for q in (0, 1):
+        exact = {f"c.{k}": sum(same(lot, q) and lot % 4 == k for lot in range(60)) for k in (1, 2, 3)}
+        mine = {code: n for _, code, n, _, _ in got[q]}
+        assert all(mine.get(code, 0) >= n for code, n in exact.items()) and sum(exact.values())
+    assert all(got.get(q) == got.get(q % 4) for q in range(40)) and set(got) == {q for q in range(40) if q % 4 < 2}
