@@ -119,3 +119,55 @@ def test_documents_of_tokens_by_their_words(spark):
     found = search.documents_with(spark.createDataFrame([(t,) for t in tokens], "token string"), docs, "doc_id", space)
     want = sorted((t, i) for t in tokens if len(t) >= 3 and " " not in t for i, x in enumerate(texts) if t in x)
     assert sorted((r.token, r.doc_id) for r in found.collect()) == want and len(want) == 10
+
+
+def test_a_ranking_is_computed_once_for_its_evidence(spark):
+    """Evidence reads the ranking twice, but the search behind it runs once."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    ranked = spark.sql("select id % 3 query, id supplier_id, int(id) rank, array(named_struct('nth', 1, 'lot_id', id, 'part', 2L)) evidence from range(12)")
+    products = spark.createDataFrame([(2, "t", ("c",))], "part long, text string, code struct<code:string>")
+    out = search.with_evidence(ranked.mapInArrow(counted, ranked.schema), products).collect()
+    assert len(out) == 12 and all(r.best_products == ["t"] and r.best_code == "c" for r in out)
+    assert runs.value == 12
+
+
+def test_packed_rows_travel_once_a_block(spark, monkeypatch):
+    """Compressed rows come back as they were, and queries of one block share them: the same matrix by one block and by many."""
+    sf = "/root/testdata/sf0.001"
+    sent, plain = [], search.squeezed
+    monkeypatch.setattr(search, "squeezed", lambda hits: sent.append(hits) or plain(hits))
+    items = session.written(canonical.product_items(spark, sf))
+    catalogue = search.Catalogue.of(items)
+    asked = session.written(items.filter("lot_id % 50 = 0 and line <= 2").select(F.col("lot_id").alias("query"), F.col("line").alias("no"), "text", "code").dropDuplicates(["query", "no"]))
+    got = {}
+    for n in (search.ITEMS, 1):
+        monkeypatch.setattr(search, "ITEMS", n)
+        matrix = search.match_matrix(asked, catalogue)
+        assert n > 1 or matrix.rdd.getNumPartitions() == asked.count() > 8
+        got[n] = sorted(map(str, matrix.collect()))
+    assert len(got) == 2 and len(set(map(str, got.values()))) == 1 and len(got[1]) > 100
+    row = search.packed(search.branch_hits(asked, catalogue)[0].select(F.lit("text").alias("kind"), "key", "lot_id", "part"), items.select("lot_id", "part", "publish_date", "text", search.scalars.okpd2_path(F.col("code")).alias("path"), F.lit(None).cast("string").alias("subject"))).limit(1)
+    back = plain(row).toArrow()
+    numbers, texts, codes, subjects = search._restored(back["squeezed"].combine_chunks()[0].as_buffer(), back["size"][0].as_py())
+    assert subjects == [] or subjects == [None]
+    assert len(numbers["lot"]) == numbers["times"].sum() and len(texts) == len(numbers["times"]) == len(numbers["code"])
+    assert len(sent) == 2
+
+
+def test_lots_beyond_the_limit_are_left_out_of_the_matrix(spark):
+    """The first lots by relevance are those of the whole matrix."""
+    sf = "/root/testdata/sf0.001"
+    items = session.written(canonical.product_items(spark, sf))
+    catalogue = search.Catalogue.of(items)
+    asked = session.written(items.filter("lot_id % 50 = 0 and line <= 2").select(F.col("lot_id").alias("query"), F.col("line").alias("no"), "text", "code").dropDuplicates(["query", "no"]))
+    queries = asked.groupBy("query").agg(F.min("text").alias("subject"))
+    first = lambda m: sorted((r["query"], r.lot_id, r.relevance) for r in search.top(search.lot_scores(m), "query", [F.desc("relevance"), F.desc("publish_date"), "lot_id"], 20).collect())
+    whole = search.match_matrix(asked, catalogue, search.Config(), queries, canonical.subjects(items))
+    cut = search.match_matrix(asked, catalogue, search.Config(), queries, canonical.subjects(items), 20)
+    assert first(whole) == first(cut) and cut.count() < whole.count()
