@@ -24,6 +24,10 @@ CUTS = [round(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k
 PARTS, WEIGHT_PARTS = 10**6, 10**4
 
 
+#: Draws that one task makes.
+DRAWS = 20_000_000
+
+
 @dataclass(frozen=True)
 class Acceptance:
     """Rules declared before a challenger is measured; fixed values."""
@@ -38,7 +42,7 @@ def draws(key: Column, resample: Column, seed: int) -> Column:
     """How often a row takes part in a resample."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), resample.cast("string")))
     at = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    return F.aggregate(F.array(*[F.lit(c) for c in CUTS]), F.lit(0), lambda n, c: n + F.when(at >= c, 1).otherwise(0))
+    return sum(((at >= c).cast("int") for c in CUTS), F.lit(0))
 
 
 def bootstrap(rows: DataFrame, by: str, key: str, value: str, weight: str, resamples: int = 2000, seed: int = 7) -> DataFrame:
@@ -51,11 +55,14 @@ def bootstrap(rows: DataFrame, by: str, key: str, value: str, weight: str, resam
     """
     kept = rows.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
     kept = kept.select(by, key, F.round(F.col(weight) * WEIGHT_PARTS).cast("long").alias("_w"), F.round(F.col(value) * PARTS).cast("long").alias("_v"))
-    # resample 0 is the rows themselves
-    each = kept.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples))))
-    each = each.withColumn("_w", F.col("_w") * F.when(F.col("_b") == 0, 1).otherwise(draws(F.col(key), F.col("_b"), seed))).filter("_w > 0")
-    mean = F.expr("floor(sum(_w * _v) / sum(_w))").cast("long")
-    means = each.groupBy(by, "_b").agg(mean.alias("_m"))
+    # a key's rows share its draws, which are the work: it deals the rows, for they are few bytes; resample 0 is the rows themselves
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() * resamples / DRAWS))
+    shared = kept.repartition(tasks, key).groupBy(key).agg(F.collect_list(F.struct(by, "_w", "_v")).alias("_rows"))
+    each = shared.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples))))
+    each = each.select("_b", "_rows", draws(F.col(key), F.col("_b"), seed).alias("_n")).select("_b", "_n", F.inline("_rows"))
+    each = each.withColumn("_w", F.col("_w") * F.when(F.col("_b") == 0, 1).otherwise(F.col("_n")))
+    mean = F.expr("floor(try_divide(sum(_w * _v), sum(_w)))").cast("long")
+    means = each.groupBy(by, "_b").agg(mean.alias("_m")).filter("_m is not null")
     # a challenger has as many means as there are resamples
     held = means.groupBy(by).agg(F.max(F.when(F.col("_b") == 0, F.col("_m"))).alias("delta"), F.sort_array(F.collect_list(F.when(F.col("_b") > 0, F.col("_m")))).alias("_s"))
     place = lambda q: F.get("_s", F.floor(q * F.size("_s")).cast("int"))

@@ -171,3 +171,34 @@ def test_lots_beyond_the_limit_are_left_out_of_the_matrix(spark):
     whole = search.match_matrix(asked, catalogue, search.Config(), queries, canonical.subjects(items))
     cut = search.match_matrix(asked, catalogue, search.Config(), queries, canonical.subjects(items), 20)
     assert first(whole) == first(cut) and cut.count() < whole.count()
+
+
+def test_places_of_wanted_members_equal_a_whole_ranking(spark, monkeypatch):
+    """By one bucket and slice or many, for each history: the places of ``most_before``'s order."""
+    day = lambda n: date(2024, 1, 1) + timedelta(n)
+    events = [("abcd"[i % 4], i * i % 23 * 3, day(i * 7 % 20), i % 3 == 0) for i in range(600)] + [(None, 1, day(0), True), ("a", 2, None, True), ("a", None, day(0), True)]
+    asked = [(q, g, day(q % 21)) for q in range(40) for g in ("ab" if q % 2 else "c")] + [(41, "nowhere", day(9)), (42, "a", None)]
+    wanted = [(q, m) for q in range(43) for m in {q % 23 * 3, q * 5 % 23 * 3, 99}] + [(50, 3), (None, 3), (1, None)]
+    want = []
+    for h in range(2):
+        for q in range(40):
+            mine, at = {g for x, g, _ in asked if x == q}, day(q % 21)
+            n = {}
+            for g, m, d, won in events:
+                if g in mine and m is not None and d is not None and d < at and (won or h):
+                    n[m] = n.get(m, 0) + 1
+            order = sorted(n, key=lambda m: (-n[m], m))[:6]
+            want += [(h, q, m, order.index(m) + 1) for x, m in wanted if x == q and m in order]
+    assert len(want) > 20
+    frames = spark.createDataFrame(events, "g string, m long, publish_date date, won boolean").withColumn("seen", F.lit(True)), spark.createDataFrame(asked, "query long, g string, as_of date"), spark.createDataFrame(wanted, "query long, m long")
+    for buckets, slices, width in ((1, 1, 2048), (3, 4, 2), (5, 50, 1)):
+        monkeypatch.setattr(asof, "WIDTH", width)
+        got = asof.ranks_before(*frames, "g", "m", ["won", "seen"], 6, buckets, slices)
+        assert sorted(map(tuple, got.select("history", "query", "m", "rank").collect())) == sorted(want)
+
+
+def test_the_replay_measures_every_target(spark):
+    """All eligible lots, not only those of every fiftieth key."""
+    n = plans.QUERIES["replay_targets"](spark, "/root/testdata/sf0.001").count()
+    assert sum(r.queries for r in plans.QUERIES["replay_breakdown"](spark, "/root/testdata/sf0.001").collect()) == n > 100
+    assert "% 50" not in plans.SQL["replay_breakdown"] and "% 50" not in plans.SQL["challenger_acceptance"]
