@@ -97,7 +97,7 @@ def taxonomy_ancestors(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT p_brand || '.' || CAST(p_size AS VARCHAR) AS code, min(p_name || ' ' || lower(p_type)) AS title FROM part GROUP BY 1), q AS (SELECT p_partkey AS query, p_name || ' ' || lower(p_type) AS text FROM part WHERE p_partkey % 50 = 0),
+    """WITH t AS (SELECT p_brand || '.' || CAST(p_size AS VARCHAR) AS code, min(p_name || ' ' || lower(p_type)) AS title FROM part GROUP BY 1), q AS (SELECT p_partkey AS query, p_name || ' ' || lower(p_type) AS text FROM part),
  x AS (SELECT query, min(code) AS exact_code, count(*) AS exact_codes FROM q JOIN t ON title = text GROUP BY 1), tt AS (SELECT DISTINCT code, unnest(string_split(title, ' ')) AS token FROM t), n AS (SELECT count(*) AS docs FROM t), d AS (SELECT token, count(*) AS df FROM tt GROUP BY 1),
  qq AS (SELECT DISTINCT query, unnest(string_split(text, ' ')) AS token FROM q), w AS (SELECT query, qq.token, ln((docs + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM qq CROSS JOIN n LEFT JOIN d ON d.token = qq.token), tot AS (SELECT query, sum(idf) AS total FROM w GROUP BY 1),
  s AS (SELECT query, code, round(sum(idf) / any_value(total), 6) AS score FROM w JOIN tt USING (token) JOIN tot USING (query) GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, code) AS place FROM s),
@@ -106,11 +106,11 @@ def taxonomy_ancestors(spark, sf_dir):
  CASE WHEN exact_codes = 1 THEN 'RESOLVED' WHEN exact_codes > 1 THEN 'AMBIGUOUS' WHEN score >= 0.36 AND score - second >= 0.18 THEN 'RESOLVED' WHEN score >= 0.36 THEN 'AMBIGUOUS' ELSE 'UNCERTAIN' END AS decision FROM q LEFT JOIN x ON x.query = q.query LEFT JOIN b ON b.query = q.query"""
 )
 def category_resolution(spark, sf_dir):
-    """Part names resolved against titles of brand and size categories."""
+    """All part names resolved against titles of brand and size categories."""
     parts = table(spark, sf_dir, "part")
     text = F.concat_ws(" ", "p_name", F.lower("p_type"))
     titles = parts.groupBy(F.concat_ws(".", "p_brand", F.col("p_size").cast("string")).alias("code")).agg(F.min(text).alias("title"))
-    asked = parts.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query"), text.alias("text"))
+    asked = parts.select(F.col("p_partkey").alias("query"), text.alias("text"))
     return resolver.resolve(asked, titles)
 
 

@@ -202,3 +202,8 @@ def test_the_replay_measures_every_target(spark):
     n = plans.QUERIES["replay_targets"](spark, "/root/testdata/sf0.001").count()
     assert sum(r.queries for r in plans.QUERIES["replay_breakdown"](spark, "/root/testdata/sf0.001").collect()) == n > 100
     assert "% 50" not in plans.SQL["replay_breakdown"] and "% 50" not in plans.SQL["challenger_acceptance"]
+
+
+def test_every_part_is_resolved(spark):
+    n = spark.read.parquet(f"{ROOT}/part.parquet").count()
+    assert plans.QUERIES["category_resolution"](spark, ROOT).count() == n
